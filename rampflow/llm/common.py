@@ -54,6 +54,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of ``rows`` rows at most, so that a batch of long texts fits a Python worker; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, name: str, totals: dict[str, str] | None = None) -> DataFrame:
     """Add ``out``: the row's place from 0 among rows of equal ``keys`` under ``order``.
 

@@ -3,13 +3,14 @@
 A document's set holds the 64-bit hashes of its distinct word shingles (two shingles of a corpus
 share a hash with probability 2**-64). Equal sets form a class, and only classes are compared:
 
-1. sketch of 1,024 coordinates per class; 32 bands of 4 coordinates are the candidate buckets (a
+1. sketch of 256 coordinates per class; 32 bands of 4 coordinates are the candidate buckets (a
    pair at similarity 0.8 shares none with probability 5e-8);
 2. star links: each bucket's least class against its other classes, confirmed on the full sets,
    give first components;
 3. the rest: classes of a bucket that are still in different components are compared pairwise in
-   blocks by the 4-bit sketches; pairs that could reach the threshold (six standard deviations of
-   allowance) are confirmed on the full sets. Pairs inside one component cannot change the result.
+   blocks, first by sketches (with six standard deviations of allowance), then by sets of 32-bit
+   hashes, whose intersections are never too small; what passes is confirmed on the full sets. Pairs
+   inside one component cannot change the result.
 
 A bucket's work is dealt in blocks of bounded size, so no group has to fit in a task. Nothing is
 capped: every pair that shares a bucket is linked, in one component already, or compared.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup_kernels as K
-from .common import staged
+from .common import small_batches, staged
 from .components import components
 
 #: Classes in one side of a block; a block compares at most (2 * BLOCK) ** 2 / 2 pairs of sketches.
@@ -51,64 +52,95 @@ def _sketched(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["set_key"], "shingles": [K.shingles(t, width).view(np.int64) for t in pdf["text"]]})
+            sets = [K.shingles(t, width) for t in pdf["text"]]
+            own = [K.set_key(s) == k for s, k in zip(sets, pdf["key"], strict=True)]  # an id may name several texts
+            sets, pdf = [s for s, x in zip(sets, own, strict=True) if x], pdf[own]
+            yield pdf.drop(columns="text").assign(shingles=[s.view(np.int64) for s in sets], short=[K.short_hashes(s) for s in sets])
 
     return run
 
 
 def _compare(percent: int):
-    """Runs of rows of one block, in order: the pairs of different components whose sketches allow a link."""
+    """Runs of rows of one block, in order: the pairs of different components that may be links."""
 
-    def pairs(block: pd.DataFrame, least: float) -> pd.DataFrame:
-        block = block.sort_values("key", ignore_index=True)
+    def pairs(block: pd.DataFrame) -> pd.DataFrame:
         low = np.frombuffer(b"".join(block["low"]), np.uint8).reshape(len(block), -1)
-        n, comp = block["n"].to_numpy(), pd.factorize(block["comp"])[0]
-        first, second, side = [], [], block["side"].to_numpy()
+        sets = [np.frombuffer(x, np.uint32) for x in block["short"]]
+        n, comp, side = np.array([len(x) for x in sets]), pd.factorize(block["comp"])[0], block["side"].to_numpy()
+        least = K.least_agreeing(2 * low.shape[1], percent)
+        first, second = [], []
         for i in range(len(block) - 1):
             j = np.arange(i + 1, len(block))
-            short, long = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(comp[j] != comp[i]) & (100 * short >= percent * long) & ((side[i] == 2) | (side[j] != side[i]))]
-            if len(j):
-                j = j[K.agreeing(low[i, :128], low[j, :128]) >= K.least_agreeing(256, percent)]
+            # 1 for the few equal short hashes that a set of many shingles may have
+            small, large = np.minimum(n[i], n[j]) + 1, np.maximum(n[i], n[j])
+            j = j[(comp[j] != comp[i]) & (100 * small >= percent * large) & ((side[i] == 2) | (side[j] != side[i]))]
             if len(j):
                 j = j[K.agreeing(low[i], low[j]) >= least]
-                first += [i] * len(j)
-                second += j.tolist()
+                first.append(np.full(len(j), i))
+                second.append(j)
+        if not first:
+            return pd.DataFrame({"a": [], "b": []})
+        i, j = np.concatenate(first), np.concatenate(second)
+        if len(i) > 4 * len(block):
+            both = K.shared_sizes(sets)[i, j]
+        else:
+            both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)])
+        stay = 100 * (both + 1) >= percent * (n[i] + n[j] - both)
         keys = block["key"].to_numpy()
-        return pd.DataFrame({"a": keys[first], "b": keys[second]})
+        return pd.DataFrame({"a": keys[i[stay]], "b": keys[j[stay]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, least = None, 0.0
+        held = None
         for pdf in batches:
             if held is not None:
                 pdf = pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            least = least or K.least_agreeing(2 * len(pdf["low"].iloc[0]), percent)
             ids = pdf["block"].to_numpy()
             ends = np.flatnonzero(ids[1:] != ids[:-1]) + 1
             starts = np.concatenate(([0], ends))
-            out = [pairs(pdf.iloc[a:b], least) for a, b in zip(starts[:-1], ends, strict=True)]
+            out = [pairs(pdf.iloc[a:b]) for a, b in zip(starts[:-1], ends, strict=True)]
             held = pdf.iloc[starts[-1] :]
             if out:
                 yield pd.concat(out, ignore_index=True)
         if held is not None and len(held):
-            yield pairs(held, least)
+            yield pairs(held)
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, width: int, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs(a, b)``, those whose full sets reach the threshold."""
-    wanted = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct(), "set_key", "left_semi")
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("set_key", "text")
-    sets = staged(texts.mapInPandas(_sets(width), "key binary, shingles array<long>").dropDuplicates(["key"]), f"{name}-sets")
     a, b = (sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     checked = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
     return checked.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, list_aggregate(w[i : i + 3], 'string_agg', ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)
+), r AS (
+  SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen
+), c AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY node
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id,
+       coalesce(c.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose shingle sets have ``100 * |A & B| >= percent * |A | B|``; one row per input row.
 
@@ -118,17 +150,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col:
     equal copies. Rows of null id are compared like others, but give no component its name. An empty
     table gives no rows; other columns of ``docs`` are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     per_doc = staged(docs.mapInPandas(_sketched(width), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, low binary"), "near-docs")
     some = per_doc.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-classes")
-    reps = classes.select("set_key", "rep")
+    classes = staged(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-classes")
     members = classes.select("set_key", F.explode("bands").alias("band"))
     stars = staged(members.groupBy("band").agg(F.min("set_key").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"), "near-stars")
     members = staged(members.join(stars, "band").select("band", "set_key", "head", "m"), "near-members")
+
+    # Full sets, of the classes that share a bucket.
+    shared = staged(classes.select("set_key", "rep", "low").join(members.select("set_key").distinct(), "set_key", "left_semi"), "near-shared")
+    texts = docs.join(shared, docs["doc_id"] == shared["rep"]).select(F.col("set_key").alias("key"), "low", "text")
+    sets = texts.mapInPandas(_sets(width), "key binary, low binary, shingles array<long>, short binary").groupBy("key").agg(*[F.first(c).alias(c) for c in ("low", "shingles", "short")])
+    sets = staged(sets, "near-sets")
+
     pairs = staged(members.where("set_key <> head").select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct(), "near-first")
-    links = staged(_confirmed(pairs, docs, reps, percent, width, "near-first"), "near-links")
+    links = staged(_confirmed(pairs, sets, percent), "near-links")
     comps = components(links, "near-first-components")
 
     # What star links leave open: buckets with more than one component, in blocks.
@@ -147,16 +186,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col:
         "set_key",
         "comp",
     )
-    blocks = todo.join(classes.select("set_key", "n", "low"), "set_key")
-    blocks = blocks.select(F.concat_ws("/", "at.band", "at.lo", "at.hi").alias("block"), "side", F.col("set_key").alias("key"), "comp", "n", "low")
+    blocks = todo.join(sets.select(F.col("key").alias("set_key"), "low", "short"), "set_key")
+    blocks = blocks.select(F.concat_ws("/", "at.band", "at.lo", "at.hi").alias("block"), "side", F.col("set_key").alias("key"), "comp", "low", "short")
     blocks = blocks.repartition(F.col("block")).sortWithinPartitions("block")
     more = staged(blocks.mapInPandas(_compare(percent), "a binary, b binary").distinct(), "near-more")
-    more = staged(_confirmed(more, docs, reps, percent, width, "near-more"), "near-more-links")
+    more = staged(_confirmed(more, sets, percent), "near-more-links")
     comps = components(links.union(more), "near-components")
 
     named = per_doc.select("doc_id", "n_shingles", "set_key").join(comps, per_doc["set_key"] == comps["node"], "left")
     named = staged(named.select("doc_id", "n_shingles", F.coalesce("comp", "set_key").alias("comp")), "near-named")
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    least = staged(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "near-least")
     out = named.join(least, "comp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -44,7 +44,7 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def sketch(s: np.ndarray, t: int = 1024) -> np.ndarray:
+def sketch(s: np.ndarray, t: int = 256) -> np.ndarray:
     """Fast similarity sketch of a non-empty set.
 
     In round i < t every element falls into a bin by hash and leaves a value; a bin keeps the least
@@ -54,7 +54,7 @@ def sketch(s: np.ndarray, t: int = 1024) -> np.ndarray:
     out, empty = np.zeros(t, np.uint64), np.ones(t, bool)
     at, n, seeds = 0, len(s), np.arange(1, 2 * t + 1, dtype=np.uint64) * _STEP
     while at < t and empty.any():
-        r = int(min(t - at, max(1, 8000 // n)))
+        r = int(min(t - at, max(1, 3000 // n)))
         v = mix(s[None, :] + seeds[at : at + r, None])
         grid = np.full(r * t, FULL, np.uint64)
         where = (v >> _U(40)).astype(np.int64) % t + np.arange(r)[:, None] * t
@@ -92,6 +92,28 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (((x & 15) == 0).sum(-1) + ((x >> 4) == 0).sum(-1)).astype(np.int64)
 
 
+def short_hashes(s: np.ndarray) -> bytes:
+    """The sorted distinct upper halves of the hashes: intersections of these are never smaller than the full sets'."""
+    return np.unique((s >> _U(32)).astype(np.uint32)).tobytes()
+
+
+def shared_sizes(sets: list[np.ndarray], slab: int = 4096) -> np.ndarray:
+    """Intersection sizes of all pairs of sets, by products of 0/1 matrices over slabs of shared members."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    member, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # members of one set add nothing
+    row, place = row[times[place] > 1], number[place[times[place] > 1]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, slab):
+        a, b = np.searchsorted(place, (lo, lo + slab))
+        grid = np.zeros((len(sets), slab), np.float32)
+        grid[row[a:b], place[a:b] - lo] = 1
+        out += grid @ grid.T
+    return out
+
+
 def least_agreeing(t: int, percent: int, sigmas: float = 6.0) -> float:
     """A pair at the linking threshold agrees less often than this with probability below 1e-9."""
     p = percent / 100 + (1 - percent / 100) / 16
