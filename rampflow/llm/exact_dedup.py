@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import SPACE, staged
+from .common import SPACE, fresh, staged
 
 
 def normalised(text: Column) -> Column:
@@ -20,6 +21,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", " ")
 
 
+def _winners(rows: DataFrame, salts: int) -> DataFrame:
+    """(digest, norm, keep_id, group_size) of ``rows(doc_id, digest, norm)``, combined by task, salt and digest."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    # Partial aggregation is the local step; its shuffle brings a (salt, digest) together.
+    by_salt = rows.groupBy("salt", "digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    return by_salt.groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+
+
 def exact_duplicates(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size long, kept boolean, text_sha256.
 
@@ -28,26 +37,43 @@ def exact_duplicates(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", te
     group_size and are kept only if no row of the group has an id. An empty table gives no rows;
     other columns of ``docs`` are ignored, whatever their names.
     """
-    text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm"))
-    rows = rows.select("doc_id", "norm", F.sha2("norm", 256).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    # Partial aggregation is the local step; its shuffle brings a (salt, digest) together.
-    by_salt = rows.groupBy("salt", "digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    winners = by_salt.groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    winners = staged(winners.select("digest", "keep_id", "group_size"), "exact-winners")
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    rows = rows.select("doc_id", F.sha2("norm", 256).alias("digest"), "norm")
+    winners = staged(_winners(rows, salts).drop("norm"), "exact-winners")
     twice = winners.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
 
     out = rows.select("doc_id", "digest").join(winners, "digest", "left")
     if not twice.isEmpty():
         twice = staged(twice, "exact-twice")
         full = rows.join(twice, "digest", "left_semi")
-        groups = full.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        apart = full.select("doc_id", "digest", "norm").join(groups, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size")
-        single = rows.select("doc_id", "digest").join(twice, "digest", "left_anti").join(winners, "digest", "left")
-        out = single.select(*apart.columns).union(apart)
+        apart = full.join(_winners(full, salts), ["digest", "norm"]).select(*out.columns)
+        out = out.join(twice, "digest", "left_anti").select(*apart.columns).union(apart)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def drop_exact_duplicates(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one for each normalised text, with all their columns.
+
+    The smallest id of a text stays, and one row of it where rows are repeated; a text that has rows of null
+    id alone keeps one of them. Null and empty texts are one text. Winners find their row by (id, digest),
+    keys that no group of copies makes heavy.
+    """
+    norm = normalised(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(norm, 256).alias("digest"), norm.alias("norm"))
+    winners = _winners(rows, salts)
+    if (twice := staged(winners.withColumn("short", F.xxhash64("norm")).drop("norm"), "exact-winners")).groupBy("digest").count().where("count > 1").isEmpty():
+        key, winners = F.lit(0), twice.withColumn("_of", F.lit(0))
+    else:
+        key, winners = F.xxhash64(norm), twice.withColumn("_of", F.col("short"))
+    digest, of, nth = (fresh(docs, x) for x in ("_digest", "_of", "_nth"))
+    marked = docs.withColumns({digest: F.sha2(norm, 256), of: key})
+    d, o, k = (fresh(marked, x) for x in ("_w_digest", "_w_of", "_w_keep"))
+    winners = winners.select(F.col("digest").alias(d), F.col("keep_id").alias(k), F.col("_of").alias(o))
+    kept = marked.join(winners, (F.col(digest) == F.col(d)) & F.col(id_col).eqNullSafe(F.col(k)) & (F.col(of) == F.col(o)), "left_semi")
+    kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(digest, id_col, of).orderBy(F.lit(0))))
+    return kept.where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 #: DuckDB has no digest collision to settle either; the grouping by text itself is the plain definition.
 ORACLE = r"""
 WITH n AS (
