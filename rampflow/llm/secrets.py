@@ -19,26 +19,25 @@ from pyspark.sql.window import Window
 
 from .common import staged
 
-#: A run of key characters with at least one digit, starting where no such run goes on.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z+/_\-]*+[0-9][A-Za-z0-9+/_\-]*+={0,2}"
+#: A run of key characters with at least one digit, or a key id, starting where no such run goes on.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|[A-Za-z+/_\-]*+[0-9][A-Za-z0-9+/_\-]*+={0,2})"
 SHORTEST = 12
 #: Characters of the text on either side in which neighbouring words are looked for.
 NEAR = 48
 
 # Words that ordinary identifiers, paths and placeholders are made of.
 DICTIONARY = (
-    "access address admin agent alpha android apple array asset author auto background banner base beta block board body "
-    "book border bottom build button cache call change channel chapter check class client code color comment common config "
-    "connect content control copy count country create current custom data date debug default demo device dummy edit email "
-    "entry error event example export false feature field figure file filter final first folder font format frame function "
-    "game gallery global grid group handler header height home host icon image import index info input insert item java "
-    "label last layer layout left level library light line link list load local login main manager master media menu message "
-    "method mobile model module mouse move name network node number object offset open option order output package page panel "
-    "part path photo placeholder player point popup port post print product profile project public query read record release "
-    "remote report request reset result right root route sample scale schema screen script search section select sequence "
-    "server service session sheet simple site size slide source space start state static status step store stream string "
-    "style submit switch system table target task template test text theme thumb time title toggle total track tree true type "
-    "unit update upload user value version video view visible wait warning width window word world write xxxx your"
+    "access account address admin agent array asset author backup badge banner base block board body border button cache "
+    "call change channel chapter check class client code color comment common config connect content control copy count "
+    "country create custom data date debug default demo device dummy edit email entry error event example export false "
+    "feature field figure file filter final first folder font format frame function gallery global grid group handler header "
+    "height home host icon image import index info input insert item label last layer layout left level library light line "
+    "link list load local login main manager master media menu message method model module move name network node number "
+    "object offset open option order output page panel part path photo placeholder player point post print product profile "
+    "project public query read record release remote report request reset result right root route sample schema screen script "
+    "search section select sequence server service session sheet simple site size slide source start state static status step "
+    "store stream string style switch system table target task template test text theme time title token track tree true type "
+    "update upload user value version video view window word your"
 ).split()
 
 # Leading characters of well-known key formats, and names that go before a secret or before a harmless value.
@@ -100,7 +99,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, start, value, left, right, path) for every candidate; start counts characters from 0."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(path_col).cast("string").alias("path"))
-    rows = rows.where(F.col("text").rlike(r"[A-Za-z0-9+/_\-]{%d}" % SHORTEST) & F.col("text").rlike("[0-9]"))
+    rows = rows.where(F.col("text").rlike(f"[A-Za-z0-9+/_\\-]{{{SHORTEST}}}"))
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
     rows = rows.where(F.exists("found", lambda v: F.length(v) >= SHORTEST))
     rows = rows.withColumn("between", F.split("text", CANDIDATE, -1)).withColumn("row", F.monotonically_increasing_id())
