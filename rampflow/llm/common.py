@@ -71,7 +71,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, name: str
     """
     spark, totals = df.sparkSession, totals or {}
     held = (
-        df.repartitionByRange(partitions(spark), *keys, *order)
+        staged(df, f"{name}-in")  # range partitioning reads its input twice, to sample and to deal
+        .repartitionByRange(partitions(spark), *keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,40 +24,70 @@ from .common import ranked, small_batches, staged
 
 SEQUENCE = 4096
 END_ID = 1
-#: Words that a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers (some 200 bytes each); beyond it the memory starts anew.
+CACHE_WORDS = 800_000
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
     The tokenizer never joins what white space parts, so words are encoded once and looked up after.
-    Words are lower-cased (A-Z, as the tokenizer does itself) only in texts that can't hold a special
-    token's string, since such strings are matched before lower-casing.
+    A word's closing marks are a piece of their own and are looked up alone; words of plain letters go
+    straight to the merge table, all others through the whole tokenizer. Words are lower-cased (A-Z, as
+    the tokenizer does itself) only in texts that can't hold a special token's string, since such strings
+    are matched before lower-casing.
     """
 
+    #: Closing marks that may be cut off; an apostrophe may begin a contraction and is none.
+    MARKS = b".,;:!?%&*$#|)"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
+        # Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        odd = [b for b in range(256) if b not in set(plain)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(odd)}
+
+    def _piece(self, w: bytes) -> bytes:
+        if (got := self.known.get(w)) is not None:
+            return got
+        s = w.decode()
+        low = s.lower()
+        # Letters up to U+017F are composed already, and lower-case one by one.
+        if low.isalpha() and s.isalpha() and (s.isascii() or max(s) <= "\u017f"):
+            ids = [t.id for t in self.merge(low.encode().decode("latin-1").translate(self.alphabet))]
+        else:
+            ids = self.tokenizer.encode(s, add_special_tokens=False).ids
+        got = self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def _word(self, w: bytes) -> bytes:
+        stem = w.rstrip(self.MARKS)
+        if stem and len(stem) < len(w):
+            last = stem[-4:].decode(errors="ignore")[-1:]
+            if last.isalpha() or (last.isascii() and last.isdigit()):
+                got = self.known[w] = self._piece(stem) + self._piece(w[len(stem) :])
+                return got
+        return self._piece(w)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = []
+        out, known = [], self.known
         for t in texts:
             b = (t or "").encode()
-            split.append((b if b"<|" in b else b.lower()).split())
-        need = set().union(*split)
-        if len(self.known) + len(need) > CACHE_WORDS:
-            self.known.clear()
-        need.difference_update(self.known)
-        words = list(need)
-        ids = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, ids, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            words = (b if b"<|" in b else b.lower()).split()
+            if missing := set(words).difference(known):
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                    missing = set(words)
+                for w in missing:
+                    self._word(w)
+            out.append(b"".join(map(known.__getitem__, words)))
+        return out
 
 
 def _pieces(path: str, size: int, end_id: int, ids: bool):
