@@ -38,9 +38,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+_KEPT: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/rampflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call gets; the application's paths go when its driver ends."""
+    home = f"{shared_dir(spark)}/rampflow/{spark.sparkContext.applicationId}"
+    if home not in _KEPT:
+        _KEPT.add(home)
+        atexit.register(_remove, spark, home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -96,6 +103,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, name: str
     return joined.select(*df.columns, out, *totals)
 
 
+def exact(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Whole numbers as text: pandas holds them with nulls as floats, which are exact to 2**53 only."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.col(c).cast("string") for c in columns if kinds[c] in ("bigint", "int", "smallint", "tinyint")})
+
+
+def restored(df: DataFrame, like: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns back in the types they have in ``like``."""
+    kinds = dict(like.dtypes)
+    return df.withColumns({c: F.col(c).cast(kinds[c]) for c in columns})
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}
