@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import exact, restored, small_batches
 
 #: Codes of the alphabet: 0 any run of non-letters, 1..61 letters, 62 other letters, 63 padding.
 LETTERS, OTHER, PAD, WIDTH = 61, 62, 63, 64
@@ -119,16 +119,18 @@ def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
         at += r * STRETCH
     columns = np.ascontiguousarray(flat.reshape(-1, STRETCH).T)
     state = np.repeat(model.roots[:, None], columns.shape[1], 1)
-    count = np.ones(state.shape, np.int32)
+    count = np.zeros(state.shape, np.int32)
     root = model.roots[:, None]
     for c in columns:
-        to = model.table[state + c]
-        stop = to < 0
+        # A phrase starts at a root, where nothing is matched yet, and where the match cannot go on.
+        start = state == root
+        state = model.table[state + c]
+        stop = state < 0
         if stop.any():
-            count += stop
             again = model.table[root + c]
-            to = np.where(stop, np.where(again < 0, root, again), to)
-        state = to
+            state = np.where(stop, np.where(again < 0, root, again), state)
+            start |= stop
+        count += start & (c != PAD)
     ends = np.cumsum(rows)
     total = np.concatenate((np.zeros((n, 1), np.int64), np.cumsum(count, 1)), 1)
     return (total[:, ends] - total[:, ends - rows]).T
@@ -207,7 +209,8 @@ def identify_languages(docs: DataFrame, letters: int = 16_384, texts: int = 64,
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = spark.sparkContext.broadcast(train(reference_texts(rows, letters, texts)))
     text = "_text" if text_col not in keep else text_col
-    ins = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), *keep, *([F.col(text_col).alias(text)] if text_col not in keep else []))
+    like = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), *keep, *([F.col(text_col).alias(text)] if text_col not in keep else []))
+    ins = exact(like, ["doc_id", *keep])
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ins.schema.fields if f.name != "_text")
     out = ins.mapInPandas(_scored(model, text), f"{types}, lang_pred string, score double")
-    return out.select("doc_id", "held_out", "lang_pred", "score", *keep)
+    return restored(out, like, ["doc_id", *keep]).select("doc_id", "held_out", "lang_pred", "score", *keep)
