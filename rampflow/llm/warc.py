@@ -118,15 +118,14 @@ def _write(folder: str):
         def flush(records: list[bytes]) -> None:
             # The attempt is part of the name: a task that runs again writes files of its own.
             name = f"pages-{task:06d}-{len(made):05d}.warc.zst"
-            with store.open_output_stream(f"{root}/{name}") as f:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(archive(records))
             made.append((f"{folder}/{name}", len(records)))
 
         held, size = [], 0
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                whole = lambda v: None if pd.isna(v) else int(v)
-                one = record(whole(r.page_id), r.url, r.payload, _base32(r.sha1), r.record_type, whole(r.first_id))
+                one = record(r.page_id and int(r.page_id), r.url, r.payload, _base32(r.sha1), r.record_type, r.first_id and int(r.first_id))
                 held.append(one)
                 size += len(one)
                 if size >= FILE_BYTES:
@@ -151,7 +150,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in pdf["path"]:
             store, at = fs.FileSystem.from_uri(path)
             out = []
-            with store.open_input_stream(at) as f:
+            with store.open_input_stream(at, compression=None) as f:
                 for head, block in read_archive(f):
                     digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["Payload-Bytes"])
                     if head["WARC-Type"] == "response":
@@ -159,8 +158,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                             raise ValueError(f"{path}: a payload differs from its digest")
                     out.append((number(head, "Page-Id"), size, digest, head["WARC-Type"], number(head, "Refers-To-Page-Id")))
-            frame = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-            yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+            names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+            columns = dict(zip(names, zip(*out, strict=True), strict=True)) if out else {n: [] for n in names}
+            yield pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n in ("page_id", "refers_to") else list(v) for n, v in columns.items()})
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -181,7 +181,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     first = staged(rows.where(F.col("bytes") >= least).groupBy(*keys).agg(F.min("page_id").alias("first_id")), "warc-first")
     rows = rows.join(first, keys, "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = rows.select("page_id", "url", "payload", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("first_id"))
+    text = lambda c: F.col(c).cast("string")  # noqa: E731  pandas would make floats of ids with nulls
+    rows = rows.select(text("page_id").alias("page_id"), "url", "payload", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, text("first_id")).alias("first_id"))
     return staged(rows.mapInPandas(_write(folder), "path string, records long"), "warc-files")
 
 
