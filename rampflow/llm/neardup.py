@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup_kernels as K
-from .common import small_batches, staged
+from .common import exact, restored, small_batches, staged
 from .components import components
 
 #: Classes in one side of a block; a block compares at most (2 * BLOCK) ** 2 / 2 pairs of sketches.
@@ -152,8 +152,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col:
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    per_doc = staged(docs.mapInPandas(_sketched(width), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, low binary"), "near-docs")
+    plain = exact(docs, ["doc_id"])
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    per_doc = plain.mapInPandas(_sketched(width), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, low binary")
+    per_doc = staged(restored(per_doc, docs, ["doc_id"]), "near-docs")
     some = per_doc.where("n_shingles > 0 and doc_id is not null")
     classes = staged(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-classes")
     members = classes.select("set_key", F.explode("bands").alias("band"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, small_batches, staged
+from .common import exact, ranked, restored, small_batches
 
 SEQUENCE = 4096
 END_ID = 1
@@ -164,8 +164,10 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = docs.mapInPandas(_pieces(tokenizer, size, end_id, keep_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    plain = exact(docs, ["doc_id"])
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    pieces = plain.mapInPandas(_pieces(tokenizer, size, end_id, keep_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    pieces = restored(pieces, docs, ["doc_id"])
     pieces = ranked(pieces if keep_ids else pieces.drop("ids"), ["length"], ["doc_id", "piece"], "_rank", "pack-pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     runs, _ = best_fit(counts, size)

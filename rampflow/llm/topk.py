@@ -98,7 +98,7 @@ def search(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int =
     least = rows.agg(F.min(F.array_min("x")), F.max(F.array_max("x")), F.max(F.size("x"))).first()
     if least[2] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    lo, hi, width = least[0] or 0, least[1] or 0, least[2]
+    lo, hi, width = least[0] or 0, least[1] or 0, max(1, least[2])  # vectors of no components score 0
     lo, hi = min(lo, 0), max(hi, 0)  # padding is within the cells
     step = -(-(hi - lo + 1) // CELLS)
 
