@@ -1,0 +1,387 @@
+"""Operators against plain definitions on small tables."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import corpus_pipeline
+from rampflow.llm import langid, mixing, neardup, packing, quality, secrets, sharding, topk, warc
+from rampflow.llm import neardup_kernels as K
+from rampflow.llm.common import ranked
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def shingle_set(text, width):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+def components_of(sets, percent):
+    up = {k: k for k in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        i = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
+def near_table(base_words, copies, edits, seed):
+    """Chains and stars of near copies around one text, and texts that share a passage only."""
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [r.choice(vocabulary) for _ in range(base_words)]
+    out = []
+    for i in range(copies):
+        t = list(base)
+        for _ in range(r.choice(edits)):
+            t[r.randrange(len(t))] = r.choice(vocabulary)
+        out.append((i, " ".join(t)))
+    passage = " ".join(r.choice(vocabulary) for _ in range(60))
+    for i in range(60):
+        out.append((1000 + i, passage + " " + " ".join(r.choice(vocabulary) for _ in range(60))))
+    return out
+
+
+@pytest.mark.parametrize(("words", "copies", "edits"), [(150, 120, (0, 1, 2, 3, 4, 5)), (80, 700, (2, 3, 4)), (12, 60, (0, 1))])
+def test_near_duplicates_of_a_large_group(spark, words, copies, edits):
+    table = near_table(words, copies, edits, 3)
+    want = components_of({i: shingle_set(t, 4) for i, t in table}, 80)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_duplicates_of_documents(docs, texts):
+    for width in (4, 5):
+        sets = {i: shingle_set(t, width) for i, t in texts.items()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, width=width).collect()}
+        assert got == {i: (len(sets[i]), c) for i, c in components_of(sets, 80).items()}
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=300))
+@settings(max_examples=30, deadline=None)
+def test_sketch_fills_and_depends_on_the_set(s):
+    a = np.array(sorted(s), np.uint64)
+    assert (K.sketch(a) == K.sketch(a[::-1].copy())).all() and len(K.sketch(a)) == 256
+
+
+def test_sketch_estimates_similarity():
+    rng = np.random.default_rng(1)
+    for n, shared in ((40, 32), (1000, 700)):
+        agree = []
+        for _ in range(30):
+            x = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+            agree.append((K.sketch(x[:n]) == K.sketch(x[n - shared : 2 * n - shared])).mean())
+        assert abs(np.mean(agree) - shared / (2 * n - shared)) < 0.03
+
+
+def test_shared_sizes():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint32)) for _ in range(9)]
+    got = K.shared_sizes(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
+
+
+def test_ranked_is_a_row_number(spark):
+    rows = [(i % 3 if i % 7 else None, i % 5, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, v int, id int")
+    got = {r["id"]: (r["place"], r["before"]) for r in ranked(df, ["k"], ["v", "id"], "place", "t", {"before": "v"}).collect()}
+    for k in (None, 0, 1, 2):
+        own = sorted((v, i) for kk, v, i in rows if kk == k)
+        total = 0
+        for place, (v, i) in enumerate(own):
+            assert got[i] == (place, total)
+            total += v
+
+
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=60), st.integers(2, 6))
+@settings(max_examples=40, deadline=None)
+def test_differencing_is_a_partition(sizes, k):
+    parts = np.zeros((len(sizes), k), np.int64)
+    parts[:, -1] = sorted(sizes, reverse=True)
+    slot = sharding.differencing(parts)[:, -1]
+    assert len(slot) == len(sizes) and slot.min() >= 0 and slot.max() < k
+    sums = np.bincount(slot, parts[:, -1], k)
+    assert sums.max() - sums.min() <= max(sizes)
+
+
+def test_differencing_known_case():
+    # 8 7 6 5 4 by two: 4; 6 | 5 differences leave a spread of 2.
+    parts = np.zeros((5, 2), np.int64)
+    parts[:, 1] = [8, 7, 6, 5, 4]
+    slot = sharding.differencing(parts)[:, 1]
+    sums = np.bincount(slot, parts[:, 1], 2)
+    assert sums.max() - sums.min() == 2
+
+
+def test_shards(docs, texts):
+    got = sharding.shard_documents(docs).collect()
+    size, group, slots = defaultdict(int), defaultdict(set), defaultdict(list)
+    for r in got:
+        t = texts[r["doc_id"]]
+        assert r["size"] == len(t.encode()) + 8 and r["text_crc32"] == zlib.crc32(t.encode()) and r["law"] == "bytes"
+        size[r["shard"]] += r["size"]
+        group[t].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == len(texts) and max(map(len, group.values())) == 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    heaviest = max(sum(r["size"] for r in got if texts[r["doc_id"]] == t) for t in group)
+    assert max(size.values()) - min(size.values()) <= heaviest
+
+
+def test_mix_targets_and_reruns(docs):
+    a, b = (sorted(map(tuple, mixing.mix_sources(d).collect())) for d in (docs, docs.repartition(7)))
+    assert a == b
+    own, taken = {}, defaultdict(int)
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    for doc, size, source_size, target, t, _ in a:
+        own[source[doc]] = (source_size, target)
+        taken[source[doc]] += t
+        assert t <= 3 * size
+    # Water-filling by its definition: cap and share anew until no source is above.
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted(own))}
+    total, free, want = sum(s for s, _ in own.values()), set(own), {}
+    while True:
+        left = total - sum(want.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * own[s][0]}
+        if not over:
+            want |= share
+            break
+        want |= {s: 3 * own[s][0] for s in over}
+        free -= over
+    assert {s: pytest.approx(want[s]) for s in own} == {s: t for s, (_, t) in own.items()}
+    assert sum(abs(taken[s] - want[s]) for s in own) < 0.05 * total
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+ODD = ["don't can't. it's, 'tis 'S ''s", "ÀÉÎ İstanbul ΣΑΣ. ﬁ ½ x²", "Ünïcode—dash… end…. a-., b-.,", "<|endoftext|> Foo <|ENDOFTEXT|>.", "१२३ हिन्दी. 漢字,漢字。", "é. क़x Å, ŉ ſ.", "\x1c\x1d a b c　d", "a|b|c || |. ***&&& 12,000.50%", "x̸. ≮ =", ""]
+
+
+def test_encoder_is_the_tokenizer(tokenizer, texts):
+    import public_tokenizers
+
+    encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for t in ODD + list(texts.values()):
+        assert encode([t])[0] == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:60]
+
+
+@given(st.text(max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_encoder_on_any_text(t):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if not hasattr(test_encoder_on_any_text, "pair"):
+        path = public_tokenizers.path("word_bpe_49k.json")
+        test_encoder_on_any_text.pair = packing.Encoder(path), Tokenizer.from_file(path)
+    encode, whole = test_encoder_on_any_text.pair
+    t = t.encode("utf-8", "ignore").decode()
+    assert encode([t])[0] == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_of_documents(docs, texts, tokenizer):
+    got = packing.pack_documents(docs, keep_ids=True).collect()
+    by, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, t in texts.items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        own = sorted(by[i], key=lambda r: r["piece"])
+        back = np.frombuffer(b"".join(r["ids"] for r in own), "<u4").tolist()
+        assert back == ids and [r["start"] for r in own] == [4096 * k for k in range(len(own))]
+        assert all(r["ids_crc32"] == zlib.crc32(r["ids"]) for r in own)
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), min_size=1, max_size=25))
+@settings(max_examples=60, deadline=None)
+def test_best_fit_equals_one_by_one(counts):
+    """The bulk plan opens as many sequences as best fit piece by piece in the same order."""
+    runs, opened = packing.best_fit(counts, 50)
+    gaps = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [g for g in gaps if g >= length]
+            if fits:
+                gaps.remove(min(fits))
+                gaps.append(min(fits) - length)
+            else:
+                gaps.append(50 - length)
+    assert opened == len(gaps)
+    placed = defaultdict(list)
+    for length, lo, hi, first, width, at in runs:
+        for i in range(hi - lo):
+            placed[first + i % width].append((at + length * (i // width), length))
+    assert sum(map(len, placed.values())) == sum(counts.values())
+    for s in placed.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 50
+
+
+def test_language_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    got = [r for r in langid.identify_languages(docs).collect() if r["held_out"]]
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in got]) > 0.98
+
+
+@given(st.text("abc", min_size=1, max_size=40), st.text("abcd", min_size=1, max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_cross_parse_is_greedy(reference, text):
+    model = langid.train({"x": reference})
+    count, i = 0, 0
+    while i < len(text):
+        n = 1
+        while i + n < len(text) and text[i : i + n + 1] in reference:
+            n += 1
+        count, i = count + 1, i + n
+    assert langid.phrases(model, [langid.encode(model.code, text)])[0, 0] == count
+
+
+def test_cross_parse_of_known_letters():
+    model = langid.train({"x": "abcabd"})
+    assert langid.phrases(model, [langid.encode(model.code, "abcabdabc")])[0, 0] == 2
+
+
+def test_quality_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = quality.score_quality(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels]
+    assert len(held) > 30 and np.mean([a == b for a, b in held]) > 0.9
+
+
+def test_quality_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.fit(x[:2000], y[:2000])
+    assert np.mean((quality.score(model, x[2000:]) > 0.5) == y[2000:]) > 0.95
+
+
+def test_secret_spans_and_forest(spark):
+    key = "AKIA" + "Q7ZT" * 4
+    rows = [
+        (1, f'the token = "4b579d3cee1dcaf48e80dfd04d785e892fc7d365" then {key}.', "a"),
+        (2, "commit 4b579d3cee1dcaf48e80dfd04d785e892fc7d365 and card 7844238401328224", "a"),
+        (3, "password=b7db7aa4a5fcc78305 of", "a"),
+        (4, "image_header_12345 and alpha_release_2021_notes", "docs/example.md"),
+        (5, "plain words without anything of interest", None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.scan_secrets(docs).collect()
+    text = {r[0]: r[1] for r in rows}
+    assert all(text[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"] for r in got)
+    assert {(r["doc_id"], r["value"]) for r in got if r["secret"]} == {(1, "4b579d3cee1dcaf48e80dfd04d785e892fc7d365"), (1, key), (3, "b7db7aa4a5fcc78305")}
+    # The candidates by a plain scan, and the expression against the trees walked in Python.
+    plain = [(i, m.start(), m[0]) for i, t, _ in rows for m in re.finditer(secrets.CANDIDATE, t) if len(m[0]) >= secrets.SHORTEST]
+    assert sorted((r["doc_id"], r["start"], r["value"]) for r in got) == sorted(plain)
+    forest = secrets.train(secrets.labelled_findings(spark))
+    from pyspark.sql import functions as F
+
+    c = secrets.candidates(docs).withColumn("x", secrets.figures(F.col("value"), F.col("left"), F.col("right"), F.col("path")))
+    for r in c.withColumn("s", forest.column(F.col("x"))).collect():
+        assert r["s"] == pytest.approx(forest.predict(r["x"]))
+
+
+def test_secret_forest_on_fresh_findings(spark):
+    forest = secrets.train(secrets.labelled_findings(spark))
+    from pyspark.sql import functions as F
+
+    fresh = secrets.labelled_findings(spark, each=20, seed=99)
+    rows = fresh.select(secrets.figures(F.col("value"), F.col("left"), F.col("right"), F.col("path")).alias("x"), "label").collect()
+    assert np.mean([(forest.predict(r["x"]) >= 0.5) == r["label"] for r in rows]) > 0.97
+
+
+def test_archives_round_trip(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    files = warc.write_archives(pages, folder=f"file://{tmp_path}/warc").collect()
+    html = {r["page_id"]: r["html"] or "" for r in pages.collect()}
+    seen = {}
+    for f in files:
+        with open(f["path"].removeprefix("file://"), "rb") as s:
+            assert s.read(4) == b"\x5d\x2a\x4d\x18"
+            s.seek(0)
+            for head, block in warc.read_archive(s):
+                seen[int(head["Page-Id"])] = head, block
+    assert set(seen) == set(html)
+    for i, (head, block) in seen.items():
+        source = int(head["Refers-To-Page-Id"]) if head["WARC-Type"] == "revisit" else i
+        assert html[source] == html[i]
+        if head["WARC-Type"] == "response":
+            assert block.partition(b"\r\n\r\n")[2].decode() == html[i]
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.2, (900, 24)).round(3)
+    x[300:500] = x[300]  # a vector of many copies
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(900)], "vec_id long, embedding array<double>").repartition(5)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(v, k=10).collect())
+    z = np.floor(1024 * x).astype(np.int64)
+    want = []
+    for q in range(0, 900, 100):
+        s = z @ z[q]
+        order = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:10]
+        want += [(q, r + 1, i, int(s[i])) for r, i in enumerate(order)]
+    assert got == want
+
+
+def test_pipeline(spark, docs, texts):
+    stages = dict(corpus_pipeline.STAGES)
+    a = stages["language"](spark, docs, SF)
+    assert {r["doc_id"] for r in a.collect()} == {i for i, t in texts.items() if any(c.isalpha() for c in t)}
+    b = stages["exact"](spark, a, SF)
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i]), i)
+    assert {r["doc_id"] for r in b.collect()} == set(first.values())
+    c = stages["near"](spark, b, SF)
+    comp = components_of({i: shingle_set(texts[i], 5) for i in first.values()}, 80)
+    assert {r["doc_id"] for r in c.collect()} == {i for i, k in comp.items() if i == k}
+    assert corpus_pipeline.run(spark, SF).count() > 0
