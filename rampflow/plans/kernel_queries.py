@@ -151,10 +151,10 @@ def circular_shift_p(spark, sf_dir):
 @query("simulated_gate")
 def simulated_gate(spark, sf_dir):
     """Share of replicates in which the stronger direction is the right one, per scenario and noise."""
-    jobs = spark.createDataFrame([(s, n) for s in ("uncoupled", "x_to_y", "y_to_x", "bidirectional", "common") for n in (0.1, 0.35)], "scenario string, noise double").crossJoin(spark.range(4).withColumnRenamed("id", "replicate"))
+    jobs = spark.createDataFrame([(s, i) for s in nonlinear.SCENARIOS for i in range(len(nonlinear.NOISES))], "scenario string, noise int").crossJoin(spark.range(4).withColumnRenamed("id", "replicate"))
 
     def kernel(key, _):
-        x, y = (nonlinear.standardise(v) for v in nonlinear.simulate(key[0], key[1], [20260806, len(key[0]), int(100 * key[1]), int(key[2])], 160))
+        x, y = nonlinear.simulate(key[0], int(key[1]), int(key[2]), n=160)
         return nonlinear.estimate("SSC", y, x)["strength"], nonlinear.estimate("SSC", x, y)["strength"]
 
     rows = per_group(jobs.withColumn("one", F.lit(1.0)), ["scenario", "noise", "replicate"], ["one"], ["one"], kernel, "forward double, reverse double")

@@ -15,7 +15,7 @@ FILE_NAME = r"S(\d{2})_(Pre|Stim|Post)\.csv$"
 def read_text_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Every cell as text, nothing taken for null; a byte-order mark in front of the first header goes."""
     df = spark.read.options(header=True, sep=sep, inferSchema=False, nullValue="\u0001", emptyValue="", quote='"', escape='"').csv(path)
-    return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+    return df.toDF(*[c.removeprefix("\ufeff") for c in df.columns]).na.fill("")  # an empty cell is empty, not missing
 
 
 def read_beat_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +70,7 @@ def file_hashes(spark: SparkSession, path: str, end_of_line: bool = False) -> Da
     files = spark.read.format("binaryFile").load(path)
     content = F.col("content")
     if end_of_line:
-        text = F.decode(content, F.lit("ISO-8859-1"))
+        text = F.decode(content, "ISO-8859-1")
         content = F.encode(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "ISO-8859-1")
     return files.select("path", "modificationTime", F.col("length").alias("size_bytes"), F.sha2(content, 256).alias("sha256"))
 
