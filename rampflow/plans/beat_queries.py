@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import average_rank, slope, stable_seed, text_array, with_bh
 from ..functions.dist import t_ppf
-from ..operators import audit, context, contrasts, pairing, prevalence, ramps, segment
+from ..operators import audit, context, contrasts, joins, pairing, prevalence, ramps, segment, summaries, waves
 from ..schema import BRANCHES, CANONICAL, CELL, FACTORIAL, OFAT, PHASES
 from ..sources.beats import event_beats
 from . import sql
@@ -547,3 +547,71 @@ def audit_checks(spark, sf_dir):
 )
 def average_ranks(spark, sf_dir):
     return beats(spark, sf_dir, "event_type").select(*CELL, "beat_idx", average_rank("sbp", *CELL).alias("place"))
+
+
+# Agreement, missingness, ordinals ---------------------------------------------------------------
+
+
+@query(
+    "sign_agreement",
+    f"WITH {sql.pairs(OFAT)}, {_SUMMARY}, k AS (SELECT contrast, sign(mean_difference) AS s FROM s WHERE setting = 'canonical') SELECT s.setting, s.contrast, round(s.mean_difference, 6) AS mean_difference, coalesce(sign(s.mean_difference) <> 0 AND sign(s.mean_difference) = k.s, false) AS agrees FROM s LEFT JOIN k USING (contrast)",
+)
+def sign_agreement(spark, sf_dir):
+    s = contrasts.summary(_pairs(spark, sf_dir, OFAT), "setting", "contrast").select("setting", "contrast", "mean_difference")
+    return rnd(summaries.sign_agreement(s, "setting", "canonical", "mean_difference", "contrast").select("setting", "contrast", "mean_difference", "agrees"), "mean_difference")
+
+
+@query("missingness_grid", f"WITH {sql.gains(BRANCHES)} SELECT setting, phase, direction, count(*) AS n, count(gain) AS present, count(*) - count(gain) AS missing, round((count(*) - count(gain)) / count(*), 6) AS missing_share FROM gain GROUP BY ALL")
+def missingness_grid(spark, sf_dir):
+    return rnd(summaries.missingness(ramps.gains(beats(spark, sf_dir), BRANCHES), "gain", "setting", "phase", "direction"), "missing_share")
+
+
+@query("setting_ordinals", f"WITH {sql.settings(FACTORIAL)} SELECT setting, direction, dense_rank() OVER (ORDER BY setting, direction) - 1 AS place, 20260805 + 10 * (dense_rank() OVER (ORDER BY setting, direction) - 1) AS seed FROM cfg, (VALUES ('all'), ('down'), ('up')) AS d(direction)")
+def setting_ordinals(spark, sf_dir):
+    from ..schema import settings_frame
+
+    names = settings_frame(spark, FACTORIAL).select("setting", F.explode(F.array(*[F.lit(d) for d in ("all", "down", "up")])).alias("direction"))
+    return joins.ordinals(names, ["setting", "direction"], 20260805)
+
+
+@query("mixed_model_eligibility", f"WITH {sql.sequences((CANONICAL,))}, p AS (SELECT subject, phase, count(*) AS n FROM seqq WHERE qualifies GROUP BY ALL) SELECT subject, count(*) AS phases, min(n) AS least, count(*) = 3 AND min(n) >= 2 AS eligible FROM p GROUP BY subject")
+def mixed_model_eligibility(spark, sf_dir):
+    return summaries.mixed_model_eligible(ramps.sequences(beats(spark, sf_dir), (CANONICAL,)))
+
+
+@query("direction_projection", f"WITH {sql.beats('event_type')} SELECT subject, phase, beat_idx, 'sbp_to_rri' AS direction, rri AS target, sbp AS source FROM beats UNION ALL SELECT subject, phase, beat_idx, 'rri_to_sbp', sbp, rri FROM beats")
+def direction_projection(spark, sf_dir):
+    return joins.directions(beats(spark, sf_dir, "event_type"), "sbp", "rri").select(*CELL, "beat_idx", "direction", "target", "source")
+
+
+@query("validated_context_join", f"WITH {sql.gains((CANONICAL,))}, {_MEANS} SELECT g.subject, g.phase, g.direction, g.n_ramps, m.n AS n_beats FROM gain g LEFT JOIN m USING (subject, phase)")
+def validated_context_join(spark, sf_dir):
+    g = ramps.gains(beats(spark, sf_dir), (CANONICAL,)).select(*CELL, "direction", "n_ramps")
+    return joins.many_to_one(g, _cell_means(spark, sf_dir).select(*CELL, F.col("n").alias("n_beats")), CELL)
+
+
+@query("rows_hash", f"WITH {sql.beats('event_type')}, c AS (SELECT subject, phase, count(*) AS n FROM beats GROUP BY ALL) SELECT sha256(string_agg(subject || ',' || phase || ',' || n, chr(10) ORDER BY subject, phase)) AS sha256, count(*) AS n FROM c")
+def rows_hash(spark, sf_dir):
+    c = beats(spark, sf_dir, "event_type").groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
+    return joins.content_hash(c, ["subject", "phase", "n"], ["subject", "phase"])
+
+
+@query("phase_contrast_table")
+def phase_contrast_table(spark, sf_dir):
+    g = ramps.gains(beats(spark, sf_dir), OFAT).where("direction = 'all'").select("setting", *CELL, "gain")
+    out = summaries.phase_contrasts(g, "gain", "setting", times=500)
+    return rnd(out, *[c for c, k in out.dtypes if k == "double"])
+
+
+@query("uniform_table")
+def uniform_table(spark, sf_dir):
+    b = beats(spark, sf_dir, "event_type").where("phase = 'Pre'")
+    first = Window.partitionBy("subject")
+    b = b.withColumn("t", (F.col("t") - F.min("t").over(first)) / 960.0)
+    return rnd(waves.uniform_table(b, ["sbp", "rri"]), "sbp_uniform", "rri_uniform", digits=4)
+
+
+@query("wave_intervals")
+def wave_intervals(spark, sf_dir):
+    b = beats(spark, sf_dir, "event_type").where("phase = 'Pre'").withColumn("i", F.col("beat_idx").cast("long"))
+    return rnd(waves.intervals(waves.find_peaks(b, "sbp", 100.0, 3)), "rr", "t_middle", "hr")
