@@ -55,12 +55,19 @@ def signed_rank_p(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def intervals(pairs: DataFrame, *keys: str, times: int = 10_000, seed: int = 20260805, statistics: tuple[str, ...] = tuple(STATISTICS)) -> DataFrame:
-    """BCa intervals; statistic i of a group is drawn with seed + i."""
+    """BCa intervals, subjects in order of their names.
 
-    def kernel(key, d):
-        return [(s, *bca(d, s, times, seed + i)) for i, s in enumerate(statistics)]
+    Statistic i of a group is drawn with the group's seed + i. That is ``seed`` + 10 times the place of
+    its contrast, or what a column ``seed`` of ``pairs`` says (one value a group, as of joins.ordinals).
+    """
+    place = {f"{a}-{b}": i for i, (a, b) in enumerate(CONTRASTS)}
+
+    def kernel(key, d, *own):
+        base = int(own[0][0]) if own else seed + 10 * next((place[k] for k in key if k in place), 0)
+        return [(s, *bca(d, s, times, base + i)) for i, s in enumerate(statistics)]
 
-    return per_group(pairs, list(keys), ["subject"], ["d"], kernel, "statistic string, estimate double, low double, high double")
+    values = ["d", "seed"] if "seed" in pairs.columns else ["d"]
+    return per_group(pairs, list(keys), ["subject"], values, kernel, "statistic string, estimate double, low double, high double")
 
 
 def leave_one_out(pairs: DataFrame, *keys: str) -> DataFrame:
