@@ -64,3 +64,10 @@ def matching(df: DataFrame, column: str, pattern: str, name: str) -> DataFrame:
 def forbidden(lines: DataFrame, patterns: dict[str, str], column: str = "value") -> DataFrame:
     """Hits of each forbidden pattern in a text table, as checks."""
     return all_checks(*[check(lines, n, F.count_if(F.col(column).rlike(p)) == 0, F.count_if(F.col(column).rlike(p))) for n, p in patterns.items()])
+
+
+def anchors(values: DataFrame, known: DataFrame) -> DataFrame:
+    """A check for each known result (name, value, tolerance) against ``values(name, value)``; a missing one fails."""
+    j = known.select("name", F.col("value").alias("_want"), "tolerance").join(values.select("name", F.col("value").alias("_got")), "name", "left")
+    far = F.abs(F.col("_got") - F.col("_want"))
+    return j.select("name", F.coalesce(far <= F.col("tolerance"), F.lit(False)).alias("passed"), F.coalesce(far.cast("string"), F.lit("NA")).alias("detail"))

@@ -20,8 +20,8 @@ def wide(df: DataFrame, value: str, *keys: str, phases: tuple[str, ...] = PHASES
 
 
 def differences(df: DataFrame, value: str, *keys: str, contrasts=CONTRASTS) -> DataFrame:
-    """Complete pairs of each contrast in long form: contrast, first, second, d."""
-    w = wide(df, value, *keys)
+    """Complete pairs of each contrast in long form: contrast, first, second, d. Contrasts may name phases or sub-phases."""
+    w = wide(df, value, *keys, phases=tuple(dict.fromkeys(p for c in contrasts for p in c)))
     parts = [F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.col(a).alias("first"), F.col(b).alias("second")) for a, b in contrasts]
     long = w.select(*keys, "subject", F.inline(F.array(*parts)))
     return long.where("first is not null and second is not null").withColumn("d", F.col("first") - F.col("second"))

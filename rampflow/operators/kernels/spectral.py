@@ -76,6 +76,14 @@ def cross_spectrum(x: np.ndarray, y: np.ndarray, size: int = 512, overlap: int =
     return np.fft.rfftfreq(size, 1 / rate), p
 
 
+def check_options(size: int, overlap: int, rate: float, band: tuple[float, float]) -> None:
+    """Raise for options that no spectrum can have: overlap of a whole segment, a band beyond half the rate."""
+    if rate <= 0 or size <= 1 or not 0 <= overlap < size:
+        raise ValueError("rate, segment and overlap do not fit")
+    if not 0 <= band[0] <= band[1] <= rate / 2:
+        raise ValueError("the band is not within half the rate")
+
+
 def coherence(x: np.ndarray, y: np.ndarray, size: int = 512, overlap: int = 256, rate: float = 4.0, band: tuple[float, float] = (0.08, 0.12)) -> float:
     """Mean magnitude-squared coherence in a band, ends included, of detrended series; NaN if they are too short."""
     return _coherence(detrend(x), detrend(y), size, overlap, rate, band)
@@ -114,6 +122,7 @@ def coherence_test(x: np.ndarray, y: np.ndarray, surrogates: int = 1_000, seed=0
     """(observed, 95 % point of the nulls, Monte-Carlo p, exceedances); the first series is drawn first."""
     o = {"size": 512, "overlap": 256, "rate": 4.0, "band": (0.08, 0.12)} | options
     x, y = detrend(x), detrend(y)
+    check_options(**o)
     seen = _coherence(x, y, **o)
     if not math.isfinite(seen):
         return math.nan, math.nan, math.nan, 0
@@ -124,6 +133,27 @@ def coherence_test(x: np.ndarray, y: np.ndarray, surrogates: int = 1_000, seed=0
     return seen, float(np.quantile(null, 0.95)), (1 + hits) / (1 + len(null)), hits
 
 
+def coloured_pair(coupled: bool, rng: np.random.Generator, n: int = 1_200, rate: float = 4.0, band: tuple[float, float] = (0.08, 0.12)) -> tuple[np.ndarray, np.ndarray]:
+    """Two AR(1) noises (0.85 and 0.80), with a common stochastic component in the band if ``coupled``.
+
+    The component is white noise shaped by the squared gain of a fourth-order Butterworth band-pass, that
+    is, as filtered forwards and backwards; its SD is 2.5, and the second series gets 0.9 of it.
+    """
+    out = []
+    for a in (0.85, 0.80):
+        x = rng.normal(size=n)
+        for i in range(1, n):
+            x[i] += a * x[i - 1]
+        out.append(x)
+    if coupled:
+        f = np.fft.rfftfreq(n, 1 / rate)
+        shift = np.divide(f * f - band[0] * band[1], f * (band[1] - band[0]), out=np.full(len(f), np.inf), where=f > 0)
+        shared = np.fft.irfft(np.fft.rfft(rng.normal(size=n)) / (1 + shift**8), n=n)
+        shared = 2.5 * (shared - shared.mean()) / shared.std()
+        out = [out[0] + shared, out[1] + 0.9 * shared]
+    return out[0], out[1]
+
+
 def chebyshev_band(x: np.ndarray, lo: float, hi: float, order: int = 3, ripple: float = 10.0) -> np.ndarray:
     """Causal Chebyshev-I band-pass; lo and hi are fractions of the Nyquist frequency. Demeans first."""
     eps = math.sqrt(10 ** (ripple / 10) - 1)

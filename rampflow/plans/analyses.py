@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..functions.columns import with_bh
 from ..operators import audit, context, contrasts, prevalence, ramps, segment, summaries
 from ..operators.grouped import per_group
 from ..operators.kernels import nonlinear, spectral, var
-from ..schema import BRANCHES, CANONICAL, CELL, FACTORIAL, OFAT
+from ..schema import BRANCHES, CANONICAL, CELL, FACTORIAL, NEIGHBOURS, OFAT, SUBPHASE_CONTRASTS, windows_frame
 
 Tables = dict[str, DataFrame]
 
@@ -77,6 +78,15 @@ def branch_analysis(beats: DataFrame, anchors: DataFrame | None = None) -> Table
     }
 
 
+def subphase_analysis(beats: DataFrame) -> Tables:
+    """Gains of the branches in six half-open sub-phases of timed beats, and their contrasts."""
+    timed = segment.in_windows(beats.where("t is not null").drop("phase"), windows_frame(beats.sparkSession, "subphase"))
+    timed = timed.select("subject", F.col("window").alias("phase"), "beat_idx", "t", "rri", "sbp")
+    g = ramps.gains(timed, BRANCHES)
+    pairs = contrasts.differences(g.where("direction = 'all'").select("setting", *CELL, "gain"), "gain", "setting", contrasts=SUBPHASE_CONTRASTS)
+    return {"gains": g, "context": context.context(timed), "contrasts": contrasts.summary(pairs, "setting", "contrast")}
+
+
 def autoregression_analysis(beats: DataFrame) -> Tables:
     """Causality of every cell both ways, BH within phase and direction, and prevalence over phases."""
     fit = per_group(
@@ -112,6 +122,70 @@ def coherence_analysis(beats: DataFrame, surrogates: int = 1_000, seed: int = 20
     }
 
 
+def coherence_sensitivity(beats: DataFrame, rate: float = 4.0, band: tuple[float, float] = (0.08, 0.12)) -> Tables:
+    """Coherence with segments of 512 and of 256 samples side by side, and what would speak against the longer ones."""
+    def kernel(key, t, s, r):
+        a, b = spectral.resample(t, [s, r], rate)[1]
+        return [(n, spectral.segment_count(len(a), n, n // 2), spectral.coherence(a, b, n, n // 2, rate, band)) for n in (512, 256)]
+
+    spectral.check_options(512, 256, rate, band)
+    cells = per_group(beats.where("t is not null"), CELL, ["t"], ["t", "sbp", "rri"], kernel, "size int, segments int, coherence double")
+    pairs = contrasts.differences(cells, "coherence", "size")
+    table = contrasts.summary(pairs, "size", "contrast").join(contrasts.signed_rank_p(pairs, "size", "contrast").select("size", "contrast", "p"), ["size", "contrast"])
+    main = table.where("contrast = 'Stim-Pre'")
+    one = lambda c, n: F.max(F.when(F.col("size") == n, F.col(c)))
+    checks = audit.all_checks(
+        audit.check(main, "no_effect_with_short_segments", one("p", 256) >= 0.05, one("p", 256)),
+        audit.check(main, "small_effect_with_short_segments", F.abs(one("dz", 256)) < 0.5, one("dz", 256)),
+        audit.check(main, "same_direction", F.signum(one("mean_difference", 512)) == F.signum(one("mean_difference", 256)), one("mean_difference", 256)),
+        audit.check(main, "same_interpretation", (one("p", 512) >= 0.05) == (one("p", 256) >= 0.05), one("p", 512)),
+        audit.check(cells, "all_cells_estimated", F.count("coherence") == F.count(F.lit(1)), F.count("coherence")),
+    )
+    return {"cells": cells, "contrasts": table, "checks": checks}
+
+
+def coherence_validation(spark, simulations: int = 200, surrogates: int = 199, seed: int = 20260806) -> DataFrame:
+    """False-positive rate without coupling (its exact interval has to hold 0.05) and detection with it (at least 0.80).
+
+    Every simulation has a stream of its own, from the seed, scenario and number.
+    """
+    jobs = spark.range(simulations).crossJoin(spark.createDataFrame([("uncoupled", 0), ("shared", 1)], "scenario string, coupled int"))
+
+    def kernel(key, i, coupled):
+        a, b = spectral.coloured_pair(bool(coupled[0]), np.random.default_rng([seed, int(coupled[0]), int(i[0])]))
+        return (spectral.coherence_test(a, b, surrogates, [seed, 7, int(coupled[0]), int(i[0])])[2] < 0.05,)
+
+    rows = per_group(jobs.repartition(spark.sparkContext.defaultParallelism, "id"), ["scenario", "id"], ["id"], ["id", "coupled"], kernel, "detected boolean")
+    rate = prevalence.prevalence(rows, "detected", "scenario")
+    passed = F.when(F.col("scenario") == "uncoupled", (F.col("low") <= 0.05) & (F.col("high") >= 0.05)).otherwise(F.col("share") >= 0.80)
+    return rate.withColumn("passed", passed)
+
+
+def coupling_sensitivity(beats: DataFrame, settings=NEIGHBOURS, methods: tuple[str, ...] = ("CE", "LP")) -> Tables:
+    """Neighbour estimators under one-factor settings, their Stim-Pre effects, and whether they agree in sign with the primary one.
+
+    The same-beat convention holds for pressure to interval alone.
+    """
+    def run(s):
+        def kernel(key, p, r):
+            p, r, out = nonlinear.standardise(p), nonlinear.standardise(r), []
+            for method in methods:
+                for name, target, source in (("sbp_to_rri", r, p), ("rri_to_sbp", p, r)):
+                    e = nonlinear.estimate(method, target, source, k=s.k, depth=s.depth, source_now=s.source_now and name == "sbp_to_rri")
+                    out.append((s.name, method, name, e["strength"], e["reason"]))
+            return out
+
+        rows = segment.centred(beats, s.length) if s.length else beats
+        return per_group(rows, CELL, ["beat_idx"], ["sbp", "rri"], kernel, "setting string, method string, direction string, strength double, reason string")
+
+    cells = run(settings[0])
+    for s in settings[1:]:
+        cells = cells.unionByName(run(s))
+    pairs = contrasts.differences(cells.drop("reason"), "strength", "setting", "method", "direction", contrasts=(("Stim", "Pre"),))
+    effects = contrasts.summary(pairs, "setting", "method", "direction")
+    return {"cells": cells, "effects": summaries.sign_agreement(effects, "setting", settings[0].name, "mean_difference", "method", "direction")}
+
+
 def coupling_analysis(beats: DataFrame, methods: tuple[str, ...] = ("CE", "LP", "SSC"), length: int = 256, shifts: int = 0, times: int = 10_000, seed: int = 20260807) -> Tables:
     """Neighbour estimators on centred segments both ways, their contrasts, and surrogate tests if ``shifts`` are asked for.
 

@@ -268,3 +268,20 @@ def resampled_association(spark, sf_dir):
         ]
 
     return rnd(_cohort(spark, sf_dir, ["sbp", "rri"], kernel, "method string, estimate double, low double, high double, p double"), "estimate", "low", "high", "p")
+
+
+@query("coherence_validation")
+def coherence_validation(spark, sf_dir):
+    """Does not read the tables: simulated pairs of known coupling."""
+    from .analyses import coherence_validation as validate
+
+    return rnd(validate(spark, 20, 39), "share", "low", "high")
+
+
+@query("coupling_sensitivity")
+def coupling_sensitivity(spark, sf_dir):
+    from ..schema import NEIGHBOURS
+    from .analyses import coupling_sensitivity as sweep
+
+    some = tuple(s for s in NEIGHBOURS if s.length)
+    return rnd(sweep(_long(spark, sf_dir), some, ("LP",))["effects"], "mean_first", "mean_second", "mean_difference", "median_difference", "dz")

@@ -83,6 +83,39 @@ BRANCHES = (
     replace(_TEXT, name="A1_OVERLAP", lag=1, overlap=True),
 )
 
+SUBPHASE_CONTRASTS = (
+    ("Pre_late", "Pre_early"),
+    ("Stim_early", "Pre_late"),
+    ("Stim_late", "Stim_early"),
+    ("Stim_late", "Pre_late"),
+    ("Post_early", "Stim_late"),
+    ("Post_late", "Post_early"),
+)
+
+
+@dataclass(frozen=True)
+class Neighbours:
+    """One way to run the neighbour estimators; no length is the whole phase."""
+
+    name: str
+    length: int | None = 256
+    k: int = 30
+    depth: int = 8
+    source_now: bool = False
+
+
+# The primary setting and seven that differ from it in one factor.
+NEIGHBOURS = (
+    Neighbours("primary"),
+    Neighbours("k20", k=20),
+    Neighbours("k40", k=40),
+    Neighbours("lag4", depth=4),
+    Neighbours("lag12", depth=12),
+    Neighbours("same_beat_convention", source_now=True),
+    Neighbours("centered192", length=192),
+    Neighbours("full_phase", length=None),
+)
+
 SETTING_SCHEMA = (
     "setting string, ordinal int, lag int, least_step double, strict_step boolean, least_beats int, overlap boolean, least_r double, "
     "least_r2 double, positive_slope boolean, rri_direction boolean, least_rri_step double, use_median boolean"

@@ -75,6 +75,38 @@ def test_coherence_and_coupling(cohort):
     assert out["missing"].agg(F.sum("missing")).first()[0] == 0
 
 
+def test_coherence_validation(spark):
+    got = {r["scenario"]: r for r in analyses.coherence_validation(spark, 24, 39).collect()}
+    assert got["uncoupled"]["passed"] and got["shared"]["share"] >= 0.7
+    with pytest.raises(ValueError, match="half the rate"):
+        analyses.coherence_sensitivity(spark.createDataFrame([], BEATS), 4.0, (1.0, 3.0))
+
+
+def test_sensitivities(cohort):
+    some = cohort.where("subject in ('S00', 'S01', 'S02')")
+    out = analyses.coherence_sensitivity(some)
+    assert out["cells"].count() == 18 and out["checks"].count() == 5
+    from rampflow.schema import NEIGHBOURS
+
+    chosen = tuple(s for s in NEIGHBOURS if s.name in ("primary", "lag4", "same_beat_convention"))
+    effects = analyses.coupling_sensitivity(some, chosen, ("LP",))["effects"].collect()
+    assert len(effects) == 6 and all(r["agrees"] for r in effects if r["setting"] == "primary" and r["mean_difference"])
+
+
+def test_subphases(cohort):
+    out = analyses.subphase_analysis(cohort.where("subject = 'S00' and phase = 'Pre'"))
+    assert {r["phase"] for r in out["gains"].select("phase").distinct().collect()} <= {"Pre_early", "Pre_late"}
+    assert out["contrasts"].count() == 5
+
+
+def test_anchors(spark):
+    from rampflow.operators import audit
+
+    known = spark.createDataFrame([("a", 1.0, 0.1), ("b", 1.0, 0.1), ("c", 1.0, 0.1)], "name string, value double, tolerance double")
+    values = spark.createDataFrame([("a", 1.05), ("b", 1.5)], "name string, value double")
+    assert {r["name"]: r["passed"] for r in audit.anchors(values, known).collect()} == {"a": True, "b": False, "c": False}
+
+
 def test_joins(spark):
     a = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "k string, v int")
     b = spark.createDataFrame([("x", 10), ("y", 20)], "k string, w int")
