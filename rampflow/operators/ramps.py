@@ -46,72 +46,80 @@ def ramps(beats: DataFrame, rules: DataFrame, cell: list[str] = CELL) -> DataFra
     return s.groupBy(*cell, *SCAN, "direction", "_island").agg(held.alias("beats")).drop("_island")
 
 
-def candidates(found: DataFrame, settings: DataFrame, cell: list[str] = CELL) -> DataFrame:
-    """Ramps of each setting; with ``overlap`` all contiguous parts of at least ``least_beats`` beats."""
-    rows = found.join(F.broadcast(settings), SCAN).where(F.size("beats") >= F.col("least_beats"))
-    n, least = F.size("beats"), F.col("least_beats")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n - least + 1), lambda s: F.transform(F.sequence(s + least - 1, n), lambda e: F.slice("beats", s, e - s + 1))))
-    rows = rows.withColumn("maximal_start", F.col("beats")[0]["i"]).withColumn("beats", F.explode(F.when(F.col("overlap"), parts).otherwise(F.array("beats"))))
-    rows = rows.withColumns({"start_idx": F.col("beats")[0]["i"], "end_idx": F.element_at("beats", -1)["i"]})
-    number = F.row_number().over(Window.partitionBy(*cell, "setting", "direction").orderBy("start_idx", "end_idx"))
-    return rows.withColumn("ramp_index", number)
-
-
-def sequences(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
-    """Every candidate of every setting with its regression, gates and verdict."""
-    frame = settings_frame(beats.sparkSession, settings)
-    rules = frame.select(*SCAN).distinct()
-    rows = candidates(ramps(beats, rules, cell), frame, cell)
+def parts(found: DataFrame, settings: DataFrame) -> DataFrame:
+    """What the settings look at, once for all that share a step rule: ramps, and where ``overlap`` is asked for
+    all contiguous parts of at least as many beats as any such setting wants."""
+    scans = settings.groupBy(*SCAN, "overlap").agg(F.min("least_beats").alias("_least"))
+    rows = found.join(F.broadcast(scans), SCAN).where(F.size("beats") >= F.col("_least"))
+    n, least = F.size("beats"), F.col("_least")
+    cut = F.flatten(F.transform(F.sequence(F.lit(1), n - least + 1), lambda s: F.transform(F.sequence(s + least - 1, n), lambda e: F.slice("beats", s, e - s + 1))))
+    rows = rows.withColumn("maximal_start", F.col("beats")[0]["i"]).withColumn("beats", F.explode(F.when(F.col("overlap"), cut).otherwise(F.array("beats"))))
+    return rows.drop("_least").withColumns({"start_idx": F.col("beats")[0]["i"], "end_idx": F.element_at("beats", -1)["i"]})
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """Regression and steps of each part; its beats go. Sums are of values less their mean, over a short array."""
     total = lambda f: F.aggregate("beats", F.lit(0.0), lambda a, b: a + f(b))
     mean = lambda c: total(lambda b: b[c]) / F.size("beats")
-    rows = rows.withColumn("_m", F.struct(mean("sbp").alias("x"), mean("rri").alias("y")))  # two passes over a short array, means first
-    rows = rows.withColumns(
-        {
-            "_xx": total(lambda b: (b["sbp"] - F.col("_m.x")) * (b["sbp"] - F.col("_m.x"))),
-            "_yy": total(lambda b: (b["rri"] - F.col("_m.y")) * (b["rri"] - F.col("_m.y"))),
-            "_xy": total(lambda b: (b["sbp"] - F.col("_m.x")) * (b["rri"] - F.col("_m.y"))),
-        }
-    )
+    rows = rows.withColumn("_m", F.struct(mean("sbp").alias("x"), mean("rri").alias("y")))
+    dx, dy = lambda b: b["sbp"] - F.col("_m.x"), lambda b: b["rri"] - F.col("_m.y")
+    rows = rows.withColumns({"_xx": total(lambda b: dx(b) * dx(b)), "_yy": total(lambda b: dy(b) * dy(b)), "_xy": total(lambda b: dx(b) * dy(b))})
     sign = F.when(F.col("direction") == "up", 1.0).otherwise(-1.0)
     moves = F.transform(F.sequence(F.lit(1), F.size("beats") - 1), lambda i: sign * (F.col("beats")[i]["rri"] - F.col("beats")[i - 1]["rri"]))
-    rows = rows.withColumn("_moves", moves)
     fine = F.forall("beats", lambda b: finite(b["sbp"]) & finite(b["rri"]))
+    rows = rows.withColumns({"_fine": fine, "_moves": moves})
     first, last = F.col("beats")[0], F.element_at("beats", -1)
+    return rows.withColumns(
+        {
+            "n_beats": F.size("beats"),
+            "sbp_start": first["sbp"],
+            "sbp_end": last["sbp"],
+            "rri_start": first["rri"],
+            "rri_end": last["rri"],
+            "r": F.when(F.col("_fine"), ratio(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy"))),
+            "slope": F.when(F.col("_fine"), ratio(F.col("_xy"), F.col("_xx"))),
+            # The smallest interval step in the ramp's direction; all gates on steps are about it.
+            "least_move": F.when(F.forall("_moves", finite), F.array_min("_moves")),
+        }
+    ).drop("beats", "_m", "_xx", "_yy", "_xy", "_moves", "_fine")
+
+
+def sequences(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
+    """Every candidate of every setting with its regression, gates and verdict."""
+    frame = settings_frame(beats.sparkSession, settings)
+    found = measured(parts(ramps(beats, frame.select(*SCAN).distinct(), cell), frame))
+    rows = found.join(F.broadcast(frame), [*SCAN, "overlap"]).where(F.col("n_beats") >= F.col("least_beats"))
+    number = F.row_number().over(Window.partitionBy(*cell, "setting", "direction").orderBy("start_idx", "end_idx"))
+    over = lambda x: F.coalesce(F.col("least_move") > x, F.lit(False))
     rows = rows.select(
         *cell,
         "setting",
         "ordinal",
         "direction",
-        "ramp_index",
-        "maximal_start",
-        "start_idx",
-        "end_idx",
-        F.size("beats").alias("n_beats"),
-        first["sbp"].alias("sbp_start"),
-        last["sbp"].alias("sbp_end"),
-        first["rri"].alias("rri_start"),
-        last["rri"].alias("rri_end"),
-        F.when(fine, ratio(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy"))).alias("r"),
-        F.when(fine, ratio(F.col("_xy"), F.col("_xx"))).alias("slope"),
-        F.forall("_moves", lambda m: finite(m) & (m > 0)).alias("rri_monotone"),
-        F.forall("_moves", lambda m: finite(m) & (m >= 1.0)).alias("rri_concordant_1ms"),
-        F.forall("_moves", lambda m: finite(m) & (m > F.coalesce(F.col("least_rri_step"), F.lit(0.0)))).alias("rri_gate"),
+        number.alias("ramp_index"),
+        *[F.col(c) for c in ("maximal_start", "start_idx", "end_idx", "n_beats", "sbp_start", "sbp_end", "rri_start", "rri_end", "r", "slope")],
+        over(F.lit(0.0)).alias("rri_monotone"),
+        F.coalesce(F.col("least_move") >= 1.0, F.lit(False)).alias("rri_concordant_1ms"),
+        over(F.coalesce("least_rri_step", F.lit(0.0))).alias("rri_gate"),
+        # One candidate of each maximal ramp: the ramp itself, or its first part.
+        ((F.col("start_idx") == F.col("maximal_start")) & (~F.col("overlap") | (F.col("n_beats") == F.col("least_beats")))).alias("is_first"),
         *[F.col(c) for c in ("lag", "least_r", "least_r2", "positive_slope", "rri_direction", "use_median")],
     )
     passes = (
         F.col("slope").isNotNull()
         & (~F.col("positive_slope") | (F.col("slope") > 0))
         & (F.col("least_r").isNull() | F.coalesce(F.col("r") >= F.col("least_r"), F.lit(False)))
-        & F.when(F.col("least_r2").isNull(), F.col("r").isNotNull() | F.col("least_r").isNull()).otherwise(F.coalesce(F.col("r") * F.col("r") > F.col("least_r2"), F.lit(False)))
+        & (F.col("least_r2").isNull() | F.coalesce(F.col("r") * F.col("r") > F.col("least_r2"), F.lit(False)))
         & (~F.col("rri_direction") | F.col("rri_gate"))
     )
     return rows.withColumn("qualifies", F.coalesce(passes, F.lit(False)))
 
 
-def rollup(found: DataFrame, grid: DataFrame, cell: list[str] = CELL) -> DataFrame:
+def rollup(found: DataFrame, grid: DataFrame, medians: bool = True, cell: list[str] = CELL) -> DataFrame:
     """Counts, BEI and gain per (cell, setting) and direction up, down, all; cells without ramps are in the ``grid``.
 
-    ``all`` pools the slopes of both directions. reason tells why a gain is null.
+    ``all`` pools the slopes of both directions. reason tells why a gain is null. Medians, which hold
+    their values, are computed only if some setting wants them.
     """
     both = found.withColumn("direction", F.explode(F.array("direction", F.lit("all"))))
     q = F.col("qualifies")
@@ -119,10 +127,10 @@ def rollup(found: DataFrame, grid: DataFrame, cell: list[str] = CELL) -> DataFra
     made = both.groupBy(*cell, "setting", "direction").agg(
         F.count(F.lit(1)).alias("n_ramps"),
         F.count_if(q).alias("n_sequences"),
-        F.count_distinct(F.concat_ws("/", F.col("found_direction"), F.col("maximal_start"))).alias("n_maximal"),
+        F.count_if("is_first").alias("n_maximal"),
         F.count_if(F.col("rri_gate")).alias("n_rri_gate"),
         F.avg(kept).alias("_mean"),
-        F.median(kept).alias("_median"),
+        (F.median(F.when(F.col("use_median"), kept)) if medians else F.max(F.lit(None).cast("double"))).alias("_median"),
         F.avg(F.when(q, F.col("n_beats"))).alias("mean_beats"),
         F.avg(F.when(q, F.col("r"))).alias("mean_r"),
         F.avg(F.when(q, F.col("r") * F.col("r"))).alias("mean_r2"),
@@ -162,5 +170,4 @@ def gains(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CEL
     frame = settings_frame(beats.sparkSession, settings).select("setting", "rri_direction", "use_median")
     directions = F.explode(F.array(*[F.lit(d) for d in ("up", "down", "all")])).alias("direction")
     grid = beats.select(*cell).distinct().crossJoin(F.broadcast(frame)).select("*", directions)
-    found = sequences(beats, settings, cell).withColumn("found_direction", F.col("direction"))
-    return rollup(found, grid, cell)
+    return rollup(sequences(beats, settings, cell), grid, any(s.median for s in settings), cell)

@@ -455,7 +455,7 @@ def sequence_text(spark, sf_dir):
     from ..schema import settings_frame
 
     frame = settings_frame(spark, (CANONICAL,))
-    found = ramps.candidates(ramps.ramps(beats(spark, sf_dir, "event_type"), frame.select(*ramps.SCAN)), frame)
+    found = ramps.parts(ramps.ramps(beats(spark, sf_dir, "event_type"), frame.select(*ramps.SCAN)), frame)
     return found.select("subject", "phase", "direction", "start_idx", F.array_join(F.transform("beats", lambda b: F.format_string("%.2f", b["sbp"])), "|").alias("sbp_values"))
 
 
