@@ -21,5 +21,8 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from rampflow.session import ship
+
+    ship(s)
     yield s
     s.stop()
