@@ -1,12 +1,13 @@
 """Exact top-k search by vector-approximation files.
 
-Integer vectors are quantised into equal cells, one byte a component. The scan reads the cells alone
-and bounds every inner product from below and above; only vectors whose upper bound reaches the k-th
-lower bound stay. Exact vectors are then read in the order of their bounds, in two waves: the first k,
-whose k-th score is a floor, and what can still reach that floor. After that the result is certain.
+Integer vectors are quantised into equal cells, one byte a component. A scan of the cells alone bounds
+every inner product from below and above; the k-th best lower bound of a query is its floor. A second
+scan names the vectors whose upper bound reaches some query's floor, and only these are read exactly.
+Each task reads them in the order of their bounds until its k-th result is certain and hands on k
+results a query, however many vectors lie close together; the best k of all tasks are the answer.
 
 Equal vectors have equal scores and ties go to the smaller id, so k + 1 ids of each distinct vector
-are enough for any query; that keeps a vector with a third of all rows from filling the candidates.
+are enough for any query; that keeps a vector with a third of all rows out of the way.
 """
 
 from __future__ import annotations
@@ -44,37 +45,77 @@ def _cells(lo: int, step: int, width: int):
     return run
 
 
-def _scan(shared, lo: int, step: int, width: int, k: int):
-    """For each query, the rows of this task whose upper bound reaches the task's k-th lower bound."""
+def _uppers(shared, at: np.ndarray, vec: np.ndarray, s: int) -> np.ndarray:
+    """Upper bounds [row, query] for the stripe of queries from s on; a query's own rows have none."""
+    ids, q, above = shared.value[:3]
+    out = at @ q[s : s + STRIPE].T + above[s : s + STRIPE]
+    out[vec[:, None] == ids[None, s : s + STRIPE]] = -np.inf
+    return out
+
+
+def _approximate(cells: pd.Series, lo: int, step: int, width: int) -> np.ndarray:
+    """Lower corners of the cells."""
+    return np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), width).astype(float) * step + lo
+
+
+def _lower_bounds(shared, lo: int, step: int, width: int, k: int):
+    """For each query the k best lower bounds of this task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, _, above, below = shared.value
+        best = np.full((k, len(ids)), -np.inf)
+        for pdf in batches:
+            at, vec = _approximate(pdf["cells"], lo, step, width), pdf["vec_id"].to_numpy(np.int64)
+            for s in range(0, len(ids), STRIPE):
+                both = np.concatenate((best[:, s : s + STRIPE], _uppers(shared, at, vec, s) - (above - below)[s : s + STRIPE]))
+                best[:, s : s + STRIPE] = np.partition(both, len(both) - k, axis=0)[-k:]
+        j, i = np.nonzero(np.isfinite(best.T))
+        yield pd.DataFrame({"query_id": ids[j], "lower": best[i, j].astype(np.int64)})
+
+    return run
+
+
+def _reaching(shared, lo: int, step: int, width: int):
+    """Rows whose upper bound reaches the floor of some query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        above = (step - 1) * np.clip(q, 0, None).sum(1)
-        below = (step - 1) * np.clip(q, None, 0).sum(1)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * len(ids)
+        ids, floor = shared.value[0], shared.value[4]
         for pdf in batches:
-            at = np.frombuffer(b"".join(pdf["cells"]), np.uint8).reshape(len(pdf), width).astype(float) * step + lo
-            vec, row = pdf["vec_id"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64)
+            at, vec = _approximate(pdf["cells"], lo, step, width), pdf["vec_id"].to_numpy(np.int64)
+            hit = np.zeros(len(pdf), bool)
             for s in range(0, len(ids), STRIPE):
-                score = at @ q[s : s + STRIPE].T
-                score[vec[:, None] == ids[None, s : s + STRIPE]] = -np.inf
-                for j in range(score.shape[1]):
-                    v, r, x = held[s + j]
-                    c = score[:, j]
-                    gap = above[s + j] - below[s + j]
-                    if len(x) >= k:
-                        c_at = np.flatnonzero(c + gap >= np.partition(x, -k)[-k])
-                    else:
-                        c_at = np.flatnonzero(c > -np.inf)
-                    if len(c_at):
-                        v, r, x = np.concatenate((v, vec[c_at])), np.concatenate((r, row[c_at])), np.concatenate((x, c[c_at]))
-                        if len(x) > k:
-                            stay = x + gap >= np.partition(x, -k)[-k]
-                            v, r, x = v[stay], r[stay], x[stay]
-                        held[s + j] = v, r, x
-        for j, (v, r, x) in enumerate(held):
-            if len(x):
-                yield pd.DataFrame({"query_id": ids[j], "vec_id": v, "row": r, "lower": (x + below[j]).astype(np.int64), "upper": (x + above[j]).astype(np.int64)})
+                hit |= (_uppers(shared, at, vec, s) >= floor[s : s + STRIPE]).any(1)
+            yield pdf.loc[hit, ["row"]]
+
+    return run
+
+
+def _exact(shared, lo: int, step: int, width: int, k: int, chunk: int = 256):
+    """The k best of this task for each query, exactly: vectors in the order of their bounds, as far as they can matter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q, floor = shared.value[0], shared.value[1], shared.value[4]
+        best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+        for pdf in batches:
+            x, vec = _matrix(pdf["x"], width), pdf["vec_id"].to_numpy(np.int64)
+            at = (x - lo) // step * step + lo
+            for s in range(0, len(ids), STRIPE):
+                upper = _uppers(shared, at, vec, s)
+                for j in range(upper.shape[1]):
+                    score, name = best[s + j]
+                    least = max(floor[s + j], score[-1] if len(score) == k else -np.inf)
+                    near = np.flatnonzero((upper[:, j] >= least) & (upper[:, j] > -np.inf))
+                    near = near[np.argsort(-upper[near, j], kind="stable")]
+                    for c in range(0, len(near), chunk):
+                        if len(score) == k and upper[near[c], j] < score[-1]:
+                            break
+                        now = near[c : c + chunk]
+                        score, name = np.concatenate((score, x[now] @ q[s + j])), np.concatenate((name, vec[now]))
+                        first = np.lexsort((name, -score))[:k]
+                        score, name = score[first], name[first]
+                    best[s + j] = score, name
+        out = [(np.full(len(n), i), n, v) for i, (v, n) in zip(ids, best, strict=True)]
+        yield pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out]).astype(np.int64)})
 
     return run
 
@@ -117,31 +158,22 @@ def search(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int =
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
         if not some:
             continue
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in some]), _matrix(pd.Series([r["q"] for r in some]), width)))
-        here = cells.mapInPandas(_scan(shared, lo, step, width, k), "query_id long, vec_id long, row long, lower long, upper long")
-        here = staged(here, "topk-bounds")
+        ids, q = np.array([r["query_id"] for r in some]), _matrix(pd.Series([r["q"] for r in some]), width)
+        above, below = (step - 1) * np.clip(q, 0, None).sum(1), (step - 1) * np.clip(q, None, 0).sum(1)
+        shared = spark.sparkContext.broadcast((ids, q, above, below))
+        bounds = cells.mapInPandas(_lower_bounds(shared, lo, step, width, k), "query_id long, lower long")
+        placed = bounds.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))).where(F.col("_n") == k)
+        floors = {r["query_id"]: r["lower"] for r in placed.select("query_id", "lower").collect()}  # one number a query
+        floor = np.array([float(floors.get(i, -np.inf)) for i in ids.tolist()])
+        shared = spark.sparkContext.broadcast((ids, q, above, below, floor))
+        named = cells.mapInPandas(_reaching(shared, lo, step, width), "row long")
+        read = rows.join(named, "row", "left_semi").select("vec_id", "x")
+        here = staged(read.mapInPandas(_exact(shared, lo, step, width, k), "query_id long, vec_id long, score long"), "topk-found")
         found = here if found is None else found.union(here)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-    by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"), "row")
-    floor = found.withColumn("_n", F.row_number().over(by_lower)).where(F.col("_n") <= k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("lower"))
-    floor = floor.select("query_id", F.when(F.col("n") >= k, F.col("lower")).alias("floor"))
-    found = found.join(floor, "query_id").where("floor is null or upper >= floor").drop("floor")
-    by_upper = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id", "row")
-    found = staged(found.withColumn("wave", F.row_number().over(by_upper) > k), "topk-candidates")
-
-    def exact(candidates: DataFrame) -> DataFrame:
-        both = candidates.select("query_id", "vec_id", "row").join(rows.select("row", "x"), "row").join(asked, "query_id")
-        products = F.zip_with("x", "q", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0)))
-        return both.select("query_id", "vec_id", F.aggregate(products, F.lit(0).cast("long"), lambda s, v: s + v).alias("score"))
-
-    first = staged(exact(found.where("not wave")), "topk-first")
-    floor = first.groupBy("query_id").agg(F.min("score").alias("floor"))
-    rest = found.where("wave").join(floor, "query_id").where("upper >= floor")
-    scored = first.union(exact(rest))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = scored.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
+    out = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
 
 
