@@ -230,7 +230,7 @@ def paired_contrasts(spark, sf_dir):
 
 @query(
     "specification_curve",
-    f"WITH {sql.pairs(FACTORIAL, 'event_type')}, {_SUMMARY}, k AS (SELECT setting, n, round(mean_difference, 6) AS mean_difference FROM s WHERE contrast = 'Stim-Pre') SELECT setting, n, mean_difference, row_number() OVER (ORDER BY mean_difference NULLS LAST, setting) AS place FROM k",
+    f"WITH {sql.pairs(FACTORIAL, 'event_type')}, {_SUMMARY}, k AS (SELECT setting, n, round(mean_difference, 6) AS mean_difference FROM s WHERE contrast = 'Stim-Pre') SELECT setting, n, mean_difference, (row_number() OVER (ORDER BY mean_difference NULLS LAST, setting))::INTEGER AS place FROM k",
 )
 def specification_curve(spark, sf_dir):
     s = contrasts.summary(_pairs(spark, sf_dir, FACTORIAL, "event_type"), "setting", "contrast").where("contrast = 'Stim-Pre'")
@@ -449,7 +449,7 @@ def setting_id_codec(spark, sf_dir):
 
 @query(
     "sequence_text",
-    f"WITH {sql.sequences((CANONICAL,), 'event_type')} SELECT c.subject, c.phase, c.direction, c.s AS start_idx, string_agg(printf('%.2f', p.sbp), '|' ORDER BY p.i) AS sbp_values FROM cand c JOIN pts p USING (subject, phase, lag, least_step, strict_step, direction, island) GROUP BY ALL",
+    f"WITH {sql.sequences((CANONICAL,), 'event_type')} SELECT c.subject, c.phase, c.direction, c.s::INTEGER AS start_idx, string_agg(printf('%.2f', p.sbp), '|' ORDER BY p.i) AS sbp_values FROM cand c JOIN pts p USING (subject, phase, lag, least_step, strict_step, direction, island) GROUP BY ALL",
 )
 def sequence_text(spark, sf_dir):
     from ..schema import settings_frame
@@ -566,7 +566,7 @@ def missingness_grid(spark, sf_dir):
     return rnd(summaries.missingness(ramps.gains(beats(spark, sf_dir), BRANCHES), "gain", "setting", "phase", "direction"), "missing_share")
 
 
-@query("setting_ordinals", f"WITH {sql.settings(FACTORIAL)} SELECT setting, direction, dense_rank() OVER (ORDER BY setting, direction) - 1 AS place, 20260805 + 10 * (dense_rank() OVER (ORDER BY setting, direction) - 1) AS seed FROM cfg, (VALUES ('all'), ('down'), ('up')) AS d(direction)")
+@query("setting_ordinals", f"WITH {sql.settings(FACTORIAL)} SELECT setting, direction, (dense_rank() OVER (ORDER BY setting, direction) - 1)::INTEGER AS place, 20260805 + 10 * (dense_rank() OVER (ORDER BY setting, direction) - 1) AS seed FROM cfg, (VALUES ('all'), ('down'), ('up')) AS d(direction)")
 def setting_ordinals(spark, sf_dir):
     from ..schema import settings_frame
 

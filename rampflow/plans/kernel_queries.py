@@ -171,7 +171,7 @@ _EMBED = "e AS (SELECT subject, phase, beat_idx, sbp AS y, lag(sbp, 1) OVER w AS
 
 @query(
     "knn_chebyshev_k",
-    f"WITH {sql.beats()}, {_EMBED}, p AS (SELECT a.subject, a.phase, a.beat_idx, b.beat_idx AS other, greatest(abs(a.x1 - b.x1), abs(a.x2 - b.x2)) AS distance FROM e a JOIN e b ON a.subject = b.subject AND a.phase = b.phase AND abs(a.beat_idx - b.beat_idx) > 2 WHERE a.x2 IS NOT NULL AND b.x2 IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY subject, phase, beat_idx ORDER BY distance, other) AS place FROM p) SELECT subject, phase, beat_idx, other, {R('distance', 9)}, place FROM k WHERE place <= 3",
+    f"WITH {sql.beats()}, {_EMBED}, p AS (SELECT a.subject, a.phase, a.beat_idx, b.beat_idx AS other, greatest(abs(a.x1 - b.x1), abs(a.x2 - b.x2)) AS distance FROM e a JOIN e b ON a.subject = b.subject AND a.phase = b.phase AND abs(a.beat_idx - b.beat_idx) > 2 WHERE a.x2 IS NOT NULL AND b.x2 IS NOT NULL), k AS (SELECT *, (row_number() OVER (PARTITION BY subject, phase, beat_idx ORDER BY distance, other))::INTEGER AS place FROM p) SELECT subject, phase, beat_idx, other, {R('distance', 9)}, place FROM k WHERE place <= 3",
 )
 def knn_chebyshev_k(spark, sf_dir):
     e = segment.lagged(beats(spark, sf_dir), "sbp", 2).select(*CELL, "beat_idx", "lag1", "lag2")

@@ -70,7 +70,7 @@ def sequences(chosen: tuple[Setting, ...], key: str = "user_id") -> str:
     JOIN (SELECT DISTINCT i FROM pts) b ON b.i BETWEEN a.i + c.least_beats - 1 AND r.e
     WHERE c.overlap) x
 ), seq AS (
-  SELECT c.setting, c.subject, c.phase, c.direction, c.maximal_start, c.s AS start_idx, c.e AS end_idx, count(*) AS n_beats,
+  SELECT c.setting, c.subject, c.phase, c.direction, c.maximal_start, c.s::INTEGER AS start_idx, c.e::INTEGER AS end_idx, count(*)::INTEGER AS n_beats,
          first(p.sbp ORDER BY p.i) AS sbp_start, last(p.sbp ORDER BY p.i) AS sbp_end, first(p.rri ORDER BY p.i) AS rri_start, last(p.rri ORDER BY p.i) AS rri_end,
          covar_pop(p.rri, p.sbp) / nullif(stddev_pop(p.rri) * stddev_pop(p.sbp), 0) AS r, covar_pop(p.rri, p.sbp) / nullif(var_pop(p.sbp), 0) AS slope,
          bool_and(CASE WHEN p.i = c.s THEN NULL ELSE CASE WHEN c.direction = 'up' THEN p.step ELSE -p.step END > 0 END) AS rri_monotone,
@@ -82,7 +82,7 @@ def sequences(chosen: tuple[Setting, ...], key: str = "user_id") -> str:
 ), seqq AS (
   SELECT *, coalesce(slope IS NOT NULL AND (NOT positive_slope OR slope > 0) AND (least_r IS NULL OR r >= least_r)
          AND (least_r2 IS NULL OR r * r > least_r2) AND (NOT rri_direction OR rri_gate) AND (r IS NOT NULL OR least_r IS NULL), false) AS qualifies,
-         row_number() OVER (PARTITION BY setting, subject, phase, direction ORDER BY start_idx, end_idx) AS ramp_index
+         (row_number() OVER (PARTITION BY setting, subject, phase, direction ORDER BY start_idx, end_idx))::INTEGER AS ramp_index
   FROM seq
 )"""
 
