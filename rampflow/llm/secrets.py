@@ -95,6 +95,31 @@ def figures(value: Column, left: Column, right: Column, path: Column) -> Column:
     )
 
 
+def neighbours(left: Column, right: Column) -> tuple[Column, Column]:
+    """The NEAR characters on either side of a value, for labelled findings and for documents."""
+    return F.right(F.coalesce(left, F.lit("")), F.lit(NEAR)), F.substring(F.coalesce(right, F.lit("")), 1, NEAR)
+
+
+def _spans(between: Column, found: Column, wanted) -> Column:
+    """Per match: value, gap to the match before, and the text around a match that is ``wanted``, whatever it is made of.
+
+    The text is between[0] found[0] between[1] ... between[n]. A match has a character at least, so 2 * NEAR
+    of these pieces hold NEAR characters; of a long piece only its ends can be near a match.
+    """
+    cut = lambda p: F.when(F.length(p) > 2 * NEAR, F.concat(F.substring(p, 1, NEAR), F.right(p, F.lit(NEAR)))).otherwise(p)
+    pieces = F.flatten(F.transform(F.arrays_zip(between.alias("b"), found.alias("f")), lambda z: F.array(cut(z["b"]), cut(F.coalesce(z["f"], F.lit(""))))))
+    own = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("f"))
+
+    def span(z, i, all_pieces):
+        at, some = 2 * i + 2, lambda start, n: F.array_join(F.slice(all_pieces, start, n), "")
+        first = F.greatest(at - 2 * NEAR, F.lit(1))
+        left, right = neighbours(some(first, at - first), some(at + 1, F.lit(2 * NEAR)))
+        return F.struct(z["f"].alias("value"), F.length(z["b"]).alias("gap"), F.when(wanted(z["f"]), left).alias("left"), F.when(wanted(z["f"]), right).alias("right"))
+
+    # One transform over one array: the pieces are made once a text, not once a match.
+    return F.flatten(F.transform(F.array(pieces), lambda p: F.transform(own, lambda z, i: span(z, i, p))))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(doc_id, start, value, left, right, path) for every candidate; start counts characters from 0."""
     text = F.col(text_col)
@@ -103,11 +128,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
     rows = rows.where(F.exists("found", lambda v: F.length(v) >= SHORTEST))
     rows = rows.withColumn("between", F.split("text", CANDIDATE, -1)).withColumn("row", F.monotonically_increasing_id())
-    # The text is between[0] found[0] between[1] found[1] ... between[n].
-    after = F.transform(F.slice("between", F.lit(2), F.size("found")), lambda b: F.substring(b, 1, NEAR))
-    before = F.transform(F.slice("between", F.lit(1), F.size("found")), lambda b: F.struct(F.length(b).alias("n"), F.right(b, F.lit(NEAR)).alias("left")))
-    rows = rows.select("doc_id", "path", "row", F.posexplode(F.arrays_zip("found", before.alias("before"), after.alias("after"))).alias("i", "one"))
-    rows = rows.select("doc_id", "path", "row", "i", F.col("one.found").alias("value"), F.col("one.before.n").alias("gap"), F.col("one.before.left").alias("left"), F.col("one.after").alias("right"))
+    spans = _spans(F.col("between"), F.col("found"), lambda v: F.length(v) >= SHORTEST)
+    rows = rows.select("doc_id", "path", "row", F.posexplode(spans).alias("i", "one")).select("doc_id", "path", "row", "i", "one.*")
     upto = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum(F.col("gap") + F.length("value")).over(upto) - F.length("value")
     return rows.withColumn("start", start).where(F.length("value") >= SHORTEST).select("doc_id", "start", "value", "left", "right", "path")
@@ -122,6 +144,8 @@ def labelled_findings(spark: SparkSession, each: int = 150, seed: int = 7) -> Da
     word = lambda: r.choice(DICTIONARY)
     prose = lambda: draw(string.ascii_lowercase, r.randint(2, 9)) + r.choice((" ", " ", ", "))
     name = lambda: r.choice(("password", "token", "secret", "api_key", "apikey", "client_secret", "auth_token", "access_key", "passwd"))
+    other = lambda: r.choice((draw(string.digits, r.randint(1, 6)), word() + draw(string.digits, 2), draw(hexa, 16)))
+    around = lambda: "".join(prose() if r.random() < 0.85 else other() + " " for _ in range(r.randint(1, 12)))
     paths = ("src3", "src/app/main.py", "deploy/prod.env", "notes.txt", "")
     odd = ("tests/test_login.py", "docs/example.md", "samples/demo.cfg", "fixtures/mock.json")
     make = {
@@ -155,8 +179,10 @@ def labelled_findings(spark: SparkSession, each: int = 150, seed: int = 7) -> Da
         for kind in kinds:
             for _ in range(each):
                 value, left, right = kind()
+                left = around() + left
+                right += around() if right else r.choice(("", " " + around()))
                 path = r.choice(paths) if label or r.random() < 0.8 else r.choice(odd)
-                rows.append({"value": value, "left": prose() + left, "right": right, "path": path, "label": label})
+                rows.append({"value": value, "left": left, "right": right, "path": path, "label": label})
     kind = "array<struct<value string, left string, right string, path string, label int>>"
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
@@ -221,7 +247,8 @@ def train(findings: DataFrame, most: int = 50_000, **options) -> Forest:
     findings = findings.where("label in (0, 1) and value is not null")
     every = max(1, -(-findings.count() // most))
     findings = findings.where(F.pmod(F.xxhash64("value", "left", "right", "path"), F.lit(every)) == 0)
-    rows = findings.select(figures(F.col("value"), F.col("left"), F.col("right"), F.col("path")).alias("x"), F.col("label")).collect()
+    left, right = neighbours(F.col("left"), F.col("right"))
+    rows = findings.select(figures(F.col("value"), left, right, F.col("path")).alias("x"), F.col("label")).collect()
     rows = sorted((r["x"], r["label"]) for r in rows)
     return Forest(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float), **options)
 
