@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. Native: expressions only.
 
-Candidates are runs of key-like characters with a digit. Their figures (length, character transitions,
+Candidates are runs of key-like characters with a digit, and whatever follows a secret-like name and
+an assignment, of any length and any characters. Their figures (length, character transitions,
 dictionary coverage, path, neighbouring words) are column expressions, the same ones for labelled
 findings and for documents. A forest is grown on the driver from the figures of the labelled
 findings, a bounded table, and becomes a CASE expression per tree.
@@ -42,10 +43,25 @@ DICTIONARY = (
 
 # Leading characters of well-known key formats, and names that go before a secret or before a harmless value.
 KNOWN = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk-|sk_live_|AIza|eyJ|SG|npm_|hf_)"
-NAMES_SECRET = r"(?i)(passw|passphrase|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth|bearer|credential|private)"
+NAMES = r"passw|passphrase|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth|bearer|credential|private"
+NAMES_SECRET = rf"(?i)({NAMES})"
 NAMES_HARMLESS = r"(?i)(sha-?\d|md5|hash|digest|checksum|commit|revision|uuid|guid|\bid\b|isbn|issn|doi|phone|card|order|invoice|version|build|example|sample|dummy|placeholder|tracking|serial)"
 PATH_HARMLESS = r"(?i)(test|example|sample|fixture|mock|demo|doc)"
 
+# A secret-like name with what may go on or close it and its assignment; the place after an assignment; another "name =".
+_NAMED = rf"(?i:{NAMES.replace('auth', 'auth(?!or(?!i))')})[A-Za-z0-9_.\-]{{0,32}}[\"'`\]\\]{{0,3}}[ \t]{{0,16}}[=:]"
+_ASSIGNED = r"(?<=[=:>\s\"'`])(?:(?<=[=:>])|(?<=[=:>\s][\"'`])|(?<=[=:>\s]\\[\"'`])|(?<=[=:>][ \t]{1,16}))"
+_NEXT = r"[&;,|]+[\"']?[A-Za-z_][A-Za-z0-9_.\-]{0,40}[\"']?[=:]"
+#: What follows a secret-like name and = or :, of any length: in quotes up to the closing one or white space; else up to white
+#: space or the next name, without closing punctuation. An expression of Java, which looks behind for bounded lengths.
+NAMED = (
+    rf"{_ASSIGNED}(?<={_NAMED}[=:>]{{0,2}}[ \t]{{0,16}}\\?[\"'`]?)(?![A-Za-z0-9_.\-]{{0,32}}{_NAMED})"
+    r"(?:(?<=\")[^\s\"]+|(?<=')[^\s']+|(?<=`)[^\s`]+"
+    rf"|(?<![\"'`])(?![=:>\\])(?!{_NEXT})[^\s\"'`](?:(?:(?!{_NEXT})\S)*(?<![.,;:)\]}}>\"'`]))?)"
+)
+# What stands for a secret elsewhere (code, references) or for none.
+STANDS_IN = r"(?i)^(\$[{(].*|\$[A-Z_]+|<.*|\{\{.*|%[({A-Z_].*|[A-Z_.]+[(\[].*|(os|self|env|this|config|settings|process|request|args)\..*|\**|none|null|nil|true|false|undefined|string|str|changeme|redacted|required|optional|.*(xxxx|your|example|password|passwd|secret|token).*)$"
+
 FIGURES = (
     "length",
     "transitions",
@@ -64,6 +80,8 @@ FIGURES = (
     "quoted",
     "path_harmless",
     "letters_left",
+    "punctuation",
+    "stands_in",
 )
 
 
@@ -92,6 +110,8 @@ def figures(value: Column, left: Column, right: Column, path: Column) -> Column:
         has(left, r"[\"'`]$") * has(right, r"^[\"'`]"),
         has(path, PATH_HARMLESS),
         has(left, r"\p{L}\s$"),
+        share(r"[^A-Za-z0-9/_\-+=]"),
+        has(value, STANDS_IN),
     )
 
 
@@ -124,15 +144,20 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, start, value, left, right, path) for every candidate; start counts characters from 0."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(path_col).cast("string").alias("path"))
-    rows = rows.where(F.col("text").rlike(f"[A-Za-z0-9+/_\\-]{{{SHORTEST}}}"))
-    rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    rows = rows.where(F.exists("found", lambda v: F.length(v) >= SHORTEST))
-    rows = rows.withColumn("between", F.split("text", CANDIDATE, -1)).withColumn("row", F.monotonically_increasing_id())
-    spans = _spans(F.col("between"), F.col("found"), lambda v: F.length(v) >= SHORTEST)
-    rows = rows.select("doc_id", "path", "row", F.posexplode(spans).alias("i", "one")).select("doc_id", "path", "row", "i", "one.*")
-    upto = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    long = lambda v: F.length(v) >= SHORTEST
+    rows = rows.where(F.col("text").rlike(f"[A-Za-z0-9+/_\\-]{{{SHORTEST}}}") | F.col("text").rlike(NAMED))
+    rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("values", F.regexp_extract_all("text", F.lit(NAMED), F.lit(0)))
+    rows = rows.where(F.exists("found", long) | (F.size("values") > 0))
+    rows = rows.withColumn("between", F.split("text", CANDIDATE, -1)).withColumn("names", F.split("text", NAMED, -1)).withColumn("row", F.monotonically_increasing_id())
+    runs, named = _spans(F.col("between"), F.col("found"), long), _spans(F.col("names"), F.col("values"), lambda v: F.lit(True))
+    rows = rows.select("doc_id", "path", "row", F.explode(F.array(F.struct(F.lit(0).alias("by"), runs.alias("spans")), F.struct(F.lit(1).alias("by"), named.alias("spans")))).alias("of"))
+    rows = rows.select("doc_id", "path", "row", "of.by", F.posexplode("of.spans").alias("i", "one")).select("doc_id", "path", "row", "by", "i", "one.*").repartition("row")
+    upto = Window.partitionBy("row", "by").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum(F.col("gap") + F.length("value")).over(upto) - F.length("value")
-    return rows.withColumn("start", start).where(F.length("value") >= SHORTEST).select("doc_id", "start", "value", "left", "right", "path")
+    rows = rows.withColumn("start", start).where(long("value") | (F.col("by") == 1))
+    # A run that is also what follows a name is one candidate.
+    nth = F.row_number().over(Window.partitionBy("row", "start", "value").orderBy("by"))
+    return rows.withColumn("nth", nth).where("nth = 1").select("doc_id", "start", "value", "left", "right", "path")
 
 
 def labelled_findings(spark: SparkSession, each: int = 150, seed: int = 7) -> DataFrame:
@@ -146,6 +171,24 @@ def labelled_findings(spark: SparkSession, each: int = 150, seed: int = 7) -> Da
     name = lambda: r.choice(("password", "token", "secret", "api_key", "apikey", "client_secret", "auth_token", "access_key", "passwd"))
     other = lambda: r.choice((draw(string.digits, r.randint(1, 6)), word() + draw(string.digits, 2), draw(hexa, 16)))
     around = lambda: "".join(prose() if r.random() < 0.85 else other() + " " for _ in range(r.randint(1, 12)))
+    pseudo = lambda least, most: draw(string.ascii_lowercase, r.randint(least, most))
+    called = lambda: prose() + name() + r.choice((" = ", "=", ": "))
+    quoted = lambda: r.choice(((called(), " "), (called() + '"', '"'), (called() + "'", "'")))
+
+    def leet() -> str:
+        """Letters of a word with one to four digits among or after them."""
+        a = list(pseudo(5, 9).title() if r.random() < 0.7 else pseudo(5, 9))
+        for _ in range(r.randint(1, 3)):
+            a[r.randrange(len(a))] = r.choice(string.digits)
+        return "".join(a) + draw(string.digits, r.randint(0, 2))
+
+    def marked() -> str:
+        """A password with one to four marks."""
+        a = list(draw(alnum, r.randint(6, 18)) if r.random() < 0.5 else leet() + draw(string.digits, r.randint(0, 4)))
+        for _ in range(r.randint(1, 3)):
+            a.insert(r.randint(1, len(a) - 1), r.choice("!@#$%^&*?.~+,;:()[]{}<>|"))
+        return "".join(a) + r.choice(("", "!", "#"))
+
     paths = ("src3", "src/app/main.py", "deploy/prod.env", "notes.txt", "")
     odd = ("tests/test_login.py", "docs/example.md", "samples/demo.cfg", "fixtures/mock.json")
     make = {
@@ -157,6 +200,14 @@ def labelled_findings(spark: SparkSession, each: int = 150, seed: int = 7) -> Da
             lambda: (draw(hexa, r.choice((16, 18, 20, 24, 32))), prose() + name() + r.choice(("=", ": ", " = ")), " "),
             lambda: (draw(hexa, r.choice((32, 40, 64))), prose() + name() + r.choice((' = "', '="', ': "')), '"'),
             lambda: (draw(alnum, r.randint(16, 44)), prose() + name() + r.choice((' = "', "=", ": ")), r.choice(('"', " "))),
+            lambda: (leet(), called(), " "),
+            lambda: (draw(string.digits * 2 + "abcdef", r.choice((16, 18, 20, 24, 32))), *quoted()),
+            lambda: (leet(), *quoted()),
+            lambda: (marked(), called(), " "),
+            lambda: (marked(), *quoted()),
+            lambda: ("".join(pseudo(3, 8).title() for _ in range(r.randint(2, 4))), *quoted()),
+            lambda: (draw(string.ascii_letters, r.randint(10, 32)), *quoted()),
+            lambda: (pseudo(13, 28), *quoted()),
             lambda: (draw(b64, 40), "aws_secret_access_key" + r.choice((" = ", "=")), ""),
         ),
         0: (
@@ -171,6 +222,11 @@ def labelled_findings(spark: SparkSession, each: int = 150, seed: int = 7) -> Da
             lambda: ("x" * r.randint(12, 24) + draw(string.digits, 2), name() + ' = "', '"'),
             lambda: ("example" + word() + draw(string.digits, 4), name() + "=", ""),
             lambda: (f"{word()}-{r.randint(1, 20)}-{r.randint(0, 20)}-{word()}", r.choice(("version ", prose())), " "),
+            lambda: (r.choice((pseudo(2, 10), pseudo(2, 10).title(), pseudo(2, 10).upper())), called(), " "),
+            lambda: (r.choice((word(), word().title(), f"{word()}_{word()}", f"{word()}{word().title()}", f"{word()}-{word()}.{word()}")), *quoted()),
+            lambda: (draw(string.digits, r.randint(1, 6)), *quoted()),
+            lambda: (r.choice((f"get_{word()}()", f"os.environ[{word()}]", f"self.{word()}", "${" + word().upper() + "}", f"<{word()}-{word()}>", f"config.{word()}.{word()}", f"{pseudo(4, 9)}({pseudo(2, 6)})")), *quoted()),
+            lambda: (r.choice(("None", "null", "true", "false", "string", "changeme", "*" * r.randint(4, 12), "x" * r.randint(4, 12), "your_password", "your-token-here", "REDACTED", "undefined", "password")), *quoted()),
             lambda: (draw(string.ascii_lowercase, r.randint(9, 20)) + draw(string.digits, r.randint(1, 3)), prose(), " "),
         ),
     }

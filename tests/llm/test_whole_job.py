@@ -24,3 +24,32 @@ def test_secret_neighbours_are_of_the_whole_text(spark):
     got = {r["doc_id"]: (r["secret"], r["kind"]) for r in secrets.scan_secrets(docs).where(F.col("value") == h).collect()}
     assert [got[i] for i in range(3)] == [(True, "token")] * 3
     assert not got[3][0] and not got[4][0]
+
+
+SHORT_PUNCTUATED_AND_WITHOUT_DIGITS = [
+    ('password = "Tr0ub4dor3"', "Tr0ub4dor3"),
+    ("set password: P@ssw0rd!2024 today", "P@ssw0rd!2024"),
+    ("db_password=CorrectHorseBattery then", "CorrectHorseBattery"),
+    ("the token = 'qZrTbWnXkLpVmGhD' is", "qZrTbWnXkLpVmGhD"),
+    ('{"client_secret": "hG#9x!kQ2", "user": "jo"}', "hG#9x!kQ2"),
+    ("GET /x?passwd=k7Rw2pQz&user=jo", "k7Rw2pQz"),
+    ("password=Xk4!vPz9;api_key=Jq8WnB2tLc6Z rest", "Xk4!vPz9"),
+    ("password=Xk4!vPz9;api_key=Jq8WnB2tLc6Z rest", "Jq8WnB2tLc6Z"),
+]
+
+
+def test_secrets_of_any_shape_after_a_name(spark):
+    texts = [t for t, _ in SHORT_PUNCTUATED_AND_WITHOUT_DIGITS]
+    plain = ["password: required for all", "token = None", "secret: ${SECRET}", 'auth_token = os.environ["TOKEN"]', "the author: Miller wrote", "max_tokens = 4096"]
+    docs = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string").withColumn("source", F.lit(""))
+    got = secrets.scan_secrets(docs).collect()
+    assert all((texts + plain)[r["doc_id"]][r["start"] :][: r["length"]] == r["value"] for r in got)
+    found = {(r["doc_id"], r["value"]) for r in got if r["secret"]}
+    assert {(i, v) for i, (_, v) in enumerate(SHORT_PUNCTUATED_AND_WITHOUT_DIGITS)} <= found
+    assert not [f for f in found if f[0] >= len(texts)]
+
+
+def test_long_values_after_a_name(spark):
+    """A value without an end is one candidate, and no search gives up on it."""
+    docs = spark.createDataFrame([(1, "token=" + "Ab!x" * 50_000)], "doc_id long, text string").withColumn("source", F.lit(""))
+    assert [r["length"] for r in secrets.candidates(docs).select(F.length("value").alias("length")).collect()] == [200_000]
