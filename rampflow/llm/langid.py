@@ -2,7 +2,9 @@
 
 Per language, a suffix automaton of labelled text recognises all its substrings. A text is parsed
 greedily into the longest phrases that occur there; ``phrases * log2(reference length) / length``
-estimates the cross entropy, and the language with the least wins. The automata are dense transition
+estimates the cross entropy, and the language with the least wins. The reference length is that of the
+longest reference, for all: a phrase costs the same everywhere, so that a short reference, which has
+the shorter phrases, cannot win by its length. The automata are dense transition
 tables, and many stretches of text walk them in lock step, so a parse is a few array look-ups a letter.
 """
 
@@ -34,7 +36,7 @@ class Model:
     code: np.ndarray  # code point -> code
     table: np.ndarray  # [states * WIDTH] next state times WIDTH, or -1
     roots: np.ndarray  # per language, times WIDTH
-    scale: np.ndarray  # log2 of the reference length
+    scale: np.ndarray  # log2 of the longest reference's length, per language
 
 
 def suffix_automaton(codes: list[int]) -> np.ndarray:
@@ -93,7 +95,7 @@ def train(samples: dict[str, str]) -> Model:
     """samples: reference text per language. The alphabet has the letters of all of them, most frequent first."""
     seen = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
     code = _codes([c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]])
-    tables, roots, scale, base = [], [], [], 0
+    tables, roots, longest, base = [], [], 2, 0
     languages = sorted(samples)
     for lang in languages:
         codes = encode(code, samples[lang])
@@ -102,11 +104,11 @@ def train(samples: dict[str, str]) -> Model:
         t[:, PAD] = base
         tables.append(t)
         roots.append(base)
-        scale.append(np.log2(max(2, len(codes))))
+        longest = max(longest, len(codes))
         base += len(t)
     table = np.concatenate(tables) if tables else np.empty((0, WIDTH), np.int32)
     table[table >= 0] *= WIDTH
-    return Model(languages, code, table.ravel(), np.array(roots, np.int32) * WIDTH, np.array(scale))
+    return Model(languages, code, table.ravel(), np.array(roots, np.int32) * WIDTH, np.full(len(roots), np.log2(longest)))
 
 
 def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
@@ -172,31 +174,53 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def reference_texts(docs: DataFrame, letters: int, texts: int) -> dict[str, str]:
-    """Per language, whole labelled documents in the order of their ids' hashes until they hold ``letters`` characters.
+def _levels(held: dict[int, int], need: int) -> int:
+    """The least level to read so that levels from there on hold ``need`` letters; 0 if all do not."""
+    for level in sorted(held, reverse=True):
+        need -= held[level]
+        if need <= 0:
+            return level
+    return 0
 
-    Only about ``texts`` documents per language are read, chosen by hash against the language's count, and
-    of those not longer than ``letters / 8`` (so that no single document makes a language) as long as there
-    are any; else the language's shortest one. The model is bounded by languages * letters.
+
+def reference_texts(docs: DataFrame, letters: int) -> dict[str, str]:
+    """Per language, text of labelled documents until it holds ``letters`` codes, or all there is.
+
+    Counted and kept are letters and runs of other characters, as ``encode`` has them. Texts of at most
+    ``letters / 8`` come first, whole and in the order of their hashes, so that no single document makes a
+    language; then stretches of that length of the longer ones, first their beginnings. Equal texts count once.
+    Only hashes below a bound are read: level n of a hash, its leading zeros, has one of 2 ** (n + 1) texts,
+    and the levels' letters are summed beforehand. The model is bounded by languages * letters.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    place, short = F.xxhash64(F.col("doc_id").cast("string")), F.length("text") <= letters // 8
-    by_lang = rows.groupBy("lang").agg(F.count_if(short).alias("n"), F.min(F.struct(F.length("text"), place)).alias("least"))
-    found = [(r["lang"], max(1, r["n"] // texts), r["n"], r["least"][0], r["least"][1]) for r in by_lang.collect()]
+    stretch = max(1, letters // 8)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    rows = rows.select("lang", F.regexp_replace("text", r"\P{L}+", " ").alias("text"))
+    place = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    rows = rows.select("lang", "text", place.alias("place"), (F.length("text") > stretch).alias("long"), (63 - F.length(F.bin(place))).alias("level"))
+    sizes = rows.select("lang", "place", "long", "level", F.least(F.length("text"), F.lit(stretch)).alias("n")).distinct().groupBy("lang", "long", "level").agg(F.sum("n").alias("n"))
+    held: dict[str, tuple[dict[int, int], dict[int, int]]] = {}
+    for r in sizes.collect():
+        held.setdefault(r["lang"], ({}, {}))[r["long"]][r["level"]] = r["n"]
+    found = []
+    for lang, (short, long) in held.items():
+        need = letters - sum(short.values())
+        # Where even all beginnings are too few, there are less than eight longer texts, and more of them is read.
+        found.append((lang, _levels(short, letters), _levels(long, need) if need > 0 else 64, stretch if sum(long.values()) >= need else letters))
     if not found:
         return {}
-    per = docs.sparkSession.createDataFrame(found, "lang string, every long, n long, least_length int, least_place long")
-    fits = F.when(F.col("n") > 0, short & (F.pmod(place, F.col("every")) == 0)).otherwise((F.length("text") == F.col("least_length")) & (place == F.col("least_place")))
-    chosen = rows.join(F.broadcast(per), "lang").where(fits).select("lang", place.alias("place"), "text").dropDuplicates()
+    per = docs.sparkSession.createDataFrame(found, "lang string, from_short int, from_long int, most int")
+    chosen = rows.join(F.broadcast(per), "lang").where(F.col("level") >= F.when(F.col("long"), F.col("from_long")).otherwise(F.col("from_short")))
+    chosen = chosen.select("lang", "long", "place", F.substring("text", F.lit(1), F.col("most")).alias("text")).dropDuplicates()
+    pieces = [(r["lang"], r["long"], i, r["place"], r["text"][i : i + stretch]) for r in chosen.collect() for i in range(0, len(r["text"]), stretch)]
     out: dict[str, list[str]] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
-        held = out.setdefault(r["lang"], [])
-        if sum(map(len, held)) < letters:
-            held.append(r["text"])
+    for lang, *_, text in sorted(pieces):
+        have = out.setdefault(lang, [])
+        if sum(map(len, have)) < letters:
+            have.append(text)
     return {k: "\n".join(v) for k, v in out.items()}
 
 
-def identify_languages(docs: DataFrame, letters: int = 16_384, texts: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify_languages(docs: DataFrame, letters: int = 16_384, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out boolean, lang_pred string, score double, and the columns ``keep``.
 
     Learns from text and non-null lang of rows that are not held out; ids and labels are no inputs of a
@@ -207,7 +231,7 @@ def identify_languages(docs: DataFrame, letters: int = 16_384, texts: int = 64,
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = spark.sparkContext.broadcast(train(reference_texts(rows, letters, texts)))
+    model = spark.sparkContext.broadcast(train(reference_texts(rows, letters)))
     text = "_text" if text_col not in keep else text_col
     like = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), *keep, *([F.col(text_col).alias(text)] if text_col not in keep else []))
     ins = exact(like, ["doc_id", *keep])

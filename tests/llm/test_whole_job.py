@@ -53,3 +53,32 @@ def test_long_values_after_a_name(spark):
     """A value without an end is one candidate, and no search gives up on it."""
     docs = spark.createDataFrame([(1, "token=" + "Ab!x" * 50_000)], "doc_id long, text string").withColumn("source", F.lit(""))
     assert [r["length"] for r in secrets.candidates(docs).select(F.length("value").alias("length")).collect()] == [200_000]
+
+
+def invented(seed, alphabet):
+    """A language: a function that makes texts of n of its 400 words."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice(alphabet) for _ in range(r.randint(3, 9))) for _ in range(400)]
+    return lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+
+
+def test_languages_of_long_documents_fill_their_reference(spark):
+    """One short text in a language of long ones must not be all that is learnt of it."""
+    a, b = invented(1, "abcdefghijklmno"), invented(2, "abcdefghijklmno")
+    rows = [(i, b(60), "b") for i in range(200)] + [(1000 + i, a(900), "a") for i in range(30)] + [(2000, "de ab", "a"), (2002, "de ab", "a"), (2003, "de ab", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = langid.reference_texts(docs, 16_384)
+    assert all(16_384 <= len(t) <= 16_384 + 2_048 + 64 for t in held.values()) and set(held) == {"a", "b"}
+    got = langid.identify_languages(docs, keep=("lang",)).where("held_out").collect()
+    assert {r["lang"] for r in got} == {"a", "b"} and all(r["lang_pred"] == r["lang"] for r in got if r["doc_id"] < 2000)
+
+
+def test_few_long_documents_and_tiny_languages(spark):
+    """One long document gives all that is asked for; a reference of two words takes no documents of others."""
+    a, b = invented(3, "abcdefghijklmno"), invented(4, "abcdefghijklmno")
+    rows = [(0, a(9000), "a"), (1, "ab", "tiny"), (3, "12 34", "none")] + [(10 + i, b(60), "b") for i in range(200)]
+    docs = spark.createDataFrame([x for x in rows], "doc_id long, text string, lang string").where(~langid.held_out(F.col("doc_id")) | (F.col("doc_id") >= 10))
+    held = langid.reference_texts(docs, 16_384)
+    assert len(held["a"]) >= 16_384 and held["tiny"] == "ab" and "none" not in held
+    got = langid.identify_languages(docs, keep=("lang",)).where("lang = 'b'").collect()
+    assert {r["lang_pred"] for r in got} == {"b"}
