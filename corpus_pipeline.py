@@ -28,10 +28,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document of the smallest id stays."""
-    found = neardup.near_duplicates(docs, percent=80, width=5)
-    kept = found.where("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*COLUMNS)
+    """Of each group of near-duplicates (five words, similarity 0.8) the document of the smallest id stays, or one of those without an id."""
+    found = neardup.near_duplicates(docs, percent=80, width=5, row="at")
+    kept = found.where("kept").select(F.col("doc_id").alias("id"), "at").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & neardup.row_of(F.col("doc_id"), F.col("text")).eqNullSafe(F.col("at"))
+    return docs.join(kept, same, "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

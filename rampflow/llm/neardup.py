@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup_kernels as K
@@ -44,7 +44,7 @@ def _sketched(width: int):
                 sk = K.sketch(s) if len(s) else None
                 band.append(K.bands(sk) if len(s) else None)
                 low.append(K.compact(sk) if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "set_key": key, "bands": band, "low": low})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "at": pdf["at"], "n_shingles": n, "set_key": key, "bands": band, "low": low})
 
     return run
 
@@ -141,30 +141,39 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
 """
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def row_of(doc_id: Column, text: Column) -> Column:
+    """What stands for the id of a row of null id: a hash of its text; null for rows with an id."""
+    return F.when(doc_id.isNull(), F.xxhash64(text))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """Link documents whose shingle sets have ``100 * |A & B| >= percent * |A | B|``; one row per input row.
 
     Returns doc_id, n_shingles long, component_id (least doc_id reachable, itself included), kept
     boolean (doc_id = component_id). Null and empty texts, or texts of white space, have 0 shingles and
     are linked with nothing. A text of fewer than ``width`` words is one shingle. Repeated rows are
-    equal copies. Rows of null id are compared like others, but give no component its name. An empty
-    table gives no rows; other columns of ``docs`` are ignored, whatever their names.
+    equal copies. Rows of null id are compared and link like others, but give no component its name: in a
+    component of null ids alone, component_id is null and the rows of one of its texts are kept. ``row``
+    names a further column that tells rows of null id apart, see ``row_of``. An empty table gives no rows;
+    other columns of ``docs`` are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    plain = exact(docs, ["doc_id"])
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_of(F.col(id_col), F.col(text_col)).alias("at"))
+    plain = exact(docs, ["doc_id", "at"])
     kind = plain.schema["doc_id"].dataType.simpleString()
-    per_doc = plain.mapInPandas(_sketched(width), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, low binary")
-    per_doc = staged(restored(per_doc, docs, ["doc_id"]), "near-docs")
-    some = per_doc.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-classes")
+    per_doc = plain.mapInPandas(_sketched(width), f"doc_id {kind}, at string, n_shingles long, set_key binary, bands array<long>, low binary")
+    per_doc = staged(restored(per_doc, docs, ["doc_id", "at"]), "near-docs")
+    some = per_doc.where("n_shingles > 0")
+    classes = staged(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("at").alias("rep_at"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-classes")
     members = classes.select("set_key", F.explode("bands").alias("band"))
     stars = staged(members.groupBy("band").agg(F.min("set_key").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"), "near-stars")
     members = staged(members.join(stars, "band").select("band", "set_key", "head", "m"), "near-members")
 
     # Full sets, of the classes that share a bucket.
-    shared = staged(classes.select("set_key", "rep", "low").join(members.select("set_key").distinct(), "set_key", "left_semi"), "near-shared")
+    shared = staged(classes.select("set_key", "rep", "rep_at", "low").join(members.select("set_key").distinct(), "set_key", "left_semi"), "near-shared")
     texts = docs.join(shared, docs["doc_id"] == shared["rep"]).select(F.col("set_key").alias("key"), "low", "text")
+    nameless, of_them = docs.where("doc_id is null").groupBy("at").agg(F.first("text").alias("text")), shared.where("rep is null")
+    texts = texts.union(nameless.join(of_them, nameless["at"] == of_them["rep_at"]).select(F.col("set_key").alias("key"), "low", "text"))
     sets = texts.mapInPandas(_sets(width), "key binary, low binary, shingles array<long>, short binary").groupBy("key").agg(*[F.first(c).alias(c) for c in ("low", "shingles", "short")])
     sets = staged(sets, "near-sets")
 
@@ -195,9 +204,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col:
     more = staged(_confirmed(more, sets, percent), "near-more-links")
     comps = components(links.union(more), "near-components")
 
-    named = per_doc.select("doc_id", "n_shingles", "set_key").join(comps, per_doc["set_key"] == comps["node"], "left")
-    named = staged(named.select("doc_id", "n_shingles", F.coalesce("comp", "set_key").alias("comp")), "near-named")
-    least = staged(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "near-least")
+    named = per_doc.select("doc_id", "at", "n_shingles", "set_key").join(comps, per_doc["set_key"] == comps["node"], "left")
+    named = staged(named.select("doc_id", "at", "n_shingles", F.coalesce("comp", "set_key").alias("comp")), "near-named")
+    least = staged(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.min("at").alias("least_at")), "near-least")
     out = named.join(least, "comp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    nameless = component.isNull() & ((F.col("n_shingles") == 0) | (F.col("at") == F.col("least_at")))
+    kept = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.col("doc_id").eqNullSafe(component))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *([F.col("at").alias(row)] if row else []))

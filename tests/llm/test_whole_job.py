@@ -82,3 +82,26 @@ def test_few_long_documents_and_tiny_languages(spark):
     assert len(held["a"]) >= 16_384 and held["tiny"] == "ab" and "none" not in held
     got = langid.identify_languages(docs, keep=("lang",)).where("lang = 'b'").collect()
     assert {r["lang_pred"] for r in got} == {"b"}
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows of null id link; one text of a component without an id stays, through the pipeline's stage too."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    w = [f"w{i}" for i in range(3000)]
+    base, other = [r.choice(w) for _ in range(120)], [r.choice(w) for _ in range(120)]
+    edit = lambda words, n: [*words[: len(words) - n], *(f"x{i}" for i in range(n))]
+    # 1 and 2 are near the row of null id only; three rows without an id are near each other; one is alone.
+    one, two = [*(f"y{i}" for i in range(9)), *base[9:]], edit(base, 9)
+    rows = [(1, one), (2, two), (None, base), (None, other), (None, edit(other, 2)), (None, edit(other, 3)), (None, [r.choice(w) for _ in range(50)]), (None, [])]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = neardup.near_duplicates(docs).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got if x["doc_id"]} == {1: 1, 2: 1}
+    nameless = [x for x in got if x["doc_id"] is None]
+    assert sorted(x["component_id"] is None for x in nameless) == [False] + [True] * 5
+    assert not any(x["kept"] for x in nameless if x["component_id"] == 1) and sum(x["kept"] for x in nameless) == 3
+    kept = corpus_pipeline.near(spark, docs, "").collect()
+    assert sorted(x["doc_id"] or 0 for x in kept) == [0, 0, 0, 1]
+    others = {" ".join(t) for t in (other, edit(other, 2), edit(other, 3))}
+    assert sum(x["text"] in others for x in kept) == 1 and " ".join(base) not in {x["text"] for x in kept}
