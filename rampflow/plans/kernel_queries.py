@@ -280,8 +280,6 @@ def coherence_validation(spark, sf_dir):
 
 @query("coupling_sensitivity")
 def coupling_sensitivity(spark, sf_dir):
-    from ..schema import NEIGHBOURS
     from .analyses import coupling_sensitivity as sweep
 
-    some = tuple(s for s in NEIGHBOURS if s.length)
-    return rnd(sweep(_long(spark, sf_dir), some, ("LP",))["effects"], "mean_first", "mean_second", "mean_difference", "median_difference", "dz")
+    return rnd(sweep(_long(spark, sf_dir))["effects"], "mean_first", "mean_second", "mean_difference", "median_difference", "dz")

@@ -151,3 +151,22 @@ def test_shifts():
 def test_stationarity_flag():
     x = np.random.default_rng(2).normal(size=400)
     assert nonlinear.kpss(x)[1] and not nonlinear.kpss(np.cumsum(x))[1]
+
+
+def test_neighbours_in_blocks_of_rows(monkeypatch):
+    """Long series are never held as a whole matrix of distances; blocks give the same neighbours."""
+    x, y = nonlinear.simulate("x_to_y", 0, 1, n=300)
+    d = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+    whole = nonlinear.neighbours(d, 7, 3)
+    monkeypatch.setattr(nonlinear, "HELD", 4_000)
+    for a, b in zip(whole, nonlinear.neighbours(nonlinear.Distances(x, y), 7, 3), strict=True):
+        assert (a == b).all()
+
+
+def test_coupling_sensitivity_is_registered_whole(spark):
+    """All eight settings and both methods, the whole-phase setting among them."""
+    import __spark_entry__
+    from rampflow.schema import NEIGHBOURS
+
+    got = __spark_entry__.queries()["coupling_sensitivity"](spark, "/root/testdata/sf0.01").select("setting", "method", "direction").collect()
+    assert {tuple(r) for r in got} == {(s.name, m, d) for s in NEIGHBOURS for m in ("CE", "LP") for d in ("sbp_to_rri", "rri_to_sbp")}
