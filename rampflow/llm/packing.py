@@ -136,15 +136,18 @@ def best_fit(counts: dict[int, int], size: int) -> tuple[list[tuple[int, int, in
             else:
                 free, first, n = size, opened, -(-left // (size // length))
                 opened += n
-            each = free // length  # pieces that one gap takes, one sweep each
-            used = min(n, -(-left // each))
+            # Best fit of equal pieces fills one gap up before the next: what is left of a gap is the smallest fit again.
+            each = free // length
+            full, rest = divmod(min(left, n * each), each)
+            if full:
+                runs.append((length, rank, rank + full * each, first, full, size - free))
+                add(free - each * length, first, full)
+            if rest:
+                runs.append((length, rank + full * each, rank + full * each + rest, first + full, 1, size - free))
+                add(free - rest * length, first + full, 1)
+            used = full + bool(rest)
             add(free, first + used, n - used)
-            take = min(left, used * each)
-            runs.append((length, rank, rank + take, first, used, size - free))
-            full, rest = divmod(take, used)
-            add(free - (full + 1) * length, first, rest)
-            add(free - full * length, first + rest, used - rest)
-            left, rank = left - take, rank + take
+            left, rank = left - full * each - rest, rank + full * each + rest
     return runs, opened
 
 
