@@ -103,6 +103,29 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, name: str
     return joined.select(*df.columns, out, *totals)
 
 
+def looked_up(rows: DataFrame, found: DataFrame, key: str, weight: str, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``found(key, weight, ...)``, one row a key, where ``weight`` is the key's number of rows.
+
+    Keys that hold more than a quarter of an even share of all weight are heavy: there are at most four a shuffle
+    partition, so they are broadcast and their rows do not move to them. All other keys are joined by a shuffle, in
+    which rows that are done or have no key spread by the column ``spread``. ``how``: inner or left.
+    """
+    n = 4 * partitions(rows.sparkSession)
+    total = found.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.broadcast(found.where(F.col(weight) * n > total).select(F.col(key).alias("_hot"), F.struct(*[c for c in found.columns if c != key]).alias("_by_hot")))
+    rest = found.select(F.col(key).alias("_key"), F.lit(-1).alias("_at"), F.struct(*[c for c in found.columns if c != key]).alias("_by_key")).where(F.col(weight) * n <= total)
+    done = F.col("_hot").isNotNull() | F.col(key).isNull()
+    rows = rows.join(heavy, rows[key] == F.col("_hot"), "left")
+    rows = rows.withColumn("_to", F.when(~done, F.col(key))).withColumn("_spread", F.when(done, F.pmod(F.xxhash64(spread), F.lit(64 * n))).otherwise(-1).cast("int"))
+    # Both parts of the key are compared null-safely, so that rows without a key do not meet in one partition.
+    rows = rows.join(rest, F.col("_to").eqNullSafe(F.col("_key")) & (F.col("_spread") == F.col("_at")), "left")
+    if how == "inner":
+        rows = rows.where(F.col("_by_hot").isNotNull() | F.col("_by_key").isNotNull())
+    names = [c for c in found.columns if c != key]
+    kept = [c for c in rows.columns if c not in ("_hot", "_by_hot", "_key", "_at", "_by_key", "_to", "_spread")]
+    return rows.select(*kept, *[F.coalesce(F.col("_by_hot")[c], F.col("_by_key")[c]).alias(c) for c in names])
+
+
 def exact(df: DataFrame, columns: list[str]) -> DataFrame:
     """Whole numbers as text: pandas holds them with nulls as floats, which are exact to 2**53 only."""
     kinds = dict(df.dtypes)

@@ -92,26 +92,15 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (((x & 15) == 0).sum(-1) + ((x >> 4) == 0).sum(-1)).astype(np.int64)
 
 
-def short_hashes(s: np.ndarray) -> bytes:
-    """The sorted distinct upper halves of the hashes: intersections of these are never smaller than the full sets'."""
-    return np.unique((s >> _U(32)).astype(np.uint32)).tobytes()
-
-
-def shared_sizes(sets: list[np.ndarray], slab: int = 4096) -> np.ndarray:
-    """Intersection sizes of all pairs of sets, by products of 0/1 matrices over slabs of shared members."""
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    member, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(times > 1) - 1  # members of one set add nothing
-    row, place = row[times[place] > 1], number[place[times[place] > 1]]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(place, kind="stable")
-    row, place = row[order], place[order]
-    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, slab):
-        a, b = np.searchsorted(place, (lo, lo + slab))
-        grid = np.zeros((len(sets), slab), np.float32)
-        grid[row[a:b], place[a:b] - lo] = 1
-        out += grid @ grid.T
-    return out
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets of sorted distinct hashes are similar enough."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum()) if len(large) else 0
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def least_agreeing(t: int, percent: int, sigmas: float = 6.0) -> float:

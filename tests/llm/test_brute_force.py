@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from rampflow.llm import langid, mixing, neardup, packing, quality, secrets, sharding, topk, warc
 from rampflow.llm import neardup_kernels as K
-from rampflow.llm.common import ranked
+from rampflow.llm.common import looked_up, ranked
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,11 +101,50 @@ def test_sketch_estimates_similarity():
         assert abs(np.mean(agree) - shared / (2 * n - shared)) < 0.03
 
 
-def test_shared_sizes():
+def test_linked_counts_shared_members():
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint32)) for _ in range(9)]
-    got = K.shared_sizes(sets)
-    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 40, rng.integers(1, 60)).astype(np.uint64)) for _ in range(2))
+        for percent in (50, 80, 100):
+            assert K.linked(a, b, percent) == (100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b)))
+
+
+def test_work_of_a_large_group_is_linear(spark, monkeypatch):
+    """5,000 near copies: rows compared with heads, and links found, stay near the number of texts."""
+    made, plain = {}, neardup.staged
+
+    def counted(df, name):
+        made[name] = (out := plain(df, name)).count()
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counted)
+    table = [(i if i < 5000 else i + 9000, t) for i, (_, t) in enumerate(near_table(100, 5000, (0, 1, 2, 3, 4), 5))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    sets = [shingle_set(t, 4) for _, t in table]
+    place = {x: i for i, (x, n) in enumerate(Counter(x for s in sets for x in s).items()) if n > 1}
+    place = {x: i for i, x in enumerate(place)}
+    grid = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        grid[i, [place[x] for x in s if x in place]] = 1
+    n, both = np.array([len(s) for s in sets]), grid @ grid.T
+    near = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(near, True)
+    comp = np.arange(len(sets))
+    while (low := np.array([comp[row].min() for row in near])).tolist() != comp.tolist():
+        comp = low
+    assert got == {i: table[c][0] for (i, _), c in zip(table, comp.tolist(), strict=True)}
+    assert made["near-first"] + made["near-links"] + made.get("near-block-links", 0) < 4 * len(table)
+
+
+def test_lookup_of_heavy_keys(spark):
+    """Heavy and light keys, keys without an entry and null keys, as a plain join has them."""
+    rows = [(0 if i % 3 else (i % 50 or None), i) for i in range(600)]
+    held = Counter(k for k, _ in rows if k is not None and k % 7 != 3)
+    left = spark.createDataFrame(rows, "k long, i long")
+    found = spark.createDataFrame([(k, n, f"v{k}") for k, n in held.items()], "k long, n long, v string")
+    for how in ("left", "inner"):
+        got = sorted((r["i"], r["k"], r["n"], r["v"]) for r in looked_up(left, found, "k", "n", "i", how).collect())
+        assert got == sorted((i, k, held.get(k), f"v{k}" if k in held else None) for k, i in rows if how == "left" or k in held)
 
 
 def test_ranked_is_a_row_number(spark):
