@@ -4,8 +4,12 @@ Per language, a suffix automaton of labelled text recognises all its substrings.
 greedily into the longest phrases that occur there; ``phrases * log2(reference length) / length``
 estimates the cross entropy, and the language with the least wins. The reference length is that of the
 longest reference, for all: a phrase costs the same everywhere, so that a short reference, which has
-the shorter phrases, cannot win by its length. The automata are dense transition
-tables, and many stretches of text walk them in lock step, so a parse is a few array look-ups a letter.
+the shorter phrases, cannot win by its length.
+
+The automata are double arrays, about 35 bytes a letter of reference whatever the alphabet. Stretches of
+texts walk them in lock step, so a parse is a few array look-ups a letter; a stretch is then walked
+again from the state in which the one before it ends, until both walks are in one state, so that
+phrases run on across stretches and the count is that of the whole text's parse.
 """
 
 from __future__ import annotations
@@ -19,14 +23,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, restored, small_batches
+from .common import exact, restored, staged
 
-#: Codes of the alphabet: 0 any run of non-letters, 1..61 letters, 62 other letters, 63 padding.
-LETTERS, OTHER, PAD, WIDTH = 61, 62, 63, 64
-#: Stretches that are parsed in lock step; a phrase ends where a stretch ends.
+#: Codes: 0 any run of non-letters, 1 letters that no reference has (no transition reads them), 2 padding, 3.. letters.
+OTHER, PAD, FIRST = 1, 2, 3
+#: Codes of a text that are walked in lock step with others.
 STRETCH = 256
-#: Letters of text that one step holds at most.
-STEP = 1_500_000
+#: Letters of text times languages that one step holds at most.
+STEP = 6_000_000
+#: Letters of all references together: at most some 150 MB are broadcast.
+MOST_LETTERS = 4_000_000
 UNDETERMINED = "und"
 
 
@@ -34,13 +40,21 @@ UNDETERMINED = "und"
 class Model:
     languages: list[str]
     code: np.ndarray  # code point -> code
-    table: np.ndarray  # [states * WIDTH] next state times WIDTH, or -1
-    roots: np.ndarray  # per language, times WIDTH
-    scale: np.ndarray  # log2 of the longest reference's length, per language
+    base: np.ndarray  # state -> where its slots start
+    owner: np.ndarray  # slot -> the state whose transition it holds, or -1
+    target: np.ndarray  # slot -> next state
+    first: np.ndarray  # [language, code] state after one letter, the root if there is none
+    roots: np.ndarray  # per language
+    scale: float  # log2 of the longest reference's length
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there is no transition."""
+        slot = self.base[state] + c
+        return np.where(self.owner[slot] == state, self.target[slot], -1)
 
 
-def suffix_automaton(codes: list[int]) -> np.ndarray:
-    """Transitions [states, WIDTH] of the automaton of all substrings; -1 where there is none; 0 is the root."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings; 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -66,11 +80,48 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    table = np.full((len(nxt), WIDTH), -1, np.int32)
-    for s, edges in enumerate(nxt):
-        for c, t in edges.items():
-            table[s, c] = t
-    return table
+    return nxt
+
+
+def double_array(nxt: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, target): the transition of state s by code c is at slot base[s] + c if s owns that slot.
+
+    States take the first place in which all their slots are free, those of most transitions first; a state of one
+    transition takes the first free slot. Codes are below ``width``.
+    """
+    base, slots = np.zeros(len(nxt), np.int64), {}
+    size = 2 * width + sum(map(len, nxt))
+    used = bytearray(size)
+    free = low = width
+    for s in sorted(range(len(nxt)), key=lambda s: -len(nxt[s])):
+        if not nxt[s]:
+            break
+        codes = sorted(nxt[s])
+        while used[free]:
+            free += 1
+        # Places that many states have tried in vain are left to states of one transition.
+        at, tries = free if len(codes) == 1 else max(free, used.find(0, low)), 0
+        while True:
+            b = at - codes[0]
+            if b + codes[-1] >= len(used):
+                used.extend(bytes(len(used)))
+            if not any(used[b + c] for c in codes):
+                break
+            tries += 1
+            if tries == 64:
+                low = at
+            at = used.find(0, at + 1)
+            if at < 0:
+                at = len(used)
+                used.extend(bytes(len(used)))
+        base[s] = b
+        for c in codes:
+            used[b + c] = 1
+            slots[b + c] = (s, nxt[s][c])
+    owner, target = np.full(max(slots, default=0) + width + 1, -1, np.int64), np.zeros(max(slots, default=0) + width + 1, np.int64)
+    for slot, (s, t) in slots.items():
+        owner[slot], target[slot] = s, t
+    return base, owner, target
 
 
 def encode(code: np.ndarray, text: str) -> np.ndarray:
@@ -82,8 +133,8 @@ def encode(code: np.ndarray, text: str) -> np.ndarray:
 
 
 def _codes(alphabet: list[str]) -> np.ndarray:
-    at = {c: i + 1 for i, c in enumerate(alphabet)}
-    code = np.zeros(0x110000, np.uint8)
+    at = {c: i + FIRST for i, c in enumerate(alphabet)}
+    code = np.zeros(0x110000, np.int32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
@@ -92,47 +143,70 @@ def _codes(alphabet: list[str]) -> np.ndarray:
 
 
 def train(samples: dict[str, str]) -> Model:
-    """samples: reference text per language. The alphabet has the letters of all of them, most frequent first."""
-    seen = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-    code = _codes([c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]])
-    tables, roots, longest, base = [], [], 2, 0
+    """samples: reference text per language. The alphabet has all letters of all of them, most frequent first."""
+    seen = Counter(x[0] for t in samples.values() for c in set(t) if c.isalpha() for x in [c.lower()])
+    for t in samples.values():
+        seen.update(c for c in t.lower() if c in seen)
+    code = _codes([c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))])
+    width, longest = len(seen) + FIRST, 2
     languages = sorted(samples)
-    for lang in languages:
+    first, roots, parts, states, slots = np.zeros((len(languages), width), np.int64), [], [], 0, 0
+    for i, lang in enumerate(languages):
         codes = encode(code, samples[lang])
-        t = suffix_automaton(codes.tolist())
-        t[t >= 0] += base
-        t[:, PAD] = base
-        tables.append(t)
-        roots.append(base)
-        longest = max(longest, len(codes))
-        base += len(t)
-    table = np.concatenate(tables) if tables else np.empty((0, WIDTH), np.int32)
-    table[table >= 0] *= WIDTH
-    return Model(languages, code, table.ravel(), np.array(roots, np.int32) * WIDTH, np.full(len(roots), np.log2(longest)))
+        nxt = suffix_automaton(codes.tolist())
+        base, owner, target = double_array(nxt, width)
+        first[i] = states
+        for c, t in nxt[0].items():
+            first[i, c] = states + t
+        parts.append((base + slots, np.where(owner < 0, -1, owner + states), target + states))
+        roots.append(states)
+        longest, states, slots = max(longest, len(codes)), states + len(nxt), slots + len(owner)
+    kind = np.int32 if max(states, slots) < 2**31 else np.int64
+    base, owner, target = (np.concatenate([p[k] for p in parts]).astype(kind) if parts else np.empty(0, kind) for k in range(3))
+    return Model(languages, code, base, owner, target, first.astype(kind), np.array(roots, kind), float(np.log2(longest)))
 
 
 def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     """Phrases [text, language] of the greedy cross-parse of each text."""
     n, rows = len(model.languages), [-(-len(x) // STRETCH) for x in codes]
-    flat = np.full(sum(rows) * STRETCH, PAD, np.uint8)
-    at = 0
+    flat = np.full(sum(rows) * STRETCH, PAD, np.int32)
+    at, follows = 0, np.ones(sum(rows), bool)
     for x, r in zip(codes, rows, strict=True):
         flat[at : at + len(x)] = x
+        if r:
+            follows[at // STRETCH] = False
         at += r * STRETCH
     columns = np.ascontiguousarray(flat.reshape(-1, STRETCH).T)
-    state = np.repeat(model.roots[:, None], columns.shape[1], 1)
-    count = np.zeros(state.shape, np.int32)
     root = model.roots[:, None]
-    for c in columns:
+    held = np.empty((STRETCH, n, columns.shape[1]), model.roots.dtype)
+    starts = np.empty(held.shape, bool)
+
+    def walk(state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # A phrase starts at a root, where nothing is matched yet, and where the match cannot go on.
         start = state == root
-        state = model.table[state + c]
+        state = model.step(state, c)
         stop = state < 0
-        if stop.any():
-            again = model.table[root + c]
-            state = np.where(stop, np.where(again < 0, root, again), state)
-            start |= stop
-        count += start & (c != PAD)
+        return np.where(stop, model.first[:, c], state), (start | stop) & (c != PAD)
+
+    state = np.repeat(root, columns.shape[1], 1)
+    for t, c in enumerate(columns):
+        state, starts[t] = walk(state, c)
+        held[t] = state
+    count = starts.sum(0, dtype=np.int32)
+    todo = np.flatnonzero(follows)
+    while len(todo):
+        # From the state before it; once a stretch's two walks meet they stay together.
+        last, state = held[-1][:, todo].copy(), held[-1][:, todo - 1]
+        for t in range(STRETCH):
+            old, was = held[t][:, todo], starts[t][:, todo]
+            state, now = walk(state, columns[t, todo])
+            count[:, todo] += now.astype(np.int32) - was
+            held[t][:, todo], starts[t][:, todo] = state, now
+            if (state == old).all():
+                break
+        moved = todo[(held[-1][:, todo] != last).any(0)] + 1
+        moved = moved[moved < len(follows)]
+        todo = moved[follows[moved]]
     ends = np.cumsum(rows)
     total = np.concatenate((np.zeros((n, 1), np.int64), np.cumsum(count, 1)), 1)
     return (total[:, ends] - total[:, ends - rows]).T
@@ -140,7 +214,7 @@ def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
 
 def classify(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, score) of each text. score: 1 - best / second-best entropy; 1 with one language alone."""
-    codes = [encode(model.code, t) if t else np.empty(0, np.uint8) for t in texts]
+    codes = [encode(model.code, t) if t else np.empty(0, np.int32) for t in texts]
     out = [(UNDETERMINED, 0.0)] * len(texts)
     some = [i for i, x in enumerate(codes) if len(x) and x.any()]
     if not some or not model.languages:
@@ -159,7 +233,7 @@ def _scored(model, column: str):
             texts = [t if isinstance(t, str) else None for t in pdf[column]]
             found, lo, held = [], 0, 0
             for i, t in enumerate(texts):
-                held += len(t or "")
+                held += len(t or "") * max(1, len(model.value.languages))
                 if held >= STEP:
                     found += classify(model.value, texts[lo : i + 1])
                     lo, held = i + 1, 0
@@ -183,14 +257,17 @@ def _levels(held: dict[int, int], need: int) -> int:
     return 0
 
 
-def reference_texts(docs: DataFrame, letters: int) -> dict[str, str]:
+def reference_texts(docs: DataFrame, letters: int, languages: int = 4_096) -> dict[str, str]:
     """Per language, text of labelled documents until it holds ``letters`` codes, or all there is.
 
+    At most ``languages`` languages are learnt, those of most text, and where there are more than
+    MOST_LETTERS / letters of them, each has its equal part of MOST_LETTERS; so the model has a bound.
+
     Counted and kept are letters and runs of other characters, as ``encode`` has them. Texts of at most
     ``letters / 8`` come first, whole and in the order of their hashes, so that no single document makes a
     language; then stretches of that length of the longer ones, first their beginnings. Equal texts count once.
     Only hashes below a bound are read: level n of a hash, its leading zeros, has one of 2 ** (n + 1) texts,
-    and the levels' letters are summed beforehand. The model is bounded by languages * letters.
+    and the levels' letters are summed beforehand.
     """
     stretch = max(1, letters // 8)
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
@@ -198,10 +275,13 @@ def reference_texts(docs: DataFrame, letters: int) -> dict[str, str]:
     place = F.shiftrightunsigned(F.xxhash64("text"), 1)
     rows = rows.select("lang", "text", place.alias("place"), (F.length("text") > stretch).alias("long"), (63 - F.length(F.bin(place))).alias("level"))
     sizes = rows.select("lang", "place", "long", "level", F.least(F.length("text"), F.lit(stretch)).alias("n")).distinct().groupBy("lang", "long", "level").agg(F.sum("n").alias("n"))
+    sizes = staged(sizes, "language-sizes")
+    most = sizes.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(languages).select("lang")
+    sizes = sizes.join(F.broadcast(most), "lang")
     held: dict[str, tuple[dict[int, int], dict[int, int]]] = {}
     for r in sizes.collect():
         held.setdefault(r["lang"], ({}, {}))[r["long"]][r["level"]] = r["n"]
-    found = []
+    letters, found = min(letters, max(1, MOST_LETTERS // max(1, len(held)))), []
     for lang, (short, long) in held.items():
         need = letters - sum(short.values())
         # Where even all beginnings are too few, there are less than eight longer texts, and more of them is read.
@@ -229,7 +309,6 @@ def identify_languages(docs: DataFrame, letters: int = 16_384, id_col: str = "do
     table gives no rows; columns of ``docs`` not named are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = spark.sparkContext.broadcast(train(reference_texts(rows, letters)))
     text = "_text" if text_col not in keep else text_col

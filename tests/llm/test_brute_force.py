@@ -321,6 +321,30 @@ def test_cross_parse_is_greedy(reference, text):
     assert langid.phrases(model, [langid.encode(model.code, text)])[0, 0] == count
 
 
+def naive_phrases(reference, text):
+    count, i = 0, 0
+    while i < len(text):
+        n = 1
+        while i + n < len(text) and text[i : i + n + 1] in reference:
+            n += 1
+        count, i = count + 1, i + n
+    return count
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 26, 90])
+def test_cross_parse_of_long_texts_and_many_letters(letters):
+    """Whole texts of many stretches, two languages at once, alphabets beyond one byte's letters, texts equal to a reference."""
+    r = random.Random(letters)
+    alphabet = [chr(0x61 + i) for i in range(26)] + [chr(0x430 + i) for i in range(32)] + [chr(0x4E00 + i) for i in range(40)]
+    draw = lambda k, n: "".join(r.choice(alphabet[:k]) for _ in range(n))
+    refs = {"x": draw(letters, 2500), "y": draw(letters + 1, 700)}
+    texts = [draw(letters + 2, n) for n in (1, 255, 256, 257, 1500, 3000)] + [refs["x"], refs["x"][7:] + refs["x"], refs["y"] * 3, alphabet[0] * 1200]
+    model = langid.train(refs)
+    got = langid.phrases(model, [langid.encode(model.code, t) for t in texts])
+    assert got.tolist() == [[naive_phrases(refs["x"], t), naive_phrases(refs["y"], t)] for t in texts]
+    assert langid.phrases(model, [langid.encode(model.code, refs["x"])])[0, 0] == 1
+
+
 def test_cross_parse_of_known_letters():
     model = langid.train({"x": "abcabd"})
     assert langid.phrases(model, [langid.encode(model.code, "abcabdabc")])[0, 0] == 2
