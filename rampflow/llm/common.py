@@ -61,13 +61,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Arrow batches of ``rows`` rows at most, so that a batch of long texts fits a Python worker; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
-
-
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, name: str, totals: dict[str, str] | None = None) -> DataFrame:
     """Add ``out``: the row's place from 0 among rows of equal ``keys`` under ``order``.
 
@@ -103,12 +96,13 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, name: str
     return joined.select(*df.columns, out, *totals)
 
 
-def looked_up(rows: DataFrame, found: DataFrame, key: str, weight: str, spread: str, how: str = "inner") -> DataFrame:
+def looked_up(rows: DataFrame, found: DataFrame, key: str, weight: str, spread: str, how: str = "inner", bare: str | None = None, needed=None) -> DataFrame:
     """``rows`` with the columns of ``found(key, weight, ...)``, one row a key, where ``weight`` is the key's number of rows.
 
     Keys that hold more than a quarter of an even share of all weight are heavy: there are at most four a shuffle
     partition, so they are broadcast and their rows do not move to them. All other keys are joined by a shuffle, in
-    which rows that are done or have no key spread by the column ``spread``. ``how``: inner or left.
+    which rows that are done or have no key spread by the column ``spread``. ``how``: inner or left. Rows of heavy keys
+    move without the column ``bare`` (null from then on) unless ``needed(struct of found's other columns)`` holds.
     """
     n = 4 * partitions(rows.sparkSession)
     total = found.agg(F.sum(weight)).first()[0] or 0
@@ -116,6 +110,8 @@ def looked_up(rows: DataFrame, found: DataFrame, key: str, weight: str, spread:
     rest = found.select(F.col(key).alias("_key"), F.lit(-1).alias("_at"), F.struct(*[c for c in found.columns if c != key]).alias("_by_key")).where(F.col(weight) * n <= total)
     done = F.col("_hot").isNotNull() | F.col(key).isNull()
     rows = rows.join(heavy, rows[key] == F.col("_hot"), "left")
+    if bare:
+        rows = rows.withColumn(bare, F.when(F.col("_by_hot").isNull() | needed(F.col("_by_hot")), F.col(bare)))
     rows = rows.withColumn("_to", F.when(~done, F.col(key))).withColumn("_spread", F.when(done, F.pmod(F.xxhash64(spread), F.lit(64 * n))).otherwise(-1).cast("int"))
     # Both parts of the key are compared null-safely, so that rows without a key do not meet in one partition.
     rows = rows.join(rest, F.col("_to").eqNullSafe(F.col("_key")) & (F.col("_spread") == F.col("_at")), "left")

@@ -3,8 +3,10 @@
 Rows are combined three times, each time by digest *and* full content, so that two texts of one
 digest never merge: inside each input task, among the tasks' winners of one (salt, digest), and
 among the salts' winners of one digest. A group that holds a third of all rows reaches the second
-step as one row per task and the third as one row per salt. Documents then take their group by
-digest; only if some digest has two texts (never seen for SHA-256) those documents compare texts.
+step as one row per task and salt and the third as one row per salt. Documents then take their group by
+digest: groups beyond a quarter of an even share of all rows are broadcast (there are at most four a shuffle
+partition), so their documents stay where they are read; the others are joined by a shuffle. Only if some
+digest has two texts (never seen for SHA-256) those documents compare texts.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, fresh, staged
+from .common import SPACE, fresh, looked_up, staged
 
 
 def normalised(text: Column) -> Column:
@@ -34,20 +36,22 @@ def exact_duplicates(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", te
 
     Of equal normalised texts the smallest doc_id stays (ties of id: all rows of that id are kept,
     being one document). Null and empty texts are equal to each other. Rows of null id count in
-    group_size and are kept only if no row of the group has an id. An empty table gives no rows;
-    other columns of ``docs`` are ignored, whatever their names.
+    group_size and are kept only if no row of the group has an id. Texts of any length count whole. An
+    empty table gives no rows; other columns of ``docs`` are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.select("doc_id", F.sha2("norm", 256).alias("digest"), "norm")
     winners = staged(_winners(rows, salts).drop("norm"), "exact-winners")
     twice = winners.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
 
-    out = rows.select("doc_id", "digest").join(winners, "digest", "left")
-    if not twice.isEmpty():
+    if twice.isEmpty():
+        out = looked_up(rows.select("doc_id", "digest"), winners, "digest", "group_size", "doc_id")
+    else:
         twice = staged(twice, "exact-twice")
         full = rows.join(twice, "digest", "left_semi")
-        apart = full.join(_winners(full, salts), ["digest", "norm"]).select(*out.columns)
-        out = out.join(twice, "digest", "left_anti").select(*apart.columns).union(apart)
+        apart = full.join(_winners(full, salts), ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size")
+        single = staged(winners.join(twice, "digest", "left_anti"), "exact-single")
+        out = looked_up(rows.select("doc_id", "digest"), single.select(*winners.columns), "digest", "group_size", "doc_id").unionByName(apart)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, ranked, restored, small_batches
+from .common import exact, ranked, restored
 
 SEQUENCE = 4096
 END_ID = 1
@@ -165,7 +165,6 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     plain = exact(docs, ["doc_id"])
     kind = plain.schema["doc_id"].dataType.simpleString()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, restored, small_batches
+from .common import exact, restored
 
 #: Byte classes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line break, 6 sentence mark, 7 other mark, 8 UTF-8 lead or tail.
 _CLASS = np.zeros(256, np.uint8)
@@ -262,7 +262,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = 20_000, thresh
     empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = spark.sparkContext.broadcast(train(docs, labels, rows))
     ins = exact(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), ["doc_id"])

@@ -1,6 +1,6 @@
 """Dictionary-compressed WARC archives: writer and reader.
 
-Each file starts with a skippable frame that holds a Zstandard dictionary built from the file's own
+Each file starts with a skippable frame that holds a Zstandard dictionary built from the file's own first
 records; every record after it is a frame of its own, compressed with that dictionary. Of equal
 payloads one record holds the payload (response) and the others point to it (revisit).
 """
@@ -18,23 +18,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, staged
+from .common import looked_up, partitions, scratch, staged
 
 #: Magic number of the skippable frame that holds a dictionary, by the public WARC-Zstandard proposal.
 DICTIONARY_FRAME = 0x184D2A5D
 DICTIONARY_BYTES = 32_768
 #: Bytes of records that a file holds before compression, if no single record is longer.
-FILE_BYTES = 12_000_000
-#: Bytes of records, taken evenly over the file, from which its dictionary is built.
-TRAINING_BYTES = 2_000_000
+FILE_BYTES = 1 << 30
+#: Bytes of records that are held until a file's dictionary is built, and of samples taken evenly from them.
+HELD_BYTES, TRAINING_BYTES = 12_000_000, 2_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-page")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """One WARC record. Line breaks in a url are percent-encoded, since a header has one line."""
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(_NAMESPACE, str(i))}>"
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, kind: str, refers_to: int | None, place: str = "") -> bytes:
+    """One WARC record of a payload of ``size`` bytes, which a revisit need not hold. Line breaks in a url are percent-encoded.
+
+    A page's record id follows from its page_id and digest; a record of null id is named by its ``place`` instead.
+    """
+    name = lambda i: f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{i}/{digest}' if i is not None else f'null/{place}')}>"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -42,7 +45,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
         "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Target-URI: " + (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"Payload-Bytes: {len(payload)}",
+        f"Payload-Bytes: {size}",
         "Content-Type: application/http; msgtype=response",
     ]
     if page_id is not None:
@@ -68,14 +71,50 @@ def build_dictionary(records: list[bytes]):
         return zstandard.ZstdCompressionDict(b"".join(samples)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
+class ArchiveWriter:
+    """One file on an open stream: holds records until the dictionary is built, then writes each as it comes."""
+
+    def __init__(self, stream, level: int = 3):
+        self.stream, self.level, self.squeeze = stream, level, None
+        self.held: list[bytes] = []
+        self.size = self.records = 0
+
+    def add(self, one: bytes) -> None:
+        self.size += len(one)
+        self.records += 1
+        if self.squeeze:
+            self.stream.write(self.squeeze.compress(one))
+            return
+        self.held.append(one)
+        if self.size >= HELD_BYTES:
+            self._begin()
+
+    def _begin(self) -> None:
+        import zstandard
+
+        words = build_dictionary(self.held)
+        data = words.as_bytes()
+        self.squeeze = zstandard.ZstdCompressor(level=self.level, dict_data=words, write_checksum=True)
+        self.stream.write(struct.pack("<II", DICTIONARY_FRAME, len(data)) + data)
+        for one in self.held:
+            self.stream.write(self.squeeze.compress(one))
+        self.held = []
+
+    def close(self) -> None:
+        if not self.squeeze:
+            self._begin()
+        self.stream.close()
+
+
 def archive(records: list[bytes], level: int = 3) -> bytes:
     """The bytes of one file."""
-    import zstandard
-
-    words = build_dictionary(records)
-    data = words.as_bytes()
-    squeeze = zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=True)
-    return struct.pack("<II", DICTIONARY_FRAME, len(data)) + data + b"".join(map(squeeze.compress, records))
+    out = io.BytesIO()
+    writer = ArchiveWriter(out, level)
+    for one in records:
+        writer.add(one)
+    if not writer.squeeze:
+        writer._begin()
+    return out.getvalue()
 
 
 def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -114,25 +153,22 @@ def _write(folder: str):
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         task, made = TaskContext.get().taskAttemptId(), []
-
-        def flush(records: list[bytes]) -> None:
-            # The attempt is part of the name: a task that runs again writes files of its own.
-            name = f"pages-{task:06d}-{len(made):05d}.warc.zst"
-            with store.open_output_stream(f"{root}/{name}", compression=None) as f:
-                f.write(archive(records))
-            made.append((f"{folder}/{name}", len(records)))
-
-        held, size = [], 0
+        writer = None
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                one = record(r.page_id and int(r.page_id), r.url, r.payload, _base32(r.sha1), r.record_type, r.first_id and int(r.first_id))
-                held.append(one)
-                size += len(one)
-                if size >= FILE_BYTES:
-                    flush(held)
-                    held, size = [], 0
-        if held:
-            flush(held)
+                if writer is None:
+                    # The attempt is part of the name: a task that runs again writes files of its own.
+                    name = f"pages-{task:06d}-{len(made):05d}.warc.zst"
+                    writer = ArchiveWriter(store.open_output_stream(f"{root}/{name}", compression=None))
+                    made.append([f"{folder}/{name}", 0])
+                payload = b"" if r.payload is None else r.payload
+                writer.add(record(r.page_id and int(r.page_id), r.url, payload, int(r.bytes), _base32(r.sha1), r.record_type, r.first_id and int(r.first_id), "/".join(map(str, made[-1]))))
+                made[-1][1] += 1
+                if writer.size >= FILE_BYTES:
+                    writer.close()
+                    writer = None
+        if writer is not None:
+            writer.close()
         yield pd.DataFrame(made, columns=["path", "records"])
 
     return run
@@ -146,6 +182,11 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def number(head: dict[str, str], key: str) -> int | None:
         return int(head[key]) if key in head else None
 
+    def table(out: list[tuple]) -> pd.DataFrame:
+        names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        columns = dict(zip(names, zip(*out, strict=True), strict=True)) if out else {n: [] for n in names}
+        return pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n in ("page_id", "refers_to") else list(v) for n, v in columns.items()})
+
     for pdf in batches:
         for path in pdf["path"]:
             store, at = fs.FileSystem.from_uri(path)
@@ -158,31 +199,32 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                             raise ValueError(f"{path}: a payload differs from its digest")
                     out.append((number(head, "Page-Id"), size, digest, head["WARC-Type"], number(head, "Refers-To-Page-Id")))
-            names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-            columns = dict(zip(names, zip(*out, strict=True), strict=True)) if out else {n: [] for n in names}
-            yield pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n in ("page_id", "refers_to") else list(v) for n, v in columns.items()})
+                    if len(out) == 10_000:
+                        yield table(out)
+                        out = []
+            yield table(out)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write one record per row of ``pages`` into WARC files under ``folder``; returns (path, records) per file.
 
     Of rows with equal payloads of ``least`` bytes or more, that of the smallest id is the response and the
-    others are revisits of it; rows of that id again (repeated rows) are responses too. Null html is the
+    others are revisits of it; rows of that id again (repeated rows, of one record id) are responses too. Null html is the
     empty payload, a null url is about:blank. A row of null id is a revisit where its payload has an id, else
     a response without one. An empty table gives no files; other columns are ignored, whatever their names.
     """
-    spark = pages.sparkSession
-    small_batches(spark, 200)
-    folder = folder or scratch(spark, "warc")
+    folder = folder or scratch(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    keys = ["sha1", "sha2", "bytes"]
-    rows = rows.withColumns({"sha1": F.sha1("payload"), "sha2": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
-    first = staged(rows.where(F.col("bytes") >= least).groupBy(*keys).agg(F.min("page_id").alias("first_id")), "warc-first")
-    rows = rows.join(first, keys, "left")
+    rows = rows.withColumns({"sha1": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
+    rows = rows.withColumn("of", F.concat_ws("/", "sha1", F.sha2("payload", 256), "bytes"))
+    first = rows.where(F.col("bytes") >= least).groupBy("of").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    # Rows of a heavy payload are revisits but for the first, and move without it.
+    is_first = lambda found: found["first_id"].isNull() | F.col("page_id").eqNullSafe(found["first_id"])
+    rows = looked_up(rows, staged(first, "warc-first"), "of", "n", "page_id", "left", bare="payload", needed=is_first)
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     text = lambda c: F.col(c).cast("string")  # noqa: E731  pandas would make floats of ids with nulls
-    rows = rows.select(text("page_id").alias("page_id"), "url", "payload", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, text("first_id")).alias("first_id"))
+    rows = rows.select(text("page_id").alias("page_id"), "url", F.when(~again, F.col("payload")).alias("payload"), "bytes", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, text("first_id")).alias("first_id"))
     return staged(rows.mapInPandas(_write(folder), "path string, records long"), "warc-files")
 
 
@@ -191,7 +233,7 @@ def read_archives(files: DataFrame) -> DataFrame:
 
     Payloads are checked against length and digest; a file that was changed raises an error.
     """
-    n = max(1, files.count())
+    n = max(1, min(files.count(), 4 * partitions(files.sparkSession)))
     return files.select("path").repartition(n).mapInPandas(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

@@ -147,6 +147,46 @@ def test_lookup_of_heavy_keys(spark):
         assert got == sorted((i, k, held.get(k), f"v{k}" if k in held else None) for k, i in rows if how == "left" or k in held)
 
 
+def naive_differencing(sizes, k):
+    """Karmarkar-Karp on lists: the sums of the k parts."""
+    held = [(i, [0] * (k - 1) + [x]) for i, x in enumerate(sizes)]
+    new = len(held)
+    while len(held) > 1:
+        held.sort(key=lambda h: (min(h[1]) - max(h[1]), h[0]))
+        (_, a), (_, b) = held[:2]
+        held = [*held[2:], (new, [x + y for x, y in zip(sorted(a), sorted(b, reverse=True), strict=True)])]
+        new += 1
+    return sorted(held[0][1])
+
+
+def sharded(rows):
+    """Sums by shard, after the checks that every result must pass."""
+    by_text, by_shard = defaultdict(set), defaultdict(list)
+    for r in rows:
+        by_text[r["text_crc32"], r["size"]].add(r["shard"])
+        by_shard[r["shard"]].append(r)
+    assert all(len(s) == 1 for s in by_text.values())
+    assert all(sorted(r["slot"] for r in s) == list(range(len(s))) for s in by_shard.values())
+    return sorted([sum(r["size"] for r in by_shard[k]) for k in by_shard])
+
+
+def test_shards_are_those_of_naive_differencing(spark, docs, texts):
+    rows = [(i, t) for i, t in texts.items()] + [(10**6 + i, None) for i in range(3)] + [(10**6 + 9, ""), (10**6 + 9, "")]
+    got = sharded(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    groups = defaultdict(int)
+    for _, t in rows:
+        groups[t] += len((t or "").encode()) + 8
+    assert got == [x for x in naive_differencing(sorted(groups.values(), reverse=True), 24) if x]
+
+
+def test_shards_of_many_tasks(spark, docs, monkeypatch):
+    """Partial partitions combined over three levels are still near equal."""
+    monkeypatch.setattr(sharding, "GROUPS_PER_TASK", 40)
+    monkeypatch.setattr(sharding, "PARTS_PER_TASK", 2)
+    sums = sharded(sharding.shard_documents(docs, shards=5).collect())
+    assert len(sums) == 5 and sums[-1] - sums[0] < 0.02 * sum(sums) / 5
+
+
 def test_ranked_is_a_row_number(spark):
     rows = [(i % 3 if i % 7 else None, i % 5, i) for i in range(300)]
     df = spark.createDataFrame(rows, "k int, v int, id int")
