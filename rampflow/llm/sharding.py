@@ -108,7 +108,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
 
     Returns doc_id, size long (UTF-8 bytes, null none, plus 8), text_crc32 long (null: that of no
     bytes, 0), law 'bytes', shard int, slot long (gapless from 0 in each shard, by doc_id),
-    grown_shard int (null). Null texts are one group, apart from empty ones. Repeated rows are equal
+    grown_shard int (null). Null texts are one group with empty ones. Repeated rows are equal
     texts and stay together, each with a slot. A group heavier than an even share fills a shard by itself.
     Texts of any length count whole; rows of equal doc_id take neighbouring slots in no certain order.
     An empty table gives no rows; other columns of ``docs`` are ignored, whatever their names.
@@ -118,7 +118,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.sha2(text, 256), F.lit("null")).alias("digest"),
+        F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"),
     )
     rows = staged(rows, "shard-rows")
     groups = staged(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-groups")

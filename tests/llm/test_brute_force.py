@@ -175,7 +175,7 @@ def test_shards_are_those_of_naive_differencing(spark, docs, texts):
     got = sharded(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     groups = defaultdict(int)
     for _, t in rows:
-        groups[t] += len((t or "").encode()) + 8
+        groups[t or ""] += len((t or "").encode()) + 8
     assert got == [x for x in naive_differencing(sorted(groups.values(), reverse=True), 24) if x]
 
 
