@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ OTHER, PAD, FIRST = 1, 2, 3
 #: Codes of a text that are walked in lock step with others.
 STRETCH = 256
 #: Letters of text times languages that one step holds at most.
-STEP = 6_000_000
+STEP = 3_000_000
 #: Letters of all references together: at most some 150 MB are broadcast.
 MOST_LETTERS = 4_000_000
 UNDETERMINED = "und"
@@ -47,10 +48,10 @@ class Model:
     roots: np.ndarray  # per language
     scale: float  # log2 of the longest reference's length
 
-    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Next states, -1 where there is no transition."""
-        slot = self.base[state] + c
-        return np.where(self.owner[slot] == state, self.target[slot], -1)
+    @cached_property
+    def indexes(self) -> tuple[np.ndarray, ...]:
+        """base, owner, target and first in the type that look-ups take without conversion."""
+        return tuple(x.ravel().astype(np.intp) for x in (self.base, self.owner, self.target, self.first))
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -169,44 +170,51 @@ def train(samples: dict[str, str]) -> Model:
 def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     """Phrases [text, language] of the greedy cross-parse of each text."""
     n, rows = len(model.languages), [-(-len(x) // STRETCH) for x in codes]
-    flat = np.full(sum(rows) * STRETCH, PAD, np.int32)
-    at, follows = 0, np.ones(sum(rows), bool)
+    width, stretches = model.first.shape[1], sum(rows)
+    flat = np.full(stretches * STRETCH, PAD, np.intp)
+    at, follows = 0, np.ones(stretches, bool)
     for x, r in zip(codes, rows, strict=True):
         flat[at : at + len(x)] = x
         if r:
             follows[at // STRETCH] = False
         at += r * STRETCH
     columns = np.ascontiguousarray(flat.reshape(-1, STRETCH).T)
-    root = model.roots[:, None]
-    held = np.empty((STRETCH, n, columns.shape[1]), model.roots.dtype)
+    base, owner, target, first = model.indexes
+    # Element l * stretches + j is the walk of stretch j in language l.
+    root = np.repeat(model.roots.astype(np.intp), stretches)
+    row = np.repeat(np.arange(n, dtype=np.intp) * width, stretches)
+    held = np.empty((STRETCH, n * stretches), np.intp)
     starts = np.empty(held.shape, bool)
 
-    def walk(state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def walk(state: np.ndarray, c: np.ndarray, root: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # A phrase starts at a root, where nothing is matched yet, and where the match cannot go on.
-        start = state == root
-        state = model.step(state, c)
-        stop = state < 0
-        return np.where(stop, model.first[:, c], state), (start | stop) & (c != PAD)
-
-    state = np.repeat(root, columns.shape[1], 1)
+        slot = base.take(state) + c
+        stop = owner.take(slot) != state
+        after = target.take(slot)
+        again = np.flatnonzero(stop)
+        after[again] = first.take(row.take(again) + c.take(again))
+        return after, ((state == root) | stop) & (c != PAD)
+
+    state = root
     for t, c in enumerate(columns):
-        state, starts[t] = walk(state, c)
-        held[t] = state
-    count = starts.sum(0, dtype=np.int32)
-    todo = np.flatnonzero(follows)
+        held[t], starts[t] = state, now = walk(state, np.tile(c, n), root, row)
+    count = starts.sum(0, dtype=np.int64)
+    todo = np.flatnonzero(np.tile(follows, n))
+    todo = todo[held[-1, todo - 1] != root[todo]]
     while len(todo):
-        # From the state before it; once a stretch's two walks meet they stay together.
-        last, state = held[-1][:, todo].copy(), held[-1][:, todo - 1]
+        # From the state that the stretch before ends in; once the two walks of a stretch meet they stay together.
+        state = held[-1, todo - 1]
         for t in range(STRETCH):
-            old, was = held[t][:, todo], starts[t][:, todo]
-            state, now = walk(state, columns[t, todo])
-            count[:, todo] += now.astype(np.int32) - was
-            held[t][:, todo], starts[t][:, todo] = state, now
-            if (state == old).all():
+            state, now = walk(state, columns[t].take(todo % stretches), root[todo], row[todo])
+            count[todo] += now.astype(np.int64) - starts[t, todo]
+            apart = state != held[t, todo]
+            held[t, todo], starts[t, todo] = state, now
+            todo, state = todo[apart], state[apart]
+            if not len(todo):
                 break
-        moved = todo[(held[-1][:, todo] != last).any(0)] + 1
-        moved = moved[moved < len(follows)]
-        todo = moved[follows[moved]]
+        todo = todo[(todo + 1) % stretches != 0] + 1
+        todo = todo[follows[todo % stretches]]
+    count = count.reshape(n, stretches)
     ends = np.cumsum(rows)
     total = np.concatenate((np.zeros((n, 1), np.int64), np.cumsum(count, 1)), 1)
     return (total[:, ends] - total[:, ends - rows]).T
