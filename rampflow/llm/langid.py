@@ -31,7 +31,7 @@ OTHER, PAD, FIRST = 1, 2, 3
 #: Codes of a text that are walked in lock step with others.
 STRETCH = 256
 #: Letters of text times languages that one step holds at most.
-STEP = 3_000_000
+STEP = 6_000_000
 #: Letters of all references together: at most some 150 MB are broadcast.
 MOST_LETTERS = 4_000_000
 UNDETERMINED = "und"

@@ -488,3 +488,20 @@ def test_pipeline(spark, docs, texts):
     comp = components_of({i: shingle_set(texts[i], 5) for i in first.values()}, 80)
     assert {r["doc_id"] for r in c.collect()} == {i for i, k in comp.items() if i == k}
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("largest", [3.0, 4e5])
+def test_search_of_many_blocks_far_components_and_large_products(spark, monkeypatch, largest):
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "SAMPLE", 20)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 6))
+    x[rng.integers(0, 900, 20), rng.integers(0, 6, 20)] = largest * rng.normal(size=20)
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(1024 * c)) for c in a] for a in x]
+    want = []
+    for q in range(0, 900, 100):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(v, k=10).collect()) == want
