@@ -47,12 +47,13 @@ def same_keys(a: DataFrame, b: DataFrame, keys: list[str], name: str) -> DataFra
 
 
 def close(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float, name: str) -> DataFrame:
-    """Values agree within a tolerance in every common cell; missing in both counts as equal."""
-    x = a.select(*keys, *[F.col(v).alias(f"_a_{v}") for v in values])
-    y = b.select(*keys, *[F.col(v).alias(f"_b_{v}") for v in values])
+    """Both tables have the same cells and their values agree within a tolerance; missing in both counts as equal."""
+    x = a.select(*keys, F.lit(True).alias("_in_a"), *[F.col(v).alias(f"_a_{v}") for v in values])
+    y = b.select(*keys, F.lit(True).alias("_in_b"), *[F.col(v).alias(f"_b_{v}") for v in values])
     pairs = [(F.col(f"_a_{v}"), F.col(f"_b_{v}")) for v in values]
     far = F.greatest(*[F.when(p.isNull() & q.isNull(), 0.0).otherwise(F.coalesce(F.abs(p - q), F.lit(float("inf")))) for p, q in pairs], F.lit(0.0))
-    return check(x.join(y, keys), name, F.max(far) <= tolerance, F.max(far))
+    far = F.when(F.col("_in_a") & F.col("_in_b"), far).otherwise(float("inf"))  # a cell of one table alone is infinitely far
+    return check(x.join(y, keys, "full_outer"), name, F.coalesce(F.max(far), F.lit(0.0)) <= tolerance, F.coalesce(F.max(far), F.lit(0.0)))
 
 
 def matching(df: DataFrame, column: str, pattern: str, name: str) -> DataFrame:

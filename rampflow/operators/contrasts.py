@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import average_rank, cohens_dz, pearson, ratio, with_bh
-from ..functions.dist import signed_rank
+from ..functions.dist import signed_rank, t_sf2
 from ..schema import CONTRASTS, PHASES
 from .grouped import per_group
-from .kernels.bootstrap import STATISTICS, bca
+from .kernels.bootstrap import STATISTICS, bca, correlation, ranks
 
 
 def wide(df: DataFrame, value: str, *keys: str, phases: tuple[str, ...] = PHASES) -> DataFrame:
@@ -124,6 +127,35 @@ def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y").alias("rho"))
 
 
+def correlations(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """n, Spearman's rho and Pearson's r of complete pairs with their p values (Student's t); null under 3 pairs or without spread."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = rows.withColumns({"_x": average_rank(x, *keys), "_y": average_rank(y, *keys)})
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y").alias("rho"), pearson(x, y).alias("r"))
+
+    def kernel(key, n, *both):
+        tails = [t_sf2(abs(c[0]) * math.sqrt((n[0] - 2) / (1 - c[0] ** 2)), n[0] - 2) if n[0] > 2 and abs(c[0]) < 1 else (0.0 if abs(c[0]) >= 1 else math.nan) for c in both]
+        return int(n[0]), float(both[0][0]), float(both[1][0]), *tails
+
+    return per_group(out, list(keys), ["n"], ["n", "rho", "r"], kernel, "n long, rho double, r double, rho_p double, r_p double")
+
+
+def leave_one_out_correlations(df: DataFrame, x: str, y: str, *keys: str, on: str = "subject") -> DataFrame:
+    """rho and r of each group with each participant left out; a group is the participants of one study, one array."""
+
+    def kernel(key, who, a, b):
+        keep = np.isfinite(a) & np.isfinite(b)
+        a, b, out = a[keep], b[keep], []
+        for i in range(len(a)):
+            u, v = np.delete(a, i), np.delete(b, i)
+            out.append((float(i), len(u), float(correlation(ranks(u), ranks(v))), float(correlation(u, v))))
+        return out
+
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(on)) - 1)
+    found = per_group(rows, list(keys), ["_at"], ["_at", x, y], kernel, "_at double, n long, rho double, r double")
+    return found.join(rows.select(*keys, F.col("_at").cast("double").alias("_at"), F.col(on).alias("omitted")), [*keys, "_at"]).drop("_at")
+
+
 def partial_spearman(df: DataFrame, x: str, y: str, z: str, *keys: str) -> DataFrame:
     """Spearman of what is left of the ranks of x and y once the ranks of z are taken out."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
@@ -148,4 +180,4 @@ def classify(df: DataFrame, low: str, high: str, n: str, least: int = 15) -> Dat
     return df.withColumn("class", c)
 
 
-__all__ = ["bland_altman", "classify", "differences", "intervals", "jackknife_means", "leave_one_out", "partial_spearman", "pearson_ci", "signed_rank_p", "signed_ranks", "spearman", "summary", "theil_sen", "wide", "with_bh"]
+__all__ = ["bland_altman", "classify", "correlations", "differences", "intervals", "jackknife_means", "leave_one_out", "leave_one_out_correlations", "partial_spearman", "pearson_ci", "signed_rank_p", "signed_ranks", "spearman", "summary", "theil_sen", "wide", "with_bh"]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def per_group(df: DataFrame, keys: list[str], order: list[str], values: list[str], kernel: Callable[..., Iterable[tuple] | tuple | dict], schema: str) -> DataFrame:
     """Run ``kernel(key, *arrays)`` on every group of ``keys``, rows in ``order``; it returns one or several rows.
@@ -17,6 +19,7 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], values: list[str
     batch; a group of one series has to fit a row, as the kernels hold a whole series in any case.
     Nulls arrive as NaN. ``schema`` has the result's own columns; the keys go in front.
     """
+    ship(df.sparkSession)
     packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*dict.fromkeys([*order, *values])))).alias("_rows"))
 
     def column(v: str):

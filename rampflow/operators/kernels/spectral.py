@@ -120,6 +120,7 @@ def phase_surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 def coherence_test(x: np.ndarray, y: np.ndarray, surrogates: int = 1_000, seed=0, **options) -> tuple[float, float, float, int]:
     """(observed, 95 % point of the nulls, Monte-Carlo p, exceedances); the first series is drawn first."""
+    # Segments of 512 with 256 in common at 4 Hz, and the band.
     o = {"size": 512, "overlap": 256, "rate": 4.0, "band": (0.08, 0.12)} | options
     x, y = detrend(x), detrend(y)
     check_options(**o)
@@ -134,10 +135,11 @@ def coherence_test(x: np.ndarray, y: np.ndarray, surrogates: int = 1_000, seed=0
 
 
 def coloured_pair(coupled: bool, rng: np.random.Generator, n: int = 1_200, rate: float = 4.0, band: tuple[float, float] = (0.08, 0.12)) -> tuple[np.ndarray, np.ndarray]:
-    """Two AR(1) noises (0.85 and 0.80), with a common stochastic component in the band if ``coupled``.
+    """Two AR(1) noises, with a common stochastic component in the band if ``coupled``.
 
     The component is white noise shaped by the squared gain of a fourth-order Butterworth band-pass, that
-    is, as filtered forwards and backwards; its SD is 2.5, and the second series gets 0.9 of it.
+    is, as filtered forwards and backwards. Fixed values: the noises' weights 0.85 and 0.80, the component's SD
+    2.5, of which the second series gets 0.9, 1,200 samples, 4 Hz, 0.08 to 0.12 Hz.
     """
     out = []
     for a in (0.85, 0.80):

@@ -95,6 +95,8 @@ def analyse(sbp: np.ndarray, rri: np.ndarray, lowest: int = 1, highest: int = 10
             raise ValueError("no variation")
         y = np.column_stack([(v - v.mean()) / v.std() for v in series])
         p, _ = select_order(y, lowest, highest)
+        if not p:
+            raise ValueError("the criterion chose order zero")
         b, e = ols(*lagged(y, p))
         lags = max(20, p + 5)
         if lags >= len(e):

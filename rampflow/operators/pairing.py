@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship
+
 
 def first_follower(left: DataFrame, right: DataFrame, within: float, key: str = "subject", t: str = "t") -> DataFrame:
     """For each left event the first right event of the key in [t, t + within]; a right event may serve several.
@@ -36,6 +38,7 @@ def one_to_one(left: DataFrame, right: DataFrame, within: float, key: str = "sub
                 j += 1
         return pd.DataFrame(out, columns=[key, "t_left", "t_right"])
 
+    ship(both.sparkSession)
     kind = both.schema[key].dataType.simpleString()
     return both.groupBy(key).applyInPandas(run, f"{key} {kind}, t_left double, t_right double")
 

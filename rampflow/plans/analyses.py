@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import with_bh
-from ..operators import audit, context, contrasts, prevalence, ramps, segment, summaries
+from ..operators import audit, context, contrasts, decisions, linear, prevalence, ramps, segment, summaries
 from ..operators.grouped import per_group
-from ..operators.kernels import nonlinear, spectral, var
+from ..operators.kernels import bootstrap, nonlinear, spectral, var
 from ..schema import BRANCHES, CANONICAL, CELL, FACTORIAL, NEIGHBOURS, OFAT, SUBPHASE_CONTRASTS, windows_frame
 
 Tables = dict[str, DataFrame]
@@ -214,3 +214,160 @@ def coupling_analysis(beats: DataFrame, methods: tuple[str, ...] = ("CE", "LP",
         "missing": summaries.missingness(cells, "strength", "method", "direction", "phase"),
         "contrasts": summaries.phase_contrasts(cells.select("method", "direction", *CELL, "strength"), "strength", "method", "direction", times=times, seed=seed),
     }
+
+
+#: Shifts of one job; a cell's surrogates are dealt over so many tasks as they need.
+SHIFTS_PER_JOB = 25
+
+
+def shift_tests(segments: DataFrame, methods: tuple[str, ...] = ("LP", "CE", "SSC"), count: int = 199, seed: int = 20260807) -> DataFrame:
+    """Both directions of every cell against circular shifts of the source: strength, 95 % point, p, significant.
+
+    A job is one cell, method, direction and block of shifts. A cell's shifts are drawn from a stream of its own, all of
+    them in every job, so that the result does not depend on the blocks. Any failed estimate makes the test null.
+    """
+    spark, blocks = segments.sparkSession, -(-count // SHIFTS_PER_JOB)
+    packed = segments.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("beat_idx", "sbp", "rri"))).alias("rows"))  # at most one centred segment
+    ways = spark.createDataFrame([(m, d, b) for m in methods for d in ("sbp_to_rri", "rri_to_sbp") for b in range(blocks)], "method string, direction string, block int")
+    jobs = packed.crossJoin(F.broadcast(ways)).repartition(2 * spark.sparkContext.defaultParallelism, *CELL, "method", "direction", "block")
+    jobs = jobs.select(*CELL, "method", "direction", "block", F.posexplode("rows").alias("i", "r")).select(*CELL, "method", "direction", "block", "i", "r.sbp", "r.rri")
+
+    def kernel(key, p, r):
+        *cell, method, direction, block = key
+        p, r = nonlinear.standardise(p), nonlinear.standardise(r)
+        target, source = (r, p) if direction == "sbp_to_rri" else (p, r)
+        try:
+            rng = np.random.default_rng([seed, ["LP", "CE", "SSC"].index(method), int(direction == "rri_to_sbp"), *map(ord, "/".join(cell))])
+            shifts = nonlinear.shift_offsets(len(source), count, rng)
+        except ValueError:
+            return [(None, None)]
+        seen = nonlinear.estimate(method, target, source)["strength"]
+        some = shifts[int(block) * SHIFTS_PER_JOB :][:SHIFTS_PER_JOB]
+        return [(seen, nonlinear.estimate(method, target, np.roll(source, s))["strength"]) for s in some]
+
+    null = per_group(jobs, [*CELL, "method", "direction", "block"], ["i"], ["sbp", "rri"], kernel, "seen double, shifted double")
+    out = null.groupBy(*CELL, "method", "direction").agg(
+        F.max("seen").alias("strength"),
+        F.sort_array(F.collect_list("shifted")).alias("_null"),  # ``count`` values at most
+        F.count_if(F.col("shifted") >= F.col("seen")).alias("_hits"),
+    )
+    whole = (F.size("_null") == count) & F.col("strength").isNotNull()
+    edge = F.when(whole, F.col("_null")[int(np.ceil(0.95 * (count - 1)))])
+    out = out.withColumns({"edge": edge, "p": F.when(whole, (1 + F.col("_hits")) / (1 + count))})
+    return out.withColumn("significant", F.coalesce(F.col("strength") > F.col("edge"), F.lit(False))).drop("_null", "_hits")
+
+
+def coupling_validation(spark, replicates: int = 200, shifts: int = 39, n: int = 256, methods: tuple[str, ...] = ("LP", "CE", "SSC"), seed: int = 20260807) -> Tables:
+    """The neighbour estimators on simulated pairs of known coupling, a shift test where there is none, and the gate.
+
+    A job is one scenario, noise, replicate and method; the whole has 5 x 2 x 200 x 3 of them.
+    """
+    grid = [(s, i, m) for s in nonlinear.SCENARIOS for i in range(len(nonlinear.NOISES)) for m in methods]
+    jobs = spark.createDataFrame(grid, "scenario string, level int, method string").crossJoin(spark.range(replicates).withColumnRenamed("id", "replicate"))
+    jobs = jobs.repartition(4 * spark.sparkContext.defaultParallelism, "scenario", "level", "method", "replicate").withColumn("one", F.lit(1.0))
+    names = list(nonlinear.SCENARIOS)
+
+    def kernel(key, _):
+        scenario, level, method, replicate = key
+        x, y = nonlinear.simulate(scenario, int(level), int(replicate), seed, n)
+        out, hits = [nonlinear.estimate(method, y, x)["strength"], nonlinear.estimate(method, x, y)["strength"]], [None, None]
+        if scenario == "uncoupled_linear":
+            for i, (target, source) in enumerate(((y, x), (x, y))):
+                p = nonlinear.shift_test(method, target, source, shifts, [seed, 200, names.index(scenario), int(level), int(replicate), i])[0]
+                hits[i] = bool(p < 0.05) if np.isfinite(p) else None
+        return *out, *hits
+
+    rows = per_group(jobs, ["scenario", "level", "method", "replicate"], ["one"], ["one"], kernel, "forward double, reverse double, forward_hit boolean, reverse_hit boolean")
+    rows = rows.withColumn("noise", F.array(*[F.lit(x) for x in nonlinear.NOISE_NAMES])[F.col("level")]).drop("level")
+    summary = decisions.validation_summary(rows)
+    return {"rows": rows, "summary": summary, "gate": decisions.method_gate(summary)}
+
+
+def association_analysis(changes: DataFrame, times: int = 10_000, permutations: int = 100_000, seed: int = 20260801, intervals: bool = True) -> Tables:
+    """How changes of gain follow changes of pressure over participants, from rows (method, subject, x, y, pre, stim).
+
+    Statistics with bootstrap intervals and a permutation test (the dear part, left out without ``intervals``), each
+    participant left out, robust models of the gain under stimulation adjusted for the one before, influence, residual tests,
+    and the class of the association. One study's participants are one array for the resampling kernels.
+    """
+    rho = contrasts.correlations(changes, "x", "y", "method")
+    omitted = contrasts.leave_one_out_correlations(changes, "x", "y", "method")
+    ref = changes.where("method = 'REF'")
+    whole = lambda c: (F.col(c) - F.avg(c).over(_all)) / F.stddev_samp(c).over(_all)
+    from pyspark.sql.window import Window
+
+    _all = Window.partitionBy("method")
+    raw = linear.fit(ref, ["method"], "stim", ["pre", "x"])
+    scaled = linear.fit(ref.select("method", "subject", *[whole(c).alias(c) for c in ("stim", "pre", "x")]), ["method"], "stim", ["pre", "x"])
+    simple = linear.fit(ref, ["method"], "y", ["x"])
+    slope = linear.coefficients(raw).where("term = 'x'").select("b")
+    out = {
+        "rho": rho,
+        "leave_one_out": omitted,
+        "models": linear.coefficients(raw).withColumn("model", F.lit("raw")).unionByName(linear.coefficients(scaled).withColumn("model", F.lit("standardised"))),
+        "influence": simple.rows.select("method", "subject", "leverage", "cook", "large").withColumn("model", F.lit("simple")).unionByName(raw.rows.select("method", "subject", "leverage", "cook", "large").withColumn("model", F.lit("adjusted"))),
+        "residuals": linear.residual_tests(raw, "subject"),
+        "partial": contrasts.partial_spearman(ref, "x", "stim", "pre", "method"),
+        "classification": decisions.association_class(rho.select("method", "n", "rho"), omitted.select("method", "rho"), slope),
+    }
+    if intervals:
+
+        def kernel(key, x, y):
+            first = key[0] == "REF"
+            r, p = bootstrap.permutation_spearman(x, y, permutations, seed + 1) if first else (None, None)
+            made = [("spearman", *bootstrap.bca_correlation(x, y, True, times, [seed, *map(ord, key[0])]), p)]
+            if first:
+                made.append(("theil_sen", *bootstrap.theil_sen(x, y, times, seed + 2), None))
+            return made
+
+        drawn = per_group(changes, ["method"], ["subject"], ["x", "y"], kernel, "analysis string, estimate double, low double, high double, permutation_p double")
+        drawn = drawn.join(rho.select("method", "n", F.col("rho_p").alias("p")), "method").withColumn("p", F.when(F.col("analysis") == "spearman", F.col("p")))
+        linear_r = contrasts.pearson_ci(changes, "x", "y", "method").join(rho.select("method", F.col("r_p").alias("p")), "method")
+        linear_r = linear_r.select("method", F.lit("pearson").alias("analysis"), F.col("r").alias("estimate"), "low", "high", F.lit(None).cast("double").alias("permutation_p"), "n", "p")
+        out["statistics"] = drawn.unionByName(linear_r)
+    return out
+
+
+#: The eight outcomes of the context family.
+CONTEXT_FAMILY = ("n_beats", "mean_rri", "mean_hr", "mean_sbp", "sd_sbp", "sd_rri", "rmssd", "hf_power")
+
+
+def context_family(beats: DataFrame, band: tuple[float, float] = (0.15, 0.40), times: int = 10_000) -> Tables:
+    """Eight context outcomes of every cell, their contrasts with BH over the eight within each contrast, and checks. Needs times."""
+    def kernel(key, t, r):
+        return (spectral.band_power(spectral.resample(t, [r])[1][0], *band),)
+
+    power = per_group(beats.where("t is not null"), CELL, ["t"], ["t", "rri"], kernel, "hf_power double")
+    cells = context.context(beats).join(power, CELL, "left").select(*CELL, *CONTEXT_FAMILY)
+    long = cells.select(*CELL, *[F.col(c).cast("double").alias(c) for c in CONTEXT_FAMILY]).unpivot(CELL, list(CONTEXT_FAMILY), "metric", "value")
+    pairs = contrasts.differences(long, "value", "metric")
+    table = contrasts.summary(pairs, "metric", "contrast").join(contrasts.signed_rank_p(pairs, "metric", "contrast"), ["metric", "contrast"])
+    table = with_bh(table, "p", "q", "contrast")
+    found = F.array_sort(F.collect_set("metric"))
+    n = beats.select(*CELL).distinct().agg(F.count(F.lit(1)).alias("want"))
+    return {
+        "cells": cells,
+        "phases": context.descriptives(long, "value", "metric", "phase"),
+        "contrasts": table,
+        "checks": audit.all_checks(
+            audit.check(long, "exact_family", found == F.array(*[F.lit(c) for c in sorted(CONTEXT_FAMILY)]), F.array_join(found, ",")),
+            audit.check(cells.crossJoin(n), "one_row_a_cell", F.count(F.lit(1)) == F.max("want"), F.count(F.lit(1))),
+            audit.check(table.groupBy("contrast").count(), "family_of_eight", F.bool_and(F.col("count") == len(CONTEXT_FAMILY)), F.max("count")),
+        ),
+    }
+
+
+def resampled_causality(beats: DataFrame, highest: int = 12) -> Tables:
+    """Causality on splines at 4 Hz with orders from 0 on: cells of order zero have no test. BH within phase and direction, prevalence."""
+    def kernel(key, t, s, r):
+        s, r = spectral.resample(t, [s, r])[1]
+        return var.analyse(s, r, 0, highest) | {"coherence": spectral.coherence(s, r) if len(s) else None}
+
+    fit = per_group(
+        beats.where("t is not null"), CELL, ["t"], ["t", "sbp", "rri"], kernel,
+        "order int, n_obs int, modulus double, stable boolean, whiteness_p double, normality_p double, f_forward double, p_forward double, f_reverse double, p_reverse double, reason string, coherence double",
+    )
+    ways = F.array(*[F.struct(F.lit(d).alias("direction"), F.col(f"f_{k}").alias("f"), F.col(f"p_{k}").alias("p")) for d, k in (("sbp_to_rri", "forward"), ("rri_to_sbp", "reverse"))])
+    tests = with_bh(fit.select(*CELL, "order", "modulus", "stable", "reason", F.inline(ways)), "p", "q", "phase", "direction")
+    tests = tests.withColumns({"nominal": F.when(F.col("stable"), F.col("p") < 0.05), "fdr": F.col("q") < 0.05})
+    return {"fits": fit, "tests": tests, "prevalence": prevalence.prevalence(tests, "nominal", "direction", "phase")}

@@ -278,7 +278,7 @@ def wilcoxon_p(spark, sf_dir):
 
 @query("bca_intervals")
 def bca_intervals(spark, sf_dir):
-    return rnd(contrasts.intervals(_pairs(spark, sf_dir, (CANONICAL,)), "setting", "contrast", times=2_000), "estimate", "low", "high")
+    return rnd(contrasts.intervals(_pairs(spark, sf_dir, (CANONICAL,)), "setting", "contrast"), "estimate", "low", "high")
 
 
 def _bh_sql(family: str) -> str:
@@ -434,7 +434,7 @@ def crc32_seed(spark, sf_dir):
     return cells.withColumn("seed", stable_seed(2026080710, F.col("subject"), F.col("phase")))
 
 
-_PATTERN = r"^lag(\d+)_r(\d)p(\d\d)_sbp(\d)p(\d)_len(\d+)_(mean|median)$"
+_PATTERN = r"^lag(\d+)_r(\d)p(\d\d)_sbp(\d)p(\d)_len(\d+)_(mean|median)(_directional_rri_gate)?$"
 
 
 @query(
@@ -461,8 +461,7 @@ def sequence_text(spark, sf_dir):
 
 @query("array_text")
 def array_text(spark, sf_dir):
-    b = beats(spark, sf_dir).where("beat_idx <= 5")
-    arrays = b.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("beat_idx", "sbp"))).alias("a"))
+    arrays = beats(spark, sf_dir).groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("beat_idx", "sbp"))).alias("a"))
     return arrays.select(*CELL, text_array(F.transform("a", lambda x: x["sbp"])).alias("text"))
 
 
@@ -599,19 +598,19 @@ def rows_hash(spark, sf_dir):
 @query("phase_contrast_table")
 def phase_contrast_table(spark, sf_dir):
     g = ramps.gains(beats(spark, sf_dir), OFAT).where("direction = 'all'").select("setting", *CELL, "gain")
-    out = summaries.phase_contrasts(g, "gain", "setting", times=500)
+    out = summaries.phase_contrasts(g, "gain", "setting")
     return rnd(out, *[c for c, k in out.dtypes if k == "double"])
 
 
 @query("uniform_table")
 def uniform_table(spark, sf_dir):
-    b = beats(spark, sf_dir, "event_type").where("phase = 'Pre'")
+    b = beats(spark, sf_dir, "event_type")
     first = Window.partitionBy("subject")
-    b = b.withColumn("t", (F.col("t") - F.min("t").over(first)) / 960.0)
+    b = b.withColumn("t", (F.col("t") - F.min("t").over(first)) / 2880.0)
     return rnd(waves.uniform_table(b, ["sbp", "rri"]), "sbp_uniform", "rri_uniform", digits=4)
 
 
 @query("wave_intervals")
 def wave_intervals(spark, sf_dir):
-    b = beats(spark, sf_dir, "event_type").where("phase = 'Pre'").withColumn("i", F.col("beat_idx").cast("long"))
+    b = beats(spark, sf_dir, "event_type").withColumn("i", F.unix_micros(F.timestamp_seconds("t")))
     return rnd(waves.intervals(waves.find_peaks(b, "sbp", 100.0, 3)), "rr", "t_middle", "hr")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import contrasts, ramps, segment
+from ..operators import contrasts, linear, ramps, segment
 from ..operators.grouped import per_group
 from ..operators.kernels import bootstrap, nonlinear, regression, spectral, var
 from ..schema import CANONICAL, CELL
@@ -50,7 +50,7 @@ def coherence_band(spark, sf_dir):
 def coherence_surrogates(spark, sf_dir):
     def kernel(key, t, s, r):
         s, r = _uniform(t, s, r)
-        return spectral.coherence_test(s, r, 49, seed=[20260805, sum(map(ord, "".join(key)))], size=256, overlap=128, band=(0.3, 0.6))
+        return spectral.coherence_test(s, r, 1_000, seed=[20260805, *map(ord, "/".join(key))], size=256, overlap=128, band=(0.3, 0.6))
 
     return rnd(_cells(_long(spark, sf_dir), ["t", "sbp", "rri"], kernel, "observed double, edge double, p double, hits long"), "observed", "edge", "p")
 
@@ -138,27 +138,22 @@ for _method in ("LP", "CE", "SSC"):
         return rnd(_cells(_segments(spark, sf_dir), ["sbp", "rri"], _coupled(method), _NL), "strength", "reduced", "full")
 
 
-@query("circular_shift_p")
-def circular_shift_p(spark, sf_dir):
-    def kernel(key, s, r):
-        s, r = nonlinear.standardise(s), nonlinear.standardise(r)
-        p, edge, hit = nonlinear.shift_test("SSC", r, s, 19, seed=[20260807, sum(map(ord, "".join(key)))])
-        return p, edge, bool(hit)
+for _method in ("LP", "CE", "SSC"):
 
-    return rnd(_cells(_segments(spark, sf_dir), ["sbp", "rri"], kernel, "p double, edge double, significant boolean"), "p", "edge")
+    @query(f"circular_shift_{_method.lower()}")
+    def circular_shift(spark, sf_dir, method=_method):
+        """Both directions against 199 shifts, a job a cell, direction and block of shifts."""
+        from .analyses import shift_tests
+
+        return rnd(shift_tests(_segments(spark, sf_dir), (method,)), "strength", "edge", "p")
 
 
 @query("simulated_gate")
 def simulated_gate(spark, sf_dir):
-    """Share of replicates in which the stronger direction is the right one, per scenario and noise."""
-    jobs = spark.createDataFrame([(s, i) for s in nonlinear.SCENARIOS for i in range(len(nonlinear.NOISES))], "scenario string, noise int").crossJoin(spark.range(4).withColumnRenamed("id", "replicate"))
-
-    def kernel(key, _):
-        x, y = nonlinear.simulate(key[0], int(key[1]), int(key[2]), n=160)
-        return nonlinear.estimate("SSC", y, x)["strength"], nonlinear.estimate("SSC", x, y)["strength"]
+    """The validation gate of all methods on simulated pairs; does not read the tables."""
+    from .analyses import coupling_validation
 
-    rows = per_group(jobs.withColumn("one", F.lit(1.0)), ["scenario", "noise", "replicate"], ["one"], ["one"], kernel, "forward double, reverse double")
-    return rnd(rows.groupBy("scenario", "noise").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("forward") > F.col("reverse")).cast("int")).alias("forward_share")), "forward_share")
+    return rnd(coupling_validation(spark, replicates=4)["gate"], "linear_share", "nonlinear_share", "stronger_share")
 
 
 @query("kpss_flag")
@@ -204,33 +199,39 @@ def _cohort(spark, sf_dir, values, kernel, schema):
     return per_group(_participants(spark, sf_dir), ["cohort"], ["subject"], values, kernel, schema)
 
 
-@query("ols_hc3")
-def ols_hc3(spark, sf_dir):
-    def kernel(key, y, a, b):
-        m = regression.ols(np.column_stack([a, b]), y)
-        return [(n, *(float(m[k][i]) for k in ("b", "hc3", "p", "beta"))) for i, n in enumerate(("constant", "rri", "size"))]
+def _model(spark, sf_dir):
+    return linear.fit(_participants(spark, sf_dir), ["cohort"], "sbp", ["rri", "size"])
 
-    return rnd(_cohort(spark, sf_dir, ["sbp", "rri", "size"], kernel, "term string, b double, hc3 double, p double, beta double"), "b", "hc3", "p", "beta")
+
+@query("ols_hc3", f"WITH {sql.beats()}, {sql.OLS}, t AS (SELECT term, b, hc3, beta, n - 3 AS v, abs(b / hc3) AS t FROM coef) SELECT 'all' AS cohort, term, {R('b hc3 beta')}, {R(sql.t_tail('t', 'v') + ' AS p')} FROM t")
+def ols_hc3(spark, sf_dir):
+    return rnd(linear.coefficients(_model(spark, sf_dir)).select("cohort", "term", "b", "hc3", "p", "beta"), "b", "hc3", "p", "beta")
 
 
-@query("residual_diagnostics")
+@query(
+    "residual_diagnostics",
+    f"""WITH {sql.beats()}, {sql.OLS}, j AS (SELECT avg(e * e) AS m2, avg(e * e * e) AS m3, avg(e * e * e * e) AS m4, any_value(n) AS n, sum(e * e * e * e) - sum(e * e) * sum(e * e) / any_value(n) AS spread FROM res),
+  jb AS (SELECT n / 6.0 * (m3 / pow(m2, 1.5)) ** 2 + n / 24.0 * (m4 / (m2 * m2) - 3) ** 2 AS q FROM j),
+  aux AS (SELECT regr_count(e * e, x1) AS n, covar_pop(x1, e * e) AS c1, covar_pop(x2, e * e) AS c2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS v12, var_pop(e * e) AS vu FROM res),
+  bp AS (SELECT n * ((c1 * c1 * v2 - 2 * c1 * c2 * v12 + c2 * c2 * v1) / (v1 * v2 - v12 * v12)) / vu AS q FROM aux),
+  dw AS (SELECT sum(d * d) / sum(e * e) AS q FROM (SELECT e, e - lag(e) OVER (ORDER BY subject) AS d FROM res))
+SELECT 'all' AS cohort, 'jarque_bera' AS test, round(q, 6) AS statistic, round(exp(-q / 2), 6) AS p FROM jb
+UNION ALL SELECT 'all', 'breusch_pagan', round(q, 6), round(exp(-q / 2), 6) FROM bp UNION ALL SELECT 'all', 'durbin_watson', round(q, 6), NULL FROM dw""",
+)
 def residual_diagnostics(spark, sf_dir):
-    def kernel(key, y, a, b):
-        m = regression.ols(np.column_stack([a, b]), y)
-        e = m["e"]
-        return [("shapiro", *regression.shapiro_wilk(e)), ("jarque_bera", *regression.jarque_bera(e)), ("breusch_pagan", *regression.breusch_pagan(m["x"], e)), ("durbin_watson", regression.durbin_watson(e), math.nan)]
+    return rnd(linear.residual_tests(_model(spark, sf_dir), "subject"), "statistic", "p")
 
-    return rnd(_cohort(spark, sf_dir, ["sbp", "rri", "size"], kernel, "test string, statistic double, p double"), "statistic", "p")
 
+@query("residual_shapiro")
+def residual_shapiro(spark, sf_dir):
+    kernel = lambda key, e: tuple(map(float, regression.shapiro_wilk(e)))
+    return rnd(per_group(_model(spark, sf_dir).rows, ["cohort"], ["subject"], ["residual"], kernel, "statistic double, p double"), "statistic", "p")
 
-@query("influence")
-def influence(spark, sf_dir):
-    def kernel(key, y, a, b):
-        m = regression.ols(np.column_stack([a, b]), y)
-        return [(i, float(h), float(c), bool(c > 4 / len(y)), *map(float, d)) for i, (h, c, d) in enumerate(zip(m["leverage"], m["cook"], m["dfbetas"], strict=True))]
 
-    out = _cohort(spark, sf_dir, ["sbp", "rri", "size"], kernel, "place int, leverage double, cook double, large boolean, dfb_constant double, dfb_rri double, dfb_size double")
-    return rnd(out.orderBy(F.desc("cook"), "place").limit(3), "leverage", "cook", "dfb_constant", "dfb_rri", "dfb_size")
+@query("influence", f"WITH {sql.beats()}, {sql.OLS}, k AS (SELECT *, row_number() OVER (ORDER BY round(cook, 9) DESC, subject) AS place FROM infl) SELECT 'all' AS cohort, subject, {R('leverage cook')}, cook > 4.0 / n AS large, {R('dfb_constant dfb_rri dfb_size')} FROM k WHERE place <= 3")
+def influence(spark, sf_dir):
+    rows = _model(spark, sf_dir).rows.orderBy(F.round("cook", 9).desc(), "subject").limit(3)
+    return rnd(rows.select("cohort", "subject", "leverage", "cook", "large", "dfb_constant", "dfb_rri", "dfb_size"), "leverage", "cook", "dfb_constant", "dfb_rri", "dfb_size")
 
 
 @query("mixed_model")
@@ -260,11 +261,11 @@ def jzs_bayes_factor(spark, sf_dir):
 @query("resampled_association")
 def resampled_association(spark, sf_dir):
     def kernel(key, x, y):
-        rho, p = bootstrap.permutation_spearman(x, y, 5_000, 20260802)
+        rho, p = bootstrap.permutation_spearman(x, y, 100_000, 20260802)
         return [
-            ("pearson", *bootstrap.bca_correlation(x, y, False, 1_000, 20260801), math.nan),
+            ("pearson", *bootstrap.bca_correlation(x, y, False, 10_000, 20260801), math.nan),
             ("spearman", rho, math.nan, math.nan, p),
-            ("theil_sen", *bootstrap.theil_sen(x, y, 200, 20260803), math.nan),
+            ("theil_sen", *bootstrap.theil_sen(x, y, 10_000, 20260803), math.nan),
         ]
 
     return rnd(_cohort(spark, sf_dir, ["sbp", "rri"], kernel, "method string, estimate double, low double, high double, p double"), "estimate", "low", "high", "p")
@@ -275,7 +276,7 @@ def coherence_validation(spark, sf_dir):
     """Does not read the tables: simulated pairs of known coupling."""
     from .analyses import coherence_validation as validate
 
-    return rnd(validate(spark, 20, 39), "share", "low", "high")
+    return rnd(validate(spark), "share", "low", "high")
 
 
 @query("coupling_sensitivity")

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import beat_queries, kernel_queries, table_queries  # noqa: F401  (they register themselves)
+    from . import beat_queries, decision_queries, kernel_queries, table_queries  # noqa: F401  (they register themselves)
 
     return dict(_QUERIES)
 

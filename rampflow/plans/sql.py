@@ -123,6 +123,32 @@ def pairs(chosen: tuple[Setting, ...], key: str = "user_id", direction: str = "a
 )"""
 
 
+#: CTEs from beats to a model of two predictors: d (subject, y, x1, x2), res (with e and leverage), coef and infl.
+OLS = """mo AS (SELECT subject, phase, avg(sbp) AS sbp, avg(rri) AS rri, count(*) AS size FROM beats GROUP BY ALL),
+d AS (SELECT a.subject, a.sbp - b.sbp AS y, a.rri - b.rri AS x1, (a.size - b.size)::DOUBLE AS x2 FROM mo a JOIN mo b ON a.subject = b.subject AND a.phase = 'Stim' AND b.phase = 'Pre'),
+su AS (SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, count(*) * var_pop(x1) AS s11, count(*) * var_pop(x2) AS s22, count(*) * covar_pop(x1, x2) AS s12, count(*) * covar_pop(x1, y) AS s1y, count(*) * covar_pop(x2, y) AS s2y, stddev_samp(y) AS sdy, stddev_samp(x1) AS sd1, stddev_samp(x2) AS sd2 FROM d),
+so AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM su),
+res AS (SELECT d.*, so.*, y - (my + b1 * (x1 - m1) + b2 * (x2 - m2)) AS e, 1.0 / n + ((x1 - m1) * (x1 - m1) * s22 - 2 * (x1 - m1) * (x2 - m2) * s12 + (x2 - m2) * (x2 - m2) * s11) / det AS leverage,
+  ((x1 - m1) * s22 - (x2 - m2) * s12) / det AS w1, ((x2 - m2) * s11 - (x1 - m1) * s12) / det AS w2 FROM d, so),
+rex AS (SELECT *, 1.0 / n - m1 * w1 - m2 * w2 AS w0, e / (1 - leverage) AS u, sum(e * e) OVER () AS sse FROM res),
+hc AS (SELECT sqrt(sum(w0 * w0 * u * u)) AS h0, sqrt(sum(w1 * w1 * u * u)) AS h1, sqrt(sum(w2 * w2 * u * u)) AS h2 FROM rex),
+coef AS (SELECT 'constant' AS term, my - b1 * m1 - b2 * m2 AS b, h0 AS hc3, NULL::DOUBLE AS beta, n FROM so, hc UNION ALL SELECT 'rri', b1, h1, b1 * sd1 / sdy, n FROM so, hc UNION ALL SELECT 'size', b2, h2, b2 * sd2 / sdy, n FROM so, hc),
+vr AS (SELECT *, sqrt(greatest(0.0, (sse - e * u) / (n - 4))) AS loo, 1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det AS i00 FROM rex),
+infl AS (SELECT subject, n, leverage, u * u * leverage / (3 * sse / (n - 3)) AS cook, w0 * u / (loo * sqrt(i00)) AS dfb_constant, w1 * u / (loo * sqrt(s22 / det)) AS dfb_rri, w2 * u / (loo * sqrt(s11 / det)) AS dfb_size FROM vr)"""
+
+
+def t_tail(t: str, v: str) -> str:
+    """Two-sided tail of Student's t for whole degrees of freedom: the finite series in the angle atan(t / sqrt(v))."""
+    c = f"({v} / ({v} + ({t}) * ({t})))"  # squared cosine
+    odd = f"coalesce(list_sum(list_transform(range(0, (({v} - 1) // 2)::BIGINT), lambda k: exp(2 * k * ln(2.0) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + k * ln({c})))), 0.0)"
+    even = f"coalesce(list_sum(list_transform(range(0, ({v} // 2)::BIGINT), lambda k: exp(lgamma(2 * k + 1) - 2 * k * ln(2.0) - 2 * lgamma(k + 1) + k * ln({c})))), 0.0)"
+    angle = f"atan(({t}) / sqrt({v}))"
+    return f"(1 - CASE WHEN {v} % 2 = 1 THEN 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {odd}) ELSE sin({angle}) * {even} END)"
+
+
 def rounded(columns: str, digits: int = 6) -> str:
-    """``a b c`` as rounded columns of the same names, NaN as null."""
+    """``a b c`` as rounded columns of the same names, NaN as null; or one ``expression AS name``."""
+    if " AS " in columns:
+        expression, _, name = columns.rpartition(" AS ")
+        return f"CASE WHEN isnan({expression}::DOUBLE) THEN NULL ELSE round({expression}::DOUBLE, {digits}) END AS {name}"
     return ", ".join(f"CASE WHEN isnan({c}::DOUBLE) THEN NULL ELSE round({c}::DOUBLE, {digits}) END AS {c}" for c in columns.split())

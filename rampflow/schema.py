@@ -59,6 +59,7 @@ class Setting:
         return core + "_directional_rri_gate" * self.rri_direction
 
 
+# Fixed values, to the end of the sub-phase contrasts: the published settings, branches and contrasts.
 CANONICAL = Setting("canonical")
 OFAT = (
     CANONICAL,

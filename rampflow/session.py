@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,12 +14,17 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the workers, once for an application, so that they need no path to it."""
+    """Send this package's source to the workers, once for an application, so that they need no path to it.
+
+    The driver serves the archive from a folder of its own, which goes when the driver ends.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="rampflow-source-")) / "rampflow-source.zip"  # on the driver, which serves it
+    folder = tempfile.mkdtemp(prefix="rampflow-source-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "rampflow-source.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rampflow.operators import joins, summaries, waves
+from rampflow.operators import decisions, joins, linear, waves
+from rampflow.operators.kernels import nonlinear, regression
 from rampflow.plans import analyses
 from rampflow.sources import reports
 
@@ -122,12 +123,100 @@ def test_joins(spark):
     assert {r["k"]: r["w"] for r in grid.collect()} == {"x": 10, "z": None}
 
 
-def test_summaries(spark):
-    jobs = [("SSC", s, 0, f, 0.5, False, h) for s, f, h in (("uncoupled", 0.4, False), ("x_to_y", 0.9, True), ("both_x_to_y_stronger", 0.4, True)) for _ in range(5)]
-    rows = spark.createDataFrame(jobs, "method string, scenario string, noise int, forward double, reverse double, failed boolean, significant boolean")
-    assert {r["scenario"]: r["passed"] for r in summaries.validation_summary(rows).collect()} == {"uncoupled": True, "x_to_y": True, "both_x_to_y_stronger": False}
-    checks = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "name string, passed boolean")
-    assert summaries.adoption(checks).first()["verdict"] == "consider"
+def validation_rows(spark, right=0.9, false=0.05, failed=0):
+    rows = []
+    for method in ("LP", "SSC"):
+        for scenario in nonlinear.SCENARIOS:
+            for noise in nonlinear.NOISE_NAMES:
+                for i in range(20):
+                    good = i < 20 * right
+                    rows.append((method, scenario, noise, i, None if i < failed else (1.0 if good else 0.0), 0.5, i < 20 * false, i < 20 * false))
+    return spark.createDataFrame(rows, "method string, scenario string, noise string, replicate int, forward double, reverse double, forward_hit boolean, reverse_hit boolean")
+
+
+def test_validation_gate(spark):
+    status = lambda **o: {r["status"] for r in decisions.method_gate(decisions.validation_summary(validation_rows(spark, **o))).collect()}
+    assert status() == {"VALIDATED"}
+    assert status(right=0.75) == status(false=0.15) == status(failed=3) == {"METHOD_NOT_VALIDATED"}
+    rows = validation_rows(spark)
+    assert decisions.reusable(rows, rows.count(), F.lit("x"), "x").first()["reusable"]
+    assert not decisions.reusable(rows, rows.count() + 1, F.lit("x"), "x").first()["reusable"]
+    assert not decisions.reusable(rows.union(rows), 2 * rows.count(), F.lit("x"), "x").first()["reusable"]
+    assert not decisions.reusable(rows, rows.count(), F.lit("x"), "y").first()["reusable"]
+
+
+@pytest.mark.parametrize(
+    ("change", "verdict"),
+    [
+        ({}, "SI_BRIEF_NULL_SENSITIVITY"),
+        ({"q": 0.01, "p": 0.001, "low": 0.1}, "SI_EXPLORATORY_NON_NULL"),
+        ({"q": 0.01, "p": 0.001, "low": 0.1, "agrees": False}, "RESPONSE_ONLY_INCONCLUSIVE"),
+        ({"q": 0.01, "p": 0.001, "low": -0.1}, "RESPONSE_ONLY_INCONCLUSIVE"),
+        ({"p": 0.03}, "RESPONSE_ONLY_INCONCLUSIVE"),
+        ({"dz": 0.8}, "RESPONSE_ONLY_INCONCLUSIVE"),
+        ({"mcnemar_p": 0.01}, "RESPONSE_ONLY_INCONCLUSIVE"),
+        ({"n": 12}, "DO_NOT_REPORT_REAL_DATA_INFERENCE"),
+        ({"status": "METHOD_NOT_VALIDATED"}, "DO_NOT_REPORT_REAL_DATA_INFERENCE"),
+    ],
+)
+def test_adoption(spark, change, verdict):
+    o = {"n": 18, "low": -0.2, "high": 0.3, "p": 0.4, "q": 0.6, "dz": 0.1, "status": "VALIDATED", "mcnemar_p": 0.5, "agrees": True} | change
+    table = spark.createDataFrame([("LP", "sbp_to_rri", "Stim-Pre", o["n"], o["low"], o["high"], o["p"], o["q"], o["dz"])], "method string, direction string, contrast string, n int, low double, high double, p double, q double, dz double")
+    effects = spark.createDataFrame([("LP", "sbp_to_rri", s, 1.0, s == "primary" or o["agrees"]) for s in ("primary", "k20", "k40")], "method string, direction string, setting string, mean_difference double, agrees boolean")
+    judged = decisions.outcomes(table, decisions.stability(effects))
+    gate = spark.createDataFrame([("LP", o["status"])], "method string, status string")
+    assert decisions.adoption(gate, judged, spark.createDataFrame([(o["mcnemar_p"], 0.5)], "mcnemar_p double, cochran_p double")).first()["verdict"] == verdict
+
+
+def test_classes(spark):
+    direction = lambda a, b, ref, n=18: decisions.branch_direction(spark.createDataFrame([("A0_MAX", n, a), ("A1_MAX", 18, b), ("REF", 18, ref)], "branch string, n int, mean_difference double")).first()["class"]
+    assert direction(-2.0, -2.0, -2.0) == "DIRECTION_PRESERVED_NEGATIVE"
+    assert direction(-0.5, -0.5, -2.0) == "DIRECTION_ATTENUATED_BUT_NEGATIVE"
+    assert direction(-0.5, 0.5, -2.0) == "METHOD_BRANCHES_DISCORDANT"
+    assert direction(0.5, 0.5, -2.0) == "DIRECTION_REVERSED_POSITIVE"
+    assert direction(-2.0, -2.0, -2.0, 9) == "DIRECTION_INCONCLUSIVE_DUE_TO_EVALUABILITY"
+
+    def pattern(early, late, sbp=5.0, hr=-1.0, n=18, odd=None):
+        rows = [(d, f"Stim_{w}-Pre_late", n, odd if odd is not None and d == "A1_MAX" else v) for w, v in (("early", early), ("late", late)) for d in ("REF", "A0_MAX", "A1_MAX")]
+        rows += [(d, f"Stim_{w}-Pre_late", n, v) for w in ("early", "late") for d, v in (("sbp", sbp), ("hr", hr))]
+        return decisions.temporal_pattern(spark.createDataFrame(rows, "dimension string, contrast string, n int, mean_difference double")).first()["class"]
+
+    assert pattern(-2.0, -1.9) == "EARLY_PRESSOR_LOWER_BRS_PERSISTS_LATE"
+    assert pattern(-2.0, -0.5) == "EARLY_PRESSOR_LOWER_BRS_ATTENUATES_LATE"
+    assert pattern(-2.0, 1.0) == "LATE_SHIFT_TOWARD_HIGHER_BRS_LOWER_HR"
+    assert pattern(-2.0, -1.0, sbp=-1.0) == "NO_CLEAR_EARLY_LATE_PATTERN"
+    assert pattern(-2.0, -1.0, odd=1.0) == "METHOD_DEPENDENT_TEMPORAL_PATTERN"
+    assert pattern(-2.0, -1.0, n=10) == "NONESTIMABLE_DUE_TO_SEQUENCE_SCARCITY"
+
+    def association(ref, a0, a1, worst, slope):
+        rho = spark.createDataFrame([("REF", 18, ref), ("A0_MAX", 18, a0), ("A1_MAX", 10, a1)], "method string, n int, rho double")
+        return decisions.association_class(rho, spark.createDataFrame([("REF", -0.4), ("REF", worst)], "method string, rho double"), spark.createDataFrame([(slope,)], "b double")).first()["class"]
+
+    assert association(-0.5, -0.2, 0.3, -0.1, -0.1) == "CONSISTENT_EXPLORATORY_ASSOCIATION"  # too few in the second branch to count
+    assert association(-0.5, 0.2, -0.3, -0.1, -0.1) == association(-0.5, -0.2, 0.3, 0.1, -0.1) == "SUGGESTIVE_BUT_INFLUENCE_SENSITIVE"
+    assert association(0.1, -0.2, 0.3, -0.1, -0.1) == "NO_EVIDENCE_OF_MONOTONIC_ASSOCIATION"
+    assert association(None, -0.2, 0.3, -0.1, -0.1) == "INCONCLUSIVE"
+
+
+def test_linear_model_equals_the_kernel(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 2))
+    y = 1 + x @ [2.0, -1.0] + rng.normal(size=60) * (1 + np.abs(x[:, 0]))
+    rows = [("g", i, float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(60)] + [("h", i, float(-y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(60)] + [("g", 99, None, 1.0, 1.0)]
+    fit = linear.fit(spark.createDataFrame(rows, "k string, i int, y double, a double, b double"), ["k"], "y", ["a", "b"])
+    want = regression.ols(x, y)
+    got = {(r["k"], r["term"]): r for r in linear.coefficients(fit).collect()}
+    for i, term in enumerate(("constant", "a", "b")):
+        assert [got["g", term][c] for c in ("b", "hc3", "p")] == pytest.approx([want[c][i] for c in ("b", "hc3", "p")], rel=1e-8)
+        assert got["h", term]["b"] == pytest.approx(-want["b"][i])
+    assert got["g", "a"]["beta"] == pytest.approx(want["beta"][1]) and got["g", "a"]["r2"] == pytest.approx(want["r2"])
+    for r in fit.rows.where("k = 'g'").collect():
+        i = r["i"]
+        assert (r["residual"], r["leverage"], r["cook"], r["dfb_a"]) == pytest.approx((want["e"][i], want["leverage"][i], want["cook"][i], want["dfbetas"][i][1]), rel=1e-8)
+    tests = {r["test"]: (r["statistic"], r["p"]) for r in linear.residual_tests(fit, "i").where("k = 'g'").collect()}
+    assert tests["jarque_bera"] == pytest.approx(regression.jarque_bera(want["e"]))
+    assert tests["breusch_pagan"] == pytest.approx(regression.breusch_pagan(want["x"], want["e"]))
+    assert tests["durbin_watson"][0] == pytest.approx(regression.durbin_watson(want["e"]))
 
 
 def test_reports(spark, tmp_path):

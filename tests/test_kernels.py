@@ -129,7 +129,7 @@ def test_pair_probability_is_strict():
 def test_estimators_order_the_directions(method):
     right = 0
     for replicate in range(4):
-        x, y = nonlinear.simulate("x_to_y_curved", 0, replicate)
+        x, y = nonlinear.simulate("unidirectional_nonlinear_X_to_Y", 0, replicate)
         right += nonlinear.estimate(method, y, x)["strength"] > nonlinear.estimate(method, x, y)["strength"]
     assert right >= 3
 
@@ -155,7 +155,7 @@ def test_stationarity_flag():
 
 def test_neighbours_in_blocks_of_rows(monkeypatch):
     """Long series are never held as a whole matrix of distances; blocks give the same neighbours."""
-    x, y = nonlinear.simulate("x_to_y", 0, 1, n=300)
+    x, y = nonlinear.simulate("unidirectional_linear_X_to_Y", 0, 1, n=300)
     d = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
     whole = nonlinear.neighbours(d, 7, 3)
     monkeypatch.setattr(nonlinear, "HELD", 4_000)
