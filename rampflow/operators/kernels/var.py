@@ -82,13 +82,13 @@ def causality(y: np.ndarray, p: int, caused: int, causing: int) -> tuple[float,
     return f, f_sf(f, p, k * free)
 
 
-def analyse(sbp: np.ndarray, rri: np.ndarray, lowest: int = 1, highest: int = 10, alpha: float = 0.05) -> dict:
-    """All results of one cell; ``reason`` is NA or why there are none. Never raises."""
+def analyse(sbp: np.ndarray, rri: np.ndarray, lowest: int = 1, highest: int = 10, positive: bool = True) -> dict:
+    """All results of one cell; ``reason`` is NA or why there are none. Never raises. Splines may cut below 0: not ``positive``."""
     names = ("order", "n_obs", "modulus", "stable", "whiteness_p", "normality_p", "f_forward", "p_forward", "f_reverse", "p_reverse")
     try:
         if len(sbp) != len(rri) or len(sbp) <= 5 * highest:
             raise ValueError("too few observations")
-        if not (np.isfinite(sbp).all() and np.isfinite(rri).all()) or (rri <= 0).any():
+        if not (np.isfinite(sbp).all() and np.isfinite(rri).all()) or (positive and (rri <= 0).any()):
             raise ValueError("non-finite values or non-positive intervals")
         series = [detrend(np.asarray(v, float)) for v in (sbp, rri)]
         if min(v.std() for v in series) <= 0:

@@ -361,7 +361,7 @@ def resampled_causality(beats: DataFrame, highest: int = 12) -> Tables:
     """Causality on splines at 4 Hz with orders from 0 on: cells of order zero have no test. BH within phase and direction, prevalence."""
     def kernel(key, t, s, r):
         s, r = spectral.resample(t, [s, r])[1]
-        return var.analyse(s, r, 0, highest) | {"coherence": spectral.coherence(s, r) if len(s) else None}
+        return var.analyse(s, r, 0, highest, positive=False) | {"coherence": spectral.coherence(s, r) if len(s) else None}
 
     fit = per_group(
         beats.where("t is not null"), CELL, ["t"], ["t", "sbp", "rri"], kernel,

@@ -271,7 +271,14 @@ def wilcoxon_w(spark, sf_dir):
     return contrasts.signed_ranks(_pairs(spark, sf_dir, OFAT), "setting", "contrast")
 
 
-@query("wilcoxon_p")
+@query(
+    "wilcoxon_p",
+    f"""WITH RECURSIVE {sql.pairs(OFAT)}, {_RANKS}, ways(r, c) AS (SELECT 0, list_concat([1.0::DOUBLE], list_transform(range(0, 1275), lambda i: 0.0::DOUBLE)) UNION ALL SELECT r + 1, list_transform(range(0, 1276), lambda s: c[s + 1] + CASE WHEN s > r THEN c[s - r] ELSE 0.0 END) FROM ways WHERE r < 50),
+ti AS (SELECT setting, contrast, sum(c * c * c - c) AS tied, max(c) AS most FROM (SELECT setting, contrast, a, count(*) AS c FROM a GROUP BY ALL) GROUP BY ALL), tot AS (SELECT setting, contrast, count(*) AS n_all FROM pair GROUP BY ALL),
+wx AS (SELECT tot.setting, tot.contrast, n_all, n_nonzero AS n, least(w_plus, n_nonzero * (n_nonzero + 1) / 2 - w_plus) AS w, tied, most FROM tot LEFT JOIN v USING (setting, contrast) LEFT JOIN ti USING (setting, contrast)),
+u AS (SELECT *, CASE WHEN n IS NULL THEN 'all_zero' WHEN n = n_all AND most = 1 AND n <= 50 THEN 'exact' ELSE 'normal' END AS p_method, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tied / 48.0) AS z FROM wx)
+SELECT setting, contrast, coalesce(w, 0.0)::DOUBLE AS w, round(CASE p_method WHEN 'all_zero' THEN 1.0 WHEN 'exact' THEN least(1.0, 2 * list_sum(ways.c[1:(w + 1)::INTEGER]) / pow(2, n)) ELSE {sql.normal_tail("z")} END, 6) AS p, p_method FROM u LEFT JOIN ways ON ways.r = u.n""",
+)
 def wilcoxon_p(spark, sf_dir):
     return rnd(contrasts.signed_rank_p(_pairs(spark, sf_dir, OFAT), "setting", "contrast"), "p")
 
@@ -392,7 +399,15 @@ def cochran_q(spark, sf_dir):
     return rnd(prevalence.cochran(_flags(spark, sf_dir), "flag"), "q", "p")
 
 
-@query("prevalence_ci")
+@query(
+    "prevalence_ci",
+    f"""WITH RECURSIVE {sql.beats()}, {_FLAGS}, c AS (SELECT phase, sum(flag)::BIGINT AS k, count(flag) AS n FROM f GROUP BY phase),
+tail AS (SELECT phase, k, n, unnest(['low', 'high']) AS side FROM c), bis(phase, k, n, side, a, b, step) AS (SELECT phase, k, n, side, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM tail
+  UNION ALL SELECT phase, k, n, side, CASE WHEN up THEN a ELSE (a + b) / 2 END, CASE WHEN up THEN (a + b) / 2 ELSE b END, step + 1 FROM (
+    SELECT *, CASE WHEN side = 'low' THEN list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((a + b) / 2) + (n - i) * ln(1 - (a + b) / 2)))) > 0.025
+      ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((a + b) / 2) + (n - i) * ln(1 - (a + b) / 2)))) < 0.025 END AS up FROM bis WHERE step < 45))
+SELECT phase, k AS successes, n AS trials, round(k / n, 6) AS share, round(CASE WHEN k = 0 THEN 0.0 ELSE max(a) FILTER (side = 'low') END, 6) AS low, round(CASE WHEN k = n THEN 1.0 ELSE max(a) FILTER (side = 'high') END, 6) AS high FROM bis WHERE step = 45 GROUP BY phase, k, n""",
+)
 def prevalence_ci(spark, sf_dir):
     return rnd(prevalence.prevalence(_flags(spark, sf_dir), "flag", "phase"), "share", "low", "high")
 
@@ -412,7 +427,13 @@ def pair_asof(spark, sf_dir):
     return pairing.first_follower(_events(spark, sf_dir, "click"), _events(spark, sf_dir, "purchase"), 86400.0)
 
 
-@query("pair_one_to_one")
+@query(
+    "pair_one_to_one",
+    f"""WITH a AS (SELECT subject, list([t] ORDER BY t) AS l FROM ({_EV.format('click')}) GROUP BY subject), b AS (SELECT subject, list(t ORDER BY t) AS r FROM ({_EV.format('purchase')}) GROUP BY subject),
+m AS (SELECT subject, list_reduce(list_concat([[0.0::DOUBLE]], l), lambda acc, e: CASE WHEN greatest(acc[1], len(list_filter(r, lambda z: z < e[1]))) < len(r) AND r[(greatest(acc[1], len(list_filter(r, lambda z: z < e[1]))) + 1)::INTEGER] <= e[1] + 86400
+  THEN list_concat([greatest(acc[1], len(list_filter(r, lambda z: z < e[1]))) + 1.0], acc[2:], e, [r[(greatest(acc[1], len(list_filter(r, lambda z: z < e[1]))) + 1)::INTEGER]]) ELSE acc END) AS got FROM a JOIN b USING (subject))
+SELECT subject, got[(2 * i)::INTEGER] AS t_left, got[(2 * i + 1)::INTEGER] AS t_right FROM (SELECT subject, got, unnest(range(1, (len(got) - 1) // 2 + 1)) AS i FROM m)""",
+)
 def pair_one_to_one(spark, sf_dir):
     return pairing.one_to_one(_events(spark, sf_dir, "click"), _events(spark, sf_dir, "purchase"), 86400.0)
 
@@ -428,7 +449,12 @@ def pair_order_check(spark, sf_dir):
 # Identifiers, unions, checks --------------------------------------------------------------------
 
 
-@query("crc32_seed")
+@query(
+    "crc32_seed",
+    f"""WITH {sql.beats('event_type')}, tb AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], list_transform(range(0, 8), lambda j: 0::BIGINT)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+c AS (SELECT DISTINCT subject, phase FROM beats), h AS (SELECT subject, phase, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(subject || '|' || phase, ''), lambda s: ord(s)::BIGINT)), lambda acc, b: xor(t[(xor(acc, b) & 255) + 1], acc // 256)) AS crc FROM c, tb)
+SELECT subject, phase, (2026080710 + xor(crc, 4294967295)) % 4294967295 AS seed FROM h""",
+)
 def crc32_seed(spark, sf_dir):
     cells = beats(spark, sf_dir, "event_type").select(*CELL).distinct()
     return cells.withColumn("seed", stable_seed(2026080710, F.col("subject"), F.col("phase")))
@@ -459,7 +485,7 @@ def sequence_text(spark, sf_dir):
     return found.select("subject", "phase", "direction", "start_idx", F.array_join(F.transform("beats", lambda b: F.format_string("%.2f", b["sbp"])), "|").alias("sbp_values"))
 
 
-@query("array_text")
+@query("array_text", f"WITH {sql.beats()} SELECT subject, phase, string_agg(printf('%.15g', sbp), '|' ORDER BY beat_idx) AS text FROM beats GROUP BY ALL")
 def array_text(spark, sf_dir):
     arrays = beats(spark, sf_dir).groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("beat_idx", "sbp"))).alias("a"))
     return arrays.select(*CELL, text_array(F.transform("a", lambda x: x["sbp"])).alias("text"))
@@ -610,7 +636,10 @@ def uniform_table(spark, sf_dir):
     return rnd(waves.uniform_table(b, ["sbp", "rri"]), "sbp_uniform", "rri_uniform", digits=4)
 
 
-@query("wave_intervals")
+@query(
+    "wave_intervals",
+    f'WITH {sql.beats("event_type")}, {sql.peaks(100.0, 3, "beats", "subject", "t")}, n AS (SELECT *, lead(t) OVER (PARTITION BY subject ORDER BY t) - t AS rr FROM pk), h AS (SELECT subject, (t * 1e6)::BIGINT AS "at", t, sbp AS height, rr, t + rr / 2 AS t_middle, 60.0 / rr AS hr FROM n WHERE rr IS NOT NULL) SELECT subject, "at", t, height, {R("rr hr")}, {R("t_middle", 4)} FROM h',
+)
 def wave_intervals(spark, sf_dir):
     b = beats(spark, sf_dir, "event_type").withColumn("i", F.unix_micros(F.timestamp_seconds("t")))
-    return rnd(waves.intervals(waves.find_peaks(b, "sbp", 100.0, 3)), "rr", "t_middle", "hr")
+    return rnd(waves.intervals(waves.find_peaks(b, "sbp", 100.0, 3)).withColumn("t_middle", F.round("t_middle", 4)), "rr", "hr")

@@ -74,7 +74,7 @@ def band_pass_correlation(spark, sf_dir):
     return rnd(_cells(_long(spark, sf_dir), ["t", "sbp", "rri"], kernel, "window_no int, rho double, lag int"), "rho")
 
 
-@query("peaks")
+@query("peaks", f"WITH {sql.beats('event_type')}, {sql.peaks(100.0, 5, 'beats', 'subject, phase', 'beat_idx')} SELECT subject, phase, beat_idx AS at, sbp AS height FROM pk")
 def peaks(spark, sf_dir):
     def kernel(key, i, s):
         return [(int(i[k]), float(s[k])) for k in spectral.peaks(s, 100.0, 5)]
@@ -156,7 +156,16 @@ def simulated_gate(spark, sf_dir):
     return rnd(coupling_validation(spark, replicates=4)["gate"], "linear_share", "nonlinear_share", "stronger_share")
 
 
-@query("kpss_flag")
+_KPSS = f"""{sql.beats('event_type')}, bh AS (SELECT * REPLACE (t / 3600.0 AS t) FROM beats), {sql.centred(SEGMENT, 'bh', 'rri, sbp')}, lo AS (SELECT subject, phase, i, 'sbp' AS name, sbp AS v FROM seg UNION ALL SELECT subject, phase, i, 'rri', rri FROM seg),
+ce AS (SELECT *, v - avg(v) OVER (PARTITION BY subject, phase, name) AS e FROM lo), cs AS (SELECT *, sum(e) OVER (PARTITION BY subject, phase, name ORDER BY i) AS s FROM ce),
+li AS (SELECT subject, phase, name, list(e ORDER BY i) AS e, sum(s * s) AS ss, count(*) AS n FROM cs GROUP BY ALL),
+ac AS (SELECT *, list_transform(range(0, 128), lambda k: list_dot_product(e[(k + 1):n], e[1:(n - k)]) / n) AS c FROM li),
+bw AS (SELECT *, c[1] + 2 * list_sum(c[2:(ceil(pow(n, 2.0 / 9)) + 1)::INTEGER]) AS s0, 2 * list_sum(list_transform(range(1, (ceil(pow(n, 2.0 / 9)) + 1)::BIGINT), lambda j: j * c[j + 1])) AS s1 FROM ac),
+wi AS (SELECT *, least(n - 1, floor(1.1447 * pow((s1 / s0) ** 2, 1.0 / 3) * pow(n, 1.0 / 3)))::BIGINT AS width FROM bw),
+st AS (SELECT subject, phase, name, ss / (n * n) / (c[1] + 2 * coalesce(list_sum(list_transform(range(1, width + 1), lambda j: (1 - j / (width + 1)) * c[j + 1])), 0.0)) AS stat FROM wi)"""
+
+
+@query("kpss_flag", f"WITH {_KPSS} SELECT subject, phase, round(max(stat) FILTER (name = 'sbp'), 6) AS sbp_stat, max(stat) FILTER (name = 'sbp') < 0.463 AS sbp_level, round(max(stat) FILTER (name = 'rri'), 6) AS rri_stat, max(stat) FILTER (name = 'rri') < 0.463 AS rri_level FROM st GROUP BY ALL")
 def kpss_flag(spark, sf_dir):
     return rnd(_cells(_segments(spark, sf_dir), ["sbp", "rri"], lambda key, s, r: (*nonlinear.kpss(s), *nonlinear.kpss(r)), "sbp_stat double, sbp_level boolean, rri_stat double, rri_level boolean"), "sbp_stat", "rri_stat")
 
@@ -247,7 +256,13 @@ def mixed_model(spark, sf_dir):
     return rnd(out, "b", "se", "group_variance", "residual_variance", digits=4)
 
 
-@query("jzs_bayes_factor")
+@query(
+    "jzs_bayes_factor",
+    f"""WITH {sql.pairs((CANONICAL,))}, j AS (SELECT contrast, count(*) AS n, avg(d) / (nullif(stddev_samp(d), 0) / sqrt(count(*))) AS t FROM pair GROUP BY contrast),
+q AS (SELECT *, n - 1 AS v, list_transform(range(0, 8001), lambda i: exp(-20 + i * 0.005)) AS g FROM j),
+f AS (SELECT *, list_transform(g, lambda x: pow(1 + n * 0.5 * x, -0.5) * pow(1 + t * t / ((1 + n * 0.5 * x) * v), -(v + 1) / 2.0) * pow(2 * pi(), -0.5) * pow(x, -1.5) * exp(-1 / (2 * x)) * x) AS y FROM q),
+b AS (SELECT contrast, n, t, 0.005 * (list_sum(y) - (y[1] + y[8001]) / 2) / pow(1 + t * t / v, -(v + 1) / 2.0) AS bf10 FROM f) SELECT contrast, n, {R('t bf10')} FROM b""",
+)
 def jzs_bayes_factor(spark, sf_dir):
     g = ramps.gains(beats(spark, sf_dir), (CANONICAL,)).where("direction = 'all'").select("setting", *CELL, "gain")
 

@@ -137,6 +137,29 @@ vr AS (SELECT *, sqrt(greatest(0.0, (sse - e * u) / (n - 4))) AS loo, 1.0 / n +
 infl AS (SELECT subject, n, leverage, u * u * leverage / (3 * sse / (n - 3)) AS cook, w0 * u / (loo * sqrt(i00)) AS dfb_constant, w1 * u / (loo * sqrt(s22 / det)) AS dfb_rri, w2 * u / (loo * sqrt(s11 / det)) AS dfb_size FROM vr)"""
 
 
+def normal_tail(z: str) -> str:
+    """Two-sided tail of the normal distribution: the series of the density times odd powers over double factorials."""
+    x = f"greatest(abs({z}), 1e-300)"
+    terms = f"list_sum(list_transform(range(0, 300), lambda k: exp((2 * k + 1) * ln({x}) - {x} * {x} / 2 - lgamma(2 * k + 2) + k * ln(2.0) + lgamma(k + 1))))"
+    return f"greatest(0.0, 1 - 2 * {terms} / sqrt(2 * pi()))"
+
+
+def centred(n: int, source: str = "beats", columns: str = "t, rri, sbp") -> str:
+    """CTE ``seg``: the ``n`` consecutive beats of each cell whose middle is nearest to the cell's, with their number i from 1."""
+    return f"""ca AS (SELECT *, row_number() OVER w AS rn, lead(t, {n - 1}) OVER w AS te, (min(t) OVER (PARTITION BY subject, phase) + max(t) OVER (PARTITION BY subject, phase)) / 2 AS mid
+  FROM {source} WINDOW w AS (PARTITION BY subject, phase ORDER BY beat_idx)), cb AS (SELECT *, row_number() OVER (PARTITION BY subject, phase ORDER BY abs((t + te) / 2 - mid), rn) AS kk FROM ca WHERE te IS NOT NULL), cf AS (SELECT subject, phase, rn AS first_rn FROM cb WHERE kk = 1),
+seg AS (SELECT ca.subject, ca.phase, ca.rn - cf.first_rn + 1 AS i, {columns} FROM ca JOIN cf USING (subject, phase) WHERE ca.rn BETWEEN cf.first_rn AND cf.first_rn + {n - 1})"""
+
+
+def peaks(height: float, distance: int, source: str, part: str, order: str) -> str:
+    """CTE ``pk``: (part columns, at, sbp) of peaks; starts of level stretches above both neighbours, tallest first within ``distance`` places."""
+    return f"""pa AS (SELECT *, row_number() OVER w AS pi, sbp IS DISTINCT FROM lag(sbp) OVER w AS fresh FROM {source} WINDOW w AS (PARTITION BY {part} ORDER BY {order})),
+pb AS (SELECT *, lag(sbp) OVER w AS before, lead(sbp) OVER w AS after FROM pa WHERE fresh WINDOW w AS (PARTITION BY {part} ORDER BY pi)),
+pc AS (SELECT * FROM pb WHERE sbp > before AND sbp > after AND sbp >= {height}),
+pd AS (SELECT {part}, list_reduce(list([pi] ORDER BY sbp DESC, pi), lambda acc, e: CASE WHEN len(list_filter(acc, lambda z: abs(z - e[1]) < {distance})) > 0 THEN acc ELSE list_concat(acc, e) END) AS kept FROM pc GROUP BY {part}),
+pk AS (SELECT pc.* FROM pc JOIN pd USING ({part}) WHERE list_contains(pd.kept, pc.pi))"""
+
+
 def t_tail(t: str, v: str) -> str:
     """Two-sided tail of Student's t for whole degrees of freedom: the finite series in the angle atan(t / sqrt(v))."""
     c = f"({v} / ({v} + ({t}) * ({t})))"  # squared cosine
