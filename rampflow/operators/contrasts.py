@@ -128,13 +128,18 @@ def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """n, Spearman's rho and Pearson's r of complete pairs with their p values (Student's t); null under 3 pairs or without spread."""
+    """n, Spearman's rho and Pearson's r of complete pairs with their p values (Student's t); null without spread, p under 3 pairs."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = rows.withColumns({"_x": average_rank(x, *keys), "_y": average_rank(y, *keys)})
     out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y").alias("rho"), pearson(x, y).alias("r"))
 
     def kernel(key, n, *both):
-        tails = [t_sf2(abs(c[0]) * math.sqrt((n[0] - 2) / (1 - c[0] ** 2)), n[0] - 2) if n[0] > 2 and abs(c[0]) < 1 else (0.0 if abs(c[0]) >= 1 else math.nan) for c in both]
+        def tail(c: float) -> float:
+            if n[0] < 3 or not math.isfinite(c):
+                return math.nan
+            return t_sf2(abs(c) * math.sqrt((n[0] - 2) / (1 - c * c)), n[0] - 2) if abs(c) < 1 else 0.0
+
+        tails = [tail(c[0]) for c in both]
         return int(n[0]), float(both[0][0]), float(both[1][0]), *tails
 
     return per_group(out, list(keys), ["n"], ["n", "rho", "r"], kernel, "n long, rho double, r double, rho_p double, r_p double")

@@ -55,14 +55,20 @@ def _mapped(df: DataFrame, f, added: str) -> DataFrame:
 
 
 def fit(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> Fit:
-    """Fit y on a constant and ``xs`` within each group; rows with a null in any of them take no part."""
+    """Fit y on a constant and ``xs`` within each group; rows with a null in any of them take no part.
+
+    A group of no more rows than terms, or of collinear columns, has null coefficients and everything that follows from them.
+    """
     columns = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
     names, k = ["constant", *xs], len(xs) + 1
     df = df.dropna(subset=[y, *xs])
     sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _sums(columns, F.lit(1.0)).alias("xx_"), F.array(*[F.sum(c * F.col(y)) for c in columns]).alias("xy_"), F.array(*[F.stddev_samp(c) for c in [F.col(y), *columns[1:]]]).alias("sd_"))
 
     def solve(r):
-        inv = np.linalg.pinv(_full(r.xx_, k))
+        xx = _full(r.xx_, k)
+        if r.n <= k or np.linalg.matrix_rank(xx, hermitian=True) < k:
+            return None, None
+        inv = np.linalg.inv(xx)
         return (inv @ np.array(r.xy_)).tolist(), inv.ravel().tolist()
 
     solved = _mapped(sums, solve, "b_ array<double>, inv_ array<double>").select(*keys, "n", "sd_", "b_", "inv_")
@@ -97,6 +103,8 @@ def coefficients(model: Fit) -> DataFrame:
     terms, k = model.terms, len(model.terms)
 
     def table(r):
+        if r.b_ is None:
+            return [{"term": t} for t in terms], None
         inv, b = np.array(r.inv_).reshape(k, k), np.array(r.b_)
         se = np.sqrt(np.diag(inv @ _full(r.meat_, k) @ inv))
         sd = list(r.sd_)
@@ -115,6 +123,8 @@ def residual_tests(model: Fit, order: str) -> DataFrame:
     k = len(model.terms)
 
     def table(r):
+        if r.b_ is None or not r.ee_ > 0:
+            return ([{"test": "jarque_bera"}, {"test": "breusch_pagan"}],)
         s2 = r.ee_ / r.n
         jb = r.n / 6 * (r.e3_ / r.n / s2**1.5) ** 2 + r.n / 24 * (r.e4_ / r.n / s2**2 - 3) ** 2
         xu = np.array(r.xu_)

@@ -166,7 +166,7 @@ def loo_correlations(spark, sf_dir):
 @query(
     "association_class",
     f"""WITH {_CHANGES}, k AS ({_ranked_rho('ch', 'method')}), lo AS (SELECT a.method, b.subject AS omitted, a.x, a.y FROM ch a JOIN ch b ON a.method = b.method AND a.subject <> b.subject WHERE a.method = 'REF'), l AS ({_ranked_rho('lo', 'method, omitted')}),
-bs AS (SELECT (var_pop(pre) * covar_pop(x, stim) - covar_pop(pre, x) * covar_pop(pre, stim)) / (var_pop(pre) * var_pop(x) - covar_pop(pre, x) ** 2) AS slope FROM ch WHERE method = 'REF'),
+bs AS (SELECT CASE WHEN count(*) > 3 THEN (var_pop(pre) * covar_pop(x, stim) - covar_pop(pre, x) * covar_pop(pre, stim)) / (var_pop(pre) * var_pop(x) - covar_pop(pre, x) ** 2) END AS slope FROM ch WHERE method = 'REF'),
 f AS (SELECT max(rho) FILTER (method = 'REF') AS rho, coalesce(max(n) FILTER (method = 'A0_MAX') < 15, true) OR coalesce(max(rho) FILTER (method = 'A0_MAX') <= 0, false) AS A0_MAX_fits, coalesce(max(n) FILTER (method = 'A1_MAX') < 15, true) OR coalesce(max(rho) FILTER (method = 'A1_MAX') <= 0, false) AS A1_MAX_fits FROM k),
 g AS (SELECT f.*, (SELECT bool_and(coalesce(rho <= 0, false)) FROM l) AS no_reversal, slope FROM f, bs)
 SELECT round(rho, 6) AS rho, no_reversal, A0_MAX_fits, A1_MAX_fits, round(slope, 6) AS slope, CASE WHEN rho < 0 AND no_reversal AND A0_MAX_fits AND A1_MAX_fits AND slope <= 0 THEN 'CONSISTENT_EXPLORATORY_ASSOCIATION' WHEN rho < 0 THEN 'SUGGESTIVE_BUT_INFLUENCE_SENSITIVE' WHEN rho >= 0 THEN 'NO_EVIDENCE_OF_MONOTONIC_ASSOCIATION' ELSE 'INCONCLUSIVE' END AS class FROM g""",

@@ -213,6 +213,9 @@ def test_linear_model_equals_the_kernel(spark):
     for r in fit.rows.where("k = 'g'").collect():
         i = r["i"]
         assert (r["residual"], r["leverage"], r["cook"], r["dfb_a"]) == pytest.approx((want["e"][i], want["leverage"][i], want["cook"][i], want["dfbetas"][i][1]), rel=1e-8)
+    few = linear.fit(spark.createDataFrame([("f", i, float(i), 1.0 * i, 2.0 * i) for i in range(9)] + [("g", 1, 1.0, 2.0, 3.0)], "k string, i int, y double, a double, b double"), ["k"], "y", ["a", "b"])
+    assert all(r["b"] is None for r in linear.coefficients(few).collect()) and linear.coefficients(few).count() == 6
+    assert all(r["statistic"] is None for r in linear.residual_tests(few, "i").collect())
     tests = {r["test"]: (r["statistic"], r["p"]) for r in linear.residual_tests(fit, "i").where("k = 'g'").collect()}
     assert tests["jarque_bera"] == pytest.approx(regression.jarque_bera(want["e"]))
     assert tests["breusch_pagan"] == pytest.approx(regression.breusch_pagan(want["x"], want["e"]))
