@@ -6,6 +6,8 @@ no self-join, and detection is shared by all settings of equal lag and step rule
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,10 +86,64 @@ def measured(rows: DataFrame) -> DataFrame:
     ).drop("beats", "_m", "_xx", "_yy", "_xy", "_moves", "_fine")
 
 
+_MEASURED = [*SCAN, "direction", "maximal_start", "start_idx", "end_idx", "n_beats", "sbp_start", "sbp_end", "rri_start", "rri_end", "r", "slope", "least_move"]
+
+
+def whole(beats: DataFrame, rules: DataFrame, cell: list[str] = CELL) -> DataFrame:
+    """Maximal ramps, measured: as ``measured(ramps(...))`` but in one hash aggregation of the steps, without arrays.
+
+    A ramp is its steps' own beats and the beat before the first. That one beat joins the steps' moments by the
+    update of a mean and its sum of squares by one value.
+    """
+    s = steps(beats, rules, cell)
+    sign = F.when(F.col("direction") == "up", 1.0).otherwise(-1.0)
+    first = lambda c: F.max(F.when(F.col("_first"), F.col(c)))
+    g = s.groupBy(*cell, *SCAN, "direction", "_island").agg(
+        F.count(F.lit(1)).alias("_n"),
+        (F.min("_idx") - 1).alias("start_idx"),
+        F.max("_idx").alias("end_idx"),
+        first("_sbp").alias("sbp_start"),
+        first("_rri").alias("rri_start"),
+        F.max("sbp").alias("_highest"),
+        F.min("sbp").alias("_lowest"),
+        F.max_by("rri", "_idx").alias("rri_end"),
+        F.avg("sbp").alias("_x"),
+        F.avg("rri").alias("_y"),
+        F.var_pop("sbp").alias("_xx"),
+        F.var_pop("rri").alias("_yy"),
+        F.covar_pop("sbp", "rri").alias("_xy"),
+        F.min(sign * (F.col("rri") - F.col("_rri"))).alias("_move"),
+        (F.count_if(~finite(F.col("rri"))) + F.count_if(F.col("_first") & ~finite(F.col("_rri")))).alias("_odd"),
+    )
+    n, dx, dy, fine = F.col("_n"), F.col("sbp_start") - F.col("_x"), F.col("rri_start") - F.col("_y"), F.col("_odd") == 0
+    xx, yy, xy = (n * F.col(c) + n / (n + 1) * d for c, d in (("_xx", dx * dx), ("_yy", dy * dy), ("_xy", dx * dy)))
+    g = g.withColumns(
+        {
+            "maximal_start": F.col("start_idx"),
+            "n_beats": (n + 1).cast("int"),
+            "sbp_end": F.when(F.col("direction") == "up", F.col("_highest")).otherwise(F.col("_lowest")),  # steps all go one way
+            "r": F.when(fine, ratio(xy, F.sqrt(xx) * F.sqrt(yy))),
+            "slope": F.when(fine, ratio(xy, xx)),
+            "least_move": F.when(fine, F.col("_move")),
+        }
+    )
+    return g.select(*cell, *_MEASURED)
+
+
 def sequences(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
-    """Every candidate of every setting with its regression, gates and verdict."""
-    frame = settings_frame(beats.sparkSession, settings)
-    found = measured(parts(ramps(beats, frame.select(*SCAN).distinct(), cell), frame))
+    """Every candidate of every setting with its regression, gates and verdict.
+
+    Settings without overlap look at maximal ramps only, which need no arrays; those with overlap cut ramps into parts.
+    """
+    spark = beats.sparkSession
+    frame = settings_frame(spark, settings)
+    found = []
+    if plain := tuple(s for s in settings if not s.overlap):
+        found.append(whole(beats, settings_frame(spark, plain).select(*SCAN).distinct(), cell).withColumn("overlap", F.lit(False)))
+    if lapped := tuple(s for s in settings if s.overlap):
+        own = settings_frame(spark, lapped)
+        found.append(measured(parts(ramps(beats, own.select(*SCAN).distinct(), cell), own)).select(*cell, *_MEASURED, "overlap"))
+    found = reduce(DataFrame.unionByName, found)
     rows = found.join(F.broadcast(frame), [*SCAN, "overlap"]).where(F.col("n_beats") >= F.col("least_beats"))
     number = F.row_number().over(Window.partitionBy(*cell, "setting", "direction").orderBy("start_idx", "end_idx"))
     over = lambda x: F.coalesce(F.col("least_move") > x, F.lit(False))
