@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import n_words, ranked, staged
 
@@ -32,21 +31,22 @@ def targets(sizes: DataFrame) -> DataFrame:
     Weights are 1, 2, 3 repeating by code point, null last. Sources share all words by weight, but
     none gets over MOST times its own; the excess is reshared by weight. That is water-filling: by
     ascending ``MOST * size / weight``, a source is capped as long as what is left per weight would
-    lift it over its cap, and what is left after all capped ones is shared by the rest.
+    lift it over its cap, and what is left after all capped ones is shared by the rest. Ranks and sums before a
+    source come from range partitions, so that sources need not fit one task.
     """
-    w = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.withColumn("weight", (F.row_number().over(w) - 1) % 3 + 1)
-    full = Window.partitionBy().orderBy("ratio", F.col("source").asc_nulls_last())
-    before, here = full.rowsBetween(Window.unboundedPreceding, -1), full.rowsBetween(0, Window.unboundedFollowing)
-    s = s.withColumn("ratio", MOST * F.col("source_size") / F.col("weight"))
-    everything = Window.partitionBy()
-    s = s.withColumn("total", F.sum("source_size").over(everything))
-    s = s.withColumn("left", F.col("total") - F.coalesce(F.sum(MOST * F.col("source_size")).over(before), F.lit(0)))
-    s = s.withColumn("share", F.col("left") / F.sum("weight").over(here))
-    s = s.withColumn("capped", F.col("share") > F.col("ratio"))
+    s = sizes.withColumn("_last", F.col("source").isNull())
+    s = ranked(s, [], ["_last", "source"], "_place", "mix-sources")
+    s = s.withColumn("weight", F.col("_place") % 3 + 1).withColumn("_cap", MOST * F.col("source_size"))
+    s = s.withColumn("_ratio", F.col("_cap") / F.col("weight"))
+    s = ranked(s, [], ["_ratio", "_last", "source"], "_order", "mix-ratios", totals={"_caps": "_cap", "_weights": "weight"})
+    s = staged(s, "mix-weighed")
+    whole = s.agg(F.sum("source_size").alias("_total"), F.sum("weight").alias("_weight"))
+    share = (F.col("_total") - F.col("_caps")) / (F.col("_weight") - F.col("_weights"))
+    s = s.crossJoin(F.broadcast(whole)).withColumn("_share", share).withColumn("_capped", F.col("_share") > F.col("_ratio"))
     # The share that holds for all uncapped sources is that of the first of them.
-    s = s.withColumn("level", F.min(F.when(~F.col("capped"), F.struct("ratio", "share"))).over(everything)["share"])
-    target = F.when(F.col("capped"), MOST * F.col("source_size")).otherwise(F.col("weight") * F.col("level")).cast("double")
+    level = s.agg(F.min(F.when(~F.col("_capped"), F.struct("_order", "_share")))["_share"].alias("_level"))
+    s = s.crossJoin(F.broadcast(level))  # one row, like the totals
+    target = F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("weight") * F.col("_level")).cast("double")
     return s.select("source", "source_size", "n", target.alias("target"))
 
 
@@ -56,20 +56,25 @@ def _copies(rate: Column, place: Column, u: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table of sources if it has at most 65,536 rows (under 10 MB); else the joins are shuffled."""
-    return F.broadcast(df) if df.count() <= 65_536 else df
+    """Broadcast a table of sources if its names have at most 8 MB; else the joins are shuffled."""
+    name = next(c for c in df.columns if c in ("source", "_source"))
+    size = df.agg(F.sum(F.coalesce(F.octet_length(name), F.lit(0)) + 48)).first()[0] or 0
+    return F.broadcast(df) if size <= 8_000_000 else df
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target double, taken long, copies long.
+def mix_sources(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target double, taken long, copies long, and the columns ``keep``.
 
     size is the number of words; taken is size times the copies that the mix takes. Null texts have
     size 0 and null sources are a source of their own, with the last weight. Where all sizes of a source
-    are 0, its target is 0 and nothing is taken. Repeated rows are drawn each for itself. The result
+    are 0, its target is 0 and nothing is taken. Documents of a source's mean size and below make up for what the draw
+    of its larger ones missed, so their expected copies are near, not at, target / source_size. Texts of any length
+    count whole. Of documents of one source, size and id, which one is taken oftener is not certain. Repeated rows are drawn each for itself. The result
     depends on ids, sizes, sources and the seed only. An empty table gives no rows; other columns of
     ``docs`` are ignored, whatever their names.
     """
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix-rows")
+    own = F.col(source_col).cast("string").alias("source")
+    rows = staged(docs.select(F.col(id_col).alias("doc_id"), own, n_words(F.col(text_col)).alias("size"), *keep), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sizes = staged(targets(sizes).withColumnRenamed("source", "_source"), "mix-targets")
     placed = rows.join(_small(sizes), rows["source"].eqNullSafe(sizes["_source"])).drop("_source")
@@ -87,7 +92,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_
     rest = F.coalesce(F.try_divide(F.col("target") - F.col("by_large"), F.col("small_size").cast("double")), F.lit(0.0))
     rest = F.greatest(F.lit(0.0), F.least(F.lit(float(MOST)), rest))
     copies = F.when(F.col("large"), first).otherwise(_copies(rest, F.col("place"), u))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *keep)
 
 
 ORACLE = rf"""
