@@ -28,7 +28,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document of the smallest id stays, or one of those without an id."""
+    """Of each group of near-duplicates (five words, similarity 0.8) the document of the smallest id stays, or one of those without an id.
+
+    Null texts and texts without a word are in no group and stay; of repeated rows all stay or go.
+    """
     found = neardup.near_duplicates(docs, percent=80, width=5, row="at")
     kept = found.where("kept").select(F.col("doc_id").alias("id"), "at").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("id")) & neardup.row_of(F.col("doc_id"), F.col("text")).eqNullSafe(F.col("at"))
@@ -36,17 +39,21 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, 0 to 3 times."""
-    drawn = mixing.mix_sources(docs).select("doc_id", "size", "copies")
-    own = Window.partitionBy("doc_id").orderBy("size")
-    drawn = drawn.withColumn("nth", F.row_number().over(own)).select(F.col("doc_id").alias("id"), F.col("nth").alias("of"), "copies")
-    docs = docs.select(*COLUMNS, mixing.n_words(F.col("text")).alias("size")).withColumn("nth", F.row_number().over(own))
-    taken = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("nth") - F.col("of") == 0)).where("copies > 0")
+    """Every document as often as the mix takes it, 0 to 3 times; null texts, which have no words, go.
+
+    Rows find their copies by id and text, so that rows without an id do not meet; of rows equal in both, the n-th
+    draws for the n-th.
+    """
+    docs = docs.select(*COLUMNS).withColumns({"at": F.xxhash64("text"), "of": F.col("source")})
+    nth = F.row_number().over(Window.partitionBy("doc_id", "at").orderBy("of"))
+    drawn = mixing.mix_sources(docs, keep=("at", "of")).withColumn("nth", nth).where("copies > 0")
+    drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("at").alias("_at"), F.col("nth").alias("_nth"), "copies")
+    taken = docs.withColumn("nth", nth).join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_at")) & (F.col("nth") == F.col("_nth")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4,096 tokens."""
+    """Sequences of at most 4,096 tokens; a null or empty text is its end id alone, and copies are packed each for itself."""
     return packing.pack_documents(docs, size=4096)
 
 
