@@ -61,6 +61,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of ``most`` bytes at most, so that two of a Python worker's batches of texts fit beside its work.
+
+    The setting is one of the session and stays, since results are computed when they are asked for; a smaller one is left.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "")).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, most)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, name: str, totals: dict[str, str] | None = None) -> DataFrame:
     """Add ``out``: the row's place from 0 among rows of equal ``keys`` under ``order``.
 

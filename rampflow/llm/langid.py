@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, restored, staged
+from .common import exact, restored, small_batches, staged
 
 #: Codes: 0 any run of non-letters, 1 letters that no reference has (no transition reads them), 2 padding, 3.. letters.
 OTHER, PAD, FIRST = 1, 2, 3
 #: Codes of a text that are walked in lock step with others.
 STRETCH = 256
 #: Letters of text times languages that one step holds at most.
-STEP = 6_000_000
+STEP = 2_000_000
 #: Letters of all references together: at most some 150 MB are broadcast.
 MOST_LETTERS = 4_000_000
 UNDETERMINED = "und"
@@ -317,6 +317,7 @@ def identify_languages(docs: DataFrame, letters: int = 16_384, id_col: str = "do
     table gives no rows; columns of ``docs`` not named are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = spark.sparkContext.broadcast(train(reference_texts(rows, letters)))
     text = "_text" if text_col not in keep else text_col

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup_kernels as K
-from .common import exact, looked_up, restored, staged
+from .common import exact, looked_up, restored, small_batches, staged
 from .components import components
 
 #: Classes in a chunk of a bucket; a block compares at most BLOCK open classes with a chunk.
@@ -234,6 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col:
     names a further column that tells rows of null id apart, see ``row_of``. An empty table gives no rows;
     other columns of ``docs`` are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_of(F.col(id_col), F.col(text_col)).alias("at"))
     plain = exact(docs, ["doc_id", "at"])
     kind = plain.schema["doc_id"].dataType.simpleString()

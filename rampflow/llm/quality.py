@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, restored
+from .common import exact, restored, small_batches
 
 #: Byte classes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line break, 6 sentence mark, 7 other mark, 8 UTF-8 lead or tail.
 _CLASS = np.zeros(256, np.uint8)
@@ -247,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int) -> Model:
     chosen = labels.where(F.pmod(place, F.lit(every)) == 0).distinct().withColumn("place", place)
     if every == 1 or chosen.count() <= 2 * rows:  # some 20 bytes a row
         chosen = F.broadcast(chosen)
-    texts = docs.join(chosen, docs["doc_id"] == chosen["label_id"]).select("label", "place", "text")
+    texts = docs.join(chosen, docs["doc_id"] == chosen["label_id"]).groupBy("label", "place").agg(F.min("text").alias("text"))  # one text an id, however often it is there
     found = sorted((r["place"], r["label"], r["x"]) for r in texts.mapInPandas(_measured, "label int, place long, x array<double>").collect())
     x = np.array([r[2] for r in found]).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r[1] for r in found], float)) if len(found) else fit(np.zeros((1, len(FEATURES))), np.full(1, 0.5), rounds=0)
@@ -258,10 +258,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = 20_000, thresh
 
     ``labels(doc_id, quality)`` teaches the model, without held-out ids and rows of null id or quality;
     a label given twice counts once, contradicting labels count both. Null and empty texts have the
-    score of a text with no words. Without labels all scores are one half. Repeated rows get equal results. An
+    score of a text with no words; texts of any length are measured whole. Without labels all scores are one half. Repeated rows get equal results. An
     empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = spark.sparkContext.broadcast(train(docs, labels, rows))
     ins = exact(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), ["doc_id"])

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import looked_up, partitions, scratch, staged
+from .common import looked_up, partitions, scratch, small_batches, staged
 
 #: Magic number of the skippable frame that holds a dictionary, by the public WARC-Zstandard proposal.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -213,6 +213,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     empty payload, a null url is about:blank. A row of null id is a revisit where its payload has an id, else
     a response without one. An empty table gives no files; other columns are ignored, whatever their names.
     """
+    small_batches(pages.sparkSession)
     folder = folder or scratch(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
