@@ -67,7 +67,7 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     The setting is one of the session and stays, since results are computed when they are asked for; a smaller one is left.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(key, "")).rstrip("bB")
+    now = str(spark.conf.get(key)).rstrip("bB")
     if not now.isdigit() or not 0 < int(now) <= most:
         spark.conf.set(key, most)
 
