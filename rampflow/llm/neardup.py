@@ -36,7 +36,7 @@ from .components import components
 #: Classes in a chunk of a bucket; a block compares at most BLOCK open classes with a chunk.
 BLOCK = 256
 #: Classes that are compared with one copy of their head.
-STAR = 1_024
+STAR = 256
 
 
 def _sketched(width: int):
