@@ -72,3 +72,21 @@ def anchors(values: DataFrame, known: DataFrame) -> DataFrame:
     j = known.select("name", F.col("value").alias("_want"), "tolerance").join(values.select("name", F.col("value").alias("_got")), "name", "left")
     far = F.abs(F.col("_got") - F.col("_want"))
     return j.select("name", F.coalesce(far <= F.col("tolerance"), F.lit(False)).alias("passed"), F.coalesce(far.cast("string"), F.lit("NA")).alias("detail"))
+
+
+def table_shape(df: DataFrame, rows: int, columns: int, label: str) -> DataFrame:
+    """Checks of an all-text table: number of rows and columns, no header twice, no blank or padded cell. Headers are known without a scan."""
+    n, width, twice = F.count(F.lit(1)), len(df.columns), len(df.columns) - len(set(df.columns))
+    safe = df.toDF(*[f"c{i}" for i in range(width)])
+    return all_checks(
+        check(safe, f"{label}/rows", n == rows, n),
+        check(safe, f"{label}/columns", F.count(F.lit(1)).isNotNull() & F.lit(width == columns), F.max(F.lit(width))),
+        check(safe, f"{label}/headers", F.count(F.lit(1)).isNotNull() & F.lit(twice == 0), F.max(F.lit(twice))),
+        no_blanks(safe, f"{label}/blanks"),
+    )
+
+
+def family(df: DataFrame, p: str, size: int, eligible: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Checks of a family of tests: so many p values, and of exactly the eligible keys."""
+    tested = df.where(F.col(p).isNotNull())
+    return all_checks(check(tested, f"{name}/size", F.count(F.lit(1)) == size, F.count(F.lit(1))), same_keys(tested, eligible, keys, f"{name}/members"))

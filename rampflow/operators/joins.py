@@ -59,3 +59,15 @@ def content_hash(df: DataFrame, columns: list[str], order: list[str]) -> DataFra
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns])
     lines = F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("_line")))), lambda r: r["_line"])
     return df.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"), F.count(F.lit(1)).alias("n"))
+
+
+def wanted(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Rows whose ``column`` is one of ``names``, with its place in that list; a short list, broadcast."""
+    places = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], f"`{column}` string, place int")
+    return df.join(F.broadcast(places), column)
+
+
+def distinct_fits(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row per ``keys`` of a table that repeats a fit for each direction; an error if a fit's rows differ in ``values``."""
+    same = F.count_distinct(F.struct(*values)) <= 1
+    return df.groupBy(*keys).agg(*[F.when(same, F.first(v)).otherwise(F.raise_error(F.lit("a fit has different rows")).cast(df.schema[v].dataType)).alias(v) for v in values])

@@ -65,3 +65,13 @@ def lagged(beats: DataFrame, column: str, lags: int, cell: list[str] = CELL) ->
     """Columns ``lag1..lagN`` of past values; rows without all of them go."""
     w = Window.partitionBy(*cell).orderBy("beat_idx")
     return beats.withColumns({f"lag{k}": F.lag(column, k).over(w) for k in range(1, lags + 1)}).where(F.col(f"lag{lags}").isNotNull())
+
+
+def source_records(beats: DataFrame, row: str = "source_row", cell: list[str] = CELL, grid: DataFrame | None = None) -> DataFrame:
+    """Per cell which rows of its source, counted from 1, its beats come from; cells of ``grid`` without beats have no_retained_rows."""
+    n = F.count(F.lit(1))
+    found = beats.groupBy(*cell).agg(n.alias("retained_rows"), F.format_string("1-based_data_rows_%d-%d;retained_rows=%d", F.min(row).cast("long"), F.max(row).cast("long"), n).alias("source_record"))
+    if grid is None:
+        return found
+    found = grid.join(found, cell, "left")
+    return found.withColumns({"retained_rows": F.coalesce("retained_rows", F.lit(0)), "source_record": F.coalesce("source_record", F.lit("no_retained_rows"))})

@@ -122,11 +122,17 @@ def coherence_analysis(beats: DataFrame, surrogates: int = 1_000, seed: int = 20
     }
 
 
-def coherence_sensitivity(beats: DataFrame, rate: float = 4.0, band: tuple[float, float] = (0.08, 0.12)) -> Tables:
-    """Coherence with segments of 512 and of 256 samples side by side, and what would speak against the longer ones."""
+def coherence_sensitivity(beats: DataFrame, rate: float = 4.0, band: tuple[float, float] = (0.08, 0.12), reference: DataFrame | None = None) -> Tables:
+    """Coherence with segments of 512 and of 256 samples side by side, and the seven conditions that would speak against the longer ones.
+
+    ``reference(subject, phase, coherence)`` are known results of the longer segments, to be met to 1e-12.
+    """
+    options = {n: {"size": n, "overlap": n // 2, "rate": rate, "band": band} for n in (512, 256)}
+    drift = [k for k in options[512] if k not in ("size", "overlap") and options[512][k] != options[256][k]]
+
     def kernel(key, t, s, r):
         a, b = spectral.resample(t, [s, r], rate)[1]
-        return [(n, spectral.segment_count(len(a), n, n // 2), spectral.coherence(a, b, n, n // 2, rate, band)) for n in (512, 256)]
+        return [(n, spectral.segment_count(len(a), n, n // 2), spectral.coherence(a, b, **o)) for n, o in options.items()]
 
     spectral.check_options(512, 256, rate, band)
     cells = per_group(beats.where("t is not null"), CELL, ["t"], ["t", "sbp", "rri"], kernel, "size int, segments int, coherence double")
@@ -140,7 +146,10 @@ def coherence_sensitivity(beats: DataFrame, rate: float = 4.0, band: tuple[float
         audit.check(main, "same_direction", F.signum(one("mean_difference", 512)) == F.signum(one("mean_difference", 256)), one("mean_difference", 256)),
         audit.check(main, "same_interpretation", (one("p", 512) >= 0.05) == (one("p", 256) >= 0.05), one("p", 512)),
         audit.check(cells, "all_cells_estimated", F.count("coherence") == F.count(F.lit(1)), F.count("coherence")),
+        audit.check(cells, "only_segment_length_differs", F.count(F.lit(1)).isNotNull() & F.lit(not drift), F.max(F.lit(",".join(drift)))),
     )
+    if reference is not None:
+        checks = audit.all_checks(checks, audit.close(cells.where("size = 512"), reference, CELL, ["coherence"], 1e-12, "reference_reproduced"))
     return {"cells": cells, "contrasts": table, "checks": checks}
 
 

@@ -643,3 +643,46 @@ def uniform_table(spark, sf_dir):
 def wave_intervals(spark, sf_dir):
     b = beats(spark, sf_dir, "event_type").withColumn("i", F.unix_micros(F.timestamp_seconds("t")))
     return rnd(waves.intervals(waves.find_peaks(b, "sbp", 100.0, 3)).withColumn("t_middle", F.round("t_middle", 4)), "rr", "hr")
+
+
+# Shapes, records, families ----------------------------------------------------------------------
+
+
+@query("table_shape", "WITH n AS (SELECT count(*) AS n, count(*) FILTER (n_nationkey IS NULL OR trim(n_name) = '' OR n_name IS NULL OR trim(n_name) <> n_name) AS bad FROM nation) SELECT 'nation/rows' AS name, n = 25 AS passed, n::VARCHAR AS detail FROM n UNION ALL SELECT 'nation/columns', true, '2' UNION ALL SELECT 'nation/headers', true, '0' UNION ALL SELECT 'nation/blanks', bad = 0, bad::VARCHAR FROM n")
+def table_shape(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string"), "n_name")
+    return audit.table_shape(nation, 25, 2, "nation")
+
+
+@query(
+    "source_records",
+    f"WITH {sql.beats()}, r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t, phase, beat_idx) AS source_row FROM beats), g AS (SELECT subject, phase, count(*) AS n, min(source_row) AS a, max(source_row) AS b FROM r GROUP BY ALL), s AS (SELECT DISTINCT subject FROM beats) SELECT s.subject, p.phase, coalesce(n, 0) AS retained_rows, CASE WHEN n IS NULL THEN 'no_retained_rows' ELSE '1-based_data_rows_' || a || '-' || b || ';retained_rows=' || n END AS source_record FROM s CROSS JOIN (VALUES ('Pre'), ('Stim'), ('Post')) AS p(phase) LEFT JOIN g ON g.subject = s.subject AND g.phase = p.phase",
+)
+def source_records(spark, sf_dir):
+    b = beats(spark, sf_dir)
+    b = b.withColumn("source_row", F.row_number().over(Window.partitionBy("subject").orderBy("t", "phase", "beat_idx")))
+    phases = F.explode(F.array(*[F.lit(p) for p in PHASES])).alias("phase")
+    return segment.source_records(b, grid=b.select("subject").distinct().select("subject", phases))
+
+
+@query("wanted_order", f"WITH {sql.gains(BRANCHES)}, w AS (SELECT * FROM (VALUES ('A1_MAX', 0), ('REF', 1)) AS v(setting, place)) SELECT g.setting, w.place::INTEGER AS place, g.phase, count(gain) AS n, round(avg(gain), 6) AS mean_gain FROM gain g JOIN w USING (setting) WHERE direction = 'all' AND reason = 'NA' GROUP BY ALL")
+def wanted_order(spark, sf_dir):
+    g = joins.wanted(ramps.gains(beats(spark, sf_dir), BRANCHES).where("direction = 'all' and reason = 'NA'"), "setting", ["A1_MAX", "REF"])
+    return rnd(g.groupBy("setting", "place", "phase").agg(F.count("gain").alias("n"), F.avg("gain").alias("mean_gain")), "mean_gain")
+
+
+@query("distinct_fits", f"WITH {sql.beats()} SELECT subject, phase, count(*) AS n, round(regr_slope(rri, sbp), 6) AS b FROM beats GROUP BY ALL HAVING count(*) > 2")
+def distinct_fits(spark, sf_dir):
+    fits = beats(spark, sf_dir).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope("rri", "sbp"), 6).alias("b")).where("n > 2")
+    twice = fits.withColumn("direction", F.explode(F.array(F.lit("sbp_to_rri"), F.lit("rri_to_sbp"))))
+    return joins.distinct_fits(twice, CELL, ["n", "b"])
+
+
+@query(
+    "family_check",
+    f"WITH {sql.pairs(OFAT)}, {_SUMMARY}, t AS (SELECT setting, CASE WHEN n >= 15 THEN n END AS p FROM s WHERE contrast = 'Stim-Pre'), e AS (SELECT DISTINCT setting FROM pair WHERE contrast = 'Stim-Pre') SELECT 'ofat/size' AS name, count(p) = 8 AS passed, count(p)::VARCHAR AS detail FROM t UNION ALL SELECT 'ofat/members', count(*) = 0, count(*)::VARCHAR FROM ((SELECT setting FROM t WHERE p IS NOT NULL EXCEPT SELECT setting FROM e) UNION ALL (SELECT setting FROM e EXCEPT SELECT setting FROM t WHERE p IS NOT NULL))",
+)
+def family_check(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir, OFAT).where("contrast = 'Stim-Pre'")
+    tests = pairs.groupBy("setting").agg(F.count("d").alias("n")).withColumn("p", F.when(F.col("n") >= 15, F.col("n")))
+    return audit.family(tests, "p", 8, pairs.select("setting").distinct(), ["setting"], "ofat")

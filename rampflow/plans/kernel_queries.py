@@ -170,6 +170,22 @@ def kpss_flag(spark, sf_dir):
     return rnd(_cells(_segments(spark, sf_dir), ["sbp", "rri"], lambda key, s, r: (*nonlinear.kpss(s), *nonlinear.kpss(r)), "sbp_stat double, sbp_level boolean, rri_stat double, rri_level boolean"), "sbp_stat", "rri_stat")
 
 
+_KPSS_P = "CASE WHEN {0} <= 0.347 THEN 0.1 WHEN {0} <= 0.463 THEN 0.1 - 0.05 * ({0} - 0.347) / 0.116 WHEN {0} <= 0.574 THEN 0.05 - 0.025 * ({0} - 0.463) / 0.111 WHEN {0} <= 0.739 THEN 0.025 - 0.015 * ({0} - 0.574) / 0.165 ELSE 0.01 END"
+
+
+@query(
+    "primary_qc",
+    f"WITH {_KPSS}, sg AS (SELECT subject, phase, count(*) AS n_selected, avg(sbp) AS mean_sbp, avg(rri) AS mean_rri, stddev_samp(sbp) AS sd_sbp, stddev_samp(rri) AS sd_rri FROM seg GROUP BY ALL), kp AS (SELECT subject, phase, max({_KPSS_P.format('stat')}) FILTER (name = 'rri') AS rri_p, max({_KPSS_P.format('stat')}) FILTER (name = 'sbp') AS sbp_p FROM st GROUP BY ALL) SELECT subject, phase, n_selected, {R('mean_sbp mean_rri sd_sbp sd_rri rri_p sbp_p')}, CASE WHEN rri_p < 0.05 AND sbp_p < 0.05 THEN 'FLAG_RRI_AND_SBP' WHEN rri_p < 0.05 THEN 'FLAG_RRI' WHEN sbp_p < 0.05 THEN 'FLAG_SBP' ELSE 'PASS_BOTH' END AS flag FROM sg JOIN kp USING (subject, phase)",
+)
+def primary_qc(spark, sf_dir):
+    def kernel(key, s, r):
+        flag, rri_p, sbp_p = nonlinear.stationarity(nonlinear.kpss(r)[0], nonlinear.kpss(s)[0])
+        return len(s), s.mean(), r.mean(), s.std(ddof=1), r.std(ddof=1), rri_p, sbp_p, flag
+
+    values = "mean_sbp mean_rri sd_sbp sd_rri rri_p sbp_p".split()
+    return rnd(_cells(_segments(spark, sf_dir), ["sbp", "rri"], kernel, "n_selected long, " + ", ".join(f"{v} double" for v in values) + ", flag string"), *values)
+
+
 _EMBED = "e AS (SELECT subject, phase, beat_idx, sbp AS y, lag(sbp, 1) OVER w AS x1, lag(sbp, 2) OVER w AS x2 FROM beats WINDOW w AS (PARTITION BY subject, phase ORDER BY beat_idx))"
 
 

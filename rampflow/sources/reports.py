@@ -6,6 +6,7 @@ import json
 import math
 import os
 import tempfile
+import zipfile
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +55,20 @@ def replace_file(path: str, text: str) -> None:
     except BaseException:
         os.unlink(temporary)
         raise
+
+
+def write_archive(path: str, members: dict[str, bytes]) -> None:
+    """A ZIP that depends on its members alone: by name, with one date, mode and method. For reports, on the driver."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as z:
+        for name in sorted(members):
+            entry = zipfile.ZipInfo(name, date_time=(1980, 1, 1, 0, 0, 0))
+            entry.compress_type, entry.external_attr, entry.create_system = zipfile.ZIP_DEFLATED, 0o644 << 16, 3
+            z.writestr(entry, members[name])
+
+
+def assemble(title: str, sections: list[tuple[str, DataFrame | str]], digits: int = 4) -> str:
+    """A Markdown report: a title, and sections of text or of a table of reporting size."""
+    parts = [f"# {title}"]
+    for name, body in sections:
+        parts += [f"## {name}", body if isinstance(body, str) else as_markdown(body, digits)]
+    return "\n\n".join(parts) + "\n"

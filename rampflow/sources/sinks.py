@@ -46,6 +46,12 @@ def write_table(df: DataFrame, path: str, root: str, sep: str = ",", strict: boo
     out.coalesce(1).write.mode("overwrite").options(header=True, sep=sep, lineSep="\n", emptyValue="", nullValue="NA").csv(path)
 
 
+def checksum_lines(files: DataFrame, root: str) -> DataFrame:
+    """Lines of a checksum file, ``sha256  relative path``, by path; ``files`` as of sources.beats.file_hashes."""
+    relative = F.regexp_replace("path", F.lit("^.*?" + root.rstrip("/").replace(".", "\\.") + "/"), F.lit(""))
+    return files.select(F.concat_ws("  ", "sha256", relative).alias("value"), relative.alias("_p")).orderBy("_p").select("value")
+
+
 def manifest(files: DataFrame) -> DataFrame:
     """sha256, size and path of files, by path; ``files`` as of sources.beats.file_hashes."""
     return files.select("sha256", "size_bytes", "path").orderBy("path")

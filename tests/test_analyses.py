@@ -86,7 +86,11 @@ def test_coherence_validation(spark):
 def test_sensitivities(cohort):
     some = cohort.where("subject in ('S00', 'S01', 'S02')")
     out = analyses.coherence_sensitivity(some)
-    assert out["cells"].count() == 18 and out["checks"].count() == 5
+    assert out["cells"].count() == 18 and out["checks"].count() == 6
+    known = out["cells"].where("size = 512")
+    for reference, passed in ((known, True), (known.withColumn("coherence", F.col("coherence") + 1e-6), False), (known.where("subject <> 'S00'"), False)):
+        checks = {r["name"]: r["passed"] for r in analyses.coherence_sensitivity(some, reference=reference)["checks"].collect()}
+        assert len(checks) == 7 and checks["reference_reproduced"] == passed and checks["only_segment_length_differs"]
     from rampflow.schema import NEIGHBOURS
 
     chosen = tuple(s for s in NEIGHBOURS if s.name in ("primary", "lag4", "same_beat_convention"))

@@ -14,7 +14,7 @@ from rampflow.operators import audit, context, pairing, segment
 from rampflow.plans import registry
 from rampflow.schema import WINDOWS, windows_frame
 from rampflow.sources import beats as sources
-from rampflow.sources import sinks
+from rampflow.sources import identity, reports, sinks
 from rampflow.streaming import online_ramps, tumbling_bins
 
 SF = "/root/testdata/sf0.001"
@@ -178,3 +178,40 @@ def test_streamed_ramps_equal_the_batch(spark, tmp_path):
     want = want.join(ends, "subject").where("end_idx < last - 1")  # the last ramp is still open
     key = lambda r: (r["subject"], r["direction"], r["start_t"], r["n_beats"], round(r["slope"], 6))
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 20
+
+
+def test_file_identity(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in ("01", "02"):
+        (tmp_path / "in" / f"paired_beats_{n}.csv").write_text(f"x{n}\n")
+    digest = lambda n: hashlib.sha256(f"x{n}\n".encode()).hexdigest()
+    inventory = spark.createDataFrame([("data/paired_beats_01.csv", digest("01").upper()), ("data/paired_beats_02.csv", "0" * 64), ("data/paired_beats_03.csv", digest("03")), ("data/other.txt", "1")], "path string, sha256 string")
+    expected = identity.expected_hashes(inventory, r"paired_beats_\d{2}\.csv")
+    got = {r["file_name"]: (r["hash_match"], r["observed"] == "NA") for r in identity.identity(expected, sources.file_hashes(spark, f"{tmp_path}/in")).collect()}
+    assert got == {"paired_beats_01.csv": (True, False), "paired_beats_02.csv": (False, False), "paired_beats_03.csv": (False, True)}
+    lines = [r["value"] for r in sinks.checksum_lines(sources.file_hashes(spark, f"{tmp_path}/in"), f"{tmp_path}/in").collect()]
+    assert lines == [f"{digest(n)}  paired_beats_{n}.csv" for n in ("01", "02")]
+
+
+def test_hash_entries(spark):
+    one = lambda text: spark.createDataFrame([(text,)], "entries string")
+    got = identity.hash_entries(one('{"a": "ab12", "b": {"sha256": "cd34", "mode": "eol_normalized_lf_bytes"}}')).collect()
+    assert {(r["name"], r["sha256"], r["mode"]) for r in got} == {("a", "AB12", "raw_bytes"), ("b", "CD34", "eol_normalized_lf_bytes")}
+    for bad in ('{"b": {"sha256": "cd34", "mode": "other"}}', '{"b": {"mode": "raw_bytes"}}'):
+        with pytest.raises(Exception, match="not a hash entry"):
+            identity.hash_entries(one(bad)).collect()
+
+
+def test_archive_and_report(spark, tmp_path):
+    for name in ("a", "b"):
+        reports.write_archive(str(tmp_path / f"{name}.zip"), {"y.txt": b"2", "x.txt": b"1"} if name == "a" else {"x.txt": b"1", "y.txt": b"2"})
+    assert (tmp_path / "a.zip").read_bytes() == (tmp_path / "b.zip").read_bytes()
+    text = reports.assemble("Title", [("Table", spark.createDataFrame([(1, None)], "a int, b string")), ("Note", "words")])
+    assert text == "# Title\n\n## Table\n\n| a | b |\n| --- | --- |\n| 1 | NA |\n\n## Note\n\nwords\n"
+
+
+def test_comparison_needs_all_cells(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", None)], "k string, v double")
+    same = lambda b: audit.close(a, b, ["k"], ["v"], 1e-9, "c").first()["passed"]
+    assert same(a) and not same(a.where("k = 'x'")) and not same(a.union(spark.createDataFrame([("z", 1.0)], "k string, v double")))
+    assert audit.close(a.limit(0), a.limit(0), ["k"], ["v"], 1e-9, "c").first()["passed"]
