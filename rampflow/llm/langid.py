@@ -313,7 +313,8 @@ def identify_languages(docs: DataFrame, letters: int = 16_384, id_col: str = "do
 
     Learns from text and non-null lang of rows that are not held out; ids and labels are no inputs of a
     prediction. Null texts and texts without a letter are ``und`` with score 0; so is everything if no
-    row is labelled. Ties go to the first language by name. Repeated rows get equal results. An empty
+    row is labelled. Ties go to the first language by name. Repeated rows get equal results; texts of any length are
+    parsed whole. An empty
     table gives no rows; columns of ``docs`` not named are ignored, whatever their names.
     """
     spark = docs.sparkSession

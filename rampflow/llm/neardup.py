@@ -231,8 +231,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, id_col:
     are linked with nothing. A text of fewer than ``width`` words is one shingle. Repeated rows are
     equal copies. Rows of null id are compared and link like others, but give no component its name: in a
     component of null ids alone, component_id is null and the rows of one of its texts are kept. ``row``
-    names a further column that tells rows of null id apart, see ``row_of``. An empty table gives no rows;
-    other columns of ``docs`` are ignored, whatever their names.
+    names a further column that tells rows of null id apart, see ``row_of``. Texts of any length count
+    whole. An empty table gives no rows; other columns of ``docs`` are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_of(F.col(id_col), F.col(text_col)).alias("at"))

@@ -326,7 +326,8 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold:
     ``findings(value, left, right, path, label)`` teach the forest; by default the built-in ones. secret: score is
     at least ``threshold``. Null and empty texts have no candidates; a null path counts as empty. Repeated
     rows give their candidates again. An empty table gives no rows; other columns of ``docs`` are
-    ignored, whatever their names. Equal candidates with equal neighbours have equal scores.
+    ignored, whatever their names. Equal candidates with equal neighbours have equal scores;
+    texts of any length are scanned whole.
     """
     spark = docs.sparkSession
     forest = train(labelled_findings(spark) if findings is None else findings)

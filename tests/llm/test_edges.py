@@ -139,3 +139,57 @@ def test_stages(spark, docs, none):
     mixed = corpus_pipeline.mix(spark, docs, "").groupBy("doc_id").count().collect()
     drawn = {r["doc_id"]: r["n"] for r in mixing.mix_sources(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r["n"]}
     assert {r["doc_id"]: r["count"] for r in mixed} == drawn
+
+
+SECRET = 'token = "4b579d3cee1dcaf48e80dfd04d785e892fc7d365"'
+
+
+def test_secrets_in_awkward_rows(spark):
+    """Null path, repeated rows, a secret at the end of a very long text, null and empty texts."""
+    long = "word " * 200_000
+    docs = [(1, SECRET, None), (1, SECRET, None), (2, long + SECRET, "a"), (3, None, None), (4, "", "a"), (None, SECRET, "a")]
+    got = secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string")).where("secret").collect()
+    assert sorted((r["doc_id"] or 0, r["start"]) for r in got) == [(0, 9), (1, 9), (1, 9), (2, len(long) + 9)]
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
+def test_packing_of_null_empty_and_repeated_texts(spark):
+    docs = [(1, None), (2, ""), (3, " \n"), (4, "a few words"), (4, "a few words"), (None, "no id")]
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs) and {r["piece"] for r in got} == {0} and {r["start"] for r in got} == {0}
+    assert {r["length"] for r in got if r["doc_id"] in (1, 2, 3)} == {1} and len({r["ids_crc32"] for r in got if r["doc_id"] in (1, 2, 3)}) == 1
+    assert len({r["offset"] for r in got}) == len(docs) and len({r["sequence_id"] for r in got}) == 1
+
+
+def test_shards_of_null_empty_and_repeated_texts(spark):
+    docs = [(1, None), (2, ""), (3, "x"), (3, "x"), (None, "x"), (5, "y")]
+    got = sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), shards=3).collect()
+    assert {r["size"] for r in got if r["doc_id"] in (1, 2)} == {8} and {r["text_crc32"] for r in got if r["doc_id"] in (1, 2)} == {0}
+    assert len({r["shard"] for r in got if r["size"] == 9 and r["doc_id"] != 5}) == 1
+    for shard in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
+def test_mixing_ties(spark):
+    """Rows equal in size and id: as many copies as sources ask for, none above three, and the same again."""
+    docs = spark.createDataFrame([(7, f"a b {i}", "s") for i in range(30)] + [(8, "x y z", "t")] * 30, "doc_id long, text string, source string")
+    first, again = ([sorted((r["doc_id"], r["taken"]) for r in mixing.mix_sources(d).collect()) for d in (docs, docs.repartition(5))])
+    assert first == again and max(t for _, t in first) <= 9
+    assert abs(sum(t for i, t in first if i == 7) - 60) <= 3 and abs(sum(t for i, t in first if i == 8) - 120) <= 3
+
+
+def test_quality_of_equal_and_empty_texts(docs, labels):
+    got = quality.score_quality(docs, labels).collect()
+    by = {i: {r["score"] for r in got if r["doc_id"] == i} for i in (3, 20, 21, 22)}
+    assert len(by[3]) == 1 and by[20] == by[21] and all(0 < s < 1 for v in by.values() for s in v)
+
+
+def test_language_of_a_very_long_text(spark):
+    docs = spark.createDataFrame([(i, f"{w} " * 30, lang, "s") for i, (w, lang) in enumerate([("the quick brown fox", "en"), ("der schnelle braune fuchs", "de")] * 8)] + [(100, "der braune fuchs " * 60_000, None, "s")], "doc_id long, text string, lang string, source string")
+    assert [r["lang_pred"] for r in langid.identify_languages(docs).where("doc_id = 100").collect()] == ["de"]
+
+
+def test_archives_of_repeated_and_null_ids(spark):
+    pages = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, None, "same"), (None, "u", "same"), (None, "u", "alone"), (3, "u", None), (4, "u", "")], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in warc.read_archives(warc.write_archives(pages)).collect())
+    assert got == [(0, "response", 0, 5), (0, "revisit", 1, 4), (1, "response", 0, 4), (1, "response", 0, 4), (2, "revisit", 1, 4), (3, "response", 0, 0), (4, "revisit", 3, 0)]
