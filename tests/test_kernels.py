@@ -170,3 +170,14 @@ def test_coupling_sensitivity_is_registered_whole(spark):
 
     got = __spark_entry__.queries()["coupling_sensitivity"](spark, "/root/testdata/sf0.01").select("setting", "method", "direction").collect()
     assert {tuple(r) for r in got} == {(s.name, m, d) for s in NEIGHBOURS for m in ("CE", "LP") for d in ("sbp_to_rri", "rri_to_sbp")}
+
+
+@pytest.mark.parametrize(("n", "size", "overlap"), [(700, 128, 64), (701, 128, 96), (640, 127, 63), (128, 128, 64)])
+def test_surrogates_in_blocks_equal_one_by_one(n, size, overlap):
+    rng = np.random.default_rng(5)
+    x, y = spectral.detrend(rng.normal(size=n)), spectral.detrend(rng.normal(size=n).cumsum())
+    for band in ((0.08, 0.4), (0.0, 2.0)):
+        o = {"size": size, "overlap": overlap, "rate": 4.0, "band": band}
+        one = np.random.default_rng(9)
+        want = [spectral._coherence(spectral.phase_surrogate(x, one), spectral.phase_surrogate(y, one), **o) for _ in range(70)]
+        assert spectral.surrogate_coherence(x, y, 70, np.random.default_rng(9), **o) == pytest.approx(want, rel=1e-9)
