@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, neardup, packing, quality, secrets, sharding, topk, warc
+from . import divergence, exact_dedup, filters, langid, mixing, neardup, packing, quality, secrets, sharding, topk, vptree, warc
 from .common import table
 
 
@@ -48,6 +48,18 @@ def op10_vector_approximation_topk(spark: SparkSession, sf_dir: str) -> DataFram
     return topk.search(table(spark, sf_dir, "embeddings"), k=10, query_every=100, scale=1024)
 
 
+def op11_vantage_point_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.search(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +73,9 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_warc_dictionary,
         op10_vector_approximation_topk,
+        op11_vantage_point_ann,
+        op12_source_divergence,
+        op13_filter_interaction,
     )
 }
 
@@ -70,4 +85,6 @@ ORACLE_SQL = {
     "op8_minhash_near_dedup": neardup.ORACLE,
     "op9_warc_dictionary": warc.ORACLE,
     "op10_vector_approximation_topk": topk.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_filter_interaction": filters.ORACLE,
 }
