@@ -57,7 +57,11 @@ def benjamini_hochberg(p: str, *family: str) -> Column:
 
 
 def with_bh(df, p: str, out: str, *family: str):
-    """``df`` with BH-adjusted p values in ``out``."""
+    """``df`` with BH-adjusted p values in ``out``, within families by windows; the whole table as one family by a distributed scan."""
+    if not family:
+        from ..operators.scans import step_up
+
+        return step_up(df, p, out)
     raw, place, q = benjamini_hochberg(p, *family)
     return df.withColumn("_raw", raw).withColumn("_place", place).withColumn(out, q).drop("_raw", "_place")
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import ratio
+from ..functions.dist import t_ppf
 from ..schema import CELL
+from .grouped import per_row
 
 
 def context(beats: DataFrame, cell: list[str] = CELL) -> DataFrame:
@@ -33,10 +35,11 @@ def descriptives(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return out.withColumns({"q1": F.col("_q")[0], "q3": F.col("_q")[1], "iqr": F.col("_q")[1] - F.col("_q")[0]}).drop("_q")
 
 
-def trajectory(binned: DataFrame, value: str, t_table: DataFrame) -> DataFrame:
-    """Per bin over subjects: n, mean, SEM and t interval; ``t_table(n, t975)`` is small."""
+def trajectory(binned: DataFrame, value: str, level: float = 0.975) -> DataFrame:
+    """Per bin over subjects: n, mean, SEM and t interval; no interval for one subject."""
     by_subject = binned.groupBy("subject", "bin").agg(F.avg(value).alias("_v"))
     out = by_subject.groupBy("bin").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), ratio(F.stddev_samp("_v"), F.sqrt(F.count("_v"))).alias("sem"))
-    out = out.join(F.broadcast(t_table), "n", "left")
-    half = F.col("t975") * F.col("sem")
+    points = per_row(out.select("n").where("n > 1").distinct(), ["n"], lambda key: (t_ppf(level, int(key[0]) - 1),), "t double")
+    out = out.join(points, "n", "left")
+    half = F.col("t") * F.col("sem")
     return out.select("bin", "n", "mean", "sem", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))

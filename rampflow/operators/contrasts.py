@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 from ..functions.columns import average_rank, cohens_dz, pearson, ratio, with_bh
 from ..functions.dist import signed_rank, t_sf2
 from ..schema import CONTRASTS, PHASES
-from .grouped import per_group
+from .grouped import per_group, per_row
 from .kernels.bootstrap import STATISTICS, bca, correlation, ranks
+from .kernels.slopes import median_slope
 
 
 def wide(df: DataFrame, value: str, *keys: str, phases: tuple[str, ...] = PHASES) -> DataFrame:
@@ -58,19 +59,24 @@ def signed_rank_p(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def intervals(pairs: DataFrame, *keys: str, times: int = 10_000, seed: int = 20260805, statistics: tuple[str, ...] = tuple(STATISTICS)) -> DataFrame:
-    """BCa intervals, subjects in order of their names.
+    """BCa intervals, subjects in order of their names; a task for every group and statistic.
 
     Statistic i of a group is drawn with the group's seed + i. That is ``seed`` + 10 times the place of
     its contrast, or what a column ``seed`` of ``pairs`` says (one value a group, as of joins.ordinals).
     """
     place = {f"{a}-{b}": i for i, (a, b) in enumerate(CONTRASTS)}
+    own = ["seed"] if "seed" in pairs.columns else []
+    packed = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("subject", "d", *own))).alias("_rows"))
+    values = [F.transform("_rows", lambda r: r["d"].cast("double")).alias("_d"), (F.transform("_rows", lambda r: r["seed"].cast("double")) if own else F.array().cast("array<double>")).alias("_seed")]
+    jobs = packed.select(*keys, *values, F.posexplode(F.array(*map(F.lit, statistics))).alias("_i", "statistic"))
+    jobs = jobs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism, *keys, "statistic")
 
-    def kernel(key, d, *own):
-        base = int(own[0][0]) if own else seed + 10 * next((place[k] for k in key if k in place), 0)
-        return [(s, *bca(d, s, times, base + i)) for i, s in enumerate(statistics)]
+    def kernel(key, d, own, i):
+        *group, statistic = key
+        base = int(own[0]) if len(own) else seed + 10 * next((place[k] for k in group if k in place), 0)
+        return bca(d, statistic, times, base + int(i[0]))
 
-    values = ["d", "seed"] if "seed" in pairs.columns else ["d"]
-    return per_group(pairs, list(keys), ["subject"], values, kernel, "statistic string, estimate double, low double, high double")
+    return per_row(jobs.select(*keys, "statistic", "_d", "_seed", F.array("_i")), [*keys, "statistic"], kernel, "estimate double, low double, high double")
 
 
 def leave_one_out(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -172,11 +178,9 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, *keys: str) -> DataF
 
 
 def theil_sen(df: DataFrame, x: str, y: str, *keys: str, on: str = "subject") -> DataFrame:
-    """Median of pairwise slopes; the estimator is one of pairs, and groups are participants of one study, tens of rows."""
-    a = df.select(*keys, F.col(on).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    b = df.select(*keys, F.col(on).alias("_j"), F.col(x).alias("_u"), F.col(y).alias("_v"))
-    pairs = a.join(b, list(keys)).where("_i < _j and _x <> _u")
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), F.median(F.try_divide(F.col("_v") - F.col("_y"), F.col("_u") - F.col("_x"))).alias("slope"))
+    """Median of pairwise slopes by selection, n log n in a group's rows; groups without two different x have no row."""
+    found = per_group(df, list(keys), [on], [x, y], lambda key, a, b: median_slope(a, b), "n_pairs long, slope double")
+    return found.where("n_pairs > 0")
 
 
 def classify(df: DataFrame, low: str, high: str, n: str, least: int = 15) -> DataFrame:

@@ -19,13 +19,18 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], values: list[str
     batch; a group of one series has to fit a row, as the kernels hold a whole series in any case.
     Nulls arrive as NaN. ``schema`` has the result's own columns; the keys go in front.
     """
-    ship(df.sparkSession)
-    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*dict.fromkeys([*order, *values])))).alias("_rows"))
+    rows = F.sort_array(F.collect_list(F.struct(*dict.fromkeys([*order, *values]))))
+    packed = df.groupBy(*keys).agg(rows.alias("_rows"))
 
     def column(v: str):
         return F.transform("_rows", lambda r: r[v].cast("double"))
 
-    packed = packed.select(*keys, *[column(v).alias(f"_v{i}") for i, v in enumerate(values)])
+    return per_row(packed.select(*keys, *[column(v).alias(f"_v{i}") for i, v in enumerate(values)]), keys, kernel, schema)
+
+
+def per_row(df: DataFrame, keys: list[str], kernel: Callable[..., Iterable[tuple] | tuple | dict], schema: str) -> DataFrame:
+    """The same for rows that hold their arrays already, in the columns after ``keys``."""
+    ship(df.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -38,5 +43,5 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], values: list[str
                     out.append(key + tuple(one[n] for n in names) if isinstance(one, dict) else key + tuple(one))
             yield pd.DataFrame(out, columns=[*keys, *names]).replace({np.nan: None}) if out else pd.DataFrame(columns=[*keys, *names])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name in keys)
-    return packed.mapInPandas(run, f"{kinds}, {schema}")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    return df.mapInPandas(run, f"{kinds}, {schema}")

@@ -24,7 +24,7 @@ def resamples(n: int, times: int, seed) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, n, size=(times, n))
 
 
-def _interval(estimate: float, found: np.ndarray, knife: np.ndarray, level: float, tie: float = 0.0) -> tuple[float, float]:
+def interval(estimate: float, found: np.ndarray, knife: np.ndarray, level: float, tie: float = 0.0) -> tuple[float, float]:
     found = found[np.isfinite(found)]
     below = (found < estimate - tie).sum() + 0.5 * (np.abs(found - estimate) <= tie).sum()
     edge = 0.5 / len(found)
@@ -57,7 +57,7 @@ def bca(x: np.ndarray, statistic: str = "mean", times: int = 10_000, seed=202608
         return estimate, math.nan, math.nan
     knife = np.array([float(f(np.delete(x, i))) for i in range(len(x))])
     tie = tie_eps * np.finfo(float).eps * max(1.0, float(np.abs(x).max()))
-    return estimate, *_interval(estimate, found, knife, level, tie)
+    return estimate, *interval(estimate, found, knife, level, tie)
 
 
 def correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -73,47 +73,19 @@ def ranks(x: np.ndarray) -> np.ndarray:
     return (np.cumsum(n) - (n - 1) / 2)[at]
 
 
-def bca_correlation(x: np.ndarray, y: np.ndarray, rank: bool = False, times: int = 10_000, seed=0, level: float = 0.95) -> tuple[float, float, float]:
-    """Paired bootstrap of Pearson's or Spearman's coefficient; a degenerate replicate set gives its constant."""
-    def f(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if rank:
-            a, b = (np.apply_along_axis(ranks, -1, v) for v in (a, b))
-        return correlation(a, b)
+def _ranked(x: np.ndarray) -> np.ndarray:
+    return np.apply_along_axis(ranks, -1, x)
 
-    n = len(x)
-    estimate = float(f(x, y))
-    if n < 4 or not math.isfinite(estimate):
-        return estimate, math.nan, math.nan
-    at = resamples(n, times, seed)
-    found = f(x[at], y[at])
-    knife = np.array([float(f(np.delete(x, i), np.delete(y, i))) for i in range(n)])
-    return estimate, *_interval(estimate, found, knife, level, 1e-15)
-
-
-def permutation_spearman(x: np.ndarray, y: np.ndarray, times: int = 100_000, seed=0, chunk: int = 5_000) -> tuple[float, float]:
-    """Spearman's rho and its two-sided permutation p, in chunks of bounded memory."""
-    a, b = ranks(x), ranks(y)
-    rho, rng, hits, left = float(correlation(a, b)), np.random.default_rng(seed), 0, times
-    if not math.isfinite(rho):
-        return rho, math.nan
-    while left:
-        m = min(left, chunk)
-        mixed = b[np.argsort(rng.random((m, len(b))), axis=1)]
-        hits += int((np.abs(correlation(np.broadcast_to(a, mixed.shape), mixed)) >= abs(rho) - 1e-15).sum())
-        left -= m
-    return rho, (1 + hits) / (1 + times)
-
-
-def theil_sen(x: np.ndarray, y: np.ndarray, times: int = 10_000, seed=0, level: float = 0.95) -> tuple[float, float, float]:
-    """Median pairwise slope and its percentile interval over paired resamples."""
-    i, j = np.triu_indices(len(x), 1)
-
-    def f(a: np.ndarray, b: np.ndarray) -> float:
-        dx = a[j] - a[i]
-        ok = dx != 0
-        return float(np.median((b[j] - b[i])[ok] / dx[ok])) if ok.any() else math.nan
-
-    found = np.array([f(x[k], y[k]) for k in resamples(len(x), times, seed)])
-    found = found[np.isfinite(found)]
-    lo, hi = np.quantile(found, ((1 - level) / 2, (1 + level) / 2)) if len(found) else (math.nan, math.nan)
-    return f(x, y), float(lo), float(hi)
+
+def _slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Median pairwise slope of each row; NaN where all x are equal."""
+    i, j = np.triu_indices(x.shape[-1], 1)
+    dx, out = x[..., j] - x[..., i], np.full(x.shape[:-1], np.nan)
+    slope = np.divide(y[..., j] - y[..., i], dx, out=np.full(dx.shape, np.nan), where=dx != 0)
+    some = (dx != 0).any(-1)
+    out[some] = np.nanmedian(slope[some], -1)
+    return out
+
+
+#: Statistics of pairs along the last axis, by name.
+PAIRED: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"pearson": correlation, "spearman": lambda x, y: correlation(_ranked(x), _ranked(y)), "theil_sen": _slopes}

@@ -86,23 +86,30 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
     return w, 1 - normal_cdf((y - mu) / sd)
 
 
-def random_intercept(y: np.ndarray, x: np.ndarray, group: np.ndarray) -> dict:
-    """REML fit of y = x b + group intercept + error: profile over the variance ratio, golden-section search."""
-    n, k = x.shape
-    _, at, size = np.unique(group, return_inverse=True, return_counts=True)
+def random_intercept_of_sums(t: dict[str, np.ndarray], centre: float, terms: tuple[str, str]) -> list[tuple]:
+    """REML fit of y = a + b x + participant + error from sums by number of rows ``n``: profile over the variance ratio, golden section.
+
+    With ratio r a participant of n rows has V^-1 = 1 - w(n) 11' in units of the residual variance, w = r / (1 + r n); so all
+    that is asked of the data are the sums over all rows and, by n, the sums of products of participants' totals. y is
+    less ``centre``, which goes back into the constant.
+    """
+    n, people = t["n"], t["people"]
+    rows = float((n * people).sum())
+    free = rows - 2
+    square = np.array([[rows, t["x"].sum()], [t["x"].sum()] * 2])
+    cross = np.array([t["y"].sum(), t["each_xy"].sum()])
+    own = float(t["each_yy"].sum())
 
     def solve(ratio: float):
-        w = ratio / (1 + ratio * size)  # V^-1 = I - w_g 11' inside a group
-        sx = np.array([np.bincount(at, c) for c in x.T]).T
-        sy = np.bincount(at, y)
-        a = x.T @ x - sx.T @ (w[:, None] * sx)
-        b = np.linalg.solve(a, x.T @ y - sx.T @ (w * sy))
-        e = y - x @ b
-        se = np.bincount(at, e)
-        rss = e @ e - (w * se * se).sum()
-        s2 = rss / (n - k)
-        loss = (n - k) * math.log(s2) + np.log1p(ratio * size).sum() + np.linalg.slogdet(a)[1]
-        return loss, b, s2, np.linalg.inv(a) * s2
+        w = ratio / (1 + ratio * n)
+        a = square - np.array([[(w * n * n * people).sum(), (w * n * t["x"]).sum()], [(w * n * t["x"]).sum(), (w * t["xx"]).sum()]])
+        c = cross - np.array([(w * n * t["y"]).sum(), (w * t["xy"]).sum()])
+        det = a[0, 0] * a[1, 1] - a[0, 1] * a[1, 0]
+        inverse = np.array([[a[1, 1], -a[0, 1]], [-a[1, 0], a[0, 0]]]) / det
+        b = inverse @ c
+        s2 = (own - (w * t["yy"]).sum() - b @ c) / free
+        loss = free * math.log(s2) + (people * np.log1p(ratio * n)).sum() + math.log(det) if s2 > 0 and det > 0 else math.inf
+        return loss, b, s2, inverse
 
     lo, hi, g = -12.0, 8.0, (math.sqrt(5) - 1) / 2
     for _ in range(80):
@@ -111,8 +118,18 @@ def random_intercept(y: np.ndarray, x: np.ndarray, group: np.ndarray) -> dict:
     ratio = math.exp((lo + hi) / 2)
     if solve(0.0)[0] <= solve(ratio)[0]:
         ratio = 0.0
-    _, b, s2, cov = solve(ratio)
-    return {"b": b, "se": np.sqrt(np.diag(cov)), "residual_variance": s2, "group_variance": ratio * s2, "singular": ratio * s2 < 1e-8 * s2}
+    loss, b, s2, inverse = solve(ratio)
+    if not math.isfinite(loss):
+        return [(term, *[None] * 11, True) for term in terms]
+    own_values = np.linalg.eigvalsh(square)
+    condition = math.sqrt(own_values[1] / own_values[0]) if own_values[0] > 0 else math.inf
+    likelihood = -0.5 * (loss + free * (1 + math.log(2 * math.pi)))
+    out = []
+    for i, term in enumerate(terms):
+        estimate, se = float(b[i]) + (centre if i == 0 else 0.0), math.sqrt(s2 * inverse[i, i])
+        z = estimate / se
+        out.append((term, estimate, se, z, 2 * (1 - normal_cdf(abs(z))), estimate - 1.959963984540054 * se, estimate + 1.959963984540054 * se, ratio * s2, s2, ratio, likelihood, condition, ratio * s2 <= 1e-8 or ratio <= 1e-8))
+    return out
 
 
 def jzs_bayes_factor(t: float, n: int, r: float = math.sqrt(2) / 2) -> float:

@@ -8,7 +8,11 @@ import numpy as np
 
 
 def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, ends: str = "natural") -> np.ndarray:
-    """Interpolating cubic spline with natural or not-a-knot ends, evaluated at ``at``."""
+    """Interpolating cubic spline with natural or not-a-knot ends, evaluated at ``at``; beyond the ends its last cubic goes on.
+
+    Not-a-knot ends have three unknowns in their end rows. Each is solved for its outermost one, which leaves a
+    tridiagonal system, so memory is linear in the series.
+    """
     h, n = np.diff(x), len(x)
     a = np.zeros((3, n))
     b = np.zeros(n)
@@ -18,10 +22,15 @@ def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, ends: str = "natu
     if ends == "natural" or n < 4:
         m = _tridiagonal(a, b)
     else:
-        full = np.diag(a[1]) + np.diag(a[0, 1:], 1) + np.diag(a[2, :-1], -1)
-        full[0, :3] = h[1], -(h[0] + h[1]), h[0]
-        full[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-        m = np.linalg.solve(full, b)
+        # m[0] = ((h0 + h1) m[1] - h0 m[2]) / h1, and likewise at the other end.
+        a[1, 1] += h[0] * (h[0] + h[1]) / h[1]
+        a[0, 2] -= h[0] * h[0] / h[1]
+        a[1, -2] += h[-1] * (h[-1] + h[-2]) / h[-2]
+        a[2, -3] -= h[-1] * h[-1] / h[-2]
+        m = np.empty(n)
+        m[1:-1] = _tridiagonal(a[:, 1:-1], b[1:-1])
+        m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+        m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2]
     i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
     l, r, k = at - x[i], x[i + 1] - at, h[i]
     return (m[i] * r**3 + m[i + 1] * l**3) / (6 * k) + (y[i] / k - m[i] * k / 6) * r + (y[i + 1] / k - m[i + 1] * k / 6) * l

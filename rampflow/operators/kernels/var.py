@@ -23,13 +23,18 @@ def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def select_order(y: np.ndarray, lowest: int = 1, highest: int = 10) -> tuple[int, list[float]]:
-    """Order of least AIC on the sample that all orders share."""
+    """Order of least AIC on the sample that all orders share.
+
+    Regressors come order by order, so one orthogonal factorisation holds all fits: what order p leaves of the response
+    is in the rows of its triangle below the regressors of p.
+    """
+    x, r = lagged(y, highest)
+    n, k = r.shape
+    triangle = np.linalg.qr(np.hstack([x, r]), mode="r")[:, -k:]
     out = []
     for p in range(lowest, highest + 1):
-        x, r = lagged(y, p, highest)
-        e = ols(x, r)[1]
-        n, k = r.shape
-        sign, logdet = np.linalg.slogdet(e.T @ e / n)
+        left = triangle[1 + k * p :]
+        sign, logdet = np.linalg.slogdet(left.T @ left / n)
         out.append(logdet + 2 * (k * k * p + k) / n if sign > 0 else math.inf)
     best = int(np.nanargmin(out))
     if not math.isfinite(out[best]):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ship
+from . import scans
+from .grouped import per_row
 
 
 def first_follower(left: DataFrame, right: DataFrame, within: float, key: str = "subject", t: str = "t") -> DataFrame:
@@ -24,23 +25,33 @@ def first_follower(left: DataFrame, right: DataFrame, within: float, key: str =
 
 
 def one_to_one(left: DataFrame, right: DataFrame, within: float, key: str = "subject", t: str = "t") -> DataFrame:
-    """The same in order of time with every right event used once: greedy, so sequential within a key."""
-    both = left.select(key, F.col(t).cast("double").alias("t"), F.lit(0).alias("side")).union(right.select(key, F.col(t).cast("double").alias("t"), F.lit(1).alias("side")))
+    """The same in order of time with every right event used once: greedy, so sequential, but only as long as left events follow closely.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (sorted(pdf.loc[pdf["side"] == s, "t"]) for s in (0, 1))
+    Time is cut into buckets as long as the window. Where a bucket has no left event, nothing before it can take a right event
+    after it, so a key falls into runs of consecutive buckets that are paired each for itself. Runs are found by a scan of the
+    distinct buckets in ranges; a key with all rows is many runs unless its left events never pause for a window.
+    """
+    bucket = lambda c: F.floor(c / within).cast("long")
+    a = left.select(key, F.col(t).cast("double").alias("t")).withColumn("_b", bucket(F.col("t")))
+    b = right.select(key, F.col(t).cast("double").alias("t")).withColumn("_b", bucket(F.col("t")))
+    runs = scans.runs(a.select(key, "_b").distinct(), key, "_b", out="_run")
+    lefts = a.join(runs, [key, "_b"]).groupBy(key, "_run").agg(F.sort_array(F.collect_list("t")).alias("_lefts"))
+    # A right event is for lefts of its own bucket's run, or of the bucket before.
+    own, before = runs.select(key, "_b", F.col("_run").alias("_own")), runs.select(key, (F.col("_b") + 1).alias("_b"), F.col("_run").alias("_before"))
+    rights = b.join(own, [key, "_b"], "left").join(before, [key, "_b"], "left").withColumn("_run", F.coalesce("_own", "_before")).where("_run is not null")
+    rights = rights.groupBy(key, "_run").agg(F.sort_array(F.collect_list("t")).alias("_rights"))
+
+    def kernel(_, x, y):
         out, j = [], 0
-        for x in a:
-            while j < len(b) and b[j] < x:
-                j += 1
-            if j < len(b) and b[j] <= x + within:
-                out.append((pdf[key].iloc[0], x, b[j]))
+        for v in x:
+            j += int(np.searchsorted(y[j:], v))
+            if j < len(y) and y[j] <= v + within:
+                out.append((float(v), float(y[j])))
                 j += 1
-        return pd.DataFrame(out, columns=[key, "t_left", "t_right"])
+        return out
 
-    ship(both.sparkSession)
-    kind = both.schema[key].dataType.simpleString()
-    return both.groupBy(key).applyInPandas(run, f"{key} {kind}, t_left double, t_right double")
+    met = lefts.join(rights, [key, "_run"]).select(key, "_run", "_lefts", "_rights")
+    return per_row(met, [key, "_run"], kernel, "t_left double, t_right double").drop("_run")
 
 
 def in_order(pairs: DataFrame, key: str = "subject") -> DataFrame:

@@ -50,14 +50,18 @@ def pressures(systolic: DataFrame, diastolic: DataFrame, key: str = "subject") -
 
 
 def uniform_table(series: DataFrame, columns: list[str], key: str = "subject") -> DataFrame:
-    """Columns by not-a-knot splines at 0, 30/64, ... seconds: ROWS rows per key."""
+    """Columns by not-a-knot splines at 0, 30/64, ... seconds: ROWS rows per key, or as many more as the series is long.
+
+    ``outside`` marks points before the first or after the last time, where the outermost cubics go on.
+    """
 
     def kernel(_, t, *xs):
-        grid = np.arange(ROWS) * SPACING
+        grid = np.arange(max(ROWS, int(np.floor(t[-1] / SPACING)) + 1)) * SPACING
         made = [spectral.cubic_spline(t, x, grid, "not-a-knot") for x in xs]
-        return [(i, float(g), *(float(m[i]) for m in made)) for i, g in enumerate(grid)]
+        out = (grid < t[0]) | (grid > t[-1])
+        return [(i, float(g), *(float(m[i]) for m in made), bool(out[i])) for i, g in enumerate(grid)]
 
-    return per_group(series, [key], ["t"], ["t", *columns], kernel, ", ".join(["i int", "at double", *(f"{c}_uniform double" for c in columns)]))
+    return per_group(series, [key], ["t"], ["t", *columns], kernel, ", ".join(["i int", "at double", *(f"{c}_uniform double" for c in columns), "outside boolean"]))
 
 
 def band_correlation(uniform: DataFrame, x: str, y: str, lo: float, hi: float, size: int = 256, key: str = "subject") -> DataFrame:

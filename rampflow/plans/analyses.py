@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import with_bh
-from ..operators import audit, context, contrasts, decisions, linear, prevalence, ramps, segment, summaries
-from ..operators.grouped import per_group
-from ..operators.kernels import bootstrap, nonlinear, spectral, var
-from ..schema import BRANCHES, CANONICAL, CELL, FACTORIAL, NEIGHBOURS, OFAT, SUBPHASE_CONTRASTS, windows_frame
+from ..operators import audit, context, contrasts, decisions, linear, prevalence, ramps, resampling, segment, summaries
+from ..operators.grouped import per_group, per_row
+from ..operators.kernels import nonlinear, spectral, var
+from ..operators.ledger import resumed
+from ..operators.resampling import Analysis
+from ..schema import BRANCHES, CANONICAL, CELL, FACTORIAL, NEIGHBOURS, OFAT, SUBPHASE_CONTRASTS, Neighbours, windows_frame
 
 Tables = dict[str, DataFrame]
+#: Names of the two directions, the one towards intervals first.
+DIRECTIONS = ("sbp_to_rri", "rri_to_sbp")
 
 
 def gate(beats: DataFrame, anchors: DataFrame | None, tolerance: float = 1e-9) -> DataFrame:
@@ -226,44 +230,66 @@ def coupling_analysis(beats: DataFrame, methods: tuple[str, ...] = ("CE", "LP",
 
 
 #: Shifts of one job; a cell's surrogates are dealt over so many tasks as they need.
-SHIFTS_PER_JOB = 25
+SHIFTS_PER_JOB = 50
+SHIFT_JOB = ["input", *CELL, "method", "direction", "block"]
 
 
-def shift_tests(segments: DataFrame, methods: tuple[str, ...] = ("LP", "CE", "SSC"), count: int = 199, seed: int = 20260807) -> DataFrame:
+def shift_jobs(segments: DataFrame, methods: tuple[str, ...], count: int, seed: int, setting: Neighbours) -> DataFrame:
+    """A row for every cell, method, direction and block of shifts, with its series and a hash of all that the result depends on."""
+    spark = segments.sparkSession
+    packed = segments.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("beat_idx", "sbp", "rri"))).alias("rows"))  # at most one centred segment
+    options = f"{count}|{seed}|{setting.k}|{setting.depth}|{setting.source_now}|{SHIFTS_PER_JOB}"
+    packed = packed.withColumn("input", F.sha2(F.concat_ws("|", F.to_json("rows"), F.lit(options)), 256))
+    ways = [(m, d, b) for m in methods for d in DIRECTIONS for b in range(-(-count // SHIFTS_PER_JOB))]
+    ways = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(d).alias("direction"), F.lit(b).alias("block")) for m, d, b in ways])
+
+    def series(c: str):
+        return F.transform("rows", lambda r: r[c].cast("double")).alias(c)
+
+    return packed.select("input", *CELL, F.inline(ways), series("sbp"), series("rri"))
+
+
+def shift_tests(segments: DataFrame, methods: tuple[str, ...] = ("LP", "CE", "SSC"), count: int = 199, seed: int = 20260807, setting: Neighbours = NEIGHBOURS[0], ledger: str | None = None) -> DataFrame:
     """Both directions of every cell against circular shifts of the source: strength, 95 % point, p, significant.
 
-    A job is one cell, method, direction and block of shifts. A cell's shifts are drawn from a stream of its own, all of
-    them in every job, so that the result does not depend on the blocks. Any failed estimate makes the test null.
+    A job is one cell, method, direction and block of shifts, which shares what depends on the target alone; the first block
+    has the strength as it is too. A cell's shifts are drawn from a stream of its own, all of them in every job, so that the result does
+    not depend on the blocks. With ``ledger``, a path that executors share, finished jobs are kept there and a run
+    that was stopped goes on with the others. Any failed estimate makes the test null and not evaluable; ``reason`` names the failures.
     """
-    spark, blocks = segments.sparkSession, -(-count // SHIFTS_PER_JOB)
-    packed = segments.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("beat_idx", "sbp", "rri"))).alias("rows"))  # at most one centred segment
-    ways = spark.createDataFrame([(m, d, b) for m in methods for d in ("sbp_to_rri", "rri_to_sbp") for b in range(blocks)], "method string, direction string, block int")
-    jobs = packed.crossJoin(F.broadcast(ways)).repartition(2 * spark.sparkContext.defaultParallelism, *CELL, "method", "direction", "block")
-    jobs = jobs.select(*CELL, "method", "direction", "block", F.posexplode("rows").alias("i", "r")).select(*CELL, "method", "direction", "block", "i", "r.sbp", "r.rri")
+    spark = segments.sparkSession
+    options = {"k": setting.k, "depth": setting.depth}
 
     def kernel(key, p, r):
-        *cell, method, direction, block = key
+        _, *cell, method, direction, block = key
         p, r = nonlinear.standardise(p), nonlinear.standardise(r)
-        target, source = (r, p) if direction == "sbp_to_rri" else (p, r)
+        target, source = (r, p) if direction == DIRECTIONS[0] else (p, r)
+        more = {} if method == "SSC" else options | {"source_now": setting.source_now and direction == DIRECTIONS[0]}
         try:
-            rng = np.random.default_rng([seed, ["LP", "CE", "SSC"].index(method), int(direction == "rri_to_sbp"), *map(ord, "/".join(cell))])
+            rng = np.random.default_rng([seed, ["LP", "CE", "SSC"].index(method), int(direction == DIRECTIONS[1]), *map(ord, "/".join(cell))])
             shifts = nonlinear.shift_offsets(len(source), count, rng)
-        except ValueError:
-            return [(None, None)]
-        seen = nonlinear.estimate(method, target, source)["strength"]
-        some = shifts[int(block) * SHIFTS_PER_JOB :][:SHIFTS_PER_JOB]
-        return [(seen, nonlinear.estimate(method, target, np.roll(source, s))["strength"]) for s in some]
-
-    null = per_group(jobs, [*CELL, "method", "direction", "block"], ["i"], ["sbp", "rri"], kernel, "seen double, shifted double")
-    out = null.groupBy(*CELL, "method", "direction").agg(
-        F.max("seen").alias("strength"),
-        F.sort_array(F.collect_list("shifted")).alias("_null"),  # ``count`` values at most
-        F.count_if(F.col("shifted") >= F.col("seen")).alias("_hits"),
-    )
-    whole = (F.size("_null") == count) & F.col("strength").isNotNull()
+        except ValueError as why:
+            return None, [], [str(why)]
+        some = [0] * (not block) + list(shifts[int(block) * SHIFTS_PER_JOB :][:SHIFTS_PER_JOB])
+        made = nonlinear.shifted(method, target, source, some, **more)
+        seen = made.pop(0)["strength"] if not block else None
+        good = [e["strength"] for e in made if np.isfinite(e["strength"])]
+        return seen, good, sorted({e["reason"] for e in made} - {"NA"})
+
+    def run(jobs: DataFrame) -> DataFrame:
+        dealt = jobs.repartition(2 * spark.sparkContext.defaultParallelism, *SHIFT_JOB)
+        return per_row(dealt.select(*SHIFT_JOB, "sbp", "rri"), SHIFT_JOB, kernel, "seen double, shifted array<double>, failures array<string>")
+
+    jobs = shift_jobs(segments, methods, count, seed, setting)
+    null = resumed(jobs, SHIFT_JOB, run, ledger) if ledger else run(jobs)
+    values = F.sort_array(F.flatten(F.collect_list("shifted")))  # ``count`` values at most
+    out = null.groupBy(*CELL, "method", "direction").agg(F.max("seen").alias("strength"), values.alias("_null"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("failures")))).alias("_why"))
+    n = F.size("_null")
+    whole = (n == count) & F.col("strength").isNotNull()
     edge = F.when(whole, F.col("_null")[int(np.ceil(0.95 * (count - 1)))])
-    out = out.withColumns({"edge": edge, "p": F.when(whole, (1 + F.col("_hits")) / (1 + count))})
-    return out.withColumn("significant", F.coalesce(F.col("strength") > F.col("edge"), F.lit(False))).drop("_null", "_hits")
+    hits = F.size(F.filter("_null", lambda x: x >= F.col("strength")))
+    out = out.withColumns({"n_finite": n, "edge": edge, "p": F.when(whole, (1 + hits) / (1 + count)), "evaluable": whole, "reason": F.when(F.size("_why") > 0, F.array_join("_why", ";")).otherwise("NA")})
+    return out.withColumn("significant", F.coalesce(F.col("strength") > F.col("edge"), F.lit(False))).drop("_null", "_why")
 
 
 def coupling_validation(spark, replicates: int = 200, shifts: int = 39, n: int = 256, methods: tuple[str, ...] = ("LP", "CE", "SSC"), seed: int = 20260807) -> Tables:
@@ -297,7 +323,7 @@ def association_analysis(changes: DataFrame, times: int = 10_000, permutations:
 
     Statistics with bootstrap intervals and a permutation test (the dear part, left out without ``intervals``), each
     participant left out, robust models of the gain under stimulation adjusted for the one before, influence, residual tests,
-    and the class of the association. One study's participants are one array for the resampling kernels.
+    and the class of the association. One study's participants are one array, and its draws are dealt over tasks.
     """
     rho = contrasts.correlations(changes, "x", "y", "method")
     omitted = contrasts.leave_one_out_correlations(changes, "x", "y", "method")
@@ -321,15 +347,12 @@ def association_analysis(changes: DataFrame, times: int = 10_000, permutations:
     }
     if intervals:
 
-        def kernel(key, x, y):
-            first = key[0] == "REF"
-            r, p = bootstrap.permutation_spearman(x, y, permutations, seed + 1) if first else (None, None)
-            made = [("spearman", *bootstrap.bca_correlation(x, y, True, times, [seed, *map(ord, key[0])]), p)]
-            if first:
-                made.append(("theil_sen", *bootstrap.theil_sen(x, y, times, seed + 2), None))
-            return made
-
-        drawn = per_group(changes, ["method"], ["subject"], ["x", "y"], kernel, "analysis string, estimate double, low double, high double, permutation_p double")
+        analyses = (Analysis("spearman", times), Analysis("permutation", permutations), Analysis("theil_sen", times))
+        drawn = resampling.paired(ref, ["method"], "subject", "x", "y", analyses, seed)
+        drawn = drawn.unionByName(resampling.paired(changes.where("method <> 'REF'"), ["method"], "subject", "x", "y", analyses[:1], seed))
+        tested = drawn.where("analysis = 'permutation'").select("method", F.col("p").alias("permutation_p"))
+        drawn = drawn.where("analysis <> 'permutation'").drop("p").join(tested, "method", "left")
+        drawn = drawn.withColumn("permutation_p", F.when(F.col("analysis") == "spearman", F.col("permutation_p"))).select("method", "analysis", "estimate", "low", "high", "permutation_p")
         drawn = drawn.join(rho.select("method", "n", F.col("rho_p").alias("p")), "method").withColumn("p", F.when(F.col("analysis") == "spearman", F.col("p")))
         linear_r = contrasts.pearson_ci(changes, "x", "y", "method").join(rho.select("method", F.col("r_p").alias("p")), "method")
         linear_r = linear_r.select("method", F.lit("pearson").alias("analysis"), F.col("r").alias("estimate"), "low", "high", F.lit(None).cast("double").alias("permutation_p"), "n", "p")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import average_rank, slope, stable_seed, text_array, with_bh
-from ..functions.dist import t_ppf
-from ..operators import audit, context, contrasts, joins, pairing, prevalence, ramps, segment, summaries, waves
+from ..operators import audit, context, contrasts, joins, pairing, prevalence, ramps, scans, segment, summaries, waves
 from ..schema import BRANCHES, CANONICAL, CELL, FACTORIAL, OFAT, PHASES
 from ..sources.beats import event_beats
 from . import sql
@@ -67,19 +66,17 @@ def phase_descriptives(spark, sf_dir):
     return rnd(context.descriptives(long, "v", "metric", "phase"), "mean", "sd", "median", "q1", "q3", "iqr")
 
 
-_T_ROWS = {n: t_ppf(0.975, n - 1) for n in range(2, 40)}
-
-
 @query(
     "trajectory_bins",
-    f"""WITH {sql.beats("event_type")}, s AS (SELECT subject, floor(t / 86400)::BIGINT AS bin, avg(sbp) AS v FROM beats GROUP BY ALL), g AS (
-  SELECT bin, count(v) AS n, avg(v) AS mean, stddev_samp(v) / sqrt(count(v)) AS sem FROM s GROUP BY bin), q AS (
-  SELECT g.*, mean - t975 * sem AS ci_low, mean + t975 * sem AS ci_high FROM g LEFT JOIN (VALUES {", ".join(f"({n}, {t!r}::DOUBLE)" for n, t in _T_ROWS.items())}) AS t(n, t975) ON t.n = g.n)
+    f"""WITH RECURSIVE {sql.beats("event_type")}, s AS (SELECT subject, floor(t / 86400)::BIGINT AS bin, avg(sbp) AS v FROM beats GROUP BY ALL), g AS (
+  SELECT bin, count(v) AS n, avg(v) AS mean, stddev_samp(v) / sqrt(count(v)) AS sem FROM s GROUP BY bin),
+bis(n, a, b, step) AS (SELECT DISTINCT n, 0.0::DOUBLE, 1000.0::DOUBLE, 0 FROM g WHERE n > 1 UNION ALL SELECT n, CASE WHEN far THEN (a + b) / 2 ELSE a END, CASE WHEN far THEN b ELSE (a + b) / 2 END, step + 1
+  FROM (SELECT *, {sql.t_tail("((a + b) / 2)", "(n - 1)")} > 0.05 AS far FROM bis WHERE step < 60)), q AS (
+  SELECT g.*, mean - a * sem AS ci_low, mean + a * sem AS ci_high FROM g LEFT JOIN (SELECT n, a FROM bis WHERE step = 60) t ON t.n = g.n)
 SELECT bin, n, {R("mean sem ci_low ci_high")} FROM q""",
 )
 def trajectory_bins(spark, sf_dir):
-    t = spark.createDataFrame(list(_T_ROWS.items()), "n long, t975 double")
-    return rnd(context.trajectory(segment.binned(beats(spark, sf_dir, "event_type"), 86400.0), "sbp", t), "mean", "sem", "ci_low", "ci_high")
+    return rnd(context.trajectory(segment.binned(beats(spark, sf_dir, "event_type"), 86400.0), "sbp"), "mean", "sem", "ci_low", "ci_high")
 
 
 for _k in (0, 1, 2):
@@ -235,7 +232,7 @@ def paired_contrasts(spark, sf_dir):
 def specification_curve(spark, sf_dir):
     s = contrasts.summary(_pairs(spark, sf_dir, FACTORIAL, "event_type"), "setting", "contrast").where("contrast = 'Stim-Pre'")
     s = rnd(s.select("setting", "n", "mean_difference"), "mean_difference")
-    return s.withColumn("place", F.row_number().over(Window.orderBy(F.col("mean_difference").asc_nulls_last(), "setting")))
+    return scans.places(s, "mean_difference", "setting")
 
 
 @query(
@@ -505,10 +502,11 @@ def record_union(spark, sf_dir):
 _GRID = "(VALUES ('Pre'), ('Stim'), ('Post')) AS p(phase)"
 
 
-@query("null_grid", f"WITH {sql.gains((CANONICAL,))}, g AS (SELECT phase, n_sequences AS k, count(*) AS n FROM gain WHERE direction = 'all' GROUP BY ALL) SELECT p.phase, k.k, coalesce(g.n, 0) AS n FROM {_GRID}, (SELECT unnest(range(0, 11)) AS k) k LEFT JOIN g ON g.phase = p.phase AND g.k = k.k")
+@query("null_grid", f"WITH {sql.gains((CANONICAL,))}, g AS (SELECT phase, n_sequences AS k, count(*) AS n FROM gain WHERE direction = 'all' GROUP BY ALL) SELECT p.phase, k.k, coalesce(g.n, 0) AS n FROM {_GRID}, (SELECT unnest(range(0, greatest(11, (SELECT max(k) + 1 FROM g)))) AS k) k LEFT JOIN g ON g.phase = p.phase AND g.k = k.k")
 def null_grid(spark, sf_dir):
     g = ramps.gains(beats(spark, sf_dir), (CANONICAL,)).where("direction = 'all'").groupBy("phase", F.col("n_sequences").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.createDataFrame([(p,) for p in PHASES], "phase string").crossJoin(spark.range(11).withColumnRenamed("id", "k"))
+    upto = g.agg(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(10), F.max("k")))).alias("k"))
+    grid = spark.createDataFrame([(p,) for p in PHASES], "phase string").crossJoin(upto)
     return grid.join(g, ["phase", "k"], "left").select("phase", "k", F.coalesce("n", F.lit(0)).alias("n"))
 
 

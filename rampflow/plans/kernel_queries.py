@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import contrasts, linear, ramps, segment
+from ..operators import contrasts, linear, mixed, ramps, resampling, segment
 from ..operators.grouped import per_group
-from ..operators.kernels import bootstrap, nonlinear, regression, spectral, var
+from ..operators.kernels import nonlinear, regression, spectral, var
 from ..schema import CANONICAL, CELL
 from . import sql
 from .beat_queries import beats, rnd
@@ -96,7 +96,19 @@ def var_causality(spark, sf_dir):
     return rnd(_var(spark, sf_dir), "modulus", "whiteness_p", "normality_p", "f_forward", "p_forward", "f_reverse", "p_reverse")
 
 
-@query("var_order_distribution")
+_ORDERS = f"""{sql.beats('event_type')}, de AS (SELECT subject, phase, beat_idx, sbp - regr_intercept(sbp, beat_idx) OVER w - regr_slope(sbp, beat_idx) OVER w * beat_idx AS s, rri - regr_intercept(rri, beat_idx) OVER w - regr_slope(rri, beat_idx) OVER w * beat_idx AS r FROM beats WINDOW w AS (PARTITION BY subject, phase)),
+st AS (SELECT subject, phase, beat_idx, (s - avg(s) OVER w) / stddev_pop(s) OVER w AS s, (r - avg(r) OVER w) / stddev_pop(r) OVER w AS r FROM de WINDOW w AS (PARTITION BY subject, phase)),
+se AS (SELECT subject, phase, count(*) AS n, list(s ORDER BY beat_idx) AS s, list(r ORDER BY beat_idx) AS r FROM st GROUP BY ALL HAVING count(*) > 50),
+-- Columns of the fit: the constant, the lags one by one, the two responses. Each in turn is taken out of those after it.
+q(subject, phase, m, vs, j, ld) AS (SELECT subject, phase, n - 10, list_concat(list_concat([list_transform(range(0, n - 10), lambda i: 1.0::DOUBLE)], flatten(list_transform(range(1, 11), lambda k: [s[11 - k:n - k], r[11 - k:n - k]]))), [s[11:n], r[11:n]]), 0, NULL::DOUBLE FROM se
+  UNION ALL SELECT subject, phase, m, ws, j + 1, ln((list_dot_product(ws[-1], ws[-1]) * list_dot_product(ws[-2], ws[-2]) - list_dot_product(ws[-1], ws[-2]) ** 2) / (m * m)) FROM (
+    SELECT *, list_transform(range(1, len(vs)), lambda k: list_transform(list_zip(vs[k + 1], vs[1]), lambda z: z[1] - cf[k] * z[2])) AS ws FROM (
+      SELECT *, list_transform(vs[2:], lambda v: list_dot_product(v, vs[1]) / list_dot_product(vs[1], vs[1])) AS cf FROM q WHERE j < 21))),
+aic AS (SELECT subject, phase, (j - 1) // 2 AS p, ld + 2.0 * (4 * ((j - 1) // 2) + 2) / m AS a FROM q WHERE j >= 3 AND j % 2 = 1),
+od AS (SELECT subject, phase, arg_min(p, a)::INTEGER AS "order" FROM aic GROUP BY ALL)"""
+
+
+@query("var_order_distribution", f"""WITH RECURSIVE {_ORDERS} SELECT g.phase, k.k::INTEGER AS "order", count(od.subject) AS n FROM (VALUES ('Pre'), ('Stim'), ('Post')) AS g(phase), (SELECT unnest(range(1, 11)) AS k) k LEFT JOIN od ON od.phase = g.phase AND od."order" = k.k GROUP BY ALL""")
 def var_order_distribution(spark, sf_dir):
     n = _var(spark, sf_dir).groupBy("phase", "order").agg(F.count(F.lit(1)).alias("n"))
     grid = spark.createDataFrame([("Pre",), ("Stim",), ("Post",)], "phase string").crossJoin(spark.range(1, 11).select(F.col("id").cast("int").alias("order")))
@@ -194,20 +206,23 @@ _EMBED = "e AS (SELECT subject, phase, beat_idx, sbp AS y, lag(sbp, 1) OVER w AS
     f"WITH {sql.beats()}, {_EMBED}, p AS (SELECT a.subject, a.phase, a.beat_idx, b.beat_idx AS other, greatest(abs(a.x1 - b.x1), abs(a.x2 - b.x2)) AS distance FROM e a JOIN e b ON a.subject = b.subject AND a.phase = b.phase AND abs(a.beat_idx - b.beat_idx) > 2 WHERE a.x2 IS NOT NULL AND b.x2 IS NOT NULL), k AS (SELECT *, (row_number() OVER (PARTITION BY subject, phase, beat_idx ORDER BY distance, other))::INTEGER AS place FROM p) SELECT subject, phase, beat_idx, other, {R('distance', 9)}, place FROM k WHERE place <= 3",
 )
 def knn_chebyshev_k(spark, sf_dir):
-    e = segment.lagged(beats(spark, sf_dir), "sbp", 2).select(*CELL, "beat_idx", "lag1", "lag2")
-    o = e.select(*CELL, F.col("beat_idx").alias("other"), F.col("lag1").alias("o1"), F.col("lag2").alias("o2"))
-    d = F.greatest(F.abs(F.col("lag1") - F.col("o1")), F.abs(F.col("lag2") - F.col("o2")))
-    pairs = e.join(o, CELL).where(F.abs(F.col("beat_idx") - F.col("other")) > 2).withColumn("distance", d)
-    near = Window.partitionBy(*CELL, "beat_idx").orderBy("distance", "other")
-    return rnd(pairs.withColumn("place", F.row_number().over(near)).where("place <= 3").select(*CELL, "beat_idx", "other", "distance", "place"), "distance", digits=9)
+    def kernel(key, i, y):
+        if len(y) < 3:
+            return []
+        past, at = (y[1:-1], y[:-2]), i[2:]
+        near, far, ok = nonlinear.nearest_there(past, 3, 2)
+        rows, place = np.nonzero(ok)
+        return [(int(at[r]), int(at[near[r, p]]), float(far[r, p]), int(p) + 1) for r, p in zip(rows, place, strict=True)]
+
+    return rnd(_cells(beats(spark, sf_dir), ["beat_idx", "sbp"], kernel, "beat_idx int, other int, distance double, place int"), "distance", digits=9)
 
 
 @query("corr_probability", f"WITH {sql.beats()}, g AS (SELECT a.subject, a.phase, count(*) AS pairs, avg((abs(a.sbp - b.sbp) < 10)::INTEGER) AS probability FROM beats a JOIN beats b ON a.subject = b.subject AND a.phase = b.phase AND a.beat_idx < b.beat_idx GROUP BY ALL) SELECT subject, phase, pairs, {R('probability')} FROM g")
 def corr_probability(spark, sf_dir):
-    a = beats(spark, sf_dir).select(*CELL, "beat_idx", "sbp")
-    b = a.select(*CELL, F.col("beat_idx").alias("other"), F.col("sbp").alias("v"))
-    pairs = a.join(b, CELL).where("beat_idx < other")
-    return rnd(pairs.groupBy(*CELL).agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.abs(F.col("sbp") - F.col("v")) < 10).cast("int")).alias("probability")), "probability")
+    def kernel(key, v):
+        return (len(v) * (len(v) - 1) // 2, nonlinear.pair_probability(v, 10.0))
+
+    return rnd(_cells(beats(spark, sf_dir), ["sbp"], kernel, "pairs long, probability double").where("pairs > 0"), "probability")
 
 
 # Small models -----------------------------------------------------------------------------------
@@ -259,17 +274,54 @@ def influence(spark, sf_dir):
     return rnd(rows.select("cohort", "subject", "leverage", "cook", "large", "dfb_constant", "dfb_rri", "dfb_size"), "leverage", "cook", "dfb_constant", "dfb_rri", "dfb_size")
 
 
-@query("mixed_model")
-def mixed_model(spark, sf_dir):
-    found = ramps.sequences(beats(spark, sf_dir), (CANONICAL,)).where("qualifies").withColumn("who", F.xxhash64("subject").cast("double"))  # any number that tells participants apart
-    found = found.select(F.lit("all").alias("cohort"), "subject", "phase", "direction", "ramp_index", "slope", "who", (F.col("phase") == "Stim").cast("double").alias("stim"), (F.col("phase") == "Post").cast("double").alias("post"))
+_ROWS_OF_MODEL = "m0 AS (SELECT subject, slope AS y, phase = 'Stim' AS x FROM seqq WHERE qualifies AND phase IN ('Pre', 'Stim')), ce AS (SELECT avg(y) AS c FROM m0), ps AS (SELECT subject, count(*) AS n, count(*) FILTER (x) AS n_x, sum(y - c) AS sum_y, coalesce(sum(y - c) FILTER (x), 0.0) AS sum_xy, sum((y - c) * (y - c)) AS sum_yy FROM m0, ce GROUP BY subject)"
+_GATE_OF_MODEL = "gt AS (SELECT count(*) AS participants, sum(n)::BIGINT AS rows, min(least(n_x, n - n_x)) AS least_rows, min(least(n_x, n - n_x)) >= 2 AS eligible FROM ps)"
+
+
+def _model_rows(spark, sf_dir, key):
+    """Qualifying sequences of Pre and Stim; x says Stim."""
+    found = ramps.sequences(beats(spark, sf_dir, key), (CANONICAL,)).where("qualifies and phase in ('Pre', 'Stim')")
+    return found.select(F.lit("all").alias("cohort"), "subject", "slope", (F.col("phase") == "Stim").alias("x"))
+
 
-    def kernel(key, y, who, stim, post):
-        m = regression.random_intercept(y, np.column_stack([np.ones(len(y)), stim, post]), who)
-        return [(n, float(m["b"][i]), float(m["se"][i]), float(m["group_variance"]), float(m["residual_variance"]), bool(m["singular"])) for i, n in enumerate(("constant", "Stim", "Post"))]
+@query("mixed_model_sums", f"WITH {sql.sequences((CANONICAL,))}, {_ROWS_OF_MODEL}, {_GATE_OF_MODEL} SELECT subject, n, n_x, {R('sum_y sum_xy sum_yy')}, participants, rows, least_rows, eligible FROM ps, gt")
+def mixed_model_sums(spark, sf_dir):
+    """Participants' sums, and the gate of all of them."""
+    sums = mixed.participant_sums(_model_rows(spark, sf_dir, "user_id"), "slope", "x", "cohort")
+    out = sums.crossJoin(F.broadcast(mixed.eligibility(sums, "cohort").drop("cohort")))
+    return rnd(out.select("subject", "n", "n_x", "sum_y", "sum_xy", "sum_yy", "participants", "rows", "least_rows", "eligible"), "sum_y", "sum_xy", "sum_yy")
 
-    out = per_group(found, ["cohort"], ["subject", "phase", "direction", "ramp_index"], ["slope", "who", "stim", "post"], kernel, "term string, b double, se double, group_variance double, residual_variance double, singular boolean")
-    return rnd(out, "b", "se", "group_variance", "residual_variance", digits=4)
+
+def _solved(r: str, source: str, name: str) -> str:
+    """CTE body: the profile at ratio ``r`` of every row of ``source``, with columns prefixed by ``name``."""
+    w = lambda f: f"list_sum(list_transform(range(1, len(n) + 1), lambda i: {r} / (1 + {r} * n[i]) * {f}))"
+    made = {"a11": f"rw - {w('n[i] * n[i] * g[i]')}", "a12": f"sx - {w('n[i] * x[i]')}", "a22": f"sx - {w('xx[i]')}", "c1": f"sy - {w('n[i] * y[i]')}", "c2": f"exy - {w('xy[i]')}", "q": f"eyy - {w('yy[i]')}", "ld": f"list_sum(list_transform(range(1, len(n) + 1), lambda i: g[i] * ln(1 + {r} * n[i])))"}
+    det = f"({name}a11 * {name}a22 - {name}a12 * {name}a12)"
+    rss = f"({name}q - ({name}a22 * {name}c1 * {name}c1 - 2 * {name}a12 * {name}c1 * {name}c2 + {name}a11 * {name}c2 * {name}c2) / {det})"
+    return f"SELECT *, {rss} / (rw - 2) AS {name}s2, (rw - 2) * ln({rss} / (rw - 2)) + {name}ld + ln({det}) AS {name}loss FROM (SELECT *, {', '.join(f'{v} AS {name}{k}' for k, v in made.items())} FROM ({source}))"
+
+
+_G = (math.sqrt(5) - 1) / 2
+_FIT_OF_MODEL = f"""nt AS (SELECT n::DOUBLE AS n, count(*)::DOUBLE AS g, sum(n_x)::DOUBLE AS x, sum(n_x * n_x)::DOUBLE AS xx, sum(sum_y) AS y, sum(sum_y * sum_y) AS yy, sum(n_x * sum_y) AS xy, sum(sum_yy) AS eyy, sum(sum_xy) AS exy FROM ps GROUP BY 1),
+ar AS (SELECT list(n ORDER BY n) AS n, list(g ORDER BY n) AS g, list(x ORDER BY n) AS x, list(xx ORDER BY n) AS xx, list(y ORDER BY n) AS y, list(yy ORDER BY n) AS yy, list(xy ORDER BY n) AS xy, sum(n * g) AS rw, sum(x) AS sx, sum(y) AS sy, sum(eyy) AS eyy, sum(exy) AS exy FROM nt),
+gold(lo, hi, step) AS (SELECT -12.0::DOUBLE, 8.0::DOUBLE, 0 UNION ALL SELECT CASE WHEN c_loss < d_loss THEN lo ELSE c END, CASE WHEN c_loss < d_loss THEN d ELSE hi END, step + 1 FROM ({_solved('exp(d)', _solved('exp(c)', f'SELECT *, hi - {_G!r} * (hi - lo) AS c, lo + {_G!r} * (hi - lo) AS d FROM gold, ar WHERE step < 80', 'c_'), 'd_')})),
+top AS (SELECT CASE WHEN z_loss <= t_loss THEN 0.0 ELSE r END AS ratio FROM ({_solved('0.0', _solved('r', 'SELECT exp((lo + hi) / 2) AS r, ar.* FROM gold, ar WHERE step = 80', 't_'), 'z_')})),
+fit AS (SELECT *, f_a11 * f_a22 - f_a12 * f_a12 AS det FROM ({_solved('ratio', 'SELECT ratio, ar.* FROM top, ar', 'f_')})),
+co AS (SELECT 'constant' AS term, (f_a22 * f_c1 - f_a12 * f_c2) / det + (SELECT c FROM ce) AS b, sqrt(f_s2 * f_a22 / det) AS se, fit.* FROM fit UNION ALL SELECT 'effect', (f_a11 * f_c2 - f_a12 * f_c1) / det, sqrt(f_s2 * f_a11 / det), fit.* FROM fit),
+cz AS (SELECT *, b / se AS z, ratio * f_s2 AS group_variance, f_s2 AS residual_variance, -0.5 * (f_loss + (rw - 2) * (1 + ln(2 * pi()))) AS log_likelihood, sqrt((rw + sx + sqrt((rw + sx) ** 2 - 4 * (rw * sx - sx * sx))) / (rw + sx - sqrt((rw + sx) ** 2 - 4 * (rw * sx - sx * sx)))) AS condition FROM co)"""
+
+
+@query(
+    "mixed_model",
+    f"""WITH RECURSIVE {sql.sequences((CANONICAL,), 'event_type')}, {_ROWS_OF_MODEL}, {_GATE_OF_MODEL}, {_FIT_OF_MODEL}
+SELECT term, participants, gt.rows, least_rows, eligible, {R('b se z group_variance residual_variance log_likelihood condition', 4)}, {R(sql.normal_tail('z') + ' AS p', 4)}, ratio * f_s2 <= 1e-8 OR ratio <= 1e-8 AS singular, CASE WHEN ratio * f_s2 <= 1e-8 OR ratio <= 1e-8 THEN 'not_estimable' ELSE 'estimable' END AS status, CASE WHEN ratio * f_s2 <= 1e-8 OR ratio <= 1e-8 THEN 'nonconvergence_or_singular_random_intercept' ELSE 'NA' END AS reason FROM gt, cz WHERE eligible
+UNION ALL SELECT NULL, participants, rows, least_rows, eligible, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not_estimable', 'eligibility_gate_failed' FROM gt WHERE NOT eligible""",
+)
+def mixed_model(spark, sf_dir):
+    """Event types are the participants here: each has many sequences in both phases, as the gate wants."""
+    out = mixed.random_intercept(_model_rows(spark, sf_dir, "event_type"), "slope", "x", "cohort")
+    values = ("b", "se", "z", "group_variance", "residual_variance", "log_likelihood", "condition", "p")
+    return rnd(out.select("term", "participants", "rows", "least_rows", "eligible", *values, "singular", "status", "reason"), *values, digits=4)
 
 
 @query(
@@ -291,15 +343,10 @@ def jzs_bayes_factor(spark, sf_dir):
 
 @query("resampled_association")
 def resampled_association(spark, sf_dir):
-    def kernel(key, x, y):
-        rho, p = bootstrap.permutation_spearman(x, y, 100_000, 20260802)
-        return [
-            ("pearson", *bootstrap.bca_correlation(x, y, False, 10_000, 20260801), math.nan),
-            ("spearman", rho, math.nan, math.nan, p),
-            ("theil_sen", *bootstrap.theil_sen(x, y, 10_000, 20260803), math.nan),
-        ]
-
-    return rnd(_cohort(spark, sf_dir, ["sbp", "rri"], kernel, "method string, estimate double, low double, high double, p double"), "estimate", "low", "high", "p")
+    analyses = tuple(resampling.Analysis(*a) for a in (("pearson", 10_000), ("permutation", 100_000), ("theil_sen", 10_000)))
+    out = resampling.paired(_participants(spark, sf_dir), ["cohort"], "subject", "sbp", "rri", analyses, 20260801)
+    method = F.when(F.col("analysis") == "permutation", "spearman").otherwise(F.col("analysis")).alias("method")
+    return rnd(out.select("cohort", method, "estimate", "low", "high", "p"), "estimate", "low", "high", "p")
 
 
 @query("coherence_validation")

@@ -247,10 +247,16 @@ def test_waves(spark, tmp_path):
     assert waves.slice_samples(wave, 10, 19).count() == 10
     p = waves.pressures(found.withColumn("height", F.lit(120.0)), found.withColumn("height", F.lit(80.0))).first()
     assert (p["pp"], p["map"]) == (40.0, pytest.approx(93.3333333))
-    series = spark.createDataFrame([("1", float(x), math.sin(x / 20), math.cos(x / 20)) for x in np.arange(0, 901, 0.9)], "subject string, t double, hr double, bp double")
+    series = spark.createDataFrame([("1", float(x), math.sin(x / 20), math.cos(x / 20)) for x in np.arange(0, 900.1, 0.9)], "subject string, t double, hr double, bp double")
     table = waves.uniform_table(series, ["hr", "bp"])
     last = table.orderBy(F.desc("i")).first()
     assert table.count() == 1921 and last["at"] == 900.0 and last["hr_uniform"] == pytest.approx(math.sin(45), abs=1e-4)
+    assert table.agg(F.max(F.col("outside").cast("int"))).first()[0] == 0
+    for seconds, rows, inside in ((1000, 2134, 2134), (500, 1921, 1067)):  # longer series are whole, what lies beyond shorter ones is marked
+        part = spark.createDataFrame([("1", float(x), math.sin(x / 20)) for x in np.arange(0, seconds + 1, 1.0)], "subject string, t double, hr double")
+        made = waves.uniform_table(part, ["hr"])
+        assert (made.count(), made.where("not outside").count()) == (rows, inside)
+        assert made.where("not outside").agg(F.max(F.abs(F.col("hr_uniform") - F.sin(F.col("at") / 20)))).first()[0] < 1e-3
     assert waves.band_correlation(table, "hr_uniform", "bp_uniform", 0.005, 0.05).count() == 1921 - 256 + 1
     (tmp_path / "e").mkdir()
     (tmp_path / "e" / "hr.csv").write_text("1.5,800\n2.25,790\n")

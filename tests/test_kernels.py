@@ -181,3 +181,77 @@ def test_surrogates_in_blocks_equal_one_by_one(n, size, overlap):
         one = np.random.default_rng(9)
         want = [spectral._coherence(spectral.phase_surrogate(x, one), spectral.phase_surrogate(y, one), **o) for _ in range(70)]
         assert spectral.surrogate_coherence(x, y, 70, np.random.default_rng(9), **o) == pytest.approx(want, rel=1e-9)
+
+
+def test_windowed_search_equals_all_pairs():
+    """Ties, short series and rows with fewer neighbours than asked for; and no more than a window's worth of distances."""
+    rng = np.random.default_rng(4)
+    for n, k, theiler in ((900, 5, 3), (300, 7, -1), (40, 6, 4), (9, 4, 2), (3, 2, 0), (1, 2, 0)):
+        x, y = np.round(rng.normal(size=n), 1), np.round(rng.normal(size=n), 1)
+        d = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+        at = np.arange(n)
+        d = np.where(np.abs(at[:, None] - at) <= theiler, np.inf, d)
+        near, far, there = nonlinear.nearest_there((x, y), k, theiler)
+        for i in range(n):
+            want = sorted((d[i, j], j) for j in range(n) if np.isfinite(d[i, j]))[:k]
+            assert [(float(f), int(j)) for f, j, ok in zip(far[i], near[i], there[i], strict=True) if ok] == want
+
+
+def test_long_series_equal_short_ones(monkeypatch):
+    """Estimates do not depend on whether matrices are held, made in blocks or replaced by windows."""
+    x, y = nonlinear.simulate("bidirectional_X_to_Y_stronger", 0, 2, n=200)
+    held = [nonlinear.estimate(m, x, y, **o) for m, o in (("LP", {"depth": 3}), ("CE", {"depth": 3}), ("SSC", {}))]
+    monkeypatch.setattr(nonlinear, "HELD", 5_000)
+    again = [nonlinear.estimate(m, x, y, **o) for m, o in (("LP", {"depth": 3}), ("CE", {"depth": 3}), ("SSC", {}))]
+    assert [(e["strength"], e["embedding"], e["curve"]) for e in held] == [(e["strength"], e["embedding"], e["curve"]) for e in again]
+
+
+@pytest.mark.parametrize("method", ["LP", "CE", "SSC"])
+def test_shifts_share_the_target(method, monkeypatch):
+    """Scores of the target alone are made once for all shifts, and the estimates are those of one at a time."""
+    x, y = nonlinear.simulate("uncoupled_linear", 0, 1, n=128)
+    options = {} if method == "SSC" else {"depth": 4}
+    calls, plain = [], nonlinear.neighbours
+    monkeypatch.setattr(nonlinear, "neighbours", lambda *a, **o: calls.append(1) or plain(*a, **o))
+    one = [nonlinear.estimate(method, x, np.roll(y, s), **options) for s in (0, 40, 60, 80)]
+    alone, calls[:] = len(calls), []
+    assert [e["curve"] for e in nonlinear.shifted(method, x, y, (0, 40, 60, 80), **options)] == [e["curve"] for e in one]
+    assert len(calls) < alone or method == "SSC"
+
+
+def test_pairs_by_sorting():
+    rng = np.random.default_rng(6)
+    for n, tolerance in ((2, 0.3), (57, 0.1), (200, 1e-9), (200, 0.7)):
+        v = np.round(rng.normal(size=n), 1)
+        i, j = np.triu_indices(n, 1)
+        assert nonlinear.pair_probability(v, tolerance) == (np.abs(v[i] - v[j]) < tolerance).mean()
+        rows = np.round(rng.normal(size=(20, 9)), 1)
+        i, j = np.triu_indices(9, 1)
+        assert (nonlinear.close_pairs(rows, tolerance) == (np.abs(rows[:, i] - rows[:, j]) < tolerance).sum(1)).all()
+
+
+@pytest.mark.parametrize("n", [4, 5, 6, 40])
+def test_not_a_knot_ends(n):
+    """The third derivative goes on through the second and the last but one knot, as in the dense system."""
+    rng = np.random.default_rng(n)
+    x, y = np.cumsum(0.1 + rng.random(n)), rng.normal(size=n)
+    for a, b, c in ((x[0], x[1], x[2]), (x[-3], x[-2], x[-1])):
+        third = []
+        for lo, hi in ((a, b), (b, c)):
+            at = np.linspace(lo, hi, 4)
+            third.append(np.polyfit(at, spectral.cubic_spline(x, y, at, "not-a-knot"), 3)[0])
+        assert third[0] == pytest.approx(third[1], rel=1e-5)
+    assert spectral.cubic_spline(x, y, x, "not-a-knot") == pytest.approx(y)
+
+
+def test_nested_orders_equal_separate_fits():
+    rng = np.random.default_rng(9)
+    for _ in range(10):
+        y = np.cumsum(rng.normal(size=(150, 2)), 0) * 0.1 + rng.normal(size=(150, 2))
+        best, criteria = var.select_order(y, 0)
+        want = []
+        for p in range(11):
+            x, r = var.lagged(y, p, 10)
+            e = var.ols(x, r)[1]
+            want.append(np.linalg.slogdet(e.T @ e / 140)[1] + 2 * (4 * p + 2) / 140)
+        assert criteria == pytest.approx(want, abs=1e-9) and best == int(np.argmin(want))

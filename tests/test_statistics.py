@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rampflow.functions import columns, dist
-from rampflow.operators import contrasts, prevalence
-from rampflow.operators.kernels import bootstrap, regression
+from rampflow.operators import contrasts, mixed, prevalence, resampling
+from rampflow.operators.kernels import bootstrap, regression, slopes
 
 # Eighteen published paired differences and what was published of them.
 DIFFERENCES = [
@@ -86,13 +86,69 @@ def test_bca_moves_with_the_data():
     assert math.isnan(bootstrap.bca(d[:2])[1]) and math.isnan(bootstrap.bca(np.ones(5), "dz")[1])
 
 
-def test_perfect_negative_association():
+def pairs_of(spark, groups):
+    return spark.createDataFrame([(g, f"{i:03}", float(a), float(b)) for g, (x, y) in groups.items() for i, (a, b) in enumerate(zip(x, y, strict=True))], "cohort string, subject string, x double, y double")
+
+
+def test_perfect_negative_association(spark):
     x = np.arange(1.0, 19)
-    assert bootstrap.bca_correlation(x, -3 * x, rank=True, times=200) == pytest.approx((-1, -1, -1))
-    rho, p = bootstrap.permutation_spearman(x, -3 * x, 2000, 1)
-    assert rho == pytest.approx(-1) and p < 0.01
-    assert bootstrap.permutation_spearman(x, x**2, 1000, 5) == bootstrap.permutation_spearman(x, x**2, 1000, 5)
-    assert bootstrap.theil_sen(x, -3 * x, 100) == pytest.approx((-3, -3, -3))
+    plan = tuple(resampling.Analysis(*a) for a in (("pearson", 1_000), ("spearman", 1_000), ("theil_sen", 1_000), ("permutation", 2_000)))
+    got = {r["analysis"]: r for r in resampling.paired(pairs_of(spark, {"a": (x, -3 * x)}), ["cohort"], "subject", "x", "y", plan, 1).collect()}
+    for name, want in (("pearson", -1), ("spearman", -1), ("theil_sen", -3)):
+        assert [got[name][c] for c in ("estimate", "low", "high")] == pytest.approx([want] * 3) and got[name]["p"] is None
+    assert got["permutation"]["estimate"] == pytest.approx(-1) and got["permutation"]["p"] < 0.01
+
+
+def test_draws_do_not_depend_on_tasks(spark, monkeypatch):
+    """Units are the same whoever makes them; groups draw from streams of their own; short groups have no interval."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=40)
+    df = pairs_of(spark, {"a": (x, x + rng.normal(size=40)), "b": (x, rng.normal(size=40)), "c": (x[:3], x[:3]), "d": (x[:9], np.ones(9))})
+    plan = (resampling.Analysis("spearman", 1_700), resampling.Analysis("permutation", 1_300))
+    run = lambda d: sorted(map(str, resampling.paired(d, ["cohort"], "subject", "x", "y", plan, 5).collect()))
+    first = run(df)
+    assert run(df.repartition(7)) == first
+    rows = {(r["cohort"], r["analysis"]): r for r in resampling.paired(df, ["cohort"], "subject", "x", "y", plan, 5).collect()}
+    assert rows["a", "spearman"]["low"] > 0 and rows["b", "permutation"]["p"] > 0.01 > rows["a", "permutation"]["p"]
+    assert rows["c", "spearman"]["low"] is None and rows["d", "permutation"]["p"] is None
+    n, hits = 1_300, 0
+    a, b = bootstrap.ranks(x), bootstrap.ranks(np.array([r["y"] for r in df.where("cohort = 'a'").orderBy("subject").collect()]))
+    for unit in range(3):
+        mixed = b[np.argsort(resampling.stream(5, "permutation", ("a",), unit).random((min(500, n - 500 * unit), 40)), axis=1)]
+        hits += int((np.abs(bootstrap.correlation(np.broadcast_to(a, mixed.shape), mixed)) >= abs(bootstrap.correlation(a, b)) - 1e-15).sum())
+    assert rows["a", "permutation"]["p"] == (1 + hits) / (1 + n)
+
+
+def test_intervals_in_tasks_equal_one_by_one(spark):
+    rows = [(c, f"{i:02}", float(v) + k) for k, c in enumerate(("Stim-Pre", "Post-Pre")) for i, v in enumerate(DIFFERENCES)]
+    got = {(r["contrast"], r["statistic"]): (r["estimate"], r["low"], r["high"]) for r in contrasts.intervals(spark.createDataFrame(rows, "contrast string, subject string, d double"), "contrast", times=500).collect()}
+    for k, c in enumerate(("Stim-Pre", "Post-Pre")):
+        for i, name in enumerate(bootstrap.STATISTICS):
+            assert got[c, name] == bootstrap.bca(np.array([float(v) + k for v in DIFFERENCES]), name, 500, 20260805 + 10 * k + i)
+
+
+def test_median_slope_by_all_pairs():
+    rng = np.random.default_rng(0)
+    for t in range(200):
+        n = rng.integers(1, 60)
+        x = rng.integers(0, rng.integers(1, 50), n).astype(float) if t % 2 else rng.normal(size=n)
+        y = rng.integers(0, 8, n).astype(float) if t % 3 else rng.normal(size=n)
+        i, j = np.triu_indices(n, 1)
+        some = x[i] != x[j]
+        pairs, slope = slopes.median_slope(x, y)
+        assert pairs == some.sum()
+        assert math.isnan(slope) if not some.any() else slope == pytest.approx(np.median(((y[j] - y[i])[some] / (x[j] - x[i])[some])), abs=1e-12)
+    z = rng.integers(0, 20, 200)
+    assert slopes.inversions(z) == sum(z[j] < z[i] for i in range(200) for j in range(i + 1, 200))
+
+
+def test_median_slope_looks_at_few_pairs(monkeypatch):
+    seen, plain = [], slopes._between
+    monkeypatch.setattr(slopes, "_between", lambda *a: seen.append(len(found := plain(*a))) or found)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=3000)
+    assert slopes.median_slope(x, 2 * x + rng.normal(size=3000))[1] == pytest.approx(2, abs=0.1)
+    assert sum(seen) <= 2 * 8 * 3000  # of 4.5 million
 
 
 def flags(spark, rows):
@@ -156,18 +212,70 @@ def test_linear_model():
     assert regression.jarque_bera(np.exp(rng.normal(0, 1, 200)))[1] < 0.01
 
 
-def test_mixed_model_recovers_variances():
-    rng = np.random.default_rng(1)
-    g = np.repeat(np.arange(80), 12)
-    y = 3 + rng.normal(0, 2, 80)[g] + rng.normal(0, 1, 960)
-    m = regression.random_intercept(y, np.ones((960, 1)), g)
-    assert m["b"][0] == pytest.approx(3, abs=0.7) and m["group_variance"] == pytest.approx(4, rel=0.4) and m["residual_variance"] == pytest.approx(1, rel=0.15)
-    assert not m["singular"]
-    # A balanced one-way layout has closed REML estimates.
-    means = y.reshape(80, 12).mean(1)
-    within = y.reshape(80, 12).var(1, ddof=1).mean()
-    assert m["residual_variance"] == pytest.approx(within, rel=1e-4)
-    assert m["group_variance"] == pytest.approx(means.var(ddof=1) - within / 12, rel=1e-3)
+def model_rows(spark, people=80, each=12, spread=2.0, effect=1.5, seed=1, base=3.0):
+    rng = np.random.default_rng(seed)
+    u = rng.normal(0, spread, people)
+    rows = [("all", f"{g:03}", float(base + u[g] + effect * (i % 2) + rng.normal()), bool(i % 2)) for g in range(people) for i in range(each)]
+    return spark.createDataFrame(rows, "cohort string, subject string, y double, x boolean"), rows
+
+
+def test_mixed_model_recovers_variances(spark):
+    df, rows = model_rows(spark)
+    fit = mixed.random_intercept(df, "y", "x", "cohort")
+    by = {r["term"]: r for r in fit.collect()}
+    assert by["constant"]["b"] == pytest.approx(3, abs=0.7) and by["effect"]["b"] == pytest.approx(1.5, abs=0.2) and by["effect"]["p"] < 1e-6
+    assert {r["status"] for r in by.values()} == {"estimable"} and by["effect"]["eligible"] and by["effect"]["rows"] == 960
+    # A balanced layout with the effect inside participants has closed REML estimates.
+    y = np.array([r[2] for r in rows]).reshape(80, 12)
+    line = np.where(np.arange(12) % 2, by["effect"]["b"], 0.0)
+    assert by["effect"]["b"] == pytest.approx(y[:, 1::2].mean() - y[:, ::2].mean())
+    within = ((y - line - (y - line).mean(1, keepdims=True)) ** 2).sum() / (80 * 11 - 1)
+    assert by["effect"]["residual_variance"] == pytest.approx(within, rel=1e-5)
+    assert by["effect"]["group_variance"] == pytest.approx(y.mean(1).var(ddof=1) - within / 12, rel=1e-4)
+    assert by["effect"]["se"] == pytest.approx(math.sqrt(4 * within / 960), rel=1e-5)
+    shape = mixed.residual_shape(mixed.residuals(df, fit, "y", "x", "cohort"), "cohort").first()
+    shrink = by["effect"]["group_variance"] / (by["effect"]["group_variance"] + within / 12)
+    left = (y - line) - by["constant"]["b"] - shrink * ((y - line).mean(1, keepdims=True) - by["constant"]["b"])
+    assert (shape["n"], shape["sd"]) == (960, pytest.approx(left.std(ddof=1), rel=1e-5)) and abs(shape["skewness"]) < 0.3 and abs(shape["excess_kurtosis"]) < 0.6
+
+
+def test_mixed_model_of_unequal_participants_and_large_offsets(spark):
+    """By the definition, V of every participant, and the same with 1e6 added to all."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(25):
+        u = rng.normal()
+        for i in range(rng.integers(5, 40)):
+            x = bool(i < 2 or (i > 3 and rng.random() < 0.3))
+            rows.append(("all", f"{g}", float(u + 0.7 * x + rng.normal()), x))
+    schema = "cohort string, subject string, y double, x boolean"
+    one = mixed.random_intercept(spark.createDataFrame(rows, schema), "y", "x", "cohort").where("term = 'effect'").first()
+    far = mixed.random_intercept(spark.createDataFrame([(c, g, y + 1e6, x) for c, g, y, x in rows], schema), "y", "x", "cohort").where("term = 'effect'").first()
+    assert [one[c] for c in ("b", "se", "group_variance")] == pytest.approx([far[c] for c in ("b", "se", "group_variance")], rel=1e-4)
+    y, d = np.array([r[2] for r in rows]), np.column_stack([np.ones(len(rows)), [r[3] for r in rows]])
+    who = np.array([r[1] for r in rows])
+
+    def loss(ratio):
+        v = np.eye(len(y)) + ratio * (who[:, None] == who)
+        a = d.T @ np.linalg.solve(v, d)
+        e = y - d @ np.linalg.solve(a, d.T @ np.linalg.solve(v, y))
+        return (len(y) - 2) * math.log(e @ np.linalg.solve(v, e) / (len(y) - 2)) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1]
+
+    at = one["variance_ratio"]
+    assert loss(at) <= min(loss(at * 1.01), loss(at * 0.99)) + 1e-9
+    assert one["log_likelihood"] == pytest.approx(-0.5 * (loss(at) + (len(y) - 2) * (1 + math.log(2 * math.pi))), rel=1e-9)
+
+
+def test_mixed_model_gate_and_singular_fits(spark):
+    df, _ = model_rows(spark, people=6, each=4)
+    short = df.unionByName(spark.createDataFrame([("all", "zz", 1.0, True), ("all", "zz", 2.0, True), ("all", "zz", None, False)], df.schema))
+    r = mixed.random_intercept(short, "y", "x", "cohort").collect()
+    assert [(x["term"], x["eligible"], x["least_rows"], x["status"], x["reason"]) for x in r] == [(None, False, 0, "not_estimable", "eligibility_gate_failed")]
+    flat = spark.createDataFrame([("all", f"{g}", float(v), x) for g in range(8) for v, x in ((1, False), (3, False), (2, True), (4, True))], df.schema)
+    r = mixed.random_intercept(flat, "y", "x", "cohort").where("term = 'effect'").first()
+    assert r["singular"] and r["b"] == pytest.approx(1.0) and (r["status"], r["reason"]) == ("not_estimable", "nonconvergence_or_singular_random_intercept")
+    assert mixed.residuals(flat, mixed.random_intercept(flat, "y", "x", "cohort"), "y", "x", "cohort").collect() == []
+    assert mixed.random_intercept(df.limit(0), "y", "x", "cohort").collect() == []
 
 
 def test_bayes_factor():
