@@ -15,7 +15,7 @@ Terms are counted per batch of documents before anything moves, so frequent term
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,46 +30,51 @@ from .common import small_batches, staged
 #: In UTF-8 all other characters of a term are bytes from 0x80 on.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 #: Bytes of a text that are looked at together, entries that a task counts before it hands them on.
-STRETCH, COUNTED = 1 << 20, 200_000
-#: Sources of a block of postings, tables that a task holds, counts of a block of a source's shares.
-BLOCK, TABLES, SHARES = 128, 128, 4_096
+STRETCH, COUNTED = 1 << 20, 100_000
+#: Sources of a block of postings, tables that a task holds, pairs that it sums at a time, counts of a block of a source's shares.
+BLOCK, TABLES, PAIRS, SHARES = 128, 128, 1 << 19, 4_096
 UNIT = 1_000_000_000
 
 
-def _terms(text: bytes) -> Counter:
-    """Occurrences of each term; A-Z are lower-cased. Texts of any length are read in stretches that end between terms."""
-    out, at = Counter(), 0
+def _stretches(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in order, A-Z lower-cased; texts of any length are read in stretches that end between terms."""
+    at = 0
     while at < len(text):
         end = at + STRETCH
         while end < len(text) and TERM.match(text, end, end + 1):
             end += 1
-        out.update(TERM.findall(text[at:end].lower()))
+        yield TERM.findall(text[at:end].lower())
         at = end
-    return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, occurrences, documents) of some documents; a null term for each group that is met."""
-    seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-
-    def out():
-        rows = [(*k, *v) for k, v in seen.items()]
+    seen: dict[tuple, tuple[Counter, Counter]] = {}
+    held = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in seen.items():
+            terms = pa.array([None, *n], pa.binary()).cast(pa.string())
+            group = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*group, terms, pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, n)], pa.int64())], ["lang", "source", "term", "n", "docs"])
         seen.clear()
-        lang, source, term, n, docs = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array([t and t.decode() for t in term], pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
+        pa.default_memory_pool().release_unused()
 
     for b in batches:
         lang, source = b.column(0).to_pylist(), b.column(1).to_pylist()
         for i, text in enumerate(b.column(2).cast(pa.binary())):
-            seen[lang[i], source[i], None][1] += 1
-            for term, n in _terms(text.as_py()).items():
-                entry = seen[lang[i], source[i], term]
-                entry[0] += n
-                entry[1] += 1
-            if len(seen) >= COUNTED:
-                yield out()
-    if seen:
-        yield out()
+            n, docs = seen.setdefault((lang[i], source[i]), (Counter(), Counter()))
+            own: set[bytes] = set()
+            held -= len(n)
+            for terms in _stretches(text.as_py()):
+                n.update(terms)
+                own.update(terms)
+            docs.update(own)
+            held += len(n) + 1
+            if held >= COUNTED:
+                yield from out()
+                held = 0
+    yield from out()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -94,28 +99,43 @@ def between(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def _both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Corrections of pairs of sources for terms that both have, summed over the terms of a task."""
     held: dict[tuple, np.ndarray] = {}
 
-    def out():
+    def out() -> Iterator[pa.RecordBatch]:
         for (lang, lo, hi), table in held.items():
+            table = table.reshape(BLOCK, BLOCK)
             i, j = np.nonzero(table)
-            yield pd.DataFrame({"lang": lang, "a": lo * BLOCK + i, "b": hi * BLOCK + j, "value": table[i, j]})
+            made = [pa.array(x) for x in (lo * BLOCK + i, hi * BLOCK + j, table[i, j])]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(i)), *made], ["lang", "a", "b", "value"])
         held.clear()
 
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            key = r.lang, r.lo, r.hi
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "lo", "hi")), strict=True))
+        lists = batch.column("place")
+        sizes = np.diff(lists.offsets.to_numpy())
+        place, p, zero = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("place", "p", "zero"))
+        ends = np.cumsum(sizes)
+        for key in dict.fromkeys(keys):
             if key not in held:
                 if len(held) >= TABLES:
                     yield from out()
-                held[key] = np.zeros((BLOCK, BLOCK), np.int64)
-            place, p, zero = (np.asarray(x, np.int64) for x in (r.place, r.p, r.zero))
-            low, high = place // BLOCK == r.lo, place // BLOCK == r.hi
-            a, b = place[low] - r.lo * BLOCK, place[high] - r.hi * BLOCK
-            pa_, za, pb, zb = p[low, None], zero[low, None], p[high], zero[high]
-            held[key][np.ix_(a, b)] += between(pa_, pb) - between(pa_, zb) - between(za, pb) + between(za, zb)
+                held[key] = np.zeros(BLOCK * BLOCK, np.int64)
+            rows = np.array([k == key for k in keys])
+            for at in np.array_split(np.flatnonzero(rows), 1 + int((sizes[rows].astype(np.int64) ** 2).sum()) // PAIRS):
+                # Entry i of a term meets the later ones of the term; only pairs of the two blocks are this table's.
+                i = np.concatenate([np.arange(ends[r] - sizes[r], ends[r]) for r in at] or [np.empty(0, np.int64)])
+                later = np.repeat(ends[at], sizes[at]) - i - 1
+                a = np.repeat(i, later)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+                a, b = np.where(place[a] < place[b], a, b), np.where(place[a] < place[b], b, a)
+                mine = (place[a] // BLOCK == key[1]) & (place[b] // BLOCK == key[2])
+                a, b = a[mine], b[mine]
+                value = between(p[a], p[b]) - between(p[a], zero[b]) - between(zero[a], p[b]) + between(zero[a], zero[b])
+                # Sums of so few values are whole numbers in double precision too.
+                sums = np.bincount((place[a] % BLOCK) * BLOCK + place[b] % BLOCK, value, BLOCK * BLOCK)
+                held[key] += sums.astype(np.int64)
     yield from out()
 
 
@@ -166,16 +186,15 @@ def audit_sources(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     posted = posted.groupBy("lang", "term", F.least(own, "other").alias("lo"), F.greatest(own, "other").alias("hi"))
     posted = posted.agg(F.collect_list("place").alias("place"), F.collect_list("p").alias("p"), F.collect_list("zero").alias("zero"))
     some = "lang string, a long, b long, value long"
-    both = posted.where(F.size("place") > 1).mapInPandas(_both, some).where("a <> b")
-    # Pairs of one block are in the table both ways; those of two blocks once.
-    both = both.unionByName(both.where((F.floor(F.col("a") / BLOCK) != F.floor(F.col("b") / BLOCK))).select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
+    both = posted.where(F.size("place") > 1).mapInArrow(_both, some)
 
     shares = entries.groupBy("lang", "place", "zero", "p").agg(F.count(F.lit(1)).alias("times"))
     nth = F.row_number().over(Window.partitionBy("lang", "place").orderBy("p")) - 1
     shares = shares.withColumn("part", F.floor(nth / SHARES)).groupBy("lang", "place", "zero", "part").agg(F.collect_list("p").alias("p"), F.collect_list("times").alias("times"))
-    one = staged(shares.join(blocks, "lang").mapInPandas(_one, some).where("a <> b"), "divergence-one")
-    one = one.unionByName(one.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
-    corrections = both.unionByName(one).groupBy("lang", "a", "b").agg(F.sum("value").alias("more"))
+    one = shares.join(blocks, "lang").mapInPandas(_one, some).where("a <> b")
+    # A correction is one of both its sources.
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    corrections = both.unionByName(one).select("lang", "value", F.inline(ways)).groupBy("lang", "a", "b").agg(F.sum("value").alias("more"))
 
     a = groups.select("lang", "source", "terms", F.col("place").alias("a"), F.col("zero").alias("za"))
     b = groups.select("lang", F.col("source").alias("item"), F.col("place").alias("b"), F.col("zero").alias("zb"))
