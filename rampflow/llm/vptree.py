@@ -248,7 +248,7 @@ def _blocked(space: Space) -> Callable:
     return run
 
 
-def search(vectors: DataFrame, k: int = 20, query_every: int = 20, relax: float = 2.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, query_every: int = 20, relax: float = 1.25, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows found of largest inner product for every row whose id is divisible by ``query_every``.
 
     Returns query_id, rank int from 1, vec_id, score double (the inner product of the vectors as they are, summed in the
