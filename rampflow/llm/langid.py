@@ -30,7 +30,7 @@ from .common import exact, restored, small_batches, staged
 OTHER, PAD, FIRST = 1, 2, 3
 #: Codes of a text that are walked in lock step with others.
 STRETCH = 256
-#: Letters of text times languages that one step holds at most.
+#: Codes of text, padding included, times languages that one step holds at most.
 STEP = 2_000_000
 #: Letters of all references together: at most some 150 MB are broadcast.
 MOST_LETTERS = 4_000_000
@@ -167,8 +167,11 @@ def train(samples: dict[str, str]) -> Model:
     return Model(languages, code, base, owner, target, first.astype(kind), np.array(roots, kind), float(np.log2(longest)))
 
 
-def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
-    """Phrases [text, language] of the greedy cross-parse of each text."""
+def walked(model: Model, codes: list[np.ndarray], carried: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases [text, language] of the greedy cross-parse of each text, and each language's state after the last stretch.
+
+    ``carried`` are states in which the first text begins, those that the codes before it end in.
+    """
     n, rows = len(model.languages), [-(-len(x) // STRETCH) for x in codes]
     width, stretches = model.first.shape[1], sum(rows)
     flat = np.full(stretches * STRETCH, PAD, np.intp)
@@ -195,7 +198,9 @@ def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
         after[again] = first.take(row.take(again) + c.take(again))
         return after, ((state == root) | stop) & (c != PAD)
 
-    state = root
+    state = root.copy()
+    if carried is not None:
+        state[::stretches] = carried
     for t, c in enumerate(columns):
         held[t], starts[t] = state, now = walk(state, np.tile(c, n), root, row)
     count = starts.sum(0, dtype=np.int64)
@@ -217,7 +222,32 @@ def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     count = count.reshape(n, stretches)
     ends = np.cumsum(rows)
     total = np.concatenate((np.zeros((n, 1), np.int64), np.cumsum(count, 1)), 1)
-    return (total[:, ends] - total[:, ends - rows]).T
+    return (total[:, ends] - total[:, ends - rows]).T, held[-1].reshape(n, stretches)[:, -1].copy()
+
+
+def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
+    """Phrases [text, language] of the greedy cross-parse of each text, all in one piece."""
+    return walked(model, codes)[0]
+
+
+def counted(model: Model, codes: list[np.ndarray]) -> np.ndarray:
+    """``phrases`` of texts of any length: long ones are walked in windows that carry their states on, so memory has a bound."""
+    n = len(model.languages)
+    window = max(1, STEP // (n * STRETCH)) * STRETCH
+    out = np.zeros((len(codes), n), np.int64)
+    short = [i for i, x in enumerate(codes) if len(x) <= window]
+    lo, held = 0, 0
+    for k, i in enumerate(short):
+        held += -(-len(codes[i]) // STRETCH) * STRETCH
+        if held >= window or k == len(short) - 1:
+            out[short[lo : k + 1]] = phrases(model, [codes[j] for j in short[lo : k + 1]])
+            lo, held = k + 1, 0
+    for i in (i for i, x in enumerate(codes) if len(x) > window):
+        carried = None
+        for at in range(0, len(codes[i]), window):
+            found, carried = walked(model, [codes[i][at : at + window]], carried)
+            out[i] += found[0]
+    return out
 
 
 def classify(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -227,7 +257,7 @@ def classify(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     some = [i for i, x in enumerate(codes) if len(x) and x.any()]
     if not some or not model.languages:
         return out
-    entropy = phrases(model, [codes[i] for i in some]) * model.scale / np.array([len(codes[i]) for i in some])[:, None]
+    entropy = counted(model, [codes[i] for i in some]) * model.scale / np.array([len(codes[i]) for i in some])[:, None]
     best = entropy.argmin(1)
     two = np.partition(entropy, 1, axis=1)[:, :2] if entropy.shape[1] > 1 else None
     for k, i in enumerate(some):
@@ -240,8 +270,8 @@ def _scored(model, column: str):
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf[column]]
             found, lo, held = [], 0, 0
-            for i, t in enumerate(texts):
-                held += len(t or "") * max(1, len(model.value.languages))
+            for i, t in enumerate(texts):  # codes of a few texts at a time
+                held += len(t or "")
                 if held >= STEP:
                     found += classify(model.value, texts[lo : i + 1])
                     lo, held = i + 1, 0

@@ -136,8 +136,9 @@ def test_stages(spark, docs, none):
         assert got.count() > 0
     once = corpus_pipeline.exact(spark, docs, "")
     assert once.groupBy("doc_id").count().where("count > 1 and doc_id is not null").count() == 0
+    assert docs.where("text is null").count() == 2 and corpus_pipeline.mix(spark, docs, "").where("text is null").count() == 0
     mixed = corpus_pipeline.mix(spark, docs, "").groupBy("doc_id").count().collect()
-    drawn = {r["doc_id"]: r["n"] for r in mixing.mix_sources(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r["n"]}
+    drawn = {r["doc_id"]: r["n"] for r in mixing.mix_sources(docs.where("text is not null")).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r["n"]}
     assert {r["doc_id"]: r["count"] for r in mixed} == drawn
 
 
@@ -178,6 +179,16 @@ def test_mixing_ties(spark):
     assert abs(sum(t for i, t in first if i == 7) - 60) <= 3 and abs(sum(t for i, t in first if i == 8) - 120) <= 3
 
 
+def test_mix_drops_null_texts_and_draws_empty_ones(spark):
+    """Twenty null texts, with and without ids, beside empty ones: none of the null ones stays, in any source."""
+    rows = [(i if i % 2 else None, None, "en", "s", None) for i in range(20)] + [(100 + i, "", "en", "s", 0) for i in range(12)] + [(200 + i, "a b c d", "en", ("s", "t")[i % 2], 7) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.mix(spark, docs, "").collect()
+    drawn = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(docs.where("text is not null")).collect()}
+    assert all(r["text"] is not None for r in kept)
+    assert sum(r["text"] == "" for r in kept) == sum(n for i, n in drawn.items() if 100 <= i < 200) and len(kept) == sum(drawn.values())
+
+
 def test_quality_of_equal_and_empty_texts(docs, labels):
     got = quality.score_quality(docs, labels).collect()
     by = {i: {r["score"] for r in got if r["doc_id"] == i} for i in (3, 20, 21, 22)}
@@ -189,6 +200,33 @@ def test_language_of_a_very_long_text(spark):
     assert [r["lang_pred"] for r in langid.identify_languages(docs).where("doc_id = 100").collect()] == ["de"]
 
 
+def test_object_stores_by_spark_names():
+    for uri, want in (("s3a://b/k", "s3://b/k"), ("s3n://b/k", "s3://b/k"), ("s3://b/s3a://k", "s3://b/s3a://k"), ("file:///s3a", "file:///s3a"), ("hdfs://n/x", "hdfs://n/x")):
+        assert warc.arrow_uri(uri) == want
+
+
+def test_languages_of_a_huge_text_in_windows(monkeypatch):
+    """States are carried over windows: the same phrases as in one piece, and memory that does not grow with the text."""
+    import tracemalloc
+
+    r = random.Random(3)
+    samples = {f"l{i:02}": " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(300)) for i in range(20)}
+    model = langid.train(samples)
+    texts = [" ".join(samples[f"l{i:02}"].split()[k % 300] for k in range(i, i + 900)) for i in range(3)] + ["ab cd", "x" * 700]
+    codes = [langid.encode(model.code, t) for t in texts]
+    whole = langid.phrases(model, codes)
+    monkeypatch.setattr(langid, "STEP", 20 * 512)
+    assert (langid.counted(model, codes) == whole).all()
+    monkeypatch.undo()
+    text = texts[1] * 2000
+    assert len(text) > 9_000_000
+    tracemalloc.start()
+    assert langid.classify(model, [text])[0][0] == "l01"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+
+
 def test_archives_of_repeated_and_null_ids(spark):
     pages = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, None, "same"), (None, "u", "same"), (None, "u", "alone"), (3, "u", None), (4, "u", "")], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in warc.read_archives(warc.write_archives(pages)).collect())
