@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -146,11 +147,21 @@ def _base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
+def arrow_uri(uri: str) -> str:
+    """A URI of Spark's by the scheme that Arrow knows: S3 has other names there."""
+    return re.sub(r"^s3[an]://", "s3://", uri)
+
+
+def located(uri: str):
+    """(file system, path) of a URI of Spark's."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(arrow_uri(uri))
+
+
 def _write(folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = located(folder)
         store.create_dir(root, recursive=True)
         task, made = TaskContext.get().taskAttemptId(), []
         writer = None
@@ -177,8 +188,6 @@ def _write(folder: str):
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import hashlib
 
-    from pyarrow import fs
-
     def number(head: dict[str, str], key: str) -> int | None:
         return int(head[key]) if key in head else None
 
@@ -189,7 +198,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for path in pdf["path"]:
-            store, at = fs.FileSystem.from_uri(path)
+            store, at = located(path)
             out = []
             with store.open_input_stream(at, compression=None) as f:
                 for head, block in read_archive(f):
