@@ -3,8 +3,8 @@
 Integer vectors are quantised per dimension into 256 cells, one byte a component: two cells for what lies outside the
 range of a bounded sample, the others with equal shares of it, so that far-off components cost the bounds of their own
 vectors only. A scan of the cells alone bounds every inner product from below and above; the k-th best lower bound of a
-query is its floor. A second scan names the vectors whose upper bound reaches some query's floor, and only these
-are read exactly. Each task reads them in the order of their bounds until its k-th result is certain and hands on k
+query is its floor. A second scan names, for every block of queries, the vectors whose upper bound reaches the floor of one of them;
+only these are read exactly, and only that block's queries are compared with them. Each task reads them in the order of their bounds until its k-th result is certain and hands on k
 results a query, however many vectors lie close together; the best k of all tasks are the answer.
 
 Vectors and queries meet in blocks: packed vectors against packed queries, in one plan for all queries. Spark broadcasts
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import partitions, staged
 
 #: Vectors from which a dimension's cells are cut, about; any sample gives right results.
 SAMPLE = 4_096
@@ -53,17 +53,18 @@ def cell_bounds(sample: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.nd
 
 
 def _packed(width: int, cuts: np.ndarray | None) -> Callable:
-    """Blocks of vectors: ids, row numbers and, with ``cuts``, cells, else the components."""
+    """Blocks of vectors: ids, row numbers and, with ``cuts``, cells, else the components of the vectors that a query block wants."""
     most = max(1, BLOCK // width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), most):
+        for whole in batches:
+            for pdf, at in ((own, at) for own in ([whole] if cuts is not None else [g for _, g in whole.groupby("block", sort=False)]) for at in range(0, len(own), most)):
                 part = pdf.iloc[at : at + most]
                 x = _matrix(part["x"], width)
                 if cuts is not None:
                     x = np.stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, x.T, strict=True)], 1).astype(np.uint8)
-                yield pd.DataFrame({"vecs": [part["vec_id"].to_numpy(np.int64).tobytes()], "rows": [part["row"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
+                of = {} if cuts is not None else {"block": [part["block"].iloc[0]]}
+                yield pd.DataFrame(of | {"vecs": [part["vec_id"].to_numpy(np.int64).tobytes()], "rows": [part["row"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
 
     return run
 
@@ -126,17 +127,17 @@ def _lower_bounds(bounds: _Bounds, width: int, k: int) -> Callable:
 
 
 def _reaching(bounds: _Bounds, width: int) -> Callable:
-    """Rows whose upper bound reaches the floor of some query."""
+    """(row, block): rows whose upper bound reaches the floor of some query of a block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, ids, q, floor, vec, rows, x in _pairs(batches, width):
+        for block, ids, q, floor, vec, rows, x in _pairs(batches, width):
             corners = bounds.corners(np.frombuffer(x, np.uint8).reshape(len(vec), width))
             hit = np.zeros(len(vec), bool)
             for s in range(0, len(ids), STRIPE):
                 some = slice(s, s + STRIPE)
                 above = bounds.above(corners, q[some].astype(float), vec[:, None] == ids[None, some])
                 hit |= ((above >= floor[some]) & (above > -np.inf)).any(1)
-            yield pd.DataFrame({"row": rows[hit]})
+            yield pd.DataFrame({"row": rows[hit], "block": np.int32(block)})
 
     return run
 
@@ -218,9 +219,11 @@ def search(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int =
     found = staged(cells.crossJoin(queries).mapInPandas(_lower_bounds(bounds, width, k), "query_id long, lower double"), "topk-bounds")
     floors = found.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))).where(F.col("_n") == k).select("query_id", "lower")
     queries = blocks(asked.join(floors, "query_id", "left"))
-    named = staged(cells.crossJoin(queries).mapInPandas(_reaching(bounds, width), "row long").distinct(), "topk-named")
-    read = staged(rows.join(named, "row", "left_semi").mapInPandas(_packed(width, None), packed), "topk-read")
-    found = staged(read.crossJoin(queries).mapInPandas(_exact(bounds, cuts, width, k), "query_id long, vec_id long, score long"), "topk-found")
+    # A vector is read for the query blocks that named it and meets no others.
+    named = staged(cells.crossJoin(queries).mapInPandas(_reaching(bounds, width), "row long, block int"), "topk-named")
+    asked_for = rows.join(named, "row").repartition("block", F.pmod(F.xxhash64("row"), F.lit(8 * partitions(spark))))
+    read = staged(asked_for.select("block", "vec_id", "row", "x").mapInPandas(_packed(width, None), f"block int, {packed}"), "topk-read")
+    found = staged(read.join(queries, "block").mapInPandas(_exact(bounds, cuts, width, k), "query_id long, vec_id long, score long"), "topk-found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
