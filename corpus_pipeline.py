@@ -39,12 +39,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, 0 to 3 times; null texts, which have no words, go.
+    """Every document as often as the mix takes it, 0 to 3 times; null texts go, empty texts are drawn like the small texts of their source.
 
     Rows find their copies by id and text, so that rows without an id do not meet; of rows equal in both, the n-th
     draws for the n-th.
     """
-    docs = docs.select(*COLUMNS).withColumns({"at": F.xxhash64("text"), "of": F.col("source")})
+    docs = docs.select(*COLUMNS).where("text is not null").withColumns({"at": F.xxhash64("text"), "of": F.col("source")})
     nth = F.row_number().over(Window.partitionBy("doc_id", "at").orderBy("of"))
     drawn = mixing.mix_sources(docs, keep=("at", "of")).withColumn("nth", nth).where("copies > 0")
     drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("at").alias("_at"), F.col("nth").alias("_nth"), "copies")
