@@ -1,101 +1,79 @@
 """Monotone ramps, sequences and gains, as window functions and grouped regressions.
 
-One hash partitioning by cell serves alignment, steps, islands and the grouping of beats into ramps:
-no self-join, and detection is shared by all settings of equal lag and step rule.
+One hash partitioning by cell serves alignment, steps, islands, ramps, their parts and the gains: there is no
+self-join, no second read of the beats and no other exchange, and detection is shared by all settings of equal lag and
+step rule. The first beat of a cell goes along as a marker, so that cells without ramps have their rows in the gain table.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import finite, ratio
+from ..functions.columns import finite, ratio, text_array
 from ..schema import CELL, Setting, settings_frame
 
 SCAN = ["lag", "least_step", "strict_step"]
 
 
-def aligned(beats: DataFrame, lags: list[int], cell: list[str] = CELL) -> DataFrame:
-    """Pressure of beat i with the interval of beat i + lag, for every lag; the last ``lag`` beats have none."""
+def aligned(beats: DataFrame, lags: list[int], cell: list[str] = CELL, markers: bool = False) -> DataFrame:
+    """Pressure of beat i with the interval of beat i + lag, for every lag; the last ``lag`` beats have none.
+
+    With ``markers`` the first beat of a cell stays in any case, without an interval if it has none.
+    """
     w = Window.partitionBy(*cell).orderBy("beat_idx")
     pairs = [F.struct(F.lit(k).alias("lag"), F.lead("rri", k).over(w).alias("rri"), F.lead("beat_idx", k).over(w).isNotNull().alias("has")) for k in lags]
-    out = beats.withColumn("_pairs", F.array(*pairs)).drop("rri").withColumn("_p", F.explode("_pairs"))
-    return out.select(*cell, "beat_idx", "sbp", F.col("_p.lag").alias("lag"), F.col("_p.rri").alias("rri"), F.col("_p.has").alias("_has")).where("_has").drop("_has")
+    out = beats.withColumns({"_pairs": F.array(*pairs), "_opens": F.lag("beat_idx").over(w).isNull() if markers else F.lit(False)}).drop("rri").withColumn("_p", F.explode("_pairs"))
+    return out.select(*cell, "beat_idx", "sbp", F.col("_p.lag").alias("lag"), F.col("_p.rri").alias("rri"), (F.col("_p.has") | F.col("_opens")).alias("_has")).where("_has").drop("_has")
+
+
+def _rules(settings: tuple[Setting, ...]) -> list[tuple]:
+    """A row a step rule: lag, least step, strictness, fewest beats of a part (null if none is wanted), and whether whole ramps are."""
+    by: dict[tuple, list[Setting]] = {}
+    for s in settings:
+        by.setdefault((s.lag, float(s.least_step), s.strict_step), []).append(s)
+    return [(*k, min((s.least_beats for s in own if s.overlap), default=None), any(not s.overlap for s in own)) for k, own in by.items()]
 
 
-def steps(beats: DataFrame, rules: DataFrame, cell: list[str] = CELL) -> DataFrame:
-    """Steps between neighbours with their direction under each of ``rules(lag, least_step, strict_step)``, and island numbers."""
-    lags = sorted(r["lag"] for r in rules.select("lag").distinct().collect())  # a handful of settings
-    rows = aligned(beats, lags, cell).join(F.broadcast(rules), "lag")
+def steps(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
+    """Steps between neighbours with their direction under each step rule of the settings, and island numbers.
+
+    The first beat of every cell is a row too, with neither direction nor island.
+    """
+    rules = _rules(settings)
+    frame = beats.sparkSession.createDataFrame(rules, "lag int, least_step double, strict_step boolean, _lapped int, _plain boolean")
+    rows = aligned(beats, sorted({r[0] for r in rules}), cell, markers=True).join(F.broadcast(frame), "lag")
     w = Window.partitionBy(*cell, *SCAN).orderBy("beat_idx")
     rows = rows.withColumns({"_sbp": F.lag("sbp").over(w), "_rri": F.lag("rri").over(w), "_idx": F.row_number().over(w) - 1})
     d = F.col("sbp") - F.col("_sbp")
     big = F.when(F.col("strict_step"), F.abs(d) > F.col("least_step")).otherwise(F.abs(d) >= F.col("least_step"))
     rows = rows.withColumn("direction", F.when(finite(d) & (d != 0) & big, F.when(d > 0, "up").otherwise("down")))
     rows = rows.withColumn("_first", F.col("direction").isNotNull() & ~F.col("direction").eqNullSafe(F.lag("direction").over(w)))
-    return rows.withColumn("_island", F.sum(F.col("_first").cast("int")).over(w)).where("direction is not null")
-
-
-def ramps(beats: DataFrame, rules: DataFrame, cell: list[str] = CELL) -> DataFrame:
-    """Maximal ramps with the beats they hold: ``beats`` is array<struct<i, sbp, rri>> by position from 0."""
-    s = steps(beats, rules, cell)
-    here = F.struct(F.col("_idx").alias("i"), "sbp", "rri")
-    before = F.struct((F.col("_idx") - 1).alias("i"), F.col("_sbp").alias("sbp"), F.col("_rri").alias("rri"))
-    held = F.flatten(F.sort_array(F.collect_list(F.when(F.col("_first"), F.array(before, here)).otherwise(F.array(here)))))
-    return s.groupBy(*cell, *SCAN, "direction", "_island").agg(held.alias("beats")).drop("_island")
-
-
-def parts(found: DataFrame, settings: DataFrame) -> DataFrame:
-    """What the settings look at, once for all that share a step rule: ramps, and where ``overlap`` is asked for
-    all contiguous parts of at least as many beats as any such setting wants."""
-    scans = settings.groupBy(*SCAN, "overlap").agg(F.min("least_beats").alias("_least"))
-    rows = found.join(F.broadcast(scans), SCAN).where(F.size("beats") >= F.col("_least"))
-    n, least = F.size("beats"), F.col("_least")
-    cut = F.flatten(F.transform(F.sequence(F.lit(1), n - least + 1), lambda s: F.transform(F.sequence(s + least - 1, n), lambda e: F.slice("beats", s, e - s + 1))))
-    rows = rows.withColumn("maximal_start", F.col("beats")[0]["i"]).withColumn("beats", F.explode(F.when(F.col("overlap"), cut).otherwise(F.array("beats"))))
-    return rows.drop("_least").withColumns({"start_idx": F.col("beats")[0]["i"], "end_idx": F.element_at("beats", -1)["i"]})
-
-
-def measured(rows: DataFrame) -> DataFrame:
-    """Regression and steps of each part; its beats go. Sums are of values less their mean, over a short array."""
-    total = lambda f: F.aggregate("beats", F.lit(0.0), lambda a, b: a + f(b))
-    mean = lambda c: total(lambda b: b[c]) / F.size("beats")
-    rows = rows.withColumn("_m", F.struct(mean("sbp").alias("x"), mean("rri").alias("y")))
-    dx, dy = lambda b: b["sbp"] - F.col("_m.x"), lambda b: b["rri"] - F.col("_m.y")
-    rows = rows.withColumns({"_xx": total(lambda b: dx(b) * dx(b)), "_yy": total(lambda b: dy(b) * dy(b)), "_xy": total(lambda b: dx(b) * dy(b))})
-    sign = F.when(F.col("direction") == "up", 1.0).otherwise(-1.0)
-    moves = F.transform(F.sequence(F.lit(1), F.size("beats") - 1), lambda i: sign * (F.col("beats")[i]["rri"] - F.col("beats")[i - 1]["rri"]))
-    fine = F.forall("beats", lambda b: finite(b["sbp"]) & finite(b["rri"]))
-    rows = rows.withColumns({"_fine": fine, "_moves": moves})
-    first, last = F.col("beats")[0], F.element_at("beats", -1)
-    return rows.withColumns(
-        {
-            "n_beats": F.size("beats"),
-            "sbp_start": first["sbp"],
-            "sbp_end": last["sbp"],
-            "rri_start": first["rri"],
-            "rri_end": last["rri"],
-            "r": F.when(F.col("_fine"), ratio(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy"))),
-            "slope": F.when(F.col("_fine"), ratio(F.col("_xy"), F.col("_xx"))),
-            # The smallest interval step in the ramp's direction; all gates on steps are about it.
-            "least_move": F.when(F.forall("_moves", finite), F.array_min("_moves")),
-        }
-    ).drop("beats", "_m", "_xx", "_yy", "_xy", "_moves", "_fine")
+    rows = rows.withColumn("_island", F.when(F.col("direction").isNotNull(), F.sum(F.col("_first").cast("int")).over(w)))
+    return rows.where((F.col("direction").isNotNull()) | (F.col("_idx") == 0))
+
+
+def _above(move: Column, least: float) -> Column:
+    return F.coalesce(finite(move) & (move > least), F.lit(False))
+
 
+def _gates(settings: tuple[Setting, ...]) -> list[float]:
+    """The steps of intervals that some setting wants all of a ramp's to exceed."""
+    return sorted({0.0, *(s.least_rri_step or 0.0 for s in settings)})
 
-_MEASURED = [*SCAN, "direction", "maximal_start", "start_idx", "end_idx", "n_beats", "sbp_start", "sbp_end", "rri_start", "rri_end", "r", "slope", "least_move"]
 
+_MEASURED = [*SCAN, "overlap", "direction", "maximal_start", "start_idx", "end_idx", "n_beats", "sbp_start", "sbp_end", "rri_start", "rri_end", "r", "slope", "concordant", "gates"]
 
-def whole(beats: DataFrame, rules: DataFrame, cell: list[str] = CELL) -> DataFrame:
-    """Maximal ramps, measured: as ``measured(ramps(...))`` but in one hash aggregation of the steps, without arrays.
+
+def whole(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
+    """Maximal ramps, measured in one hash aggregation of the steps, without arrays; and a marker a cell and step rule.
 
     A ramp is its steps' own beats and the beat before the first. That one beat joins the steps' moments by the
-    update of a mean and its sum of squares by one value.
+    update of a mean and its sum of squares by one value. ``gates`` says of each of the wanted steps whether all of the ramp's
+    interval steps exceed it in the ramp's direction, ``concordant`` whether all are 1 or more.
     """
-    s = steps(beats, rules, cell)
+    s = steps(beats, settings, cell)
     sign = F.when(F.col("direction") == "up", 1.0).otherwise(-1.0)
     first = lambda c: F.max(F.when(F.col("_first"), F.col(c)))
     g = s.groupBy(*cell, *SCAN, "direction", "_island").agg(
@@ -117,36 +95,104 @@ def whole(beats: DataFrame, rules: DataFrame, cell: list[str] = CELL) -> DataFra
     )
     n, dx, dy, fine = F.col("_n"), F.col("sbp_start") - F.col("_x"), F.col("rri_start") - F.col("_y"), F.col("_odd") == 0
     xx, yy, xy = (n * F.col(c) + n / (n + 1) * d for c, d in (("_xx", dx * dx), ("_yy", dy * dy), ("_xy", dx * dy)))
+    move = F.when(fine, F.col("_move"))
     g = g.withColumns(
         {
+            "overlap": F.lit(False),
             "maximal_start": F.col("start_idx"),
             "n_beats": (n + 1).cast("int"),
             "sbp_end": F.when(F.col("direction") == "up", F.col("_highest")).otherwise(F.col("_lowest")),  # steps all go one way
             "r": F.when(fine, ratio(xy, F.sqrt(xx) * F.sqrt(yy))),
             "slope": F.when(fine, ratio(xy, xx)),
-            "least_move": F.when(fine, F.col("_move")),
+            "concordant": F.coalesce(finite(move) & (move >= 1.0), F.lit(False)),
+            "gates": F.array(*[_above(move, x) for x in _gates(settings)]),
         }
     )
     return g.select(*cell, *_MEASURED)
 
 
-def sequences(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
+def swept(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
+    """Maximal ramps and, where some setting of the step rule wants ``overlap``, all contiguous parts of a ramp; and markers.
+
+    A running sum over a ramp's steps holds the moments of its beats up to each, less the ramp's first beat. A
+    part's are the difference of two of them, and whether all of its interval steps exceed a limit is a difference of two
+    counts; so a part costs one entry whatever its length, and no beats are copied.
+    """
+    gates = _gates(settings)
+    s = steps(beats, settings, cell)
+    ramp = Window.partitionBy(*cell, *SCAN, "_island")
+    upto = ramp.orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+    origin = lambda c: F.first(c).over(upto)
+    s = s.withColumns({"_x0": origin("_sbp"), "_y0": origin("_rri"), "_n": F.row_number().over(ramp.orderBy("_idx")), "_last": F.col("_idx") == F.max("_idx").over(ramp)})
+    base = F.when(finite(F.col("_y0")), F.col("_y0")).otherwise(0.0)
+    s = s.withColumns({"_dx": F.col("sbp") - F.col("_x0"), "_dy": F.when(finite(F.col("rri")), F.col("rri") - base).otherwise(0.0)})
+    move = F.when(F.col("direction") == "up", 1.0).otherwise(-1.0) * (F.col("rri") - F.col("_rri"))
+    moments = {"x": F.col("_dx"), "y": F.col("_dy"), "xx": F.col("_dx") * F.col("_dx"), "yy": F.col("_dy") * F.col("_dy"), "xy": F.col("_dx") * F.col("_dy")}
+    fails = {"odd": ~finite(F.col("rri")), "slow": ~F.coalesce(finite(move) & (move >= 1.0), F.lit(False)), **{f"g{i}": ~_above(move, v) for i, v in enumerate(gates)}}
+    s = s.withColumns({f"_s_{k}": F.sum(v).over(upto) for k, v in moments.items()} | {f"_f_{k}": F.sum(v.cast("int")).over(upto) for k, v in fails.items()})
+
+    # A start: its place, values, the moments of all beats before it and the failures of all steps up to it.
+    here = F.struct(
+        F.col("_idx").alias("i"), F.col("_n").alias("n"), F.col("sbp").alias("sbp"), F.col("rri").alias("rri"),
+        *[(F.col(f"_s_{k}") - v).alias(k) for k, v in moments.items()],
+        (F.col("_f_odd") - fails["odd"].cast("int")).alias("odd"), *[F.col(f"_f_{k}").alias(k) for k in fails if k != "odd"],
+    )
+    # The ramp's first beat is before its first step; if it is no number, no part that begins there is.
+    opening = F.struct(
+        (F.col("_idx") - F.col("_n")).alias("i"), F.lit(0).alias("n"), F.col("_x0").alias("sbp"), F.col("_y0").alias("rri"),
+        *[F.lit(0.0).alias(k) for k in moments], F.when(finite(F.col("_y0")), 0).otherwise(-1).alias("odd"), *[F.lit(0).alias(k) for k in fails if k != "odd"],
+    )
+    lapped = F.col("_lapped").isNotNull()
+    earlier = F.collect_list(F.when(lapped, here)).over(ramp.orderBy("_idx").rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumns({"_opening": opening, "_earlier": earlier})
+    some = F.filter(F.concat(F.array("_opening"), F.col("_earlier")), lambda b: F.col("_n") - b["n"] + 1 >= F.col("_lapped"))
+    of = lambda b, kind: F.struct(b.alias("b"), F.lit(kind).alias("overlap"))
+    marker = F.array(of(F.col("_opening"), True), of(F.col("_opening"), False))
+    none = F.filter(marker, lambda b: F.lit(False))
+    found = F.concat(F.when(lapped, F.transform(some, lambda b: of(b, True))).otherwise(none), F.when(F.col("_plain") & F.col("_last"), F.array(of(F.col("_opening"), False))).otherwise(none))
+    s = s.withColumn("_c", F.explode(F.when(F.col("direction").isNull(), marker).otherwise(found)))
+    b = lambda k: F.col(f"_c.b.{k}")
+    n = F.col("_n") - b("n") + 1
+    sx, sy, sxx, syy, sxy = (F.col(f"_s_{k}") - b(k) for k in moments)
+    # What is left of a sum of squares below its rounding is nothing.
+    spread = lambda q, t: F.when(q - t * t / n > 1e-13 * q, q - t * t / n).otherwise(0.0)
+    xx, yy, xy = spread(sxx, sx), spread(syy, sy), sxy - sx * sy / n
+    fine = F.col("_f_odd") - b("odd") == 0
+    none_of = lambda k: fine & (F.col(f"_f_{k}") == b(k))
+    s = s.withColumns(
+        {
+            "overlap": F.col("_c.overlap"),
+            "maximal_start": F.col("_opening.i"),
+            "start_idx": b("i"),
+            "end_idx": F.col("_idx"),
+            "n_beats": n.cast("int"),
+            "sbp_start": b("sbp"),
+            "sbp_end": F.col("sbp"),
+            "rri_start": b("rri"),
+            "rri_end": F.col("rri"),
+            "r": F.when(fine, ratio(xy, F.sqrt(xx) * F.sqrt(yy))),
+            "slope": F.when(fine, ratio(xy, xx)),
+            "concordant": none_of("slow"),
+            "gates": F.array(*[none_of(f"g{i}") for i in range(len(gates))]),
+        }
+    )
+    return s.select(*cell, *_MEASURED)
+
+
+def sequences(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL, markers: bool = False) -> DataFrame:
     """Every candidate of every setting with its regression, gates and verdict.
 
-    Settings without overlap look at maximal ramps only, which need no arrays; those with overlap cut ramps into parts.
+    Settings without overlap look at maximal ramps only; those with overlap at their parts too. With ``markers`` every cell has a row
+    without a direction for every setting.
     """
-    spark = beats.sparkSession
-    frame = settings_frame(spark, settings)
-    found = []
-    if plain := tuple(s for s in settings if not s.overlap):
-        found.append(whole(beats, settings_frame(spark, plain).select(*SCAN).distinct(), cell).withColumn("overlap", F.lit(False)))
-    if lapped := tuple(s for s in settings if s.overlap):
-        own = settings_frame(spark, lapped)
-        found.append(measured(parts(ramps(beats, own.select(*SCAN).distinct(), cell), own)).select(*cell, *_MEASURED, "overlap"))
-    found = reduce(DataFrame.unionByName, found)
-    rows = found.join(F.broadcast(frame), [*SCAN, "overlap"]).where(F.col("n_beats") >= F.col("least_beats"))
+    frame = settings_frame(beats.sparkSession, settings)
+    found = (swept if any(s.overlap for s in settings) else whole)(beats, settings, cell)
+    rows = found.join(F.broadcast(frame), [*SCAN, "overlap"])
+    real = F.col("direction").isNotNull() & (F.col("n_beats") >= F.col("least_beats"))
+    rows = rows.where(real | F.col("direction").isNull() if markers else real)
     number = F.row_number().over(Window.partitionBy(*cell, "setting", "direction").orderBy("start_idx", "end_idx"))
-    over = lambda x: F.coalesce(F.col("least_move") > x, F.lit(False))
+    steps_of = _gates(settings)
+    gate = F.coalesce(*[F.when(F.coalesce("least_rri_step", F.lit(0.0)) == x, F.col("gates")[i]) for i, x in enumerate(steps_of)])
     rows = rows.select(
         *cell,
         "setting",
@@ -154,9 +200,9 @@ def sequences(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] =
         "direction",
         number.alias("ramp_index"),
         *[F.col(c) for c in ("maximal_start", "start_idx", "end_idx", "n_beats", "sbp_start", "sbp_end", "rri_start", "rri_end", "r", "slope")],
-        over(F.lit(0.0)).alias("rri_monotone"),
-        F.coalesce(F.col("least_move") >= 1.0, F.lit(False)).alias("rri_concordant_1ms"),
-        over(F.coalesce("least_rri_step", F.lit(0.0))).alias("rri_gate"),
+        F.col("gates")[0].alias("rri_monotone"),
+        F.col("concordant").alias("rri_concordant_1ms"),
+        gate.alias("rri_gate"),
         # One candidate of each maximal ramp: the ramp itself, or its first part.
         ((F.col("start_idx") == F.col("maximal_start")) & (~F.col("overlap") | (F.col("n_beats") == F.col("least_beats")))).alias("is_first"),
         *[F.col(c) for c in ("lag", "least_r", "least_r2", "positive_slope", "rri_direction", "use_median")],
@@ -171,20 +217,65 @@ def sequences(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] =
     return rows.withColumn("qualifies", F.coalesce(passes, F.lit(False)))
 
 
-def rollup(found: DataFrame, grid: DataFrame, medians: bool = True, cell: list[str] = CELL) -> DataFrame:
-    """Counts, BEI and gain per (cell, setting) and direction up, down, all; cells without ramps are in the ``grid``.
+def held(found: DataFrame, beats: DataFrame, cell: list[str] = CELL) -> DataFrame:
+    """``sequences`` with the beats they are made of: sbp_values, rri_values and the times of both, as arrays in order.
+
+    A cell's beats are packed once, in one row as for every kernel, and each sequence takes its slice.
+    """
+    packed = beats.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("beat_idx", "t", "sbp", "rri"))).alias("_b"))
+    rows = found.join(packed, cell)
+    own = lambda shift: F.slice("_b", F.col("start_idx") + shift + 1, F.col("n_beats"))
+    parts = {"_s": own(F.lit(0)), "_r": own(F.col("lag"))}
+    get = lambda c, k: F.transform(c, lambda b: b[k])
+    return rows.withColumns(parts).withColumns({"sbp_values": get("_s", "sbp"), "rri_values": get("_r", "rri"), "sbp_times": get("_s", "t"), "rri_times": get("_r", "t")}).drop("_b", "_s", "_r")
+
+
+def provenance(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
+    """A row for every candidate with all that its verdict rests on: its beats as text, the regression, and each gate for itself."""
+    rows = held(sequences(beats, settings, cell), beats, cell)
+    first, last = (lambda c: F.col(c)[0]), (lambda c: F.element_at(c, -1))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.col("n_beats")
+    rows = rows.withColumns(
+        {
+            "sbp_start_beat": F.col("start_idx") + 1,
+            "sbp_end_beat": F.col("end_idx") + 1,
+            "rri_start_beat": F.col("start_idx") + F.col("lag") + 1,
+            "rri_end_beat": F.col("end_idx") + F.col("lag") + 1,
+            **{f"{s}_{e}_t": f(f"{s}_times") for s in ("sbp", "rri") for e, f in (("start", first), ("end", last))},
+            "sbp_amplitude": F.col("sbp_end") - F.col("sbp_start"),
+            "sbp_amplitude_abs": F.abs(F.col("sbp_end") - F.col("sbp_start")),
+            "rri_response": F.col("rri_end") - F.col("rri_start"),
+            "rri_response_abs": F.abs(F.col("rri_end") - F.col("rri_start")),
+            "intercept": mean("rri_values") - F.col("slope") * mean("sbp_values"),
+            "r_squared": F.col("r") * F.col("r"),
+            "rri_threshold_gate": F.col("rri_gate"),
+            "correlation_gate": F.col("least_r").isNull() | F.coalesce(F.col("r") >= F.col("least_r"), F.lit(False)),
+            "r2_gate": F.col("least_r2").isNull() | F.coalesce(F.col("r") * F.col("r") > F.col("least_r2"), F.lit(False)),
+            "slope_gate": F.col("slope").isNotNull() & (~F.col("positive_slope") | (F.col("slope") > 0)),
+            **{f"{c}_text": text_array(F.col(c)) for c in ("sbp_values", "rri_values", "sbp_times", "rri_times")},
+        }
+    )
+    return rows.drop("sbp_values", "rri_values", "sbp_times", "rri_times", "ordinal", "least_r", "least_r2", "positive_slope", "rri_direction", "use_median", "rri_gate", "start_idx", "end_idx", "maximal_start")
+
+
+def rollup(found: DataFrame, medians: bool = True, cell: list[str] = CELL) -> DataFrame:
+    """Counts, BEI and gain per (cell, setting) and direction up, down, all, of ``sequences`` with markers.
 
     ``all`` pools the slopes of both directions. reason tells why a gain is null. Medians, which hold
     their values, are computed only if some setting wants them.
     """
-    both = found.withColumn("direction", F.explode(F.array("direction", F.lit("all"))))
+    real = F.col("direction").isNotNull()
+    ways = F.when(real, F.array("direction", F.lit("all"))).otherwise(F.array(*map(F.lit, ("up", "down", "all"))))
+    both = found.withColumn("_real", real).withColumn("direction", F.explode(ways))
     q = F.col("qualifies")
     kept = F.when(q, F.col("slope"))
-    made = both.groupBy(*cell, "setting", "direction").agg(
-        F.count(F.lit(1)).alias("n_ramps"),
+    out = both.groupBy(*cell, "setting", "direction").agg(
+        F.first("rri_direction").alias("rri_direction"),
+        F.first("use_median").alias("use_median"),
+        F.count_if("_real").alias("n_ramps"),
         F.count_if(q).alias("n_sequences"),
-        F.count_if("is_first").alias("n_maximal"),
-        F.count_if(F.col("rri_gate")).alias("n_rri_gate"),
+        F.count_if(F.col("is_first") & F.col("_real")).alias("n_maximal"),
+        F.count_if(F.col("rri_gate") & F.col("_real")).alias("n_rri_gate"),
         F.avg(kept).alias("_mean"),
         (F.median(F.when(F.col("use_median"), kept)) if medians else F.max(F.lit(None).cast("double"))).alias("_median"),
         F.avg(F.when(q, F.col("n_beats"))).alias("mean_beats"),
@@ -193,23 +284,22 @@ def rollup(found: DataFrame, grid: DataFrame, medians: bool = True, cell: list[s
         F.avg(F.when(q, F.abs(F.col("sbp_end") - F.col("sbp_start")))).alias("mean_sbp_amplitude"),
         F.avg(F.when(q, F.abs(F.col("rri_end") - F.col("rri_start")))).alias("mean_rri_response"),
     )
-    out = grid.join(made, [*cell, "setting", "direction"], "left")
-    n, m = F.coalesce("n_ramps", F.lit(0)), F.coalesce("n_sequences", F.lit(0))
+    n, m = F.col("n_ramps"), F.col("n_sequences")
     gain = F.when(F.col("use_median"), F.col("_median")).otherwise(F.col("_mean"))
     reason = (
         F.when(n == 0, "NO_CANDIDATE_SBP_RAMP")
         .when(m > 0, "NA")
         .when(~F.col("rri_direction"), "NO_CANDIDATE_PASSED_CORRELATION")
-        .when(F.coalesce("n_rri_gate", F.lit(0)) == 0, "NO_RRI_THRESHOLD_CONCORDANT_CANDIDATE")
+        .when(F.col("n_rri_gate") == 0, "NO_RRI_THRESHOLD_CONCORDANT_CANDIDATE")
         .otherwise("NO_CANDIDATE_PASSED_R2_AND_SLOPE")
     )
     return out.select(
         *cell,
         "setting",
         "direction",
-        n.alias("n_ramps"),
-        F.coalesce("n_maximal", F.lit(0)).alias("n_maximal"),
-        m.alias("n_sequences"),
+        "n_ramps",
+        "n_maximal",
+        "n_sequences",
         ratio(m, n).alias("bei"),
         gain.alias("gain"),
         "mean_beats",
@@ -223,7 +313,4 @@ def rollup(found: DataFrame, grid: DataFrame, medians: bool = True, cell: list[s
 
 def gains(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
     """The gain table of every setting over all cells of ``beats``."""
-    frame = settings_frame(beats.sparkSession, settings).select("setting", "rri_direction", "use_median")
-    directions = F.explode(F.array(*[F.lit(d) for d in ("up", "down", "all")])).alias("direction")
-    grid = beats.select(*cell).distinct().crossJoin(F.broadcast(frame)).select("*", directions)
-    return rollup(sequences(beats, settings, cell), grid, any(s.median for s in settings), cell)
+    return rollup(sequences(beats, settings, cell, markers=True), any(s.median for s in settings), cell)

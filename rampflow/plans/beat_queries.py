@@ -475,11 +475,27 @@ def setting_id_codec(spark, sf_dir):
     f"WITH {sql.sequences((CANONICAL,), 'event_type')} SELECT c.subject, c.phase, c.direction, c.s::INTEGER AS start_idx, string_agg(printf('%.2f', p.sbp), '|' ORDER BY p.i) AS sbp_values FROM cand c JOIN pts p USING (subject, phase, lag, least_step, strict_step, direction, island) GROUP BY ALL",
 )
 def sequence_text(spark, sf_dir):
-    from ..schema import settings_frame
+    b = beats(spark, sf_dir, "event_type")
+    found = ramps.held(ramps.sequences(b, (CANONICAL,)), b)
+    return found.select("subject", "phase", "direction", "start_idx", F.array_join(F.transform("sbp_values", lambda v: F.format_string("%.2f", v)), "|").alias("sbp_values"))
+
+
+_PROVENANCE = "setting subject phase direction ramp_index lag n_beats sbp_start_beat sbp_end_beat rri_start_beat rri_end_beat sbp_start sbp_end sbp_amplitude sbp_amplitude_abs rri_start rri_end rri_response rri_response_abs sbp_start_t sbp_end_t rri_start_t rri_end_t intercept slope r r_squared rri_monotone rri_concordant_1ms rri_threshold_gate correlation_gate r2_gate slope_gate qualifies sbp_values_text rri_values_text sbp_times_text rri_times_text"
 
-    frame = settings_frame(spark, (CANONICAL,))
-    found = ramps.parts(ramps.ramps(beats(spark, sf_dir, "event_type"), frame.select(*ramps.SCAN)), frame)
-    return found.select("subject", "phase", "direction", "start_idx", F.array_join(F.transform("beats", lambda b: F.format_string("%.2f", b["sbp"])), "|").alias("sbp_values"))
+
+@query(
+    "sequence_provenance",
+    f"""WITH {sql.sequences(BRANCHES, 'event_type')}, h AS (SELECT q.setting, q.subject, q.phase, q.direction, q.ramp_index, count(*) AS n, avg(b.sbp) AS mx, avg(c.rri) AS my, min(b.t) AS st, max(b.t) AS et, min(c.t) AS rt, max(c.t) AS ft,
+  string_agg(printf('%.15g', b.sbp), '|' ORDER BY b.beat_idx) AS sbp_values_text, string_agg(printf('%.15g', c.rri), '|' ORDER BY b.beat_idx) AS rri_values_text, string_agg(printf('%.15g', b.t), '|' ORDER BY b.beat_idx) AS sbp_times_text, string_agg(printf('%.15g', c.t), '|' ORDER BY b.beat_idx) AS rri_times_text
+  FROM seqq q JOIN cfg USING (setting) JOIN beats b ON b.subject = q.subject AND b.phase = q.phase AND b.beat_idx BETWEEN q.start_idx + 1 AND q.end_idx + 1 JOIN beats c ON c.subject = q.subject AND c.phase = q.phase AND c.beat_idx = b.beat_idx + cfg.lag GROUP BY ALL)
+SELECT setting, subject, phase, direction, ramp_index, cfg.lag, n_beats, start_idx + 1 AS sbp_start_beat, end_idx + 1 AS sbp_end_beat, start_idx + cfg.lag + 1 AS rri_start_beat, end_idx + cfg.lag + 1 AS rri_end_beat, {R('sbp_start sbp_end')}, {R('sbp_end - sbp_start AS sbp_amplitude')}, {R('abs(sbp_end - sbp_start) AS sbp_amplitude_abs')}, {R('rri_start rri_end')}, {R('rri_end - rri_start AS rri_response')}, {R('abs(rri_end - rri_start) AS rri_response_abs')},
+  {R('st AS sbp_start_t')}, {R('et AS sbp_end_t')}, {R('rt AS rri_start_t')}, {R('ft AS rri_end_t')}, {R('my - slope * mx AS intercept')}, round(slope, 6) + 0.0 AS slope, {R('r')}, {R('r * r AS r_squared')}, rri_monotone, rri_concordant_1ms, rri_gate AS rri_threshold_gate, q.least_r IS NULL OR coalesce(r >= q.least_r, false) AS correlation_gate, q.least_r2 IS NULL OR coalesce(r * r > q.least_r2, false) AS r2_gate, slope IS NOT NULL AND (NOT q.positive_slope OR slope > 0) AS slope_gate, qualifies, sbp_values_text, rri_values_text, sbp_times_text, rri_times_text
+FROM seqq q JOIN cfg USING (setting) JOIN h USING (setting, subject, phase, direction, ramp_index)""",
+)
+def sequence_provenance(spark, sf_dir):
+    """Every candidate of the five branches with its beats, regression and gates."""
+    out = ramps.provenance(beats(spark, sf_dir, "event_type"), BRANCHES).select(*_PROVENANCE.split())
+    return rnd(out, *[c for c, kind in out.dtypes if kind == "double"])
 
 
 @query("array_text", f"WITH {sql.beats()} SELECT subject, phase, string_agg(printf('%.15g', sbp), '|' ORDER BY beat_idx) AS text FROM beats GROUP BY ALL")

@@ -120,10 +120,56 @@ def test_result_does_not_depend_on_partitions(spark):
     assert a == c
 
 
-def test_one_exchange_before_ramps(spark):
+@pytest.mark.parametrize("settings", [OFAT, BRANCHES], ids=["maximal", "parts"])
+def test_one_exchange_and_one_read(spark, settings):
+    """From beats to gains rows move once, by cell, and are read once; no join but with the settings."""
     b = beats(spark, UP, [700, 710, 720, 700])
-    from rampflow.schema import settings_frame
-
-    frame = settings_frame(spark, OFAT)
-    plan = ramps.ramps(b, frame.select(*ramps.SCAN).distinct())._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(subject") == 1
+    plan = ramps.gains(b, settings)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(subject") == 1 == plan.count("Exchange hashpartitioning") and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_parts_by_definition(spark, seed):
+    """Every part of every ramp by its own beats, with level, infinite and missing intervals among them."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(seed)
+    sbp = [100.0]
+    for _ in range(150):
+        sbp.append(sbp[-1] + r.choice([2.5, 2.5, 2.5, 1.0, -2.5]))
+    rri = [float(r.choice([700.1, 700.1, 710.3, 720.7, 731.9])) for _ in sbp]
+    rri[40], rri[90] = float("inf"), float("nan")
+    setting = BRANCHES[3]
+    got = {(x["direction"], x["start_idx"], x["end_idx"]): x for x in ramps.sequences(beats(spark, sbp, rri), (setting, A0)).where("setting = 'A0_OVERLAP'").collect()}
+    want, start = {}, 0
+    x, y = np.array(sbp), np.array(rri)
+    while start < len(x) - 1:
+        d = np.sign(x[start + 1] - x[start]) if abs(x[start + 1] - x[start]) > 1 else 0
+        end = start
+        while end + 1 < len(x) and d and np.sign(x[end + 1] - x[end]) == d and abs(x[end + 1] - x[end]) > 1:
+            end += 1
+        for s in range(start, end - 1):
+            for e in range(s + 2, end + 1):
+                want["up" if d > 0 else "down", s, e] = (x[s : e + 1], y[s : e + 1], d, s == start and e == s + 2)
+        start = max(end, start + 1)
+    assert set(got) == set(want)
+    for key, (a, b, d, first) in want.items():
+        row = got[key]
+        fine = np.isfinite(b).all()
+        moves = d * np.diff(b)
+        assert row["n_beats"] == len(a) and row["is_first"] == first and (row["sbp_start"], row["sbp_end"]) == (a[0], a[-1])
+        assert (row["rri_monotone"], row["rri_concordant_1ms"]) == (bool(fine and (moves > 0).all()), bool(fine and (moves >= 1).all()))
+        assert row["slope"] == (pytest.approx(np.polyfit(a, b, 1)[0], abs=1e-9) if fine else None)
+        assert row["r"] == (pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9) if fine and np.ptp(b) > 0 else None)
+
+
+def test_cells_without_ramps_have_rows(spark):
+    """Also cells of fewer beats than the lag."""
+    b = beats(spark, [100.0], [700]).union(beats(spark, [100.0, 100.2, 100.1], [700, 701, 702], "2")).union(beats(spark, UP, [700, 710, 720, 700], "3"))
+    for settings in (OFAT, BRANCHES):
+        got = ramps.gains(b, settings).collect()
+        assert len(got) == 3 * 3 * len(settings) and {r["reason"] for r in got if r["subject"] in "12"} == {"NO_CANDIDATE_SBP_RAMP"}
+        assert {(r["n_ramps"], r["n_maximal"], r["n_sequences"], r["bei"]) for r in got if r["subject"] in "12"} == {(0, 0, 0, None)}
+        assert ramps.sequences(b, settings).where("direction is null").count() == 0
