@@ -15,6 +15,7 @@ from rampflow.plans import registry
 from rampflow.schema import WINDOWS, windows_frame
 from rampflow.sources import beats as sources
 from rampflow.sources import identity, reports, sinks
+from rampflow import streaming
 from rampflow.streaming import online_ramps, tumbling_bins
 
 SF = "/root/testdata/sf0.001"
@@ -160,24 +161,83 @@ def test_streamed_bins_equal_the_batch(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_streamed_ramps_equal_the_batch(spark, tmp_path):
-    from dataclasses import replace
+PHASED = [("Pre", 0.0, 300.0), ("Stim", 300.0, 600.0), ("Post", 600.0, 900.0)]
+
+
+def phased_beats(seed=3, subjects=4):
+    """(subject, t, sbp, rri) of three phases a subject, with some beats of no phase."""
+    import random
+
+    r = random.Random(seed)
+    out = []
+    for s in range(subjects):
+        t = -2.0
+        while t < 905:
+            t += r.choice([0.7, 0.8, 0.9, 1.1])
+            out.append((str(s), round(t, 3), round(r.uniform(100, 106), 2), round(r.uniform(700, 760), 2)))
+    return out
+
+
+def stream_of(spark, batches, folder, late, phases=PHASED):
+    """Ramps of batches that come one by one, a file each."""
+    schema = "subject string, t double, sbp double, rri double"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    plain = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    streaming.use_rocksdb(spark)
+    try:
+        # Files are taken in order of their names, a file a batch.
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        q = online_ramps(stream, phases, late).writeStream.format("memory").queryName(f"r{abs(hash(folder))}").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return [tuple(r) for r in spark.table(f"r{abs(hash(folder))}").collect()]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", plain)
 
-    from rampflow.operators import ramps
-    from rampflow.schema import CANONICAL
 
-    b = sources.event_beats(spark.read.parquet(f"{SF}/events.parquet"), "event_type").drop("phase").withColumn("phase", F.lit("all"))
+def batch_ramps(spark, rows):
+    from dataclasses import replace
+
     from pyspark.sql.window import Window
 
-    b = b.withColumn("beat_idx", F.row_number().over(Window.partitionBy("subject").orderBy("t")))
-    got = run_stream(spark, b.select("subject", "t", "sbp", "rri"), online_ramps, tmp_path / "r")
-    want = ramps.sequences(b, (replace(CANONICAL, lag=0),))
-    times = b.select("subject", F.col("beat_idx").alias("i"), "t")
-    want = want.join(times.select("subject", (F.col("i") - 1).alias("start_idx"), F.col("t").alias("start_t")), ["subject", "start_idx"])
-    ends = b.groupBy("subject").agg(F.max("beat_idx").alias("last"))
-    want = want.join(ends, "subject").where("end_idx < last - 1")  # the last ramp is still open
-    key = lambda r: (r["subject"], r["direction"], r["start_t"], r["n_beats"], round(r["slope"], 6))
-    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 20
+    from rampflow.operators import ramps, segment
+    from rampflow.schema import CANONICAL, windows_frame
+
+    b = segment.in_windows(spark.createDataFrame(rows, "subject string, t double, sbp double, rri double"), windows_frame(spark, "phase")).withColumnRenamed("window", "phase")
+    b = b.withColumn("beat_idx", F.row_number().over(Window.partitionBy("subject", "phase").orderBy("t"))).select("subject", "phase", "beat_idx", "t", "rri", "sbp")
+    found = ramps.held(ramps.sequences(b, (replace(CANONICAL, lag=0),)), b)
+    return found.select("subject", "phase", "direction", F.col("sbp_times")[0].alias("start_t"), F.element_at("sbp_times", -1).alias("end_t"), "n_beats", "slope").collect()
+
+
+def ramp_keys(rows):
+    return sorted((r[0], r[1], r[2], r[3], r[4], r[5], round(r[6], 6)) for r in rows)
+
+
+def test_streamed_ramps_equal_the_batch(spark, tmp_path):
+    """Batches in order, beats of a batch in any order, and a beat after the last phase that moves the watermark: the last ramps come too."""
+    import random
+
+    rows = phased_beats()
+    batches = [[r for r in rows if lo <= r[1] < lo + 150] for lo in range(-150, 1050, 150)]
+    for b in batches:
+        random.Random(1).shuffle(b)
+    got = stream_of(spark, [*(b for b in batches if b), [("0", 5_000.0, 100.0, 700.0)]], tmp_path, "10 seconds")
+    want = batch_ramps(spark, rows)
+    assert ramp_keys(got) == ramp_keys(want) and len(got) > 100
+    last = {(r[0], r[1]): max(x[4] for x in want if x[:2] == r[:2]) for r in want}
+    assert all(any(g[0] == s and g[1] == p and g[4] == t for g in got) for (s, p), t in last.items())
+
+
+def test_streamed_ramps_of_unordered_and_late_beats(spark, tmp_path):
+    """Beats that come up to a minute behind change nothing; one that comes later than that is not looked at."""
+    rows = [r for r in phased_beats(4, 2) if r[1] < 400]
+    early, late = [r for r in rows if int(r[1] * 10) % 7], [r for r in rows if not int(r[1] * 10) % 7]
+    batches = []
+    for lo in range(-50, 450, 50):  # a seventh of all beats come with the next batch
+        batches.append([r for r in early if lo <= r[1] < lo + 50] + [r for r in late if lo - 50 <= r[1] < lo])
+    too_late = [("0", 100.0005, 500.0, 700.0), ("0", 100.0015, 600.0, 800.0), ("0", 100.0025, 700.0, 900.0)]
+    got = stream_of(spark, [*(b for b in batches if b), [("0", 2_000.0, 100.0, 700.0)], too_late, [("0", 9_000.0, 100.0, 700.0)]], tmp_path, "150 seconds")
+    assert ramp_keys(got) == ramp_keys(batch_ramps(spark, rows)) and not any(r[5] and r[3] >= 100.0005 and r[4] <= 100.0025 for r in got)
 
 
 def test_file_identity(spark, tmp_path):
