@@ -1,7 +1,9 @@
 """Least squares as aggregates: coefficients, HC3 errors, leverage, influence and residual tests of grouped rows.
 
-The design's cross products are sums, so a model of any number of rows is two aggregations and one small
-inverse a group; only the inverse, of one matrix a group, is computed outside of Catalyst.
+A model of any number of rows is two aggregations and one small inverse a group; only the inverse, of one matrix a
+group, is computed outside of Catalyst. Predictors are taken less their group's means throughout, and whether they are
+collinear is judged on their correlations, so that offsets and units do not matter; the constant goes back to the
+predictors as they are at the end.
 """
 
 from __future__ import annotations
@@ -59,26 +61,37 @@ def fit(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> Fit:
 
     A group of no more rows than terms, or of collinear columns, has null coefficients and everything that follows from them.
     """
-    columns = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
     names, k = ["constant", *xs], len(xs) + 1
     df = df.dropna(subset=[y, *xs])
-    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _sums(columns, F.lit(1.0)).alias("xx_"), F.array(*[F.sum(c * F.col(y)) for c in columns]).alias("xy_"), F.array(*[F.stddev_samp(c) for c in [F.col(y), *columns[1:]]]).alias("sd_"))
+    plain = [F.col(x).cast("double") for x in xs]
+    n = F.count(F.lit(1))
+    sums = df.groupBy(*keys).agg(
+        n.alias("n"),
+        F.array(F.avg(y), *map(F.avg, plain)).alias("means_"),
+        F.array(*[n * F.covar_pop(a, b) for i, a in enumerate(plain) for b in plain[i:]]).alias("xx_"),
+        F.array(*[n * F.covar_pop(c, F.col(y)) for c in plain]).alias("xy_"),
+        F.array(*[F.stddev_samp(c) for c in [F.col(y), *plain]]).alias("sd_"),
+    )
 
     def solve(r):
-        xx = _full(r.xx_, k)
-        if r.n <= k or np.linalg.matrix_rank(xx, hermitian=True) < k:
+        xx = _full(r.xx_, k - 1)
+        size = np.sqrt(np.diag(xx))
+        if r.n <= k or not (size > 0).all() or np.linalg.matrix_rank(xx / np.outer(size, size), hermitian=True) < k - 1:
             return None, None
-        inv = np.linalg.inv(xx)
-        return (inv @ np.array(r.xy_)).tolist(), inv.ravel().tolist()
+        inv = np.zeros((k, k))
+        inv[0, 0] = 1 / r.n
+        inv[1:, 1:] = np.linalg.inv(xx / np.outer(size, size)) / np.outer(size, size)
+        return [r.means_[0], *(inv[1:, 1:] @ np.array(r.xy_))], inv.ravel().tolist()
 
-    solved = _mapped(sums, solve, "b_ array<double>, inv_ array<double>").select(*keys, "n", "sd_", "b_", "inv_")
+    solved = _mapped(sums, solve, "b_ array<double>, inv_ array<double>").select(*keys, "n", "means_", "sd_", "b_", "inv_")
     own = [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys]
     side = lambda t, *c: t.select(*[F.col(key).alias(f"_k_{key}") for key in keys], *c)
     drop = [f"_k_{key}" for key in keys]
     total = lambda parts: sum(parts[1:], parts[0])
-    rows = df.join(side(solved, "n", "b_", "inv_"), own).drop(*drop)
+    rows = df.join(side(solved, "n", "means_", "b_", "inv_"), own).drop(*drop)
+    columns = [F.lit(1.0), *[c - F.col("means_")[i + 1] for i, c in enumerate(plain)]]
     rows = rows.withColumn("residual", F.col(y) - total([F.col("b_")[i] * c for i, c in enumerate(columns)]))
-    rows = rows.withColumn("leverage", total([F.col("inv_")[i * k + j] * a * b for i, a in enumerate(columns) for j, b in enumerate(columns)]))
+    rows = rows.withColumn("leverage", total([F.col("inv_")[i * k + j] * a * b for i, a in enumerate(columns) for j, b in enumerate(columns) if (i == 0) == (j == 0)]))
     e, h = F.col("residual"), F.col("leverage")
     u = e * e
     spread = rows.groupBy(*keys).agg(
@@ -93,9 +106,14 @@ def fit(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> Fit:
     s2 = F.col("ee_") / (F.col("n") - k)
     cook = u * h / (k * s2 * (1 - h) * (1 - h))
     loo = F.sqrt(F.greatest(F.lit(0.0), (F.col("ee_") - u / (1 - h)) / (F.col("n") - k - 1)))
-    shift = lambda i: total([F.col("inv_")[i * k + j] * c for j, c in enumerate(columns)]) * e / (1 - h)
-    rows = rows.withColumns({"cook": cook, "large": cook > 4 / F.col("n"), **{f"dfb_{names[i]}": shift(i) / (loo * F.sqrt(F.col("inv_")[i * k + i])) for i in range(k)}})
-    return Fit(keys, names, y, rows.drop("b_", "inv_", "ee_"), models)
+    inv, mean = (lambda i, j: F.col("inv_")[i * k + j]), (lambda i: F.col("means_")[i])
+    shift = lambda i: total([inv(i, j) * c for j, c in enumerate(columns) if (i == 0) == (j == 0)]) * e / (1 - h)
+    # The constant at predictors of 0 is that at their means less the slopes times the means.
+    slopes = range(1, k)
+    moved = {0: shift(0) - (total([mean(i) * shift(i) for i in slopes]) if xs else F.lit(0.0)), **{i: shift(i) for i in slopes}}
+    spread_of = {0: inv(0, 0) + (total([mean(i) * mean(j) * inv(i, j) for i in slopes for j in slopes]) if xs else F.lit(0.0)), **{i: inv(i, i) for i in slopes}}
+    rows = rows.withColumns({"cook": cook, "large": cook > 4 / F.col("n"), **{f"dfb_{names[i]}": moved[i] / (loo * F.sqrt(spread_of[i])) for i in range(k)}})
+    return Fit(keys, names, y, rows.drop("b_", "inv_", "ee_", "means_"), models)
 
 
 def coefficients(model: Fit) -> DataFrame:
@@ -105,8 +123,10 @@ def coefficients(model: Fit) -> DataFrame:
     def table(r):
         if r.b_ is None:
             return [{"term": t} for t in terms], None
-        inv, b = np.array(r.inv_).reshape(k, k), np.array(r.b_)
-        se = np.sqrt(np.diag(inv @ _full(r.meat_, k) @ inv))
+        inv, back = np.array(r.inv_).reshape(k, k), np.eye(k)
+        back[0, 1:] = -np.array(r.means_[1:])
+        b = back @ np.array(r.b_)
+        se = np.sqrt(np.diag(back @ inv @ _full(r.meat_, k) @ inv @ back.T))
         sd = list(r.sd_)
         p = [t_sf2(float(t), r.n - k) if r.n > k else None for t in b / se]
         return ([{"term": t, "b": float(b[i]), "hc3": float(se[i]), "p": p[i], "beta": float(b[i] * sd[i] / sd[0]) if i else None} for i, t in enumerate(terms)], float(1 - r.ee_ / (sd[0] ** 2 * (r.n - 1))))

@@ -11,6 +11,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import with_bh
 from ..operators import audit, context, contrasts, decisions, linear, prevalence, ramps, resampling, segment, summaries
@@ -18,7 +19,7 @@ from ..operators.grouped import per_group, per_row
 from ..operators.kernels import nonlinear, spectral, var
 from ..operators.ledger import resumed
 from ..operators.resampling import Analysis
-from ..schema import BRANCHES, CANONICAL, CELL, FACTORIAL, NEIGHBOURS, OFAT, SUBPHASE_CONTRASTS, Neighbours, windows_frame
+from ..schema import BRANCHES, CANONICAL, CELL, FACTORIAL, NEIGHBOURS, OFAT, PHASES, SUBPHASE_CONTRASTS, Neighbours, windows_frame
 
 Tables = dict[str, DataFrame]
 #: Names of the two directions, the one towards intervals first.
@@ -109,13 +110,31 @@ def autoregression_analysis(beats: DataFrame) -> Tables:
     }
 
 
+def cell_places(beats: DataFrame) -> DataFrame:
+    """(subject, phase, place): places from 0 of all phases of all subjects, by subject and then in order of the phases."""
+    nth = F.row_number().over(Window.orderBy("subject")) - 1  # a row a subject
+    subjects = beats.select("subject").distinct().withColumn("_nth", nth)
+    phases = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(i).alias("i")) for i, p in enumerate(PHASES)])
+    return subjects.select("subject", "_nth", F.inline(phases)).select("subject", "phase", (F.col("_nth") * len(PHASES) + F.col("i")).alias("place"))
+
+
+def spawned_seed(master: int, place: int) -> int:
+    """The first word of the child that a master seed sequence spawns at a place."""
+    return int(np.random.SeedSequence(master, spawn_key=(place,)).generate_state(1, np.uint32)[0])
+
+
 def coherence_analysis(beats: DataFrame, surrogates: int = 1_000, seed: int = 20260805, **options) -> Tables:
-    """Coherence of every cell with its surrogate test (a stream of its own per cell, from the cell's name) and prevalence. Needs times."""
-    def kernel(key, t, s, r):
+    """Coherence of every cell with its surrogate test and prevalence. Needs times.
+
+    A cell's stream is the child of the seed at its place among all phases of all subjects, so that a cell that is missing changes no
+    other's.
+    """
+    def kernel(key, place, t, s, r):
         a, b = spectral.resample(t, [s, r])[1]
-        return spectral.coherence_test(a, b, surrogates, [seed, *map(ord, "/".join(key))], **options)
+        return spectral.coherence_test(a, b, surrogates, spawned_seed(seed, int(place[0])), **options)
 
-    cells = per_group(beats.where("t is not null"), CELL, ["t"], ["t", "sbp", "rri"], kernel, "observed double, edge double, p double, hits long")
+    placed = beats.where("t is not null").join(F.broadcast(cell_places(beats)), CELL)
+    cells = per_group(placed, CELL, ["t"], ["place", "t", "sbp", "rri"], kernel, "observed double, edge double, p double, hits long")
     cells = with_bh(cells, "p", "q", "phase").withColumns({"nominal": F.col("p") < 0.05, "fdr": F.col("q") < 0.05})
     return {
         "cells": cells,
@@ -204,8 +223,6 @@ def coupling_analysis(beats: DataFrame, methods: tuple[str, ...] = ("CE", "LP",
 
     Cells without times take the running sum of intervals as time, which is an approximation.
     """
-    from pyspark.sql.window import Window
-
     upto = Window.partitionBy(*CELL).orderBy("beat_idx").rowsBetween(Window.unboundedPreceding, 0)
     timed = beats.withColumn("t", F.coalesce("t", F.sum("rri").over(upto) / 1000.0))
 
@@ -329,8 +346,6 @@ def association_analysis(changes: DataFrame, times: int = 10_000, permutations:
     omitted = contrasts.leave_one_out_correlations(changes, "x", "y", "method")
     ref = changes.where("method = 'REF'")
     whole = lambda c: (F.col(c) - F.avg(c).over(_all)) / F.stddev_samp(c).over(_all)
-    from pyspark.sql.window import Window
-
     _all = Window.partitionBy("method")
     raw = linear.fit(ref, ["method"], "stim", ["pre", "x"])
     scaled = linear.fit(ref.select("method", "subject", *[whole(c).alias(c) for c in ("stim", "pre", "x")]), ["method"], "stim", ["pre", "x"])

@@ -462,12 +462,14 @@ _PATTERN = r"^lag(\d+)_r(\d)p(\d\d)_sbp(\d)p(\d)_len(\d+)_(mean|median)(_directi
 
 @query(
     "setting_id_codec",
-    f"WITH {sql.settings(FACTORIAL)} SELECT 'lag' || lag || '_r' || replace(printf('%.2f', least_r), '.', 'p') || '_sbp' || replace(printf('%.1f', least_step), '.', 'p') || '_len' || least_beats || '_' || CASE WHEN use_median THEN 'median' ELSE 'mean' END AS setting_id, lag::INTEGER AS lag, least_r, least_step, least_beats::INTEGER AS least_beats FROM cfg",
+    f"WITH {sql.gains(FACTORIAL, 'event_type')}, n AS (SELECT setting, count(gain) AS evaluable FROM gain WHERE direction = 'all' GROUP BY setting) SELECT 'lag' || lag || '_r' || replace(printf('%.2f', least_r), '.', 'p') || '_sbp' || replace(printf('%.1f', least_step), '.', 'p') || '_len' || least_beats || '_' || CASE WHEN use_median THEN 'median' ELSE 'mean' END AS setting_id, lag::INTEGER AS lag, least_r, least_step, least_beats::INTEGER AS least_beats, evaluable FROM cfg JOIN n USING (setting)",
 )
 def setting_id_codec(spark, sf_dir):
-    ids = spark.createDataFrame([(s.setting_id,) for s in FACTORIAL], "setting_id string")
+    """The settings of a result by what their ids say."""
+    g = ramps.gains(beats(spark, sf_dir, "event_type"), FACTORIAL).where("direction = 'all'")
+    ids = g.groupBy(F.col("setting").alias("setting_id")).agg(F.count("gain").alias("evaluable"))
     part = lambda i: F.regexp_extract("setting_id", _PATTERN, i)
-    return ids.select("setting_id", part(1).cast("int").alias("lag"), F.concat(part(2), F.lit("."), part(3)).cast("double").alias("least_r"), F.concat(part(4), F.lit("."), part(5)).cast("double").alias("least_step"), part(6).cast("int").alias("least_beats"))
+    return ids.select("setting_id", part(1).cast("int").alias("lag"), F.concat(part(2), F.lit("."), part(3)).cast("double").alias("least_r"), F.concat(part(4), F.lit("."), part(5)).cast("double").alias("least_step"), part(6).cast("int").alias("least_beats"), "evaluable")
 
 
 @query(
@@ -605,12 +607,10 @@ def missingness_grid(spark, sf_dir):
     return rnd(summaries.missingness(ramps.gains(beats(spark, sf_dir), BRANCHES), "gain", "setting", "phase", "direction"), "missing_share")
 
 
-@query("setting_ordinals", f"WITH {sql.settings(FACTORIAL)} SELECT setting, direction, (dense_rank() OVER (ORDER BY setting, direction) - 1)::INTEGER AS place, 20260805 + 10 * (dense_rank() OVER (ORDER BY setting, direction) - 1) AS seed FROM cfg, (VALUES ('all'), ('down'), ('up')) AS d(direction)")
+@query("setting_ordinals", f"WITH {sql.gains(FACTORIAL, 'event_type')}, d AS (SELECT DISTINCT setting, direction FROM gain) SELECT setting, direction, (dense_rank() OVER (ORDER BY setting, direction) - 1)::INTEGER AS place, 20260805 + 10 * (dense_rank() OVER (ORDER BY setting, direction) - 1) AS seed FROM d")
 def setting_ordinals(spark, sf_dir):
-    from ..schema import settings_frame
-
-    names = settings_frame(spark, FACTORIAL).select("setting", F.explode(F.array(*[F.lit(d) for d in ("all", "down", "up")])).alias("direction"))
-    return joins.ordinals(names, ["setting", "direction"], 20260805)
+    """Seeds of a result's settings and directions by their places."""
+    return joins.ordinals(ramps.gains(beats(spark, sf_dir, "event_type"), FACTORIAL).select("setting", "direction"), ["setting", "direction"], 20260805)
 
 
 @query("mixed_model_eligibility", f"WITH {sql.sequences((CANONICAL,))}, p AS (SELECT subject, phase, count(*) AS n FROM seqq WHERE qualifies GROUP BY ALL) SELECT subject, count(*) AS phases, min(n) AS least, count(*) = 3 AND min(n) >= 2 AS eligible FROM p GROUP BY subject")

@@ -160,14 +160,6 @@ for _method in ("LP", "CE", "SSC"):
         return rnd(shift_tests(_segments(spark, sf_dir), (method,)), "strength", "edge", "p")
 
 
-@query("simulated_gate")
-def simulated_gate(spark, sf_dir):
-    """The validation gate of all methods on simulated pairs; does not read the tables."""
-    from .analyses import coupling_validation
-
-    return rnd(coupling_validation(spark, replicates=4)["gate"], "linear_share", "nonlinear_share", "stronger_share")
-
-
 _KPSS = f"""{sql.beats('event_type')}, bh AS (SELECT * REPLACE (t / 3600.0 AS t) FROM beats), {sql.centred(SEGMENT, 'bh', 'rri, sbp')}, lo AS (SELECT subject, phase, i, 'sbp' AS name, sbp AS v FROM seg UNION ALL SELECT subject, phase, i, 'rri', rri FROM seg),
 ce AS (SELECT *, v - avg(v) OVER (PARTITION BY subject, phase, name) AS e FROM lo), cs AS (SELECT *, sum(e) OVER (PARTITION BY subject, phase, name ORDER BY i) AS s FROM ce),
 li AS (SELECT subject, phase, name, list(e ORDER BY i) AS e, sum(s * s) AS ss, count(*) AS n FROM cs GROUP BY ALL),
@@ -349,14 +341,6 @@ def resampled_association(spark, sf_dir):
     return rnd(out.select("cohort", method, "estimate", "low", "high", "p"), "estimate", "low", "high", "p")
 
 
-@query("coherence_validation")
-def coherence_validation(spark, sf_dir):
-    """Does not read the tables: simulated pairs of known coupling."""
-    from .analyses import coherence_validation as validate
-
-    return rnd(validate(spark), "share", "low", "high")
-
-
 @query("coupling_sensitivity")
 def coupling_sensitivity(spark, sf_dir):
     from .analyses import coupling_sensitivity as sweep

@@ -50,7 +50,7 @@ def validated_beat_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_paired_files(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless paired-beat files: the five columns, beat time in seconds, pressure in mmHg, and row number from 0.
+    """Headerless paired-beat files: the five columns, beat time in seconds, pressure in mmHg, and row number from 0 and from 1.
 
     The row number follows time, as rows of a distributed read have no order of their own.
     """
@@ -62,6 +62,7 @@ def read_paired_files(spark: SparkSession, path: str) -> DataFrame:
         (F.col("R_wave_timing_ms") / 1000.0).alias("beat_time_s"),
         (F.col("sBP_mmHg100") * 100.0).alias("sbp_mmhg"),
         (F.row_number().over(by_time) - 1).alias("source_row"),
+        F.row_number().over(by_time).alias("original_row"),
     )
 
 

@@ -261,3 +261,36 @@ def test_waves(spark, tmp_path):
     (tmp_path / "e").mkdir()
     (tmp_path / "e" / "hr.csv").write_text("1.5,800\n2.25,790\n")
     assert [r["t_ms"] for r in waves.read_events(spark, f"{tmp_path}/e").orderBy("t_ms").collect()] == [1500.0, 2250.0]
+
+
+def test_models_of_predictors_with_large_offsets(spark):
+    """A time and an id of many digits are no reason to call a model collinear; the figures are those of small numbers."""
+    rng = np.random.default_rng(5)
+    x, z = rng.normal(size=40), rng.normal(size=40)
+    y = 2 + 0.5 * x - 0.3 * z + rng.normal(scale=0.4, size=40)
+    rows = [(g, i, float(y[i]), float(x[i] + a), float(1e-3 * z[i] + b)) for g, a, b in (("near", 0.0, 0.0), ("far", 1.7e9, 4e5)) for i in range(40)]
+    model = linear.fit(spark.createDataFrame(rows, "k string, i int, y double, a double, b double"), ["k"], "y", ["a", "b"])
+    got = {(r["k"], r["term"]): r for r in linear.coefficients(model).collect()}
+    for term in ("a", "b"):
+        for c in ("b", "hc3", "p", "beta"):
+            assert got["far", term][c] == pytest.approx(got["near", term][c], rel=1e-5)
+    design = np.column_stack([np.ones(40), x, 1e-3 * z])
+    want = np.linalg.lstsq(design, y, rcond=None)[0]
+    assert [got["near", t]["b"] for t in ("constant", "a", "b")] == pytest.approx(want)
+    infl = {(r["k"], r["i"]): r for r in model.rows.collect()}
+    inv = np.linalg.inv(design.T @ design)
+    e, h = y - design @ want, np.einsum("ij,jk,ik->i", design, inv, design)
+    for i in range(40):
+        loo = np.sqrt((e @ e - e[i] ** 2 / (1 - h[i])) / 36)
+        assert infl["near", i]["leverage"] == pytest.approx(h[i]) and infl["far", i]["leverage"] == pytest.approx(h[i], rel=1e-5)
+        assert infl["near", i]["dfb_constant"] == pytest.approx((inv @ design[i])[0] * e[i] / (1 - h[i]) / loo / np.sqrt(inv[0, 0]))
+        assert infl["near", i]["dfb_a"] == pytest.approx((inv @ design[i])[1] * e[i] / (1 - h[i]) / loo / np.sqrt(inv[1, 1]))
+
+
+def test_seeds_are_spawned_by_place(spark):
+    """By subject and then phase, as a master seed spawns them; cells that are missing keep their places."""
+    rows = [(s, p, i + 1, float(i), 800.0, 120.0) for s, p in (("01", "Pre"), ("01", "Post"), ("02", "Stim"), ("10", "Pre")) for i in range(2)]
+    places = {(r["subject"], r["phase"]): r["place"] for r in analyses.cell_places(spark.createDataFrame(rows, "subject string, phase string, beat_idx int, t double, rri double, sbp double")).collect()}
+    assert places == {(s, p): 3 * i + j for i, s in enumerate(("01", "02", "10")) for j, p in enumerate(("Pre", "Stim", "Post"))}
+    children = np.random.SeedSequence(20260805).spawn(9)
+    assert [analyses.spawned_seed(20260805, i) for i in range(9)] == [int(c.generate_state(1, dtype=np.uint32)[0]) for c in children]
