@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import with_bh
+from ..functions.columns import stable_seed, with_bh
 from ..operators import audit, context, contrasts, decisions, linear, prevalence, ramps, resampling, segment, summaries
 from ..operators.grouped import per_group, per_row
 from ..operators.kernels import nonlinear, spectral, var
@@ -83,13 +83,55 @@ def branch_analysis(beats: DataFrame, anchors: DataFrame | None = None) -> Table
     }
 
 
-def subphase_analysis(beats: DataFrame) -> Tables:
-    """Gains of the branches in six half-open sub-phases of timed beats, and their contrasts."""
+#: The branches and the five context figures that sub-phases are compared by; 44 outcomes in all.
+SUBPHASE_BRANCHES = ("REF", "A0_MAX", "A1_MAX")
+SUBPHASE_CONTEXT = ("mean_sbp", "mean_hr", "mean_rri", "rmssd", "n_beats")
+#: Figures of all ramps of a branch, and of its gains by direction.
+SUBPHASE_FIGURES = ("n_maximal", "n_ramps", "n_sequences", "bei", "mean_beats", "mean_r2", "mean_r", "mean_sbp_amplitude", "mean_rri_response")
+
+
+def subphase_outcomes(timed: DataFrame, g: DataFrame) -> DataFrame:
+    """(subject, phase, outcome, value): the 44 outcomes of every sub-phase in long form, from its beats and its gains."""
+    numbers = context.context(timed).select(*CELL, *[F.col(c).cast("double").alias(c) for c in SUBPHASE_CONTEXT]).unpivot(CELL, list(SUBPHASE_CONTEXT), "outcome", "value")
+    g = g.where(F.col("setting").isin(*SUBPHASE_BRANCHES))
+    gain = g.select(*CELL, F.concat_ws("_", F.lit("gain"), "setting", "direction").alias("outcome"), F.col("gain").alias("value"))
+    whole = g.where("direction = 'all'").withColumn("no_valid", (F.col("n_sequences") == 0).cast("double"))
+    names = [*SUBPHASE_FIGURES, "no_valid"]
+    more = whole.select(*CELL, "setting", *[F.col(c).cast("double").alias(c) for c in names]).unpivot([*CELL, "setting"], names, "figure", "value")
+    return numbers.unionByName(gain).unionByName(more.select(*CELL, F.concat_ws("_", "figure", "setting").alias("outcome"), "value"))
+
+
+def response_state(contrasts_of: DataFrame) -> DataFrame:
+    """Early and late stimulation against late baseline, of pressure, rate, RMSSD and the three gains, by their short names."""
+    names = {"mean_sbp": "sbp", "mean_hr": "hr", "rmssd": "rmssd", **{f"gain_{b}_all": b for b in SUBPHASE_BRANCHES}}
+    mapped = F.coalesce(*[F.when(F.col("outcome") == k, v) for k, v in names.items()])
+    rows = contrasts_of.withColumn("dimension", mapped).where(F.col("dimension").isNotNull() & F.col("contrast").isin("Stim_early-Pre_late", "Stim_late-Pre_late"))
+    return rows
+
+
+def subphase_analysis(beats: DataFrame, times: int = 10_000, seed: int = 20260804) -> Tables:
+    """Six half-open sub-phases of timed beats: gains of the branches, 44 outcomes, their six contrasts with intervals and rank tests, and
+    the pattern of early against late stimulation. The rank tests are descriptors; nothing is decided by them."""
     timed = segment.in_windows(beats.where("t is not null").drop("phase"), windows_frame(beats.sparkSession, "subphase"))
     timed = timed.select("subject", F.col("window").alias("phase"), "beat_idx", "t", "rri", "sbp")
+    # Beats are numbered within their sub-phase.
+    timed = timed.withColumn("beat_idx", F.row_number().over(Window.partitionBy(*CELL).orderBy("t", "beat_idx")).cast("int"))
     g = ramps.gains(timed, BRANCHES)
-    pairs = contrasts.differences(g.where("direction = 'all'").select("setting", *CELL, "gain"), "gain", "setting", contrasts=SUBPHASE_CONTRASTS)
-    return {"gains": g, "context": context.context(timed), "contrasts": contrasts.summary(pairs, "setting", "contrast")}
+    outcomes = subphase_outcomes(timed, g)
+    pairs = contrasts.differences(outcomes, "value", "outcome", contrasts=SUBPHASE_CONTRASTS)
+    own_seed = stable_seed(seed, F.col("contrast"), F.col("outcome"))
+    table = contrasts.summary(pairs, "contrast", "outcome")
+    state = response_state(table)
+    return {
+        "gains": g,
+        "context": context.context(timed),
+        "outcomes": outcomes,
+        "contrasts": table,
+        "intervals": contrasts.intervals(pairs.withColumn("seed", own_seed), "contrast", "outcome", times=times, statistics=("mean",)),
+        "rank_tests": contrasts.signed_rank_p(pairs, "contrast", "outcome"),
+        "response_state": state,
+        "pattern": decisions.temporal_pattern(state),
+    }
 
 
 def autoregression_analysis(beats: DataFrame) -> Tables:

@@ -268,14 +268,15 @@ def wilcoxon_w(spark, sf_dir):
     return contrasts.signed_ranks(_pairs(spark, sf_dir, OFAT), "setting", "contrast")
 
 
-@query(
-    "wilcoxon_p",
-    f"""WITH RECURSIVE {sql.pairs(OFAT)}, {_RANKS}, ways(r, c) AS (SELECT 0, list_concat([1.0::DOUBLE], list_transform(range(0, 1275), lambda i: 0.0::DOUBLE)) UNION ALL SELECT r + 1, list_transform(range(0, 1276), lambda s: c[s + 1] + CASE WHEN s > r THEN c[s - r] ELSE 0.0 END) FROM ways WHERE r < 50),
+#: CTEs from the ranks to wp (setting, contrast, w, p, p_method). WITH has to be RECURSIVE.
+_WILCOXON = f"""{_RANKS}, ways(r, c) AS (SELECT 0, list_concat([1.0::DOUBLE], list_transform(range(0, 1275), lambda i: 0.0::DOUBLE)) UNION ALL SELECT r + 1, list_transform(range(0, 1276), lambda s: c[s + 1] + CASE WHEN s > r THEN c[s - r] ELSE 0.0 END) FROM ways WHERE r < 50),
 ti AS (SELECT setting, contrast, sum(c * c * c - c) AS tied, max(c) AS most FROM (SELECT setting, contrast, a, count(*) AS c FROM a GROUP BY ALL) GROUP BY ALL), tot AS (SELECT setting, contrast, count(*) AS n_all FROM pair GROUP BY ALL),
 wx AS (SELECT tot.setting, tot.contrast, n_all, n_nonzero AS n, least(w_plus, n_nonzero * (n_nonzero + 1) / 2 - w_plus) AS w, tied, most FROM tot LEFT JOIN v USING (setting, contrast) LEFT JOIN ti USING (setting, contrast)),
-u AS (SELECT *, CASE WHEN n IS NULL THEN 'all_zero' WHEN n = n_all AND most = 1 AND n <= 50 THEN 'exact' ELSE 'normal' END AS p_method, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tied / 48.0) AS z FROM wx)
-SELECT setting, contrast, coalesce(w, 0.0)::DOUBLE AS w, round(CASE p_method WHEN 'all_zero' THEN 1.0 WHEN 'exact' THEN least(1.0, 2 * list_sum(ways.c[1:(w + 1)::INTEGER]) / pow(2, n)) ELSE {sql.normal_tail("z")} END, 6) AS p, p_method FROM u LEFT JOIN ways ON ways.r = u.n""",
-)
+u AS (SELECT *, CASE WHEN n IS NULL THEN 'all_zero' WHEN n = n_all AND most = 1 AND n <= 50 THEN 'exact' ELSE 'normal' END AS p_method, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tied / 48.0) AS z FROM wx),
+wp AS (SELECT setting, contrast, coalesce(w, 0.0)::DOUBLE AS w, CASE p_method WHEN 'all_zero' THEN 1.0 WHEN 'exact' THEN least(1.0, 2 * list_sum(ways.c[1:(w + 1)::INTEGER]) / pow(2, n)) ELSE {sql.normal_tail("z")} END AS p, p_method FROM u LEFT JOIN ways ON ways.r = u.n)"""
+
+
+@query("wilcoxon_p", f"WITH RECURSIVE {sql.pairs(OFAT)}, {_WILCOXON} SELECT setting, contrast, w, round(p, 6) AS p, p_method FROM wp")
 def wilcoxon_p(spark, sf_dir):
     return rnd(contrasts.signed_rank_p(_pairs(spark, sf_dir, OFAT), "setting", "contrast"), "p")
 

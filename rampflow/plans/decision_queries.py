@@ -8,7 +8,7 @@ from ..functions.columns import with_bh
 from ..operators import contrasts, decisions, prevalence, ramps
 from ..schema import BRANCHES, CANONICAL, CELL
 from . import sql
-from .beat_queries import _FLAGS, _MC, _RANKS, _SUMMARY, _flags, _pairs, beats, rnd
+from .beat_queries import _FLAGS, _MC, _RANKS, _SUMMARY, _WILCOXON, _flags, _pairs, beats, rnd
 from .registry import query
 
 R = sql.rounded
@@ -19,14 +19,13 @@ _Z = 1.959963984540054
 
 
 def _effects(spark, sf_dir):
-    """Stim-Pre effects of the branches as methods: normal interval, exact sign test, BH over all."""
+    """Stim-Pre effects of the branches as methods: normal interval, Wilcoxon's p, BH over all."""
     p = _pairs(spark, sf_dir, BRANCHES).where("contrast = 'Stim-Pre'")
     s = contrasts.summary(p, "setting", "contrast").join(p.groupBy("setting").agg(F.stddev_samp("d").alias("sd")), "setting")
     half = _Z * F.col("sd") / F.sqrt("n")
     s = s.withColumns({"low": F.col("mean_difference") - half, "high": F.col("mean_difference") + half})
-    test = s.withColumnsRenamed({"n_negative": "first_only", "n_positive": "second_only"})
-    p = prevalence.mcnemar_p(test.select("setting", "contrast", "n", "first_only", "second_only"), "setting").select("setting", "p")
-    return with_bh(s.join(p, "setting"), "p", "q").withColumns({"method": F.col("setting"), "direction": F.lit("all")})
+    test = contrasts.signed_rank_p(p, "setting", "contrast").select("setting", "p")
+    return with_bh(s.join(test, "setting"), "p", "q").withColumns({"method": F.col("setting"), "direction": F.lit("all")})
 
 
 def _directions_agree(spark, sf_dir):
@@ -47,8 +46,8 @@ _STABLE = " UNION ALL ".join(
     for d in ("all", "up", "down")
 )
 _OUTCOMES = f"""{sql.pairs(BRANCHES)}, {_SUMMARY}, sp AS (SELECT setting, stddev_samp(d) AS sd FROM pair WHERE contrast = 'Stim-Pre' GROUP BY setting),
-b AS (SELECT s.*, mean_difference - {_Z} * sd / sqrt(n) AS low, mean_difference + {_Z} * sd / sqrt(n) AS high, n_negative + n_positive AS m FROM s JOIN sp USING (setting) WHERE contrast = 'Stim-Pre'),
-pv AS (SELECT *, least(1.0, 2 * list_sum(list_transform(range(0, least(n_negative, n_positive) + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2.0))))) AS p FROM b),
+b AS (SELECT s.*, mean_difference - {_Z} * sd / sqrt(n) AS low, mean_difference + {_Z} * sd / sqrt(n) AS high FROM s JOIN sp USING (setting) WHERE contrast = 'Stim-Pre'),
+{_WILCOXON}, pv AS (SELECT b.*, wp.p FROM b JOIN wp ON wp.setting = b.setting AND wp.contrast = 'Stim-Pre'),
 qr AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw, row_number() OVER (ORDER BY p) AS place FROM pv),
 qv AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY place DESC)) AS q FROM qr),
 dir AS ({_STABLE}), sta AS (SELECT a.setting, avg((sign(a.m) <> 0 AND sign(a.m) = sign(f.m))::INTEGER) AS stable_share FROM dir a JOIN dir f ON f.setting = a.setting AND f.direction = 'all' WHERE a.direction <> 'all' GROUP BY a.setting),
@@ -56,7 +55,7 @@ o0 AS (SELECT qv.setting AS method, n, p, q, low, high, dz, stable_share, coales
 oc AS (SELECT *, q_below AND interval_excludes_zero AND enough_pairs AND majority_agrees AS robust FROM o0)"""
 
 
-@query("adoption_outcomes", f"WITH {_OUTCOMES} SELECT method, n, {R('p q low high stable_share')}, q_below, interval_excludes_zero, enough_pairs, majority_agrees, robust FROM oc")
+@query("adoption_outcomes", f"WITH RECURSIVE {_OUTCOMES} SELECT method, n, {R('p q low high stable_share')}, q_below, interval_excludes_zero, enough_pairs, majority_agrees, robust FROM oc")
 def adoption_outcomes(spark, sf_dir):
     cols = ("method", "n", "p", "q", "low", "high", "stable_share", "q_below", "interval_excludes_zero", "enough_pairs", "majority_agrees", "robust")
     return rnd(_outcomes(spark, sf_dir).select(*cols), "p", "q", "low", "high", "stable_share")
@@ -69,8 +68,8 @@ sh AS (SELECT coalesce(mp.p < 0.05, false) OR coalesce(cp.p < 0.05, false) AS pr
 
 @query(
     "adoption_verdict",
-    f"""WITH {_OUTCOMES}, {_PREVALENCE_SHIFT}, a AS (SELECT bool_or(enough_pairs) AS any_enough, bool_or(robust) AS any_robust, coalesce(bool_or(p < 0.05), false) AS nominal, bool_or(n < 15) AS any_few, bool_and(coalesce(q >= 0.05, false)) AS all_q_null, bool_and(coalesce(low <= 0 AND high >= 0, false)) AS all_intervals_hold_zero, bool_and(coalesce(abs(dz) < 0.5, false)) AS all_small, coalesce(bool_or(stable_share < 0.75), false) AS unstable FROM oc)
-SELECT a.*, prevalence_shift, CASE WHEN NOT any_enough THEN 'DO_NOT_REPORT_REAL_DATA_INFERENCE' WHEN any_robust THEN 'SI_EXPLORATORY_NON_NULL' WHEN all_q_null AND all_intervals_hold_zero AND NOT nominal AND NOT any_few AND (all_small OR unstable) AND NOT prevalence_shift THEN 'SI_BRIEF_NULL_SENSITIVITY' ELSE 'RESPONSE_ONLY_INCONCLUSIVE' END AS verdict FROM a, sh""",
+    f"""WITH RECURSIVE {_OUTCOMES}, {_PREVALENCE_SHIFT}, ad AS (SELECT bool_or(enough_pairs) AS any_enough, bool_or(robust) AS any_robust, coalesce(bool_or(p < 0.05), false) AS nominal, bool_or(n < 15) AS any_few, bool_and(coalesce(q >= 0.05, false)) AS all_q_null, bool_and(coalesce(low <= 0 AND high >= 0, false)) AS all_intervals_hold_zero, bool_and(coalesce(abs(dz) < 0.5, false)) AS all_small, coalesce(bool_or(stable_share < 0.75), false) AS unstable FROM oc)
+SELECT ad.*, prevalence_shift, CASE WHEN NOT any_enough THEN 'DO_NOT_REPORT_REAL_DATA_INFERENCE' WHEN any_robust THEN 'SI_EXPLORATORY_NON_NULL' WHEN all_q_null AND all_intervals_hold_zero AND NOT nominal AND NOT any_few AND (all_small OR unstable) AND NOT prevalence_shift THEN 'SI_BRIEF_NULL_SENSITIVITY' ELSE 'RESPONSE_ONLY_INCONCLUSIVE' END AS verdict FROM ad, sh""",
 )
 def adoption_verdict(spark, sf_dir):
     gate = spark.createDataFrame([(s.name, "VALIDATED") for s in BRANCHES], "method string, status string")
@@ -188,6 +187,49 @@ def association_table(spark, sf_dir):
 # Whole families ---------------------------------------------------------------------------------
 
 
+def _subphased(spark, sf_dir):
+    """Event types as subjects whose month is 900 seconds."""
+    from pyspark.sql.window import Window
+
+    from .analyses import subphase_analysis
+
+    b = beats(spark, sf_dir, "event_type")
+    return subphase_analysis(b.withColumn("t", (F.col("t") - F.min("t").over(Window.partitionBy("subject"))) / 2880.0))
+
+
+_SUBPHASED = f"""ev AS (SELECT event_type AS subject, event_id, epoch_us(ts) AS us, value AS sbp, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id)) / 3.6e9 AS rri FROM events),
+ok AS (SELECT *, (us / 1e6 - min(us / 1e6) OVER (PARTITION BY subject)) / 2880.0 AS t FROM ev WHERE rri IS NOT NULL AND rri > 0 AND sbp IS NOT NULL AND isfinite(sbp)),
+beats AS (SELECT subject, phase, (row_number() OVER (PARTITION BY subject, phase ORDER BY us, event_id))::INTEGER AS beat_idx, t, rri, sbp FROM (SELECT ok.*, w.phase FROM ok JOIN (VALUES ('Pre_early', 0.0, 150.0), ('Pre_late', 150.0, 300.0), ('Stim_early', 300.0, 450.0), ('Stim_late', 450.0, 600.0), ('Post_early', 600.0, 750.0), ('Post_late', 750.0, 900.0)) AS w(phase, lo, hi) ON t >= lo AND t < hi))"""
+_SUB_GAINS = sql.gains(BRANCHES, "event_type").replace(sql.beats("event_type"), _SUBPHASED)
+_SUB_TABLE = f"""{_SUB_GAINS}, bd AS (SELECT *, rri - lag(rri) OVER (PARTITION BY subject, phase ORDER BY beat_idx) AS dd FROM beats),
+cx AS (SELECT subject, phase, avg(sbp) AS mean_sbp, avg(60000.0 / rri) AS mean_hr, avg(rri) AS mean_rri, sqrt(avg(dd * dd)) AS rmssd, count(*)::DOUBLE AS n_beats FROM bd GROUP BY ALL),
+al3 AS (SELECT *, (n_sequences = 0)::INTEGER::DOUBLE AS no_valid FROM gain WHERE setting IN ('REF', 'A0_MAX', 'A1_MAX')),
+ou AS ({" UNION ALL ".join(f"SELECT subject, phase, '{c}' AS outcome, {c} AS value FROM cx" for c in ("mean_sbp", "mean_hr", "mean_rri", "rmssd", "n_beats"))} UNION ALL SELECT subject, phase, 'gain_' || setting || '_' || direction, gain FROM al3
+  UNION ALL {" UNION ALL ".join(f"SELECT subject, phase, '{c}_' || setting, {c}::DOUBLE FROM al3 WHERE direction = 'all'" for c in ("n_maximal", "n_ramps", "n_sequences", "bei", "mean_beats", "mean_r2", "mean_r", "mean_sbp_amplitude", "mean_rri_response", "no_valid"))}),
+cn AS (SELECT * FROM (VALUES ('Pre_late', 'Pre_early'), ('Stim_early', 'Pre_late'), ('Stim_late', 'Stim_early'), ('Stim_late', 'Pre_late'), ('Post_early', 'Stim_late'), ('Post_late', 'Post_early')) AS c(a, b)),
+pr AS (SELECT cn.a || '-' || cn.b AS contrast, x.outcome, x.value AS first, y.value AS second, x.value - y.value AS d FROM cn JOIN ou x ON x.phase = cn.a JOIN ou y ON y.phase = cn.b AND y.subject = x.subject AND y.outcome = x.outcome WHERE x.value IS NOT NULL AND y.value IS NOT NULL),
+sc AS (SELECT contrast, outcome, count(*) AS n, avg(first) AS mean_first, avg(second) AS mean_second, avg(d) AS mean_difference, median(d) AS median_difference, avg(d) / nullif(stddev_samp(d), 0) AS dz, count(*) FILTER (d < 0) AS n_negative, count(*) FILTER (d > 0) AS n_positive, count(*) FILTER (d = 0) AS n_zero FROM pr GROUP BY ALL)"""
+
+
+@query("subphase_contrasts", f"WITH {_SUB_TABLE} SELECT contrast, outcome, n, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in ('mean_first', 'mean_second', 'mean_difference', 'median_difference', 'dz'))}, n_negative, n_positive, n_zero FROM sc")
+def subphase_contrasts(spark, sf_dir):
+    """44 outcomes of six sub-phases in six contrasts."""
+    return rnd(_subphased(spark, sf_dir)["contrasts"], "mean_first", "mean_second", "mean_difference", "median_difference", "dz", digits=4)
+
+
+@query(
+    "temporal_pattern",
+    f"""WITH {_SUB_TABLE}, ans AS (SELECT *, contrast = 'Stim_early-Pre_late' AS early, outcome LIKE 'gain%' AS of_gain FROM sc WHERE contrast IN ('Stim_early-Pre_late', 'Stim_late-Pre_late') AND outcome IN ('mean_sbp', 'mean_hr', 'rmssd', 'gain_REF_all', 'gain_A0_MAX_all', 'gain_A1_MAX_all')),
+rw AS (SELECT min(n) FILTER (of_gain) AS least_n, count(mean_difference) FILTER (of_gain) AS known, greatest(count(DISTINCT sign(mean_difference)) FILTER (of_gain AND early), count(DISTINCT sign(mean_difference)) FILTER (of_gain AND NOT early)) AS signs, coalesce(bool_and(mean_difference < 0) FILTER (of_gain AND early), false) AS early_lower, coalesce(bool_and(mean_difference < 0) FILTER (of_gain AND NOT early), false) AS late_lower, coalesce(bool_and(mean_difference > 0) FILTER (of_gain AND NOT early), false) AS late_higher,
+  max(mean_difference) FILTER (outcome = 'mean_sbp' AND early) > 0 AS early_pressor, max(mean_difference) FILTER (outcome = 'mean_sbp' AND NOT early) > 0 AS late_pressor, max(mean_difference) FILTER (outcome = 'mean_hr' AND NOT early) < 0 AS late_slower, avg(abs(mean_difference)) FILTER (of_gain AND early) AS early_size, avg(abs(mean_difference)) FILTER (of_gain AND NOT early) AS late_size FROM ans)
+SELECT least_n, known, signs, early_lower, late_lower, late_higher, early_pressor, late_pressor, late_slower, {R('early_size late_size')}, CASE WHEN coalesce(least_n, 0) < 15 OR known < 6 THEN 'NONESTIMABLE_DUE_TO_SEQUENCE_SCARCITY' WHEN signs > 1 THEN 'METHOD_DEPENDENT_TEMPORAL_PATTERN' WHEN early_pressor AND early_lower AND late_pressor AND late_lower AND late_size >= 0.67 * early_size THEN 'EARLY_PRESSOR_LOWER_BRS_PERSISTS_LATE' WHEN early_pressor AND early_lower AND late_pressor AND late_lower THEN 'EARLY_PRESSOR_LOWER_BRS_ATTENUATES_LATE' WHEN late_higher AND late_slower THEN 'LATE_SHIFT_TOWARD_HIGHER_BRS_LOWER_HR' ELSE 'NO_CLEAR_EARLY_LATE_PATTERN' END AS class FROM rw""",
+)
+def temporal_pattern(spark, sf_dir):
+    """Early against late stimulation by the response state of the sub-phases."""
+    out = _subphased(spark, sf_dir)["pattern"]
+    return rnd(out, *[c for c, kind in out.dtypes if kind == "double"])
+
+
 @query("context_family")
 def context_family(spark, sf_dir):
     from .analyses import context_family as family

@@ -101,7 +101,9 @@ def test_sensitivities(cohort):
 def test_subphases(cohort):
     out = analyses.subphase_analysis(cohort.where("subject = 'S00' and phase = 'Pre'"))
     assert {r["phase"] for r in out["gains"].select("phase").distinct().collect()} <= {"Pre_early", "Pre_late"}
-    assert {(r["setting"], r["contrast"]) for r in out["contrasts"].collect()} >= {("REF", "Pre_late-Pre_early")}
+    assert {(r["outcome"], r["contrast"]) for r in out["contrasts"].collect()} >= {("gain_REF_all", "Pre_late-Pre_early"), ("n_beats", "Pre_late-Pre_early")}
+    assert out["outcomes"].select("outcome").distinct().count() == 44
+    assert out["pattern"].first()["class"] == "NONESTIMABLE_DUE_TO_SEQUENCE_SCARCITY"
 
 
 def test_anchors(spark):
