@@ -63,15 +63,15 @@ def _gates(settings: tuple[Setting, ...]) -> list[float]:
     return sorted({0.0, *(s.least_rri_step or 0.0 for s in settings)})
 
 
-_MEASURED = [*SCAN, "overlap", "direction", "maximal_start", "start_idx", "end_idx", "n_beats", "sbp_start", "sbp_end", "rri_start", "rri_end", "r", "slope", "concordant", "gates"]
+_MEASURED = [*SCAN, "overlap", "direction", "maximal_start", "start_idx", "end_idx", "n_beats", "sbp_start", "sbp_end", "rri_start", "rri_end", "r", "slope", "concordant"]
 
 
 def whole(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
     """Maximal ramps, measured in one hash aggregation of the steps, without arrays; and a marker a cell and step rule.
 
     A ramp is its steps' own beats and the beat before the first. That one beat joins the steps' moments by the
-    update of a mean and its sum of squares by one value. ``gates`` says of each of the wanted steps whether all of the ramp's
-    interval steps exceed it in the ramp's direction, ``concordant`` whether all are 1 or more.
+    update of a mean and its sum of squares by one value. ``gate_i`` says of the i-th of the wanted steps whether all of the
+    ramp's interval steps exceed it in the ramp's direction, ``concordant`` whether all are 1 or more.
     """
     s = steps(beats, settings, cell)
     sign = F.when(F.col("direction") == "up", 1.0).otherwise(-1.0)
@@ -105,10 +105,10 @@ def whole(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CEL
             "r": F.when(fine, ratio(xy, F.sqrt(xx) * F.sqrt(yy))),
             "slope": F.when(fine, ratio(xy, xx)),
             "concordant": F.coalesce(finite(move) & (move >= 1.0), F.lit(False)),
-            "gates": F.array(*[_above(move, x) for x in _gates(settings)]),
+            **{f"gate_{i}": _above(move, x) for i, x in enumerate(_gates(settings))},
         }
     )
-    return g.select(*cell, *_MEASURED)
+    return g.select(*cell, *_MEASURED, *[f"gate_{i}" for i in range(len(_gates(settings)))])
 
 
 def swept(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
@@ -173,10 +173,10 @@ def swept(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CEL
             "r": F.when(fine, ratio(xy, F.sqrt(xx) * F.sqrt(yy))),
             "slope": F.when(fine, ratio(xy, xx)),
             "concordant": none_of("slow"),
-            "gates": F.array(*[none_of(f"g{i}") for i in range(len(gates))]),
+            **{f"gate_{i}": none_of(f"g{i}") for i in range(len(gates))},
         }
     )
-    return s.select(*cell, *_MEASURED)
+    return s.select(*cell, *_MEASURED, *[f"gate_{i}" for i in range(len(gates))])
 
 
 def sequences(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL, markers: bool = False) -> DataFrame:
@@ -192,7 +192,7 @@ def sequences(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] =
     rows = rows.where(real | F.col("direction").isNull() if markers else real)
     number = F.row_number().over(Window.partitionBy(*cell, "setting", "direction").orderBy("start_idx", "end_idx"))
     steps_of = _gates(settings)
-    gate = F.coalesce(*[F.when(F.coalesce("least_rri_step", F.lit(0.0)) == x, F.col("gates")[i]) for i, x in enumerate(steps_of)])
+    gate = F.coalesce(*[F.when(F.coalesce("least_rri_step", F.lit(0.0)) == x, F.col(f"gate_{i}")) for i, x in enumerate(steps_of)])
     rows = rows.select(
         *cell,
         "setting",
@@ -200,7 +200,7 @@ def sequences(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] =
         "direction",
         number.alias("ramp_index"),
         *[F.col(c) for c in ("maximal_start", "start_idx", "end_idx", "n_beats", "sbp_start", "sbp_end", "rri_start", "rri_end", "r", "slope")],
-        F.col("gates")[0].alias("rri_monotone"),
+        F.col("gate_0").alias("rri_monotone"),
         F.col("concordant").alias("rri_concordant_1ms"),
         gate.alias("rri_gate"),
         # One candidate of each maximal ramp: the ramp itself, or its first part.
@@ -258,7 +258,7 @@ def provenance(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str]
     return rows.drop("sbp_values", "rri_values", "sbp_times", "rri_times", "ordinal", "least_r", "least_r2", "positive_slope", "rri_direction", "use_median", "rri_gate", "start_idx", "end_idx", "maximal_start")
 
 
-def rollup(found: DataFrame, medians: bool = True, cell: list[str] = CELL) -> DataFrame:
+def rollup(found: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
     """Counts, BEI and gain per (cell, setting) and direction up, down, all, of ``sequences`` with markers.
 
     ``all`` pools the slopes of both directions. reason tells why a gain is null. Medians, which hold
@@ -270,20 +270,19 @@ def rollup(found: DataFrame, medians: bool = True, cell: list[str] = CELL) -> Da
     q = F.col("qualifies")
     kept = F.when(q, F.col("slope"))
     out = both.groupBy(*cell, "setting", "direction").agg(
-        F.first("rri_direction").alias("rri_direction"),
-        F.first("use_median").alias("use_median"),
         F.count_if("_real").alias("n_ramps"),
         F.count_if(q).alias("n_sequences"),
         F.count_if(F.col("is_first") & F.col("_real")).alias("n_maximal"),
         F.count_if(F.col("rri_gate") & F.col("_real")).alias("n_rri_gate"),
         F.avg(kept).alias("_mean"),
-        (F.median(F.when(F.col("use_median"), kept)) if medians else F.max(F.lit(None).cast("double"))).alias("_median"),
+        (F.median(F.when(F.col("use_median"), kept)) if any(s.median for s in settings) else F.max(F.lit(None).cast("double"))).alias("_median"),
         F.avg(F.when(q, F.col("n_beats"))).alias("mean_beats"),
         F.avg(F.when(q, F.col("r"))).alias("mean_r"),
         F.avg(F.when(q, F.col("r") * F.col("r"))).alias("mean_r2"),
         F.avg(F.when(q, F.abs(F.col("sbp_end") - F.col("sbp_start")))).alias("mean_sbp_amplitude"),
         F.avg(F.when(q, F.abs(F.col("rri_end") - F.col("rri_start")))).alias("mean_rri_response"),
     )
+    out = out.join(F.broadcast(settings_frame(found.sparkSession, settings).select("setting", "rri_direction", "use_median")), "setting")
     n, m = F.col("n_ramps"), F.col("n_sequences")
     gain = F.when(F.col("use_median"), F.col("_median")).otherwise(F.col("_mean"))
     reason = (
@@ -313,4 +312,4 @@ def rollup(found: DataFrame, medians: bool = True, cell: list[str] = CELL) -> Da
 
 def gains(beats: DataFrame, settings: tuple[Setting, ...], cell: list[str] = CELL) -> DataFrame:
     """The gain table of every setting over all cells of ``beats``."""
-    return rollup(sequences(beats, settings, cell, markers=True), any(s.median for s in settings), cell)
+    return rollup(sequences(beats, settings, cell, markers=True), settings, cell)
