@@ -3,82 +3,210 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 
+#: Most pairs that are looked at one by one because many points are equal.
+MOST = 4_000_000
 
-def inversions(z: np.ndarray) -> int:
-    """Pairs i < j with z[j] < z[i], by ranks and merging halves of doubling length."""
-    rank = np.empty(len(z), np.int64)
-    rank[np.lexsort((np.arange(len(z)), z))] = np.arange(len(z))  # equal values in order are no inversion
-    total, size, n = 0, 1, len(z)
+
+def _merged(rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Halves of blocks of doubling length, sorted: all ``left`` ranks, all ``right`` ranks, and for each right one the range of left ones, from
+    ``start`` to ``end``, that are before it in ``rank`` and above it."""
+    n, size, held = len(rank), 1, rank
     at = np.arange(n)
     while size < n:
         block = at // (2 * size)
-        by = np.lexsort((rank, block))
-        # In a block's sorted order a value of the right half comes before all larger ones of the left half.
-        left = (at[by] % (2 * size)) < size
-        seen = np.cumsum(left)
-        first = np.searchsorted(block[by], block[by])
-        start = np.where(first > 0, seen[first - 1], 0)
-        count = np.bincount(block, weights=(at % (2 * size)) < size).astype(np.int64)
-        total += int((count[block[by]] - (seen - start))[~left].sum())
+        first = at % (2 * size) < size
+        value = held + block * n
+        left, right = value[first], value[~first]
+        start = np.searchsorted(left, right)
+        yield held[first], held[~first], start, (block[~first] + 1) * size
+        place = np.zeros(n, bool)
+        place[start + np.arange(len(right))] = True
+        held = np.empty(n, rank.dtype)
+        held[place], held[~place] = right - block[~first] * n, left - block[first] * n
         size *= 2
+
+
+def _order(z: np.ndarray) -> np.ndarray:
+    """Places from 0 in ascending order; equal values in their own order."""
+    out = np.empty(len(z), np.int64)
+    out[np.argsort(z, kind="stable")] = np.arange(len(z))
+    return out
+
+
+def _weighed(rank: np.ndarray, weight: np.ndarray | None = None) -> int:
+    """Pairs i < j with rank[j] < rank[i], each as often as the product of its weights, which are whole."""
+    total = 0
+    by_rank = None
+    if weight is not None:
+        by_rank = np.empty(len(rank), np.int64)
+        by_rank[rank] = weight
+    for left, right, start, end in _merged(rank):
+        if by_rank is None:
+            total += int((end - start).sum())
+        else:
+            sums = np.concatenate(([0], np.cumsum(by_rank[left])))
+            total += int(((sums[end] - sums[start]) * by_rank[right]).sum())
     return total
 
 
+def inversions(z: np.ndarray) -> int:
+    """Pairs i < j with z[j] < z[i], by ranks and merging halves of doubling length."""
+    return _weighed(_order(z))  # equal values in order are no inversion
+
+
+def above_both(r: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """For each pair of whole numbers (r, s) how many are above it in both."""
+    by = np.lexsort((s, -r))  # what is above in r comes before; equal r in ascending order of s
+    rank = _order(s[by])
+    found = np.zeros(len(r), np.int64)
+    for _, right, start, end in _merged(rank):
+        found[right] += end - start
+    out = np.empty(len(r), np.int64)
+    out[by] = found[rank]
+    return out
+
+
+def above_equal(r: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """For each pair of whole numbers from 0 on how many are above it in r and equal to it in s."""
+    span = int(r.max()) + 1
+    key = s * span + r
+    held = np.sort(key)
+    return np.searchsorted(held, (s + 1) * span) - np.searchsorted(held, key, "right")
+
+
 def _between(x: np.ndarray, y: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """Slopes of pairs that are not below ``lo`` and below ``hi``: pairs that change places between the two orders of intercepts."""
-    first = np.lexsort((np.arange(len(x)), y - lo * x))
-    later = np.empty(len(x), np.int64)
-    later[np.lexsort((np.arange(len(x)), y - hi * x))] = np.arange(len(x))
-    seen: list[int] = []
-    who: dict[int, int] = {}
+    """Pairs (as rows of two places) of slopes that are not below ``lo`` and below ``hi``: those that change places between the two orders of intercepts."""
+    first = np.argsort(y - lo * x, kind="stable")
+    later = _order(y - hi * x)
+    rank = later[first]
+    who = np.empty(len(x), np.int64)
+    who[later] = np.arange(len(x))
     out = []
-    for i in first.tolist():
-        place = int(later[i])
-        for other in seen[bisect_left(seen, place) :]:
-            j = who[other]
-            if x[i] != x[j]:
-                out.append((y[i] - y[j]) / (x[i] - x[j]))
-        insort(seen, place)
-        who[place] = i
-    return np.array(out)
+    for left, right, start, end in _merged(rank):
+        many = end - start
+        pairs = np.empty((int(many.sum()), 2), np.int64)
+        pairs[:, 0] = who[left[np.arange(len(pairs)) + np.repeat(start - (np.cumsum(many) - many), many)]]
+        pairs[:, 1] = who[np.repeat(right, many)]
+        out.append(pairs)
+    out = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return out[x[out[:, 0]] != x[out[:, 1]]]
 
 
-def median_slope(x: np.ndarray, y: np.ndarray) -> tuple[int, float]:
-    """(pairs of different x, median of their slopes); NaN without a pair.
+class Median:
+    """(pairs of different x, median of their slopes) of points; NaN without a pair.
 
-    The number of slopes below a value s is the number of inversions of y - s x in the order of x. Bisection narrows the values
-    until few pairs are left, and these are looked at one by one: n log n a step, and pairs of about 8 n at the end.
+    The number of slopes below a value s is the number of inversions of y - s x in the order of x. Equal points are one with a weight. A
+    guess of the median and of the slopes a unit there, at first from some pairs, then from what the last points gave, sets the
+    values that are tried; if they don't hold the median between them bisection goes on until few pairs are left, and these are
+    looked at one by one: n log n a step, and pairs of about 8 n at the end. The guess is no part of the result, so that resamples of
+    the same points are found in few steps each.
     """
-    keep = np.isfinite(x) & np.isfinite(y)
-    by = np.lexsort((y[keep], x[keep]))
-    x, y = x[keep][by], y[keep][by]
-    n = len(x)
-    _, same = np.unique(x, return_counts=True)
-    total = n * (n - 1) // 2 - int((same * (same - 1) // 2).sum())
-    if not total:
-        return 0, math.nan
-    gaps = np.diff(x)
-    span = 1.01 * float((y.max() - y.min()) / gaps[gaps > 0].min()) + 1e-300
-
-    def below(s: float) -> int:
+
+    def __init__(self):
+        self.guess: float | None = None
+        self.pace = 0.0
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> tuple[int, float]:
+        keep = np.isfinite(x) & np.isfinite(y)
+        by = np.lexsort((y[keep], x[keep]))
+        x, y = x[keep][by], y[keep][by]
+        n = len(x)
+        _, same = np.unique(x, return_counts=True)
+        total = n * (n - 1) // 2 - int((same * (same - 1) // 2).sum())
+        if not total:
+            return 0, math.nan
+        new = np.concatenate(([True], (np.diff(x) != 0) | (np.diff(y) != 0)))
+        weight = np.diff(np.append(np.flatnonzero(new), n))
+        x, y = x[new], y[new]
+        self._points = x, y, weight, None if (weight == 1).all() else weight
+        gaps = np.diff(x)
+        span = 1.01 * float((y.max() - y.min()) / gaps[gaps > 0].min()) + 1e-300
+        want = (total - 1) // 2, total // 2
+        room = max(8 * n, min(8 * n * n // len(x), MOST), 64)
+        lo, hi, n_lo, n_hi = self._narrowed(want, -span, span, total, room)
+        if n_hi - n_lo > room:  # a value that many pairs share is one of the medians or both
+            found = [self._place(w, lo, hi, n_lo, n_hi, room) for w in dict.fromkeys(want)]
+        else:
+            found = self._held(want, lo, hi, n_lo)
+        median = found[0] if len(found) == 1 else (found[0] + found[1]) / 2
+        self.guess = median
+        return total, float(median)
+
+    def _below(self, s: float) -> int:
+        x, y, _, weight = self._points
         z = y - s * x
-        return inversions(z[np.lexsort((z, x))])  # equal x in the order of z, so that they are never inverted
+        by = np.lexsort((z, x))  # equal x in the order of z, so that they are never inverted
+        return _weighed(_order(z[by]), None if weight is None else weight[by])
+
+    def _narrowed(self, want, lo: float, hi: float, total: int, room: int) -> tuple[float, float, int, int]:
+        """Two values with few slopes between them that hold the medians, if guesses lead there; else what is known of them."""
+        n_lo, n_hi = 0, total
+        if n_hi <= room:
+            return lo, hi, n_lo, n_hi
+        if self.guess is None:
+            self._sampled(total)
+        s = self.guess
 
-    def place(want: int) -> float:
-        lo, hi, n_lo, n_hi = -span, span, 0, total
-        while n_hi - n_lo > max(8 * n, 64):
+        def tried(s: float) -> int:
+            nonlocal lo, hi, n_lo, n_hi
+            if not lo < s < hi:
+                return n_lo if s <= lo else n_hi
+            k = self._below(s)
+            if k <= want[0]:
+                lo, n_lo = s, k
+            elif k > want[-1]:
+                hi, n_hi = s, k
+            return k
+
+        for _ in range(6):
+            if n_hi - n_lo <= room or not self.pace > 0:
+                break
+            k = tried(s)
+            aim = s + ((want[0] + want[-1]) / 2 - k) / self.pace
+            at = aim - 0.4 * room / self.pace, aim + 0.4 * room / self.pace
+            a, b = (tried(v) for v in at)
+            if b > a and at[1] > at[0]:
+                self.pace = (b - a) / (at[1] - at[0])
+            s = aim
+        return lo, hi, n_lo, n_hi
+
+    def _sampled(self, total: int) -> None:
+        """A guess from pairs at some distances in the order of x."""
+        x, y, _, _ = self._points
+        n = len(x)
+        steps = np.unique(np.linspace(1, n - 1, 64).astype(np.int64))
+        i = np.concatenate([np.arange(0, n - h, max(1, n // 512)) for h in steps])
+        h = np.concatenate([np.full(len(range(0, n - h, max(1, n // 512))), h) for h in steps])
+        dx = x[i + h] - x[i]
+        slope = (y[i + h] - y[i])[dx > 0] / dx[dx > 0]
+        self.guess = 0.0
+        if len(slope):
+            a, self.guess, b = (float(v) for v in np.quantile(slope, (0.45, 0.5, 0.55)))
+            self.pace = 0.1 * total / (b - a) if b > a else 0.0
+
+    def _held(self, want, lo: float, hi: float, n_lo: int) -> list[float]:
+        x, y, weight, _ = self._points
+        pairs = _between(x, y, lo, hi)
+        i, j = pairs[:, 0], pairs[:, 1]
+        slope = (y[i] - y[j]) / (x[i] - x[j])
+        by = np.argsort(slope)
+        upto = n_lo + np.cumsum((weight[i] * weight[j])[by])
+        return [float(slope[by[min(int(np.searchsorted(upto, w, "right")), len(by) - 1)]]) for w in dict.fromkeys(want)]
+
+    def _place(self, want: int, lo: float, hi: float, n_lo: int, n_hi: int, room: int) -> float:
+        while n_hi - n_lo > room:
             middle = lo + (hi - lo) / 2
             if not lo < middle < hi:
                 return middle  # a value that many pairs share
-            k = below(middle)
+            k = self._below(middle)
             lo, hi, n_lo, n_hi = (middle, hi, k, n_hi) if k <= want else (lo, middle, n_lo, k)
-        found = np.sort(_between(x, y, lo, hi))
-        return float(found[min(want - n_lo, len(found) - 1)])
+        return self._held((want,), lo, hi, n_lo)[0]
+
 
-    first, last = (total - 1) // 2, total // 2
-    a = place(first)
-    return total, a if first == last else (a + place(last)) / 2
+def median_slope(x: np.ndarray, y: np.ndarray) -> tuple[int, float]:
+    """(pairs of different x, median of their slopes); NaN without a pair."""
+    return Median()(x, y)

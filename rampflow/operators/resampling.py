@@ -35,13 +35,15 @@ def stream(seed: int, name: str, key: tuple, unit: int) -> np.random.Generator:
 
 
 def _unit(name: str, rng: np.random.Generator, x: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
+    sizes = bootstrap.blocks(count, len(x))
     if name == "permutation":  # one number: how many permutations are as far from 0
         a, b = bootstrap.ranks(x), bootstrap.ranks(y)
-        mixed = b[np.argsort(rng.random((count, len(b))), axis=1)]
-        far = np.abs(bootstrap.correlation(np.broadcast_to(a, mixed.shape), mixed)) >= abs(float(bootstrap.correlation(a, b))) - 1e-15
-        return np.array([far.sum()], float)
-    at = rng.integers(0, len(x), (count, len(x)))
-    return bootstrap.PAIRED[name](x[at], y[at])
+        known, far = abs(float(bootstrap.correlation(a, b))) - 1e-15, 0
+        for k in sizes:
+            mixed = b[np.argsort(rng.random((k, len(b))), axis=1)]
+            far += int((np.abs(bootstrap.correlation(np.broadcast_to(a, mixed.shape), mixed)) >= known).sum())
+        return np.array([far], float)
+    return np.concatenate([bootstrap.PAIRED[name](x, y, rng.integers(0, len(x), (k, len(x)))) for k in sizes])
 
 
 def paired(df: DataFrame, keys: list[str], order: str, x: str, y: str, analyses: tuple[Analysis, ...], seed: int, level: float = 0.95) -> DataFrame:
@@ -76,15 +78,14 @@ def paired(df: DataFrame, keys: list[str], order: str, x: str, y: str, analyses:
         if name == "permutation":
             rho = float(bootstrap.correlation(bootstrap.ranks(a), bootstrap.ranks(b))) if len(a) > 1 else None
             return rho, None, None, (1 + found.sum()) / (1 + times[name]) if len(found) else None
-        estimate = float(bootstrap.PAIRED[name](a[None], b[None])[0]) if len(a) > 1 else None
+        estimate = float(bootstrap.PAIRED[name](a, b, np.arange(len(a))[None])[0]) if len(a) > 1 else None
         if not len(found):
             return estimate, None, None, None
         if name == "theil_sen":
             found = found[np.isfinite(found)]
             ends = np.quantile(found, ((1 - level) / 2, (1 + level) / 2)) if len(found) else (None, None)
         else:
-            knife = np.array([float(bootstrap.PAIRED[name](np.delete(a, i)[None], np.delete(b, i)[None])[0]) for i in range(len(a))])
-            ends = bootstrap.interval(estimate, found, knife, level, 1e-15)
+            ends = bootstrap.interval(estimate, found, bootstrap.OMITTED[name](a, b), level, 1e-15)
         return estimate, *ends, None
 
     met = drawn.join(packed, keys).select(*keys, "analysis", "_found", "_x", "_y")

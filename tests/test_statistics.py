@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -151,6 +152,48 @@ def test_median_slope_looks_at_few_pairs(monkeypatch):
     assert sum(seen) <= 2 * 8 * 3000  # of 4.5 million
 
 
+def test_left_out_figures_equal_those_of_the_others():
+    rng = np.random.default_rng(4)
+    for t in range(150):
+        n = int(rng.integers(3, 40))
+        x = rng.integers(0, 6, n).astype(float) if t % 2 else rng.normal(size=n)
+        y = rng.integers(0, 4, n).astype(float) if t % 3 else rng.normal(size=n) + 1e3 * (t % 5 == 0)
+        x[0] = 1e9 if t % 7 == 0 else x[0]
+        rest = [np.delete(np.arange(n), i) for i in range(n)]
+        plain = lambda f: np.array([float(f(k)) for k in rest])  # noqa: E731, B023
+        level = plain(lambda k: min(np.ptp(x[k]), np.ptp(y[k]))) == 0  # noqa: B023
+        rho, r = plain(lambda k: bootstrap.correlation(bootstrap.ranks(x[k]), bootstrap.ranks(y[k]))), plain(lambda k: bootstrap.correlation(x[k], y[k]))  # noqa: B023
+        for want, got in ((rho, bootstrap.omitted_spearman(x, y)), (r, bootstrap.omitted_correlation(x, y))):
+            assert np.isnan(got[level]).all() and got[~level] == pytest.approx(want[~level], abs=1e-9)
+        for name in ("mean", "median", "dz"):
+            want, got = plain(lambda k: bootstrap.STATISTICS[name](x[k])), bootstrap.omitted(x, name)  # noqa: B023
+            fine = plain(lambda k: np.ptp(x[k])) > 0 if name == "dz" else np.full(n, True)  # noqa: B023
+            assert got[fine] == pytest.approx(want[fine], rel=1e-9, abs=1e-9)
+
+
+def test_draws_of_large_groups_take_little_memory():
+    """Resamples are made in blocks of one stream, and a resample's median slope looks at few pairs."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=3_000)
+    y, at = x + rng.normal(size=3_000), np.random.default_rng(1).integers(0, 3_000, (500, 3_000))
+    i, j = np.triu_indices(3_000, 1)
+    tracemalloc.start()
+    slope = resampling._unit("theil_sen", np.random.default_rng(1), x, y, 8)
+    rho = resampling._unit("spearman", np.random.default_rng(1), x, y, 500)
+    resampling._unit("permutation", np.random.default_rng(1), x, y, 500)
+    big = rng.normal(size=60_000)
+    means = [bootstrap.bca(big, name, 500, 2) for name in ("mean", "median", "dz")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    for k in range(3):
+        a, b = x[at[k]], y[at[k]]
+        dx = a[j] - a[i]
+        assert slope[k] == pytest.approx(np.median((b[j] - b[i])[dx != 0] / dx[dx != 0]), abs=1e-12)
+        assert rho[k] == bootstrap.correlation(bootstrap.ranks(a), bootstrap.ranks(b))
+    assert all(low < estimate < high for estimate, low, high in means)
+
+
 def flags(spark, rows):
     return spark.createDataFrame([(str(i), p, bool(v)) for i, r in enumerate(rows) for p, v in zip(("Pre", "Stim", "Post"), r, strict=True)], "subject string, phase string, flag boolean")
 
