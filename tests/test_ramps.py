@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import replace
 
 import pytest
@@ -173,3 +174,23 @@ def test_cells_without_ramps_have_rows(spark):
         assert len(got) == 3 * 3 * len(settings) and {r["reason"] for r in got if r["subject"] in "12"} == {"NO_CANDIDATE_SBP_RAMP"}
         assert {(r["n_ramps"], r["n_maximal"], r["n_sequences"], r["bei"]) for r in got if r["subject"] in "12"} == {(0, 0, 0, None)}
         assert ramps.sequences(b, settings).where("direction is null").count() == 0
+
+
+def test_beats_of_sequences_come_from_blocks(spark, monkeypatch):
+    """Sequences in one block and over several, with the lag's beats in a later one, hold their own beats; no row holds a whole cell."""
+    monkeypatch.setattr(ramps, "BLOCK", 3)
+    rng = random.Random(5)
+    sbp, level = [], 100.0
+    for _ in range(80):
+        level += rng.choice((1.5, 1.5, 1.5, -1.5, -1.5))
+        sbp.append(level)
+    rri = [700 + 3 * s + rng.random() for s in sbp]
+    b = beats(spark, sbp, rri).unionByName(beats(spark, sbp[::-1], rri, subject="2"))
+    found = ramps.sequences(b, (replace(CANONICAL, name="lag2", lag=2), replace(BRANCHES[3], name="parts")))
+    rows = ramps.held(found, b).collect()
+    assert len(rows) == found.count() > 40 and max(r["n_beats"] for r in rows) > 4
+    for r in rows:
+        own = slice(r["start_idx"], r["start_idx"] + r["n_beats"])
+        later = slice(own.start + r["lag"], own.stop + r["lag"])
+        assert r["sbp_values"] == (sbp if r["subject"] == "1" else sbp[::-1])[own] and r["rri_values"] == rri[later]
+        assert r["sbp_times"] == [float(i) for i in range(own.start, own.stop)] and r["rri_times"] == [float(i) for i in range(later.start, later.stop)]
