@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import time
 import tracemalloc
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -79,6 +81,18 @@ def test_benjamini_hochberg(spark):
     assert got == [pytest.approx(0.02), pytest.approx(0.04), pytest.approx(0.04), pytest.approx(0.008), None]
 
 
+def test_exact_tail_of_many_trials():
+    """Equal to whole numbers where those can be summed, and quick where they can't."""
+    for n in (1_001, 2_500):
+        for k in (0, 3, n // 3, n // 2 - 40, n // 2, n - 7):
+            want = min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(min(k, n - k) + 1)), 2**n)))
+            assert dist.binomial_two_sided(k, n) == pytest.approx(want, rel=1e-10, abs=1e-300)
+    began = time.perf_counter()
+    # A normal tail with continuity correction, at 1,000,000 trials.
+    assert dist.binomial_two_sided(499_000, 1_000_000) == pytest.approx(2 * dist.normal_cdf((499_000.5 - 500_000) / 500), rel=1e-4)
+    assert time.perf_counter() - began < 2
+
+
 def test_bca_moves_with_the_data():
     d = np.array(DIFFERENCES)
     a, b = bootstrap.bca(d, seed=3, times=2000, tie_eps=32), bootstrap.bca(d + 10, seed=3, times=2000, tie_eps=32)
