@@ -9,6 +9,9 @@ import numpy as np
 from ...functions.dist import chi2_sf, f_sf
 from .spectral import detrend
 
+#: Rows of a design that are held at once.
+ROWS = 1 << 14
+
 
 def lagged(y: np.ndarray, p: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(design with constant and p lags, response), dropping the first ``skip`` rows (p by default)."""
@@ -22,18 +25,36 @@ def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b, y - x @ b
 
 
+def triangle(y: np.ndarray, p: int) -> np.ndarray:
+    """Triangle of the orthogonal factorisation of [design, response], some rows at a time: what is held goes on top of the next rows."""
+    held = np.empty((0, 1 + y.shape[1] * (p + 1)))
+    for a in range(p, len(y), ROWS):
+        held = np.linalg.qr(np.vstack([held, np.hstack(lagged(y[a - p : a + ROWS], p))]), mode="r")
+    return held
+
+
+def fit(y: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients and residuals of order p, and the triangle of its design; no whole design is held."""
+    t, m = triangle(y, p), 1 + y.shape[1] * p
+    b = np.linalg.lstsq(t[:m, :m], t[:m, m:], rcond=np.finfo(float).eps * max(len(y) - p, m))[0]
+    e = np.empty((len(y) - p, y.shape[1]))
+    for a in range(p, len(y), ROWS):
+        x, r = lagged(y[a - p : a + ROWS], p)
+        e[a - p : a - p + len(r)] = r - x @ b
+    return b, e, t[:m, :m]
+
+
 def select_order(y: np.ndarray, lowest: int = 1, highest: int = 10) -> tuple[int, list[float]]:
     """Order of least AIC on the sample that all orders share.
 
     Regressors come order by order, so one orthogonal factorisation holds all fits: what order p leaves of the response
     is in the rows of its triangle below the regressors of p.
     """
-    x, r = lagged(y, highest)
-    n, k = r.shape
-    triangle = np.linalg.qr(np.hstack([x, r]), mode="r")[:, -k:]
+    n, k = len(y) - highest, y.shape[1]
+    whole = triangle(y, highest)[:, -k:]
     out = []
     for p in range(lowest, highest + 1):
-        left = triangle[1 + k * p :]
+        left = whole[1 + k * p :]
         sign, logdet = np.linalg.slogdet(left.T @ left / n)
         out.append(logdet + 2 * (k * k * p + k) / n if sign > 0 else math.inf)
     best = int(np.nanargmin(out))
@@ -75,13 +96,12 @@ def normality(e: np.ndarray) -> tuple[float, int, float]:
 
 def causality(y: np.ndarray, p: int, caused: int, causing: int) -> tuple[float, float]:
     """F statistic and p that all lags of ``causing`` are zero in the equation of ``caused``; df p and k * (n - k p - 1)."""
-    x, r = lagged(y, p)
-    b, e = ols(x, r)
-    n, k = r.shape
+    b, e, t = fit(y, p)
+    n, k = e.shape
     free = n - (k * p + 1)
     s = e.T @ e / free
     at = [1 + k * i + causing for i in range(p)]
-    cov = np.linalg.inv(x.T @ x)[np.ix_(at, at)] * s[caused, caused]
+    cov = np.linalg.inv(t.T @ t)[np.ix_(at, at)] * s[caused, caused]
     v = b[at, caused]
     f = float(v @ np.linalg.solve(cov, v)) / p
     return f, f_sf(f, p, k * free)
@@ -102,7 +122,7 @@ def analyse(sbp: np.ndarray, rri: np.ndarray, lowest: int = 1, highest: int = 10
         p, _ = select_order(y, lowest, highest)
         if not p:
             raise ValueError("the criterion chose order zero")
-        b, e = ols(*lagged(y, p))
+        b, e, _ = fit(y, p)
         lags = max(20, p + 5)
         if lags >= len(e):
             raise ValueError("too few residuals for the whiteness test")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -255,3 +256,26 @@ def test_nested_orders_equal_separate_fits():
             e = var.ols(x, r)[1]
             want.append(np.linalg.slogdet(e.T @ e / 140)[1] + 2 * (4 * p + 2) / 140)
         assert criteria == pytest.approx(want, abs=1e-9) and best == int(np.argmin(want))
+
+
+def test_autoregression_of_long_series_holds_no_design(monkeypatch):
+    """Rows in blocks give the fit of the whole design; a long cell takes little more than its own series."""
+    rng = np.random.default_rng(8)
+    s = np.cumsum(rng.normal(size=900)) * 0.1 + rng.normal(size=900)
+    r = 5 + np.roll(s, 1) * 0.1 + rng.normal(size=900) * 0.1
+    whole = var.analyse(s, r, positive=False)
+    monkeypatch.setattr(var, "ROWS", 64)
+    parts = var.analyse(s, r, positive=False)
+    assert whole["reason"] == "NA" and whole["order"] == parts["order"]
+    assert all(parts[k] == pytest.approx(whole[k], rel=1e-7, abs=1e-10) for k in whole if k != "reason")
+    y = np.column_stack([s, r])
+    b, e = var.ols(*var.lagged(y, 3))
+    found = var.fit(y, 3)
+    assert found[0] == pytest.approx(b, abs=1e-10) and found[1] == pytest.approx(e, abs=1e-10)
+    monkeypatch.undo()
+    s, r = rng.normal(size=300_000), 9 + rng.normal(size=300_000)
+    tracemalloc.start()
+    assert var.analyse(s, r, positive=False)["reason"] == "NA"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
