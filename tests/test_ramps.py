@@ -194,3 +194,39 @@ def test_beats_of_sequences_come_from_blocks(spark, monkeypatch):
         later = slice(own.start + r["lag"], own.stop + r["lag"])
         assert r["sbp_values"] == (sbp if r["subject"] == "1" else sbp[::-1])[own] and r["rri_values"] == rri[later]
         assert r["sbp_times"] == [float(i) for i in range(own.start, own.stop)] and r["rri_times"] == [float(i) for i in range(later.start, later.stop)]
+
+
+def _rows(df):
+    return sorted(str([round(v, 9) + 0.0 if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+
+@pytest.mark.parametrize("settings", [OFAT, BRANCHES, FACTORIAL[:1] + FACTORIAL[-1:]], ids=["maximal", "parts", "medians"])
+def test_blocks_of_a_cell_equal_the_whole_cell(spark, monkeypatch, settings):
+    """Ramps that begin and end in any block, some longer than two blocks, with odd intervals; cells shorter than a block and than the lag."""
+    monkeypatch.setattr(ramps, "SPAN", 4)
+    rng = random.Random(7)
+    sbp = [100.0]
+    for _ in range(120):
+        sbp.extend(sbp[-1] + (i + 1) * rng.choice((-1.5, 1.5, 0.7)) for i in range(rng.choice((1, 2, 3, 11))))
+    rri = [700 + 2 * s + rng.random() for s in sbp]
+    rri[40], rri[90] = float("inf"), float("nan")
+    b = beats(spark, sbp, rri).unionByName(beats(spark, sbp[:7], rri[:7], "2")).unionByName(beats(spark, [100.0], [700], "3"))
+    want = _rows(ramps.gains(b, settings))
+    assert len(want) == 3 * 3 * len(settings) and _rows(ramps.gains(b, settings, tasks=3)) == want
+    assert _rows(ramps.sequences(b, settings, tasks=3)) == _rows(ramps.sequences(b, settings))
+
+
+def test_blocks_are_dealt_over_tasks(spark):
+    """A cell is not one task's: beats move by cell and block."""
+    plan = ramps.gains(beats(spark, UP, [700, 710, 720, 700]), OFAT, tasks=7)._jdf.queryExecution().executedPlan().toString()
+    assert "_block" in plan.split("REPARTITION_BY_NUM")[0].rsplit("Exchange hashpartitioning", 1)[1]
+
+
+def test_ramps_are_added_up_before_settings_choose(spark):
+    """A setting is no copy of the ramps: 60 settings of one step rule join sums, which are as few as there are outcomes."""
+    b = beats(spark, UP * 300, [700, 712, 711, 705] * 300)
+    settings = tuple(replace(LAG0, name=str(i), least_r=i / 100) for i in range(60))
+    got = ramps.gains(b, settings)
+    assert len(got.collect()) == 180
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan.split("BroadcastHashJoin", 1)[1].split("Exchange hashpartitioning", 1)[0] and {r["n_ramps"] for r in got.where("direction = 'up'").collect()} == {300}

@@ -275,3 +275,27 @@ def test_comparison_needs_all_cells(spark):
     same = lambda b: audit.close(a, b, ["k"], ["v"], 1e-9, "c").first()["passed"]
     assert same(a) and not same(a.where("k = 'x'")) and not same(a.union(spark.createDataFrame([("z", 1.0)], "k string, v double")))
     assert audit.close(a.limit(0), a.limit(0), ["k"], ["v"], 1e-9, "c").first()["passed"]
+
+
+@pytest.mark.parametrize("key", ["event_type", "user_id"])
+def test_a_large_table_is_dealt_over_tasks(spark, monkeypatch, key):
+    """Long keys in slices of time and short ones by key hold the same beats; with equal times, gaps of nothing and odd values among them."""
+    from rampflow.sources import beats as source
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    twice = e.withColumns({"event_id": F.col("event_id") + 100000, "value": F.when(F.col("event_id") % 7 > 0, F.col("value"))})
+    e = e.unionByName(twice).unionByName(e.limit(3).withColumns({key: F.lit("77"), "event_id": F.col("event_id") + 200000}))
+    rows = lambda: sorted(map(str, source.event_beats(e, key).collect()))
+    want = rows()
+    monkeypatch.setattr(source, "PER_TASK", 50)
+    got = source.event_beats(e, key)
+    assert len(want) > 500 and rows() == want
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > (5 if key == "event_type" else 10)
+
+
+@pytest.mark.parametrize("name", ["bland_altman", "paired_contrasts"])
+def test_settings_need_no_python_worker(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
