@@ -293,6 +293,18 @@ def test_a_large_table_is_dealt_over_tasks(spark, monkeypatch, key):
     assert got.select(F.spark_partition_id().alias("p")).distinct().count() > (5 if key == "event_type" else 10)
 
 
+@pytest.mark.parametrize("name", ["setting_id_codec", "brs_full_factorial", "factorial_summary", "family_check", "jackknife_means", "paired_contrasts", "sign_agreement", "wilcoxon_p"])
+def test_query_of_a_large_table_equals_sql(spark, duck, monkeypatch, name):
+    """As if events were many: dealt over tasks, keys of many in slices of time and their cells in blocks."""
+    from rampflow.operators import ramps
+    from rampflow.sources import beats as source
+
+    monkeypatch.setattr(source, "PER_TASK", 50)
+    monkeypatch.setattr(ramps, "SPAN", 16)
+    assert source.tasks_of(spark.read.parquet(f"{SF}/events.parquet")) > 10
+    test_query_equals_sql(spark, duck, name)
+
+
 @pytest.mark.parametrize("name", ["bland_altman", "paired_contrasts"])
 def test_settings_need_no_python_worker(spark, name):
     import __spark_entry__ as entry
