@@ -303,6 +303,12 @@ co AS (SELECT 'constant' AS term, (f_a22 * f_c1 - f_a12 * f_c2) / det + (SELECT
 cz AS (SELECT *, b / se AS z, ratio * f_s2 AS group_variance, f_s2 AS residual_variance, -0.5 * (f_loss + (rw - 2) * (1 + ln(2 * pi()))) AS log_likelihood, sqrt((rw + sx + sqrt((rw + sx) ** 2 - 4 * (rw * sx - sx * sx))) / (rw + sx - sqrt((rw + sx) ** 2 - 4 * (rw * sx - sx * sx)))) AS condition FROM co)"""
 
 
+def _signed(df, *columns, digits):
+    """As ``rnd``; what is below 0 and rounds to it keeps its sign, as in SQL."""
+    below = {c: -F.round(-F.when(F.col(c) < 0, F.col(c)), digits) for c in columns}
+    return df.withColumns({c: F.coalesce(below[c], F.round(F.when(~F.isnan(c), F.col(c)), digits)) for c in columns})
+
+
 @query(
     "mixed_model",
     f"""WITH RECURSIVE {sql.sequences((CANONICAL,), 'event_type')}, {_ROWS_OF_MODEL}, {_GATE_OF_MODEL}, {_FIT_OF_MODEL}
@@ -313,7 +319,7 @@ def mixed_model(spark, sf_dir):
     """Event types are the participants here: each has many sequences in both phases, as the gate wants."""
     out = mixed.random_intercept(_model_rows(spark, sf_dir, "event_type"), "slope", "x", "cohort")
     values = ("b", "se", "z", "group_variance", "residual_variance", "log_likelihood", "condition", "p")
-    return rnd(out.select("term", "participants", "rows", "least_rows", "eligible", *values, "singular", "status", "reason"), *values, digits=4)
+    return _signed(out.select("term", "participants", "rows", "least_rows", "eligible", *values, "singular", "status", "reason"), *values, digits=4)
 
 
 @query(

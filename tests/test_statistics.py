@@ -335,6 +335,13 @@ def test_mixed_model_gate_and_singular_fits(spark):
     assert mixed.random_intercept(df.limit(0), "y", "x", "cohort").collect() == []
 
 
+def test_mixed_model_keeps_the_sign_of_what_rounds_to_zero(spark):
+    from rampflow.plans.kernel_queries import _signed
+
+    df = spark.createDataFrame([(v,) for v in (-0.00001, 0.00001, -0.00005, -1.23456, 1.23456, float("nan"), None)], "b double")
+    assert [str(r["b"]) for r in _signed(df, "b", digits=4).collect()] == ["-0.0", "0.0", "-0.0001", "-1.2346", "1.2346", "None", "None"]
+
+
 def test_bayes_factor():
     assert regression.jzs_bayes_factor(0.0, 18) < 0.3
     assert regression.jzs_bayes_factor(5.0, 18) > 100
