@@ -109,16 +109,46 @@ def ranks(x: np.ndarray) -> np.ndarray:
     return (np.cumsum(n) - (n - 1) / 2)[at]
 
 
-def resampled_ranks(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Average ranks of each row of ``x[at]``, by counting: the order of x is found once for all rows."""
+def places(x: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many different values there are, and each one's place among them."""
     values, place = np.unique(x, return_inverse=True)
+    return len(values), place
+
+
+def resampled_ranks(x: np.ndarray | tuple[int, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Average ranks of each row of ``x[at]``, by counting: the order of x, or its ``places``, is found once for all rows."""
+    many, place = x if isinstance(x, tuple) else places(x)
     out = np.empty(at.shape)
     for i, row in enumerate(place[at]):
-        n = np.bincount(row, minlength=len(values))
+        n = np.bincount(row, minlength=many)
         out[i] = (np.cumsum(n) - (n - 1) / 2)[row]
     return out
 
 
+def permuted(rng: np.random.Generator, n: int) -> np.ndarray:
+    """``np.argsort(rng.random(n))``, by sorting whole numbers that hold a draw's upper bits and its place."""
+    drawn = rng.integers(0, 1 << 64, n, np.uint64)
+    mask = np.uint64((1 << max(n - 1, 1).bit_length()) - 1)
+    held = (drawn & ~mask) | np.arange(n, dtype=np.uint64)
+    held.sort()
+    if ((held[1:] ^ held[:-1]) <= mask).any():  # equal as far as their upper bits go
+        return np.argsort((drawn >> np.uint64(11)) * 2.0**-53)
+    return (held & mask).view(np.int64)
+
+
+def as_far(a: np.ndarray, b: np.ndarray, count: int, rng: np.random.Generator) -> int:
+    """Of ``count`` permutations of ``b`` how many correlate with ``a`` as far from 0 as it does."""
+    known = abs(float(correlation(a, b))) - 1e-15
+    x, y, far = a - a.mean(), b - b.mean(), 0
+    size = math.sqrt(float(x @ x) * float(y @ y))
+    for _ in range(count):
+        by = permuted(rng, len(b))
+        over = abs(float(x @ y[by])) / size - known
+        # So near that the order of a sum decides.
+        far += bool(abs(correlation(a, b[by])) >= known) if abs(over) < 1e-10 else over > 0
+    return far
+
+
 def omitted_correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Pearson's r with each pair left out, from sums without it; NaN where a side of the others is constant."""
     n = len(x)

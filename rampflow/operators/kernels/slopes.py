@@ -9,6 +9,10 @@ import numpy as np
 
 #: Most pairs that are looked at one by one because many points are equal.
 MOST = 4_000_000
+#: So few pairs of points are all looked at for every resample.
+EVERY = 1 << 20
+#: Bytes of weights of resamples that are found together.
+WEIGHTS = 1 << 28
 
 
 def _merged(rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -78,16 +82,20 @@ def above_equal(r: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.searchsorted(held, (s + 1) * span) - np.searchsorted(held, key, "right")
 
 
-def _between(x: np.ndarray, y: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """Pairs (as rows of two places) of slopes that are not below ``lo`` and below ``hi``: those that change places between the two orders of intercepts."""
+def _between(x: np.ndarray, y: np.ndarray, lo: float, hi: float, most: int | None = None) -> np.ndarray | None:
+    """Pairs (as rows of two places) of slopes that are not below ``lo`` and below ``hi``: those that change places between the two orders of intercepts.
+    None if they are more than ``most``."""
     first = np.argsort(y - lo * x, kind="stable")
     later = _order(y - hi * x)
     rank = later[first]
     who = np.empty(len(x), np.int64)
     who[later] = np.arange(len(x))
-    out = []
+    out, held = [], 0
     for left, right, start, end in _merged(rank):
         many = end - start
+        held += int(many.sum())
+        if most is not None and held > most:
+            return None
         pairs = np.empty((int(many.sum()), 2), np.int64)
         pairs[:, 0] = who[left[np.arange(len(pairs)) + np.repeat(start - (np.cumsum(many) - many), many)]]
         pairs[:, 1] = who[np.repeat(right, many)]
@@ -210,3 +218,128 @@ class Median:
 def median_slope(x: np.ndarray, y: np.ndarray) -> tuple[int, float]:
     """(pairs of different x, median of their slopes); NaN without a pair."""
     return Median()(x, y)
+
+
+class Resampled:
+    """Median slopes of many resamples of the same points; a resample is a weight a point.
+
+    The points of a resample have the order of all points, so that the slopes below one value are counted for many resamples in one merge. How
+    many each point has a share in, of all points, tells to about n pairs where a resample's median will be; resamples of near medians
+    share two values around them and the pairs between these. What is not held between its values is found alone, by ``Median``.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        fine = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+        by = fine[np.lexsort((y[fine], x[fine]))]
+        new = np.diff(x[by], prepend=np.nan) != 0
+        self.level = np.flatnonzero(new)  # starts of equal x, until equal points are one
+        new |= np.diff(y[by], prepend=np.nan) != 0
+        number = np.cumsum(new) - 1
+        self.level = number[self.level]
+        self.x, self.y = x[by[new]], y[by[new]]
+        self.which = np.full(len(x), len(self.x), np.int64)
+        self.which[by] = number
+        self.alone = Median()
+
+    def weights(self, row: np.ndarray) -> np.ndarray:
+        w = np.bincount(self.which[row], minlength=len(self.x) + 1)[: len(self.x)]
+        return w.astype(np.uint16 if w.max(initial=0) < 1 << 16 else np.int64)
+
+    def __call__(self, draws: Iterator[np.ndarray]) -> np.ndarray:
+        """The medians of the rows of places in ``draws``; NaN where all x are equal."""
+        out, held = [], []
+        for rows in draws:
+            for row in rows:
+                held.append(self.weights(row))
+                if len(held) * held[-1].nbytes > WEIGHTS:
+                    out.append(self.medians(held))
+                    held = []
+        return np.concatenate([*out, self.medians(held)])
+
+    def medians(self, weights: list[np.ndarray]) -> np.ndarray:
+        out, wants = np.full(len(weights), np.nan), {}
+        for k, w in enumerate(weights):
+            n, same = int(w.sum(dtype=np.int64)), np.add.reduceat(w, self.level, dtype=np.int64) if len(w) else w
+            if total := n * (n - 1) // 2 - int((same * (same - 1) // 2).sum()):
+                wants[k] = (total - 1) // 2, total // 2
+        u = len(self.x)
+        if u * (u - 1) // 2 <= EVERY:
+            i, j = np.triu_indices(u, 1)
+            some = self.x[i] != self.x[j]
+            self._held(i[some], j[some], dict.fromkeys(wants, 0), weights, wants, out)
+        else:
+            self._grouped(weights, wants, out)
+        for k in wants:
+            if math.isnan(out[k]):
+                out[k] = self.alone(np.repeat(self.x, weights[k]), np.repeat(self.y, weights[k]))[1]
+        return out
+
+    def _grouped(self, weights: list[np.ndarray], wants: dict[int, tuple[int, int]], out: np.ndarray) -> None:
+        whole = self.weights(np.arange(len(self.which)))
+        n = int(whole.sum(dtype=np.int64))
+        _, middle = self.alone(np.repeat(self.x, whole), np.repeat(self.y, whole))
+        pace = self.alone.pace
+        if not (pace > 0 and math.isfinite(pace)) or not wants:
+            return
+        (base,) = self._below(middle, [whole])
+        share = self._shares(middle, whole)
+        off = {k: (a + b) / 2 - (float(weights[k] @ share) - base) for k, (a, b) in wants.items()}
+        span = max(map(abs, off.values())) + 4 * n
+        for _ in range(6):  # how many slopes there are around the median, so that a value can be told for a number of them
+            at = middle + np.linspace(-span, span, 9) / pace
+            count = np.array([self._below(s, [whole])[0] - base for s in at], float)
+            if count[0] <= -span and count[-1] >= span:
+                break
+            pace /= 2
+        else:
+            return
+        by = sorted(off, key=off.get)
+        while by:
+            some = [k for k in by if off[k] <= off[by[0]] + 8 * n]
+            by = by[len(some) :]
+            lo, hi = (float(v) for v in np.interp([off[some[0]] - 2 * n, off[some[-1]] + 2 * n], count, at))
+            pairs = _between(self.x, self.y, lo, hi, 48 * n)
+            if pairs is not None:
+                self._held(*pairs.T, dict(zip(some, self._below(lo, [weights[k] for k in some]), strict=True)), weights, wants, out)
+
+    def _levels(self, s: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``_merged`` for slopes below ``s``, with points in the place of ranks."""
+        z = self.y - s * self.x
+        by = np.lexsort((z, self.x))
+        rank = _order(z[by])
+        point = np.empty(len(by), np.int64)
+        point[rank] = by
+        for left, right, start, end in _merged(rank):
+            yield point[left], point[right], start, end
+
+    def _below(self, s: float, weights: list[np.ndarray]) -> list[int]:
+        """As often as the weights say, the slopes below ``s``."""
+        total = [0] * len(weights)
+        for left, right, start, end in self._levels(s):
+            sums = np.zeros(len(left) + 1, np.int64)
+            for k, w in enumerate(weights):
+                np.cumsum(w[left], out=sums[1:])
+                total[k] += int(((sums[end] - sums[start]) * w[right]).sum())
+        return total
+
+    def _shares(self, s: float, w: np.ndarray) -> np.ndarray:
+        """For each point the weight of those with which it makes a slope below ``s``."""
+        out = np.zeros(len(self.x))
+        for left, right, start, end in self._levels(s):
+            sums = np.concatenate(([0], np.cumsum(w[left], dtype=np.int64)))
+            out[right] += sums[end] - sums[start]
+            begun, ended = (np.bincount(v, weights=w[right], minlength=len(left) + 1) for v in (start, end))
+            out[left] += np.cumsum(begun - ended)[:-1]
+        return out
+
+    def _held(self, i: np.ndarray, j: np.ndarray, below: dict[int, int], weights, wants, out) -> None:
+        """Medians among the pairs (i, j), after ``below`` slopes."""
+        slope = (self.y[i] - self.y[j]) / (self.x[i] - self.x[j])
+        by = np.argsort(slope)
+        i, j, slope = i[by], j[by], slope[by]
+        for k, first in below.items():
+            upto = np.cumsum(weights[k][i].astype(np.int64) * weights[k][j])
+            low, high = (w - first for w in wants[k])
+            if 0 <= low and len(upto) and high < upto[-1]:
+                a, b = slope[np.searchsorted(upto, (low, high), "right")]
+                out[k] = a if a == b else (a + b) / 2

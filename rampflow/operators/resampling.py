@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from .grouped import per_row
 from .kernels import bootstrap
+from .kernels.slopes import Resampled
 
 #: Draws of one unit.
 UNIT = 500
+#: Most partitions a core over which units are dealt.
+JOBS = 16
 
 
 @dataclass(frozen=True)
@@ -38,12 +41,20 @@ def _unit(name: str, rng: np.random.Generator, x: np.ndarray, y: np.ndarray, cou
     sizes = bootstrap.blocks(count, len(x))
     if name == "permutation":  # one number: how many permutations are as far from 0
         a, b = bootstrap.ranks(x), bootstrap.ranks(y)
+        if len(b) > bootstrap.PAIRWISE:
+            return np.array([bootstrap.as_far(a, b, count, rng)], float)
         known, far = abs(float(bootstrap.correlation(a, b))) - 1e-15, 0
         for k in sizes:
             mixed = b[np.argsort(rng.random((k, len(b))), axis=1)]
             far += int((np.abs(bootstrap.correlation(np.broadcast_to(a, mixed.shape), mixed)) >= known).sum())
         return np.array([far], float)
-    return np.concatenate([bootstrap.PAIRED[name](x, y, rng.integers(0, len(x), (k, len(x)))) for k in sizes])
+    n = len(x)
+    draws = (rng.integers(0, n, (k, n)) for k in sizes)
+    if name == "theil_sen" and n > bootstrap.PAIRWISE:
+        return Resampled(x, y)(draws)
+    if name == "spearman":
+        x, y = bootstrap.places(x), bootstrap.places(y)
+    return np.concatenate([bootstrap.PAIRED[name](x, y, at) for at in draws])
 
 
 def paired(df: DataFrame, keys: list[str], order: str, x: str, y: str, analyses: tuple[Analysis, ...], seed: int, level: float = 0.95) -> DataFrame:
@@ -59,7 +70,9 @@ def paired(df: DataFrame, keys: list[str], order: str, x: str, y: str, analyses:
     times = {a.name: a.times for a in analyses}
     wanted = F.array(*[F.struct(F.lit(a.name).alias("analysis"), F.lit(-(-a.times // UNIT)).alias("units")) for a in analyses])
     jobs = packed.select(*keys, "_x", "_y", F.inline(wanted)).withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1)))
-    jobs = jobs.repartition(2 * spark.sparkContext.defaultParallelism, *keys, "analysis", "unit")
+    # Units differ much in time: so many partitions that few of them share one.
+    cores, units = spark.sparkContext.defaultParallelism, sum(-(-a.times // UNIT) for a in analyses)
+    jobs = jobs.repartition(max(2 * cores, min(JOBS * cores, units)), *keys, "analysis", "unit")
 
     def draw(key, a, b):
         *group, name, unit = key

@@ -185,6 +185,31 @@ def test_left_out_figures_equal_those_of_the_others():
             assert got[fine] == pytest.approx(want[fine], rel=1e-9, abs=1e-9)
 
 
+def test_resampled_median_slopes_share_their_points(monkeypatch):
+    """Medians of resamples are those of each alone, to the last bit, and hardly any is looked for alone."""
+    rng, alone, plain = np.random.default_rng(6), [], slopes.Median.__call__
+    x, y = rng.normal(size=2_400), rng.normal(size=2_400)
+    monkeypatch.setattr(slopes.Median, "__call__", lambda *a: alone.append(1) or plain(*a))
+    for a, b in ((x, y - x), (np.round(x, 1), y), (x, np.round(x + y, 1)), (x[np.arange(2_400) % 300], y[np.arange(2_400) % 300]), (np.where(np.arange(2_400) == 5, np.inf, x), y)):
+        at = resampling.stream(1, "theil_sen", ("a",), 0).integers(0, 2_400, (30, 2_400))
+        want = [slopes.median_slope(a[row], b[row])[1] for row in at]
+        alone.clear()
+        assert resampling._unit("theil_sen", resampling.stream(1, "theil_sen", ("a",), 0), a, b, 30).tolist() == want
+        assert len(alone) < 10
+    assert np.isnan(resampling._unit("theil_sen", rng, np.ones(400), y[:400], 3)).all()
+
+
+def test_permutations_by_whole_numbers_are_those_of_draws():
+    a, b = (resampling.stream(2, "permutation", ("a",), 3) for _ in range(2))
+    for n in (1, 2, 257, 5_000):
+        assert bootstrap.permuted(a, n).tolist() == np.argsort(b.random(n)).tolist()
+    x = np.random.default_rng(8).integers(0, 9, 300).astype(float)
+    y = np.roll(x, 1)
+    mixed = y[np.argsort(resampling.stream(2, "permutation", ("b",), 0).random((200, 300)), axis=1)]
+    far = np.abs(bootstrap.correlation(np.broadcast_to(x, mixed.shape), mixed)) >= abs(bootstrap.correlation(x, y)) - 1e-15
+    assert bootstrap.as_far(x, y, 200, resampling.stream(2, "permutation", ("b",), 0)) == far.sum()
+
+
 def test_draws_of_large_groups_take_little_memory():
     """Resamples are made in blocks of one stream, and a resample's median slope looks at few pairs."""
     rng = np.random.default_rng(9)
