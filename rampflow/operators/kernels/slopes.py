@@ -285,14 +285,17 @@ class Resampled:
         share = self._shares(middle, whole)
         off = {k: (a + b) / 2 - (float(weights[k] @ share) - base) for k, (a, b) in wants.items()}
         span = max(map(abs, off.values())) + 4 * n
-        for _ in range(6):  # how many slopes there are around the median, so that a value can be told for a number of them
-            at = middle + np.linspace(-span, span, 9) / pace
-            count = np.array([self._below(s, [whole])[0] - base for s in at], float)
-            if count[0] <= -span and count[-1] >= span:
-                break
-            pace /= 2
-        else:
-            return
+        ends = [-span / pace, span / pace]
+        for i, side in enumerate((-1, 1)):  # how far from the median the span's slopes are
+            for _ in range(40):
+                found = side * (self._below(middle + ends[i], [whole])[0] - base)
+                if span <= found <= 2 * span:
+                    break
+                ends[i] *= 1.3 * span / found if found > 0.05 * span else 8
+            else:
+                return
+        at = middle + np.concatenate((np.linspace(ends[0], 0, 5), np.linspace(0, ends[1], 5)[1:]))
+        count = np.array([self._below(s, [whole])[0] - base for s in at], float)
         by = sorted(off, key=off.get)
         while by:
             some = [k for k in by if off[k] <= off[by[0]] + 8 * n]
